@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import table
+from .common import table, written
 
 #: What normalising deletes: space, and \x09 to \x0D.
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -33,6 +33,7 @@ def exact_dedup(docs: DataFrame, hash128: Callable[[Column], Column] = F.md5) ->
     groups = groups.select("h", "text_sha256", F.col("first.id").alias("keep_id"), "group_size")
     clash = F.assert_true(F.count(F.lit(1)) == 1, F.lit("two texts agree in both hashes"))
     groups = groups.groupBy("h", "text_sha256").agg(F.first("keep_id").alias("keep_id"), F.first("group_size").alias("group_size"), clash.alias("checked"))
+    groups = written(groups, "exact-groups")  # so that the join below shuffles both sides, and a hot group can be split
     out = rows.select("doc_id", "h", "text_sha256").join(groups, ["h", "text_sha256"])
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
