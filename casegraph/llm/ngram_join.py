@@ -125,11 +125,12 @@ def overlap_bound(a: Column, b: Column) -> Column:
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough: bound first, then the exact intersection."""
-    side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("shared").alias(f"s_{x}"), F.col("vec").alias(f"v_{x}"))
-    full = pairs.join(side("a"), "a").join(side("b"), "b")
+    side = lambda x, what: sets.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col(what).alias(f"v_{x}"))
+    both = lambda rows, what: rows.join(side("a", what), "a").join(side("b", what), "b")
     # inter >= percent/100 * union and union = n_a + n_b - inter
     enough = lambda inter: (100 + percent) * inter >= percent * (F.col("n_a") + F.col("n_b"))
-    return full.where(enough(overlap_bound(F.col("v_a"), F.col("v_b")))).where(enough(F.size(F.array_intersect("s_a", "s_b")))).select("a", "b")
+    near = both(pairs, "vec").where(enough(overlap_bound(F.col("v_a"), F.col("v_b")))).select("a", "b").distinct()
+    return both(near, "shared").where(enough(F.size(F.array_intersect("v_a", "v_b")))).select("a", "b")
 
 
 def _tree(vec: np.ndarray) -> list[np.ndarray]:
@@ -183,7 +184,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     sets = live.join(classes, ["sig1", "sig2", "n"]).where("doc_id = rep").dropDuplicates(["doc_id", "sig1", "sig2"]).select("doc_id", "n", "shared", "prefix", "vec")
     sets = written(sets, "near-reps")
     tokens = sets.select(F.explode("prefix").alias("token"), "doc_id")
-    heads = tokens.groupBy("token").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    # the shingles that the same documents share give the same pairs: one of them is enough
+    post = tokens.groupBy("token").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("k"), F.sum(F.xxhash64("doc_id").cast("decimal(20,0)")).alias("p"), F.sum(F.xxhash64("doc_id", F.lit(1)).cast("decimal(20,0)")).alias("q")).where("k > 1")
+    heads = written(post.groupBy("k", "a", "p", "q").agg(F.min("token").alias("token")).select("token", "a"), "near-postings")
+    tokens = written(tokens.join(heads.select("token"), "token", "left_semi"), "near-tokens")
     star = tokens.join(heads.select("token", "a"), "token").where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
     # rows that repeat an id hold several sets under it; they are one node
     first = written(_linked(star, sets, percent), "near-star")
