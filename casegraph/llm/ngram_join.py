@@ -188,8 +188,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     post = tokens.groupBy("token").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("k"), F.sum(F.xxhash64("doc_id").cast("decimal(20,0)")).alias("p"), F.sum(F.xxhash64("doc_id", F.lit(1)).cast("decimal(20,0)")).alias("q")).where("k > 1")
     heads = written(post.groupBy("k", "a", "p", "q").agg(F.min("token").alias("token")).select("token", "a"), "near-postings")
     tokens = written(tokens.join(heads.select("token"), "token", "left_semi"), "near-tokens")
-    star = tokens.join(heads.select("token", "a"), "token").where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
-    # rows that repeat an id hold several sets under it; they are one node
+    # each document against the one head that it shares most postings with; what this leaves apart comes below
+    votes = tokens.join(heads, "token").where("a <> doc_id").groupBy("doc_id", "a").agg(F.count(F.lit(1)).alias("votes"))
+    star = votes.groupBy(F.col("doc_id").alias("b")).agg(F.min(F.struct((-F.col("votes")).alias("v"), "a")).alias("best")).select("best.a", "b")
     first = written(_linked(star, sets, percent), "near-star")
     label = components(first, "near-comp")
     named = tokens.join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("token", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
