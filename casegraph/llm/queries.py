@@ -6,17 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, exact_dedup, ngram_join, substring_dedup
+from . import bpe, decontaminate, exact_dedup, ngram_join, pii, quality, substring_dedup, toxicity, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_bpe": bpe.op2_bpe,
+    "op3_warc": warc.op3_warc,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_toxicity": toxicity.op5_toxicity,
+    "op6_pii": pii.op6_pii,
     "op7_ngram_jaccard": ngram_join.op7_ngram_jaccard,
+    "op8_quality": quality.op8_quality,
+    "op9_url_filter": url_filter.op9_url_filter,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_dedup": exact_dedup.OP4_SQL,
+    "op9_url_filter": url_filter.OP9_SQL,
     "op10_decontaminate": decontaminate.OP10_SQL,
 }
