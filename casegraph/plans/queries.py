@@ -292,10 +292,10 @@ def challenge_verdicts(spark, d):
     return J.challenge(h, proof).select("cluster_id", "verdict")
 
 
-_DEC = "SELECT user_id AS h, event_id, epoch(ts) AS at, CASE event_type WHEN 'purchase' THEN 'approve' WHEN 'error' THEN 'reject' WHEN 'signup' THEN 'insufficient' ELSE 'draft' END AS act FROM events"
+_DEC = "SELECT user_id AS h, event_id, epoch(ts) AS moment, CASE event_type WHEN 'purchase' THEN 'approve' WHEN 'error' THEN 'reject' WHEN 'signup' THEN 'insufficient' ELSE 'draft' END AS act FROM events"
 
 
-@query(f"WITH x AS ({_DEC}) SELECT h AS hypothesis_id, CASE arg_max(act, (act = 'reject', at, event_id)) WHEN 'approve' THEN 'APPROVED' WHEN 'reject' THEN 'REJECTED' WHEN 'insufficient' THEN 'INSUFFICIENT' ELSE 'DRAFT' END AS status FROM x GROUP BY h")
+@query(f"WITH x AS ({_DEC}) SELECT h AS hypothesis_id, CASE arg_max(act, row(act = 'reject', moment, event_id)) WHEN 'approve' THEN 'APPROVED' WHEN 'reject' THEN 'REJECTED' WHEN 'insufficient' THEN 'INSUFFICIENT' ELSE 'DRAFT' END AS status FROM x GROUP BY h")
 def status_fold(spark, d):
     act = F.when(F.col("event_type") == "purchase", "approve").when(F.col("event_type") == "error", "reject").when(F.col("event_type") == "signup", "insufficient").otherwise("draft")
     return J.fold(D.read(spark, d, "events").select(F.col("user_id").alias("hypothesis_id"), act.alias("action"), F.lit(None).cast("string").alias("link"), F.col("ts").alias("decided_at"), F.col("event_id").alias("seq"))).select("hypothesis_id", "status")
@@ -307,7 +307,7 @@ def links(spark, d):
     return o.where("source <> target")
 
 
-_LINKS = "lk AS (SELECT o_custkey % 400 AS source, o_orderkey % 400 AS target, ['CHAIN', 'WRITE', 'NET', 'TIME', 'NONE'][o_orderkey % 5 + 1] AS level, 5 - o_orderkey % 5 AS rank, o_orderdate AS at FROM orders WHERE o_custkey % 400 <> o_orderkey % 400)"
+_LINKS = "lk AS (SELECT o_custkey % 400 AS source, o_orderkey % 400 AS target, ['CHAIN', 'WRITE', 'NET', 'TIME', 'NONE'][o_orderkey % 5 + 1] AS level, 5 - o_orderkey % 5 AS rank, o_orderdate AS moment FROM orders WHERE o_custkey % 400 <> o_orderkey % 400)"
 
 
 @query(f"WITH {_LINKS} SELECT DISTINCT p.source AS a, p.target AS b FROM lk p JOIN lk q ON p.source = q.target AND p.target = q.source WHERE p.source < p.target")
@@ -320,7 +320,7 @@ def orphan_links(spark, d):
     return J.orphans(D.read(spark, d, "customer").select(F.col("c_custkey").alias("hypothesis_id")), links(spark, d))
 
 
-@query(f"WITH RECURSIVE {_LINKS}, b AS (SELECT target, arg_max(source, (rank, -epoch_us(at), -source)) AS source FROM lk GROUP BY target), w AS (SELECT target AS node, [target] AS chain FROM (SELECT DISTINCT target FROM lk) UNION ALL SELECT node, list_append(chain, b.source) FROM w JOIN b ON b.target = chain[-1] WHERE NOT list_contains(chain, b.source)) SELECT node, array_to_string(arg_max(chain, len(chain)), '>') AS chain FROM w GROUP BY node")
+@query(f"WITH RECURSIVE {_LINKS}, b AS (SELECT target, arg_max(source, row(rank, -epoch_us(moment), -source)) AS source FROM lk GROUP BY target), w AS (SELECT target AS node, [target] AS chain FROM (SELECT DISTINCT target FROM lk) UNION ALL SELECT node, list_append(chain, b.source) FROM w JOIN b ON b.target = chain[-1] WHERE NOT list_contains(chain, b.source)) SELECT node, array_to_string(arg_max(chain, len(chain)), '>') AS chain FROM w GROUP BY node")
 def kill_chain(spark, d):
     lk = links(spark, d)
     return J.root_causes(lk, lk.select(F.col("target").alias("node")).distinct(), 400).select("node", F.array_join("chain", ">").alias("chain"))
