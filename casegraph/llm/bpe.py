@@ -1,8 +1,9 @@
 """BPE encoding and decoding through a table of distinct words.
 
-Spark splits every text into words and counts the distinct ones; each distinct word is encoded once. The HEAD most frequent
-words, a bounded table, are sent to all tasks; a text becomes codes into that table plus the list of its other words, whose
-ids come back through a join on the word. The ids are then put together by position, and decoding takes each id's piece.
+Tasks split every text into words and count them, Spark sums the counts, and each distinct word is encoded once. The most
+frequent words, a table of bounded size, are sent to all tasks; a text becomes codes into that table, and further codes into
+a list of its other words, whose ids come back through a join on the word. The ids are then put together by position, and
+decoding takes each id's piece.
 """
 
 from __future__ import annotations
@@ -13,36 +14,58 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import table, written
 
-#: Words in the table that all tasks get, each of at most HEAD_BYTES bytes: 4 MB of text at most, for any input.
-HEAD, HEAD_BYTES = 65_535, 64
-ESCAPE = 65_535
+#: Words in the table that all tasks get, each of at most HEAD_BYTES bytes: 16 MB of text at most, for any input.
+HEAD, HEAD_BYTES = 262_144, 64
 #: Words that a task puts together at once.
 PART_WORDS = 1_000_000
-BLANKS = r"[\x20\x09-\x0D]+"
+
+
 #: Texts of these characters are stable under NFC and have the same lower case everywhere.
-PLAIN = "^[\\x09-\\x0D\\x20-\\x7E\\u00C0-\\u012F\\u0132-\\u017F]*$"
-#: Fixed values of the vocabulary file: how it splits normalised text, and the tokens that it finds in raw text.
-PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+PLAIN = r"^[\x09-\x0D\x20-\x7E\x{00C0}-\x{012F}\x{0132}-\x{017F}]*$"
+#: Fixed values of the vocabulary file: what it splits from runs of letters, and the tokens that it finds in raw text.
+MARK = r"('s|'t|'re|'ve|'m|'ll|'d|\p{N}|[^\x09-\x0D\x20\p{L}\p{N}]+)"
 SPECIAL = ("<|startoftext|>", "<|endoftext|>")
+#: Bytes of text that a task codes at once.
+PART_BYTES = 8 << 20
 
 
-def words_of(text: Column) -> Column:
-    """The words of a text, none of which the tokenizer would merge with its neighbour.
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of the texts in one run, and where each text's words start (one more at the end).
 
-    Plain texts are lower-cased and split as the vocabulary splits them, which keeps the table of words small. Any other
-    text is split at white space only: the tokenizer drops white space, composes no character with it, and finds its
-    special tokens between it. Each word is then encoded by the tokenizer itself, with its own normaliser.
+    The tokenizer merges no two of them. Plain texts are lower-cased and split as the vocabulary splits them, which keeps
+    the table of words small. Any other text is split at white space only: the tokenizer drops white space, composes no
+    character with it, and finds its special tokens between it.
     """
-    plain = text.rlike(PLAIN)
+    texts = texts.cast(pa.large_string())
+    plain = pc.match_substring_regex(texts, PLAIN)
     for token in SPECIAL:
-        plain = plain & ~F.contains(text, F.lit(token))
-    fine = F.regexp_extract_all(F.lower(text), F.lit(PRE_TOKEN), F.lit(0))
-    coarse = F.filter(F.split(text, BLANKS), lambda w: w != "")
-    return F.when(plain, fine).otherwise(coarse)
+        plain = pc.and_not(plain, pc.match_substring(texts, token))
+    if pc.any(plain).as_py():
+        texts = pc.if_else(plain, pc.replace_substring_regex(pc.utf8_lower(texts), MARK, r" \1 "), texts)
+    lists = pc.ascii_split_whitespace(texts)
+    offsets = lists.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
+    words = lists.values.slice(offsets[0], offsets[-1] - offsets[0])
+    full = pc.not_equal(pc.binary_length(words), 0)  # blanks at the ends of a text give empty words
+    starts = np.append(0, np.cumsum(full.to_numpy(zero_copy_only=False), dtype=np.int64))[offsets - offsets[0]]
+    return words.filter(full).cast(pa.string()), starts
+
+
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches cut into parts of about PART_BYTES bytes of text."""
+    for b in batches:
+        part = np.cumsum(pc.binary_length(b.column("text")).to_numpy(zero_copy_only=False), dtype=np.int64) // PART_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), b.num_rows]
+        yield from (b.slice(x, y - x) for x, y in zip(cuts[:-1], cuts[1:]) if y > x)
+
+
+def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in parts(batches):
+        found = pc.value_counts(split_words(b.column("text"))[0])
+        yield pa.RecordBatch.from_arrays([found.field(0), found.field(1)], ["word", "n"])
 
 
 def encode_words(words: DataFrame, path: str) -> DataFrame:
@@ -52,15 +75,32 @@ def encode_words(words: DataFrame, path: str) -> DataFrame:
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
+        tok.no_truncation()
+        tok.no_padding()
         for b in batches:
-            for k in range(0, b.num_rows, 20_000):
-                part = b.slice(k, 20_000)
-                ids = [e.ids for e in tok.encode_batch(part.column("word").to_pylist(), add_special_tokens=False)]
+            for k in range(0, b.num_rows, 5_000):
+                part = b.slice(k, 5_000)
+                ids = [e.ids for e in tok.encode_batch_fast(part.column("word").to_pylist(), add_special_tokens=False)]
                 yield pa.RecordBatch.from_arrays([part.column("word"), part.column("n"), pa.array(ids, pa.list_(pa.int32()))], ["word", "n", "ids"])
 
     return words.mapInArrow(encode, "word string, n long, ids array<int>")
 
 
+def most_frequent(encoded: DataFrame, most: int) -> pa.Table:
+    """(word, ids) of the words above a count that at most `most` words reach: no sort, and a bounded result.
+
+    Counts are rounded down to eighths of a power of two, and the words of whole steps are taken.
+    """
+    short = encoded.where(F.octet_length("word") <= HEAD_BYTES).withColumn("step", F.floor(8 * F.log2("n")).cast("int"))
+    least, total = None, 0
+    for step, n in sorted(short.groupBy("step").count().collect(), reverse=True):
+        total += n
+        if total > most:
+            break
+        least = step
+    return short.where(F.lit(False) if least is None else F.col("step") >= least).select("word", "ids").toArrow()
+
+
 def pieces_of(path: str) -> list[str]:
     """The piece of each id; ids have no gaps."""
     from tokenizers import Tokenizer
@@ -72,70 +112,77 @@ def pieces_of(path: str) -> list[str]:
 def bpe_round_trip(docs: DataFrame, path: str, head: int = HEAD) -> DataFrame:
     """Encodes and decodes every text as the tokenizers library does with the file at path, without special tokens added.
 
-    docs: (doc_id, text), further columns are ignored. Returns (doc_id, n_tokens, ids, decoded), one row for each input
-    row. A null or blank text has no token and decodes to ''. Rows that repeat an id, or have none, are encoded each on
-    their own. head is the number of words in the table that all tasks get; it changes no result. An empty table gives an
-    empty result.
+    docs: (doc_id, text), further columns are ignored. Returns (doc_id, n_tokens, ids, decoded, ids_sha256), one row for
+    each input row. A null or blank text has no token and decodes to ''. Rows that repeat an id, or have none, are encoded
+    each on their own. head bounds the number of words in the table that all tasks get; it changes no result. An empty table
+    gives an empty result.
     """
     spark = docs.sparkSession
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    split = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text)).alias("key"), words_of(text).alias("words"))
-    counts = split.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    counts = texts.select("text").mapInArrow(count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     encoded = written(encode_words(counts, path), "bpe-words")
-    top = encoded.where(F.octet_length("word") <= HEAD_BYTES).orderBy(F.desc("n"), "word").limit(min(head, HEAD)).collect()
-    known = spark.sparkContext.broadcast([r["word"] for r in top])
-    known_ids = spark.sparkContext.broadcast(([i for r in top for i in r["ids"]], [len(r["ids"]) for r in top]))
+    top = most_frequent(encoded, min(head, HEAD))
+    known = spark.sparkContext.broadcast(top.column("word").cast(pa.string()).combine_chunks())
+    top_ids = top.column("ids").combine_chunks()
+    known_ids = spark.sparkContext.broadcast((pc.list_flatten(top_ids).to_numpy(zero_copy_only=False), pc.list_value_length(top_ids).to_numpy(zero_copy_only=False)))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table_ = pa.array(known.value, pa.string())
-        for b in batches:
-            lists = b.column("words")
-            offsets = lists.offsets.to_numpy().astype(np.int64)
-            flat = lists.values.slice(offsets[0], offsets[-1] - offsets[0])
-            offsets = offsets - offsets[0]
-            index = pc.index_in(flat, value_set=table_) if len(table_) else pa.nulls(len(flat), pa.int32())
-            codes = pc.fill_null(index, ESCAPE).to_numpy(zero_copy_only=False).astype("<u2")
-            rest = flat.filter(pc.is_null(index))
-            rest_at = np.append(0, np.cumsum(codes == ESCAPE))[offsets].astype(np.int32)
-            raw = codes.tobytes()
-            coded = pa.array([raw[2 * x:2 * y] for x, y in zip(offsets[:-1], offsets[1:])], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), coded, pa.ListArray.from_arrays(pa.array(rest_at, pa.int32()), rest)], ["doc_id", "key", "codes", "rest"])
+        """Texts as codes: a place in the table, or beyond its end a place in the text's own list of other words."""
+        table_, codec = known.value, pa.Codec("zstd")
+        for b in parts(batches):
+            flat, starts = split_words(b.column("text"))
+            coded = flat.dictionary_encode()
+            place = pc.index_in(coded.dictionary, value_set=table_).fill_null(-1).to_numpy(zero_copy_only=False)
+            own = coded.indices.to_numpy(zero_copy_only=False)
+            codes = place[own].astype("<i4") if len(own) else np.zeros(0, "<i4")
+            packed, others = [], []
+            for x, y in zip(starts[:-1], starts[1:]):
+                mine, words = codes[x:y], own[x:y]
+                rest = mine < 0
+                distinct, first, nth = np.unique(words[rest], return_index=True, return_inverse=True)
+                order = np.argsort(first)  # by first use, so that the text alone decides
+                mine[rest] = len(table_) + np.argsort(order)[nth]
+                others.append(distinct[order])
+                packed.append(codec.compress(mine.view(np.uint8).reshape(-1, 4).T.tobytes(), asbytes=True) if y > x else b"")
+            at = np.append(0, np.cumsum([len(x) for x in others])).astype(np.int32)
+            rare = coded.dictionary.take(pa.array(np.concatenate([*others, np.zeros(0, np.int64)]).astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(np.diff(starts), pa.int64()), pa.array(packed, pa.binary()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), rare)], ["doc_id", "key", "n_words", "codes", "rare"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    coded = written(split.mapInArrow(code, f"doc_id {id_type}, key long, codes binary, rest array<string>"), "bpe-codes")
-    rare = coded.select("key", F.explode(F.array_distinct("rest")).alias("word")).join(encoded.select("word", "ids"), "word")
-    rare = rare.groupBy("key").agg(F.collect_set(F.struct("word", "ids")).alias("found"))
-    full = coded.join(rare, "key", "left").select("doc_id", "codes", "rest", F.col("found.word").alias("word"), F.col("found.ids").alias("ids"))
+    # read and coded twice, which costs less than to keep the codes on disk; equal rows share an id and a key, and their rare words
+    coded = texts.withColumn("key", F.xxhash64("text")).mapInArrow(code, f"doc_id {id_type}, key long, n_words long, codes binary, rare array<string>")
+    rare = coded.select("doc_id", "key", F.posexplode("rare").alias("nth", "word")).join(encoded.select("word", "ids"), "word")
+    rare = rare.groupBy(F.col("doc_id").alias("rare_id"), F.col("key").alias("rare_key")).agg(F.collect_set(F.struct("nth", "ids")).alias("found"))
+    full = coded.join(rare, coded["doc_id"].eqNullSafe(rare["rare_id"]) & (coded["key"] == rare["rare_key"]), "left")
+    full = full.select("doc_id", "n_words", "codes", F.array_sort("found").alias("found")).select("doc_id", "n_words", "codes", F.col("found.ids").alias("rare_ids"))
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_flat, sizes = (np.array(x, np.int64) for x in known_ids.value)
-        begin = np.append(0, np.cumsum(sizes))[:-1] if len(sizes) else sizes
-        vocabulary = pa.array(pieces_of(path), pa.string())
+        ids_flat, sizes = (np.asarray(x, np.int64) for x in known_ids.value)
+        vocabulary, codec = pa.array(pieces_of(path), pa.string()), pa.Codec("zstd")
         for whole in batches:
-            part = np.cumsum([len(x) // 2 for x in whole.column("codes").to_pylist()]) // PART_WORDS
-            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), whole.num_rows]
+            counts = whole.column("n_words").to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(counts) // PART_WORDS)) + 1), whole.num_rows]
             for x, y in zip(cuts[:-1], cuts[1:]):
-                b = whole.slice(x, y - x)
-                codes = [np.frombuffer(x, "<u2").astype(np.int64) for x in b.column("codes").to_pylist()]
-                words_at = np.append(0, np.cumsum([len(x) for x in codes]))
+                if x == y:
+                    continue
+                b, n_words = whole.slice(x, y - x), counts[x:y]
+                rare_ids = b.column("rare_ids")
+                n_rare = pc.fill_null(pc.list_value_length(rare_ids), 0).to_numpy(zero_copy_only=False)
+                lists = pc.list_flatten(rare_ids)  # one list of ids for each rare word of each text
+                size = np.concatenate([sizes, pc.list_value_length(lists).to_numpy(zero_copy_only=False)]).astype(np.int64)
+                pool = np.concatenate([ids_flat, pc.list_flatten(lists).to_numpy(zero_copy_only=False)]).astype(np.int64)
+                begin = np.cumsum(size) - size
+                shift = np.cumsum(n_rare) - n_rare
+                codes = [np.zeros(0, np.int64)]
+                for raw, n, more in zip(b.column("codes").to_pylist(), n_words, shift):
+                    if n:
+                        mine = np.frombuffer(codec.decompress(raw, 4 * int(n), asbytes=True), np.uint8).reshape(4, -1).T.copy().view("<i4").ravel().astype(np.int64)
+                        codes.append(np.where(mine < len(sizes), mine, mine + more))
                 flat = np.concatenate(codes)
-                size = np.zeros(len(flat), np.int64)
-                start = np.zeros(len(flat), np.int64)
-                usual = flat != ESCAPE
-                size[usual], start[usual] = sizes[flat[usual]], begin[flat[usual]]
-                more, at, length = [], [], []
-                used = len(ids_flat)
-                for rest, word, ids in zip(b.column("rest").to_pylist(), b.column("word").to_pylist(), b.column("ids").to_pylist()):
-                    own = dict(zip(word or (), ids or ()))
-                    for w in rest:
-                        at.append(used + len(more))
-                        length.append(len(own[w]))
-                        more += own[w]
-                size[~usual], start[~usual] = length, at
-                pool = np.concatenate([ids_flat, np.array(more, np.int64)])
-                ends = np.append(0, np.cumsum(size))
-                ids = pool[np.repeat(start - ends[:-1], size) + np.arange(ends[-1])]
-                ids_at = ends[words_at]
+                length = size[flat]
+                ends = np.append(0, np.cumsum(length))
+                ids = pool[np.repeat(begin[flat] - ends[:-1], length) + np.arange(ends[-1])]
+                ids_at = ends[np.append(0, np.cumsum(n_words))]
                 as_list = pa.ListArray.from_arrays(pa.array(ids_at, pa.int32()), pa.array(ids, pa.int32()))
                 decoded = pc.binary_join(pa.ListArray.from_arrays(pa.array(ids_at, pa.int32()), vocabulary.take(pa.array(ids))), " ")
                 yield from finish(b.column("doc_id"), as_list, ids, ids_at, decoded)
