@@ -54,7 +54,7 @@ def _lists(values: np.ndarray, sizes: np.ndarray, kind: pa.DataType) -> pa.Array
 
 
 def near_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, groups: int = GROUPS) -> DataFrame:
-    """(doc_id, n, sig1, sig2, shared, prefix, vec) for each row of docs; the last three are null where no partner can be."""
+    """(doc_id, n, sig1, sig2, live, shared, prefix, vec) for each row of docs; the last three are null where no partner can be."""
     n = shard_count(docs)
     parts = sharded(docs, n)
 
@@ -107,7 +107,7 @@ def near_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, group
         yes = pa.array(may)
         null = lambda a: pa.compute.if_else(yes, a, pa.scalar(None, a.type))
         return pa.table({
-            "doc_id": t["doc_id"].combine_chunks(), "n": pa.array(size, pa.int64()), "sig1": pa.array(sig[0], pa.int64()), "sig2": pa.array(sig[1], pa.int64()),
+            "doc_id": t["doc_id"].combine_chunks(), "n": pa.array(size, pa.int64()), "sig1": pa.array(sig[0], pa.int64()), "sig2": pa.array(sig[1], pa.int64()), "live": yes,
             "shared": null(_lists(h[sh].view(np.int64), np.bincount(own[sh], minlength=len(size)), pa.int64())),
             "prefix": null(_lists(ranked[pick].view(np.int64), np.bincount(ranked_own[pick], minlength=len(size)), pa.int64())),
             "vec": null(_lists(vec.ravel().astype(np.int32), np.full(len(size), groups), pa.int32())),
@@ -115,7 +115,7 @@ def near_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, group
 
     counts = parts.groupBy("shard").applyInArrow(count, "bucket int, shard int, keys binary, times binary")
     known = counts.groupBy("bucket").applyInArrow(total, "shard int, bucket int, keys binary, df binary")
-    return parts.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(profile, "doc_id long, n long, sig1 long, sig2 long, shared array<long>, prefix array<long>, vec array<int>")
+    return parts.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(profile, "doc_id long, n long, sig1 long, sig2 long, live boolean, shared array<long>, prefix array<long>, vec array<int>")
 
 
 def overlap_bound(a: Column, b: Column) -> Column:
@@ -178,11 +178,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     """
     spark = docs.sparkSession
     rows = written(near_sets(docs, words, percent, groups), "near-sets")
-    live = rows.where("shared IS NOT NULL")
-    classes = live.groupBy("sig1", "sig2", "n").agg(F.min("doc_id").alias("rep"))
-    classes = written(classes.where("rep IS NOT NULL"), "near-classes")
-    sets = live.join(classes, ["sig1", "sig2", "n"]).where("doc_id = rep").dropDuplicates(["doc_id", "sig1", "sig2"]).select("doc_id", "n", "shared", "prefix", "vec")
-    sets = written(sets, "near-reps")
+    reps = rows.where("live").groupBy("sig1", "sig2", "n").agg(F.min("doc_id").alias("doc_id"), F.min_by(F.struct("shared", "prefix", "vec"), "doc_id").alias("own"))
+    reps = written(reps.where("doc_id IS NOT NULL").select("sig1", "sig2", "doc_id", "n", "own.*"), "near-reps")
+    classes = reps.select("sig1", "sig2", "n", F.col("doc_id").alias("rep"))
+    sets = reps.select("doc_id", "n", "shared", "prefix", "vec")
     tokens = sets.select(F.explode("prefix").alias("token"), "doc_id")
     # the shingles that the same documents share give the same pairs: one of them is enough
     post = tokens.groupBy("token").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("k"), F.sum(F.xxhash64("doc_id").cast("decimal(20,0)")).alias("p"), F.sum(F.xxhash64("doc_id", F.lit(1)).cast("decimal(20,0)")).alias("q")).where("k > 1")
@@ -215,9 +214,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
         return pd.DataFrame(list(found), columns=["a", "b"], dtype="int64")
 
     pairs = spread.groupBy("token", "i", "j").applyInPandas(search, "a long, b long").distinct()
-    links = first.unionByName(written(_linked(pairs, sets, percent), "near-rest"))
-    final = components(links, "near-final")
-    member = rows.join(classes, ["sig1", "sig2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("shared").isNotNull(), F.col("rep")).alias("rep"))
+    rest = written(_linked(pairs, sets, percent), "near-rest")
+    links = first.unionByName(rest)
+    final = label if rest.isEmpty() else components(links, "near-final")
+    member = rows.join(classes, ["sig1", "sig2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("live"), F.col("rep")).alias("rep"))
     member = member.withColumn("node", F.coalesce("rep", "doc_id"))
     out = member.join(final.select(F.col("id").alias("node"), "component"), "node", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id")), links
