@@ -1,13 +1,17 @@
 """Information-theoretic sanitisation, in DataFrame functions only.
 
 Four base kinds are found by pattern. Their values are the protected entities. Over the whole corpus, the co-occurrence of a
-term t with an entity e gives PMI(t, e) = log2(N n(t, e) / (n(t) n(e))) by documents: how many bits t tells about e. In a
-document that holds e, a term with at least BITS bits and at least SHARE of all that e holds (log2(N / n(e))) discloses e
-although e itself is masked; such terms are marked too. Masking generalises a base span to its kind and removes a term.
+term t with an entity e gives PMI(t, e) = log2(p(e | t) N / n(e)) by documents: how many bits t tells about e. p(e | t) is
+smoothed towards n(e) / N, as (n(t, e) + PRIOR n(e) / N) / (n(t) + PRIOR), so that rare terms and entities count, with less
+trust. In a document that holds e, a term with at least BITS bits and at least SHARE of all that e holds (log2(N / n(e)))
+discloses e although e itself is masked; such terms are marked too. Masking generalises a base span to its kind and removes
+a term.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import table, written
@@ -20,22 +24,21 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Disclosure: least documents of an entity, and of a term with it; share of the entity's documents that have the term; bits; share of the entity's information.
-ENTITY_DOCS, TERM_DOCS, COVER, BITS, SHARE = 3, 3, 0.5, 6.0, 0.9
+#: Disclosure: bits; share of the entity's information; what the entity's share of all documents weighs against a term's own, in documents.
+BITS, SHARE, PRIOR = 6.0, 0.9, 0.5
 TERM = r"\p{L}{4,}"
 MARK, OTHER = "\uFDD0", "\uFDD1"  # characters that no pattern matches; the first in a text is read as the second
 SPAN = "array<struct<start:int,end:int,value:string>>"
 
 
-def spans(text: Column, pattern: str | Column) -> Column:
-    """Leftmost non-overlapping matches as (start, end, value), in code points, end exclusive."""
-    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
-    parts = F.split(F.regexp_replace(F.translate(text, MARK, OTHER), pattern, F.lit(f"{MARK}$0{MARK}")), MARK)
+def spans(text: Column, pattern: str, keep: Callable[[Column], Column] = lambda p: F.lit(True)) -> Column:
+    """Leftmost non-overlapping matches whose value meets keep, as (start, end, value), in code points, end exclusive."""
+    parts = F.split(F.regexp_replace(F.translate(text, MARK, OTHER), F.lit(pattern), F.lit(f"{MARK}$0{MARK}")), MARK)
     zero = F.struct(F.lit(0).alias("at"), F.lit(False).alias("hit"), F.array().cast(SPAN).alias("out"))
 
     def step(s: Column, p: Column) -> Column:
         end = s["at"] + F.char_length(p)
-        return F.struct(end.alias("at"), (~s["hit"]).alias("hit"), F.when(s["hit"], F.array_append(s["out"], F.struct(s["at"].alias("start"), end.alias("end"), p.alias("value")))).otherwise(s["out"]).alias("out"))
+        return F.struct(end.alias("at"), (~s["hit"]).alias("hit"), F.when(s["hit"] & keep(p), F.array_append(s["out"], F.struct(s["at"].alias("start"), end.alias("end"), p.alias("value")))).otherwise(s["out"]).alias("out"))
 
     return F.aggregate(parts, zero, step, lambda s: s["out"])
 
@@ -71,20 +74,36 @@ def terms_of(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
 
 
+def once(docs: DataFrame) -> DataFrame:
+    """docs (key, text) with one row for each key: the distinct texts of a repeated key become one."""
+    again = written(docs.groupBy("key").count().where("count > 1").select("key"), "pii-again")
+    if again.isEmpty():
+        return docs
+    merged = docs.join(again, "key", "left_semi").groupBy("key").agg(F.array_join(F.collect_set("text"), "\n").alias("text"))
+    return docs.join(again, "key", "left_anti").unionByName(merged)
+
+
 def disclosing(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(key, terms): for each document with an entity, the terms that disclose it. docs: (key, text), found: (key, values)."""
-    total = docs.count()
-    held = found.select("key", F.explode("values").alias("e")).distinct()
-    common = held.groupBy("e").agg(F.count(F.lit(1)).alias("n_e")).where((F.col("n_e") >= ENTITY_DOCS) & (F.log2(F.lit(float(max(total, 1))) / F.col("n_e")) >= BITS))
-    held = written(held.join(common, "e"), "pii-held")
-    with_e = docs.join(held.select("key").distinct(), "key", "left_semi").select("key", F.explode(terms_of(F.col("text"))).alias("t"))
-    pairs = held.join(with_e, "key").groupBy("e", "n_e", "t").agg(F.count(F.lit(1)).alias("n_te")).where((F.col("n_te") >= TERM_DOCS) & (F.col("n_te") >= COVER * F.col("n_e")))
-    pairs = written(pairs, "pii-pairs")
-    often = docs.select(F.explode(terms_of(F.col("text"))).alias("t")).join(pairs.select("t").distinct(), "t", "left_semi").groupBy("t").agg(F.count(F.lit(1)).alias("n_t"))
-    pmi = F.log2(F.lit(float(max(total, 1))) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
-    told = pairs.join(often, "t").where((pmi >= BITS) & (pmi >= SHARE * F.log2(F.lit(float(max(total, 1))) / F.col("n_e")))).select("e", "t")
-    told = written(told, "pii-told")
-    return held.select("key", "e").join(told, "e").groupBy("key").agg(F.collect_set("t").alias("terms"))
+    """(key, terms): for each document with an entity, the terms that disclose it.
+
+    docs: (key, text), found: (key, values, terms) of those with an entity, both with one row for each key.
+    """
+    total = float(max(docs.count(), 1))
+    info = F.log2(F.lit(total) / F.col("n_e"))
+
+    def tells(n_te: Column) -> Column:
+        pmi = info + F.log2((n_te + PRIOR * F.col("n_e") / total) / (F.col("n_t") + PRIOR))
+        return (pmi >= BITS) & (pmi >= SHARE * info)
+
+    held = found.select("key", F.explode("values").alias("e"))
+    held = written(held.join(held.groupBy("e").agg(F.count(F.lit(1)).alias("n_e")).where(info >= BITS), "e"), "pii-held")
+    # no pair passes where n_t is above this for every entity, as n_te is n_e at most
+    most = held.agg(F.max((F.col("n_e") + PRIOR) * F.pow(F.lit(2.0), (1 - SHARE) * info))).first()[0] or 0.0
+    often = docs.select(F.explode(terms_of(F.col("text"))).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n_t")).where(F.col("n_t") <= most)
+    rare = written(found.select("key", F.explode("terms").alias("t")).join(often, "t"), "pii-rare")
+    pairs = held.join(rare, "key").where(tells(F.least("n_e", "n_t"))).groupBy("e", "n_e", "t", "n_t").agg(F.count(F.lit(1)).alias("n_te"))
+    told = written(pairs.where(tells(F.col("n_te"))).select("e", "t"), "pii-told")
+    return held.select("key", "e").join(told, "e").join(rare.select("key", "t"), ["key", "t"]).groupBy("key").agg(F.collect_set("t").alias("terms"))
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
@@ -100,11 +119,15 @@ def find_pii(docs: DataFrame) -> DataFrame:
     base = docs.select("doc_id", "key", "text", *[c.alias(k) for k, c in base_spans(F.col("text")).items()])
     prefixed = lambda k: F.transform(k, lambda m: F.concat(F.lit(f"{k}:"), m["value"]))
     values = F.array_distinct(F.concat(*[prefixed(k) for k in PATTERNS]))
-    found = written(base.select("key", values.alias("values")).where(F.size("values") > 0), "pii-found")
-    terms = disclosing(docs.select("key", "text"), found)
+    whole = once(docs.select("key", "text"))
+    found = whole.select("key", "text", *[c.alias(k) for k, c in base_spans(F.col("text")).items()])
+    found = written(found.select("key", values.alias("values"), terms_of(F.col("text")).alias("terms")).where(F.size("values") > 0), "pii-found")
+    terms = disclosing(whole, found)
     rows = base.select("doc_id", "key", "text", *PATTERNS).join(terms, "key", "left")
-    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.array_sort("terms"), "|"), F.lit(r")(?!\p{L})"))
-    rows = rows.withColumn("term", F.when(F.size("terms") > 0, spans(F.col("text"), pattern)).otherwise(F.array().cast(SPAN)))
+    told = spans(F.col("text"), TERM, lambda p: F.array_contains("terms", F.lower(p)))
+    # words of an address go with it; the other kinds hold no letters
+    told = F.filter(told, lambda m: ~F.exists("email", lambda b: (m["start"] < b["end"]) & (b["start"] < m["end"])))
+    rows = rows.withColumn("term", F.when(F.size("terms") > 0, told).otherwise(F.array().cast(SPAN)))
     named = lambda k: F.transform(k, lambda m: F.concat_ws(":", F.lit(k), m["start"].cast("string"), m["end"].cast("string")))
     return rows.select(
         "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in PATTERNS], F.sha2(F.array_join(F.concat(*[named(k) for k in PATTERNS]), ","), 256).alias("base_sha256"),
