@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -118,10 +119,10 @@ def subgraph(edges_: DataFrame, nodes: DataFrame, both: bool = True) -> DataFram
     return a.unionByName(edges_.join(nodes.select(F.col("entity_id").alias("to_id")), "to_id", "left_semi")).dropDuplicates(["edge_id"])
 
 
-def process_tree(events: DataFrame, depth: int = 16) -> DataFrame:
+def process_tree(events: DataFrame, depth: int | None = None) -> DataFrame:
     """(host_name, pid, ppid, process_name, depth, path): the last event of a pid wins; a pid whose parent is absent is a root.
 
-    Rows in a cycle, or deeper than depth, have a null depth and path.
+    Rows in a cycle, or deeper than depth where that is given, have a null depth and path.
     """
     last = F.row_number().over(Window.partitionBy("host_name", "pid").orderBy(F.desc("timestamp"), F.desc("event_id")))
     rows = saved(events.where("pid IS NOT NULL").withColumn("rn", last).where("rn = 1").select("host_name", "pid", "ppid", "process_name"))
@@ -129,7 +130,7 @@ def process_tree(events: DataFrame, depth: int = 16) -> DataFrame:
     all_ = saved(rows.join(parents, ["host_name", "ppid"], "left").withColumn("root", F.coalesce(F.col("has_parent"), F.lit(False)) == F.lit(False)).drop("has_parent"))
     done = saved(all_.where("root").select("host_name", "pid", F.lit(0).alias("depth"), F.col("pid").cast("string").alias("path")))
     front = done
-    for k in range(1, depth + 1):
+    for k in count(1) if depth is None else range(1, depth + 1):
         kids = all_.where("NOT root").select("host_name", "pid", "ppid").join(front.select("host_name", F.col("pid").alias("ppid"), "path"), ["host_name", "ppid"])
         front = saved(kids.select("host_name", "pid", F.lit(k).alias("depth"), F.concat_ws("/", "path", F.col("pid").cast("string")).alias("path")))
         if front.isEmpty():

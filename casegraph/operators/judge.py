@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.exprs import claims_cause, confidence_tier, is_technique, weakest
@@ -84,12 +86,12 @@ def strongest_incoming(links: DataFrame) -> DataFrame:
     return links.withColumn("rank", rank).withColumn("rn", F.row_number().over(order)).where("rn = 1").select(F.col("target").alias("node"), F.col("source").alias("came_from"), "level")
 
 
-def root_causes(links: DataFrame, starts: DataFrame, depth: int = 32) -> DataFrame:
-    """(node, chain): from each start (node), back along strongest links until none is left or a node repeats."""
+def root_causes(links: DataFrame, starts: DataFrame, depth: int | None = None) -> DataFrame:
+    """(node, chain): from each start (node), back along strongest links until none is left or a node repeats, or depth links where that is given."""
     back = saved(strongest_incoming(links).select(F.col("node").alias("at"), "came_from"))
     live = saved(starts.select("node", F.array("node").alias("chain")))
     done = live.where(F.lit(False))
-    for _ in range(depth):
+    for _ in count() if depth is None else range(depth):
         step = live.withColumn("at", F.element_at("chain", -1)).join(back, "at", "left")
         more = F.coalesce(~F.array_contains("chain", F.col("came_from")), F.lit(False))
         step = saved(step.select("node", "chain", more.alias("more"), F.when(more, F.array_append("chain", F.col("came_from"))).alias("next")))

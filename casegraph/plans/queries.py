@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import exprs as X
 from ..functions.lookups import CAUSAL_RANK, KEEP, NOISE
@@ -326,6 +326,37 @@ def kill_chain(spark, d):
     return J.root_causes(lk, lk.select(F.col("target").alias("node")).distinct(), 400).select("node", F.array_join("chain", ">").alias("chain"))
 
 
+def order_links(spark, d):
+    """Causal links between successive orders of a customer, by date and by key; where the two disagree, links oppose each other."""
+    o = D.read(spark, d, "orders")
+    before = lambda *by: F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy(*by))
+    o = o.withColumns({"by_date": before("o_orderdate", "o_orderkey"), "by_key": before("o_orderkey")})
+    o = o.select(F.explode(F.array_distinct(F.array("by_date", "by_key"))).alias("source"), F.col("o_orderkey").alias("target"), F.col("o_orderdate").alias("at"))
+    level = F.element_at(F.array(*[F.lit(x) for x in CAUSAL_RANK]), ((F.col("source") + F.col("target")) % 5 + 1).cast("int"))
+    return o.where("source IS NOT NULL").select("source", "target", level.alias("level"), "at")
+
+
+_ORDER_LINKS = """lk AS (SELECT source, target, 5 - (source + target) % 5 AS rank, moment FROM (SELECT lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS source, o_orderkey AS target, o_orderdate AS moment FROM orders
+UNION SELECT lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey), o_orderkey, o_orderdate FROM orders) WHERE source IS NOT NULL)"""
+
+
+@query(f"WITH {_ORDER_LINKS} SELECT DISTINCT p.source AS a, p.target AS b FROM lk p JOIN lk q ON p.source = q.target AND p.target = q.source WHERE p.source < p.target")
+def causal_contradictions_whole(spark, d):
+    return J.mutual_links(order_links(spark, d))
+
+
+@query(f"WITH {_ORDER_LINKS} SELECT o_orderkey AS hypothesis_id FROM orders WHERE o_orderkey NOT IN (SELECT source FROM lk) AND o_orderkey NOT IN (SELECT target FROM lk)")
+def orphan_links_whole(spark, d):
+    return J.orphans(D.read(spark, d, "orders").select(F.col("o_orderkey").alias("hypothesis_id")), order_links(spark, d))
+
+
+@query(f"WITH RECURSIVE {_ORDER_LINKS}, b AS (SELECT target, arg_max(source, row(rank, -epoch_us(moment), -source)) AS source FROM lk GROUP BY target), w AS (SELECT target AS node, [target] AS chain FROM (SELECT DISTINCT target FROM lk) UNION ALL SELECT node, list_append(chain, b.source) FROM w JOIN b ON b.target = chain[-1] WHERE NOT list_contains(chain, b.source)) SELECT node, array_to_string(arg_max(chain, len(chain)), '>') AS chain FROM w GROUP BY node")
+def kill_chain_whole(spark, d):
+    """A chain for each order that has one before it; to any length."""
+    lk = order_links(spark, d)
+    return J.root_causes(lk, lk.select(F.col("target").alias("node")).distinct()).select("node", F.array_join("chain", ">").alias("chain"))
+
+
 @query("SELECT o_orderstatus AS case_id, count_if(o_orderpriority = '1-URGENT') AS drafts, count_if(o_orderpriority <> '1-URGENT') AS approved, count_if(o_orderpriority <> '1-URGENT' AND o_orderkey % 3 = 0) AS without_technique, count_if(o_orderkey % 3 = 1) AS bad_technique, count_if(o_orderpriority <> '1-URGENT' AND o_orderkey % 2 = 0) AS unsigned FROM orders GROUP BY ALL")
 def readiness_counts(spark, d):
     k = F.col("o_orderkey") % 3
@@ -401,4 +432,14 @@ def paths_depth5(spark, d):
 t AS (SELECT host_name, pid, 0 AS depth FROM p WHERE NOT EXISTS (SELECT 1 FROM p q WHERE q.host_name = p.host_name AND q.pid = p.ppid) UNION ALL SELECT p.host_name, p.pid, depth + 1 FROM p JOIN t ON p.host_name = t.host_name AND p.ppid = t.pid WHERE depth < 16)
 SELECT p.host_name, p.pid, p.ppid, t.depth FROM p LEFT JOIN t USING (host_name, pid)""")
 def process_tree(spark, d):
-    return G.process_tree(D.events(spark, d)).select("host_name", "pid", "ppid", "depth")
+    return G.process_tree(D.events(spark, d), 16).select("host_name", "pid", "ppid", "depth")
+
+
+@query("WITH RECURSIVE " + over_events("")[5:].rstrip() + """, p AS (SELECT host_name, substr(event_id, 4)::BIGINT AS pid, nullif(substr(event_id, 4)::BIGINT // 7, substr(event_id, 4)::BIGINT) AS ppid FROM ev WHERE canonical_type = 'PROCESS_EXECUTION'),
+t AS (SELECT host_name, pid, 0 AS depth FROM p WHERE NOT EXISTS (SELECT 1 FROM p q WHERE q.host_name = p.host_name AND q.pid = p.ppid) UNION ALL SELECT p.host_name, p.pid, depth + 1 FROM p JOIN t ON p.host_name = t.host_name AND p.ppid = t.pid)
+SELECT p.host_name, p.pid, p.ppid, t.depth FROM p LEFT JOIN t USING (host_name, pid)""")
+def process_tree_whole(spark, d):
+    """One process for each PROCESS_EXECUTION event, so the tree grows with the table; to any depth."""
+    pid = F.col("source_doc_id").cast("long")
+    started = D.events(spark, d).where("canonical_type = 'PROCESS_EXECUTION'").withColumns({"pid": pid, "ppid": F.nullif(F.floor(pid / 7), pid)})
+    return G.process_tree(started).select("host_name", "pid", "ppid", "depth")
