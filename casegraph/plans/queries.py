@@ -193,6 +193,20 @@ def subgraph_both_ends(spark, d):
     return G.subgraph(e, nodes)
 
 
+_SUPPLIED = "SELECT DISTINCT 'p' || l_partkey AS from_id, 's' || l_suppkey AS to_id FROM lineitem"
+_OF_TYPE = "l_partkey IN (SELECT p_partkey FROM part WHERE p_type = 'ECONOMY') AND l_suppkey IN (SELECT s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA')"
+
+
+@query(f"{_SUPPLIED} WHERE {_OF_TYPE}")
+def subgraph_by_type(spark, d):
+    """The edges between parts of a type and suppliers of a region."""
+    e = part_edges(spark, d).select(F.col("a").alias("from_id"), F.col("b").alias("to_id"))
+    parts = D.read(spark, d, "part").where("p_type = 'ECONOMY'").select(F.concat(F.lit("p"), "p_partkey").alias("entity_id"))
+    region = D.read(spark, d, "nation").join(D.read(spark, d, "region").where("r_name = 'ASIA'"), F.col("n_regionkey") == F.col("r_regionkey"))
+    suppliers = D.read(spark, d, "supplier").join(region, F.col("s_nationkey") == F.col("n_nationkey"), "left_semi").select(F.concat(F.lit("s"), "s_suppkey").alias("entity_id"))
+    return G.subgraph(e, parts.unionByName(suppliers).distinct())
+
+
 def order_events(spark, d):
     return D.read(spark, d, "orders").select(F.col("o_custkey"), F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).alias("epoch"), F.col("o_orderkey").alias("event_id"))
 
@@ -428,6 +442,17 @@ def paths_depth5(spark, d):
     return G.reach(both, spark.createDataFrame([("p1",)], "src string"), 5)
 
 
+@query("WITH RECURSIVE lk AS (SELECT DISTINCT 'p' || l_partkey AS a, 's' || l_suppkey AS b FROM lineitem UNION SELECT DISTINCT 's' || l_suppkey, 'p' || l_partkey FROM lineitem), r(src, node, depth) AS (SELECT 's' || s_suppkey, 's' || s_suppkey, 0 FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_name = (SELECT min(n_name) FROM nation) UNION SELECT src, b, depth + 1 FROM r JOIN lk ON a = node WHERE depth < 5) SELECT src, node, min(depth) AS depth FROM r GROUP BY src, node")
+def paths_from_nation(spark, d):
+    """Paths from all suppliers of the first nation by name, so the starts grow with the table."""
+    e = part_edges(spark, d)
+    both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    nation = D.read(spark, d, "nation")
+    first = nation.join(nation.agg(F.min("n_name").alias("n_name")), "n_name").select("n_nationkey")
+    start = D.read(spark, d, "supplier").join(first, F.col("s_nationkey") == F.col("n_nationkey"), "left_semi").select(F.concat(F.lit("s"), "s_suppkey").alias("src"))
+    return G.reach(both, start, 5)
+
+
 @query("WITH RECURSIVE " + over_events("")[5:].rstrip() + """, p AS (SELECT host_name, pid, arg_max(ppid, (timestamp, event_id)) AS ppid FROM ev GROUP BY ALL),
 t AS (SELECT host_name, pid, 0 AS depth FROM p WHERE NOT EXISTS (SELECT 1 FROM p q WHERE q.host_name = p.host_name AND q.pid = p.ppid) UNION ALL SELECT p.host_name, p.pid, depth + 1 FROM p JOIN t ON p.host_name = t.host_name AND p.ppid = t.pid WHERE depth < 16)
 SELECT p.host_name, p.pid, p.ppid, t.depth FROM p LEFT JOIN t USING (host_name, pid)""")

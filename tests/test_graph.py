@@ -10,12 +10,12 @@ from casegraph.plans import queries
 DATA = "/root/testdata/sf0.001"
 
 
-def agree(spark, name):
-    """The rows of a query on the smallest tables, held against its SQL."""
+def agree(spark, name, data=DATA):
+    """The rows of a query, held against its SQL."""
     con = duckdb.connect()
-    for f in os.listdir(DATA):
-        con.sql(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{DATA}/{f}'")
-    got = queries.QUERIES[name](spark, DATA)
+    for f in os.listdir(data):
+        con.sql(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{data}/{f}'")
+    got = queries.QUERIES[name](spark, data)
     columns = ", ".join(f'"{c}"' for c in got.columns)
     want = con.execute(f"SELECT {columns} FROM ({queries.ORACLE_SQL[name]})").fetchall()
     rows = [tuple(r) for r in got.collect()]
@@ -45,3 +45,11 @@ def test_whole_links(spark, name):
     rows, con = agree(spark, name)
     if name == "kill_chain_whole":
         assert len(rows) >= con.execute("SELECT count(*) - count(DISTINCT o_custkey) FROM orders").fetchall()[0][0] > 400
+
+
+def test_subgraph_and_paths_by_attribute(spark):
+    rows, con = agree(spark, "subgraph_by_type", DATA.replace("0.001", "0.01"))
+    keys = {int(v[1:]) for r in rows for v in r if v[0] == "p"}
+    assert any(k % 7 for k in keys) and keys <= {k for k, in con.execute("SELECT p_partkey FROM part WHERE p_type = 'ECONOMY'").fetchall()}
+    rows, con = agree(spark, "paths_from_nation", DATA.replace("0.001", "0.01"))
+    assert {r[0] for r in rows if r[2] == 0} == {r[0] for r in rows} != set()
