@@ -41,7 +41,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("near_dedup", drop_near), ("decontaminate", drop_leaks), ("bpe", encode)]
-#: The toxicity model is fitted, which SQL can't express; tests hold the pipeline against plain Python.
+#: The toxicity model is fitted, which SQL can't express. No test holds the pipeline against plain Python yet.
 ORACLE_SQL = None
 
 
