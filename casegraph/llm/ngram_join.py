@@ -7,25 +7,28 @@
 3. Documents with equal sets form a class; its smallest id represents it, and only representatives are compared.
 4. Shingles are also hashed into GROUPS groups; the counts by group are a point. Sum of the coordinate minima of two points
    bounds the overlap of their sets, and the same sum over the maxima of a tree node bounds all points below it.
-5. Under each prefix shingle, every point is compared with the smallest one first. That joins large groups of near copies
-   without their pairs. What is still in different components goes into R-trees, built over bounded blocks of each
-   posting; pairs that survive the bound are verified on the sets. No candidate is capped.
+5. Prefix shingles whose documents have the same smallest and largest id form a bundle. Every point is compared with its
+   bundle's smallest one first, which joins large groups of near copies without their pairs. A bundle that still holds
+   several components goes into R-trees of bounded blocks; what survives the bound is verified there, on the sets, and only
+   links that join two components leave the task. Blocks of the documents outside a bundle's largest component meet blocks
+   of all its documents, so the largest component is never compared with itself. No candidate is capped.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import bucket_runs, cells, components, hash_words, inside, joined, mixed, owner, pieces, rolling, shard_count, sharded, table, written
 
 WORDS, PERCENT, GROUPS = 5, 80, 64
-#: Points that one R-tree holds at most; a longer posting is split over several.
-BLOCK, LEAF = 512, 16
+#: Shingles that a block of a bundle should hold (2 MB), and points in a leaf of an R-tree.
+BLOCK, LEAF = 262_144, 16
+#: While a bundle has so many documents outside its largest component, and the last round found a link, stars are compared again.
+AGAIN = 512
 
 
 def _sets(texts, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -130,7 +133,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     # inter >= percent/100 * union and union = n_a + n_b - inter
     enough = lambda inter: (100 + percent) * inter >= percent * (F.col("n_a") + F.col("n_b"))
     near = both(pairs, "vec").where(enough(overlap_bound(F.col("v_a"), F.col("v_b")))).select("a", "b").distinct()
-    return both(near, "shared").where(enough(F.size(F.array_intersect("v_a", "v_b")))).select("a", "b")
+    return both(near, "shared").where(enough(F.size(F.array_intersect("v_a", "v_b")))).select("a", "b").distinct()
 
 
 def _tree(vec: np.ndarray) -> list[np.ndarray]:
@@ -147,78 +150,137 @@ def _tree(vec: np.ndarray) -> list[np.ndarray]:
     return leaves
 
 
-def _tree_pairs(ids, n, comp, vec, other, percent: int):
-    """Pairs of one or two R-trees that the bound lets through and whose components differ."""
-    same = other is None
-    ids2, n2, comp2, vec2 = (ids, n, comp, vec) if same else other
-    one, two = _tree(vec), _tree(vec2)
-    top, least = np.array([vec2[x].max(0) for x in two]), np.array([n2[x].min() for x in two])
-    for k, x in enumerate(one):
+class _Joined:
+    """Components that links found in one task have joined so far."""
+
+    def __init__(self, comp: np.ndarray) -> None:
+        self.names, self.of = np.unique(comp, return_inverse=True)
+        self.up = np.arange(len(self.names))
+
+    def roots(self) -> np.ndarray:
+        """The root of each row's component."""
+        while True:
+            higher = self.up[self.up]
+            if (higher == self.up).all():
+                return self.up[self.of]
+            self.up = higher
+
+    def join(self, x: int, y: int) -> None:
+        a, b = sorted((int(self.up[self.of[x]]), int(self.up[self.of[y]])))
+        while self.up[b] != b:
+            b = int(self.up[b])
+        while self.up[a] != a:
+            a = int(self.up[a])
+        self.up[max(a, b)] = min(a, b)
+
+
+def _tree_links(left: np.ndarray, right: np.ndarray, doc: np.ndarray, n: np.ndarray, comp: np.ndarray, vec: np.ndarray, sets: list[np.ndarray], outside: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+    """Rows x of left and y of right whose sets are similar enough, for pairs in different components: links that join them.
+
+    Two rows that are both outside the largest component meet twice, in either role; the smaller document is then x.
+    """
+    joined_ = _Joined(comp)
+    codes, at = np.unique(np.concatenate(sets), return_inverse=True), np.append(0, np.cumsum([len(v) for v in sets]))
+    at, codes = at, codes[1]
+    mark = np.zeros(len(codes) and int(codes.max()) + 1, bool)
+    one, two = [left[x] for x in _tree(vec[left])], [right[y] for y in _tree(vec[right])]
+    top, least = np.array([vec[y].max(0) for y in two]), np.array([n[y].min() for y in two])
+    for x in one:
         bound = np.minimum(vec[x].max(0), top).sum(1)  # of the node against all nodes
         for j in np.flatnonzero((100 + percent) * bound >= percent * (n[x].min() + least)):
-            if same and j < k:
-                continue
             y = two[j]
-            pair = np.minimum(vec[x][:, None, :], vec2[y][None, :, :]).sum(2)
-            ok = ((100 + percent) * pair >= percent * (n[x][:, None] + n2[y][None, :])) & (comp[x][:, None] != comp2[y][None, :])
-            p, q = np.nonzero(ok)
-            for a, b in zip(ids[x][p], ids2[y][q]):
-                yield (a, b) if a < b else (b, a)
-
-
-def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, groups: int = GROUPS) -> tuple[DataFrame, DataFrame]:
+            root = joined_.roots()
+            may = (root[x][:, None] != root[y][None, :]) & (~outside[y][None, :] | (doc[x][:, None] < doc[y][None, :]))
+            if not may.any():
+                continue
+            may &= (100 + percent) * np.minimum(vec[x][:, None, :], vec[y][None, :, :]).sum(2) >= percent * (n[x][:, None] + n[y][None, :])
+            for p in np.flatnonzero(may.any(1)):
+                row, others = x[p], y[may[p]]
+                mark[codes[at[row]:at[row + 1]]] = True
+                inter = np.array([np.count_nonzero(mark[codes[at[o]:at[o + 1]]]) for o in others])
+                mark[codes[at[row]:at[row + 1]]] = False
+                for o in others[(100 + percent) * inter >= percent * (n[row] + n[others])]:
+                    root = joined_.roots()
+                    if root[row] != root[o]:
+                        joined_.join(row, o)
+                        yield int(doc[row]), int(doc[o])
+
+
+def _search(t: pa.Table, groups: int, percent: int) -> pa.Table:
+    """Links in one pair of blocks: rows with outside_role are of a block outside the largest component, the others of a block of all."""
+    doc, n, comp = (t[c].to_numpy() for c in ("doc_id", "n", "comp"))
+    role, outside = (t[c].to_numpy(zero_copy_only=False) for c in ("role", "outside"))
+    flat = lambda c: t[c].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    vec = flat("vec").astype(np.int64).reshape(-1, groups)
+    sets = np.split(flat("shared"), np.cumsum(t["shared"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False))[:-1])
+    found = list(_tree_links(np.flatnonzero(role), np.flatnonzero(~role), doc, n, comp, vec, sets, outside, percent)) if role.any() and not role.all() else []
+    return pa.table({"a": pa.array([min(x) for x in found], pa.int64()), "b": pa.array([max(x) for x in found], pa.int64())})
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, groups: int = GROUPS, block: int = BLOCK, again: int = AGAIN) -> tuple[DataFrame, DataFrame]:
     """Documents linked by Jaccard similarity of their word shingles.
 
-    docs: (doc_id, text), further columns are ignored. Returns two tables. The first has one row for each input row:
-    (doc_id, n_shingles, component_id), where component_id is the smallest doc_id reachable by links, itself included. The
-    second has links (a, b) between representatives of classes of equal sets, enough to span every component.
+    docs: (doc_id, text), further columns are ignored; doc_id is an integer. Returns two tables. The first has one row for each
+    input row: (doc_id, n_shingles, component_id), where component_id is the smallest doc_id reachable by links, itself
+    included. The second has links (a, b) between representatives of classes of equal sets, enough to span every component.
     Null, empty and blank texts have no shingle and link with nothing. A text of fewer words than a shingle is one
     shingle. Rows that repeat an id are one node: whatever links one of them links the id. A row without an id links with
     nothing but its class: its component is that of documents with an equal set, else null. An empty table gives empty tables.
+    block (shingles in a block) and again (when to repeat the stars) change the plan, not the result.
     """
-    spark = docs.sparkSession
     rows = written(near_sets(docs, words, percent, groups), "near-sets")
     reps = rows.where("live").groupBy("sig1", "sig2", "n").agg(F.min("doc_id").alias("doc_id"), F.min_by(F.struct("shared", "prefix", "vec"), "doc_id").alias("own"))
     reps = written(reps.where("doc_id IS NOT NULL").select("sig1", "sig2", "doc_id", "n", "own.*"), "near-reps")
     classes = reps.select("sig1", "sig2", "n", F.col("doc_id").alias("rep"))
-    sets = reps.select("doc_id", "n", "shared", "prefix", "vec")
-    tokens = sets.select(F.explode("prefix").alias("token"), "doc_id")
-    # the shingles that the same documents share give the same pairs: one of them is enough
-    post = tokens.groupBy("token").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("k"), F.sum(F.xxhash64("doc_id").cast("decimal(20,0)")).alias("p"), F.sum(F.xxhash64("doc_id", F.lit(1)).cast("decimal(20,0)")).alias("q")).where("k > 1")
-    heads = written(post.groupBy("k", "a", "p", "q").agg(F.min("token").alias("token")).select("token", "a"), "near-postings")
-    tokens = written(tokens.join(heads.select("token"), "token", "left_semi"), "near-tokens")
-    # each document against the one head that it shares most postings with; what this leaves apart comes below
-    votes = tokens.join(heads, "token").where("a <> doc_id").groupBy("doc_id", "a").agg(F.count(F.lit(1)).alias("votes"))
-    star = votes.groupBy(F.col("doc_id").alias("b")).agg(F.min(F.struct((-F.col("votes")).alias("v"), "a")).alias("best")).select("best.a", "b")
-    first = written(_linked(star, sets, percent), "near-star")
-    label = components(first, "near-comp")
-    named = tokens.join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("token", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
-    open_ = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo <> hi")
-    open_ = open_.select("token", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
-    left = named.join(open_, "token").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    # block pairs (i, j), i <= j: a point of block i is in (i, j) for j >= i and in (j, i) for j < i
-    spread = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select("token", "doc_id", "comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") <= F.col("other")).alias("is_i"))
-    spread = spread.join(sets.select("doc_id", "n", "vec"), "doc_id")
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        def part(rows: pd.DataFrame):
-            vec = np.stack(rows["vec"].to_numpy()).astype(np.int64) if len(rows) else np.zeros((0, groups), np.int64)
-            return rows["doc_id"].to_numpy(), rows["n"].to_numpy(), rows["comp"].to_numpy(), vec
-
-        if pdf["i"].iloc[0] == pdf["j"].iloc[0]:
-            found = _tree_pairs(*part(pdf), None, percent)
-        else:
-            is_i = pdf["is_i"].to_numpy()
-            found = _tree_pairs(*part(pdf[is_i]), part(pdf[~is_i]), percent) if is_i.any() and not is_i.all() else ()
-        return pd.DataFrame(list(found), columns=["a", "b"], dtype="int64")
-
-    pairs = spread.groupBy("token", "i", "j").applyInPandas(search, "a long, b long").distinct()
-    rest = written(_linked(pairs, sets, percent), "near-rest")
-    links = first.unionByName(rest)
-    final = label if rest.isEmpty() else components(links, "near-final")
+    sets = reps.select("doc_id", "n", "shared", "vec")
+    tokens = reps.select(F.explode("prefix").alias("token"), "doc_id")
+    post = tokens.groupBy("token").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
+    bundles = written(tokens.join(post, "token").groupBy("lo", "hi", "doc_id").agg(F.count(F.lit(1)).alias("votes")), "near-bundles")
+
+    # each document against the smallest one of the bundle that it shares most shingles with; then, where much is left, against another
+    star = bundles.where("lo <> doc_id").groupBy(F.col("doc_id").alias("b")).agg(F.min(F.struct((-F.col("votes")).alias("v"), F.col("lo").alias("a"))).alias("best")).select("best.a", "b")
+    links = written(_linked(star, sets, percent), "near-star")
+    tried = star
+    for k in range(1, 100):
+        label = components(links, f"near-comp-{k}")
+        named = bundles.join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("lo", "hi", "doc_id", "votes", F.coalesce("component", "doc_id").alias("comp"))
+        named = written(named, f"near-named-{k}")
+        draw = F.min(F.struct(F.xxhash64("doc_id", F.lit(k)).alias("h"), "doc_id")).alias("one")
+        parts = named.groupBy("lo", "hi", "comp").agg(F.count(F.lit(1)).alias("docs"), draw)
+        main = parts.groupBy("lo", "hi").agg(F.max(F.struct("docs", "comp", "one")).alias("main"), F.sum("docs").alias("docs"), F.count(F.lit(1)).alias("comps"))
+        main = written(main.where("comps > 1").select("lo", "hi", F.col("main.comp").alias("main"), F.col("main.one.doc_id").alias("one"), (F.col("docs") - F.col("main.docs")).alias("outside")), f"near-open-{k}")
+        if main.where(F.col("outside") > again).isEmpty():
+            break
+        star = named.join(main.where(F.col("outside") > again), ["lo", "hi"]).where("comp <> main").groupBy(F.col("doc_id").alias("b")).agg(F.min(F.struct((-F.col("votes")).alias("v"), F.col("one").alias("a"))).alias("best")).select("best.a", "b")
+        star = written(star.join(tried, ["a", "b"], "left_anti"), f"near-star-{k}")
+        tried = tried.unionByName(star)
+        more = written(_linked(star, sets, percent), f"near-more-{k}")
+        if more.isEmpty():
+            break
+        links = written(links.unionByName(more), f"near-links-{k}")
+
+    # (lo, hi, i, j): block i of all documents of a bundle with block j of those outside its largest component
+    open_ = named.join(main, ["lo", "hi"]).select("lo", "hi", "doc_id", "comp", (F.col("comp") != F.col("main")).alias("outside")).join(sets, "doc_id")
+    weigh = lambda c: F.ceil(F.sum(c) / block).cast("int")
+    blocks = named.join(main, ["lo", "hi"]).join(sets.select("doc_id", "n"), "doc_id").groupBy("lo", "hi").agg(weigh(F.col("n")).alias("all"), weigh(F.when(F.col("comp") != F.col("main"), F.col("n"))).alias("out"))
+    open_ = open_.join(written(blocks, "near-blocks"), ["lo", "hi"])
+    mine = lambda c: F.pmod(F.xxhash64("doc_id"), F.col(c)).cast("int")
+    cell = lambda i, j, role: F.struct(i.alias("i"), j.alias("j"), F.lit(role).alias("role"))
+    to = F.concat(
+        F.transform(F.sequence(F.lit(0), F.col("out") - 1), lambda j: cell(mine("all"), j, False)),
+        F.when(F.col("outside"), F.transform(F.sequence(F.lit(0), F.col("all") - 1), lambda i: cell(i, mine("out"), True))).otherwise(F.array().cast("array<struct<i:int,j:int,role:boolean>>")),
+    )
+    spread = open_.withColumn("to", F.explode(to)).select("lo", "hi", "to.i", "to.j", "to.role", "doc_id", "n", "comp", "outside", "vec", "shared")
+    rest = spread.groupBy("lo", "hi", "i", "j").applyInArrow(lambda t: _search(t, groups, percent), "a long, b long")
+    rest = written(rest.distinct(), "near-rest")
+    if not rest.isEmpty():
+        links = links.unionByName(rest)
     member = rows.join(classes, ["sig1", "sig2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("live"), F.col("rep")).alias("rep"))
     member = member.withColumn("node", F.coalesce("rep", "doc_id"))
+    again_ = written(rows.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "near-again")
+    if not again_.isEmpty():  # rows of one id in several classes
+        links = links.unionByName(member.join(again_, "doc_id", "left_semi").where("rep <> doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
+    final = components(links, "near-final")
     out = member.join(final.select(F.col("id").alias("node"), "component"), "node", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id")), links
 
