@@ -1,9 +1,10 @@
 """BPE encoding and decoding through a table of distinct words.
 
-Tasks split every text into words and count them, Spark sums the counts, and each distinct word is encoded once. The most
-frequent words, a table of bounded size, are sent to all tasks; a text becomes codes into that table, and further codes into
-a list of its other words, whose ids come back through a join on the word. The ids are then put together by position, and
-decoding takes each id's piece.
+Tasks split every text into words and count them, and Spark sums the counts. The most frequent words, a table of bounded
+size, are encoded once and sent to all tasks; a text becomes codes into that table, and further codes into a list of its
+other words. Those meet by word, sorted, so that each is encoded once, and their ids come back to the text through a join. The
+ids are then put together by position. Decoding joins them with the table of ids and pieces, which is as large as the
+vocabulary: in Arrow, by position, since ids have no gaps.
 """
 
 from __future__ import annotations
@@ -15,11 +16,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import table, written
 
 #: Words in the table that all tasks get, each of at most HEAD_BYTES bytes: 16 MB of text at most, for any input.
 HEAD, HEAD_BYTES = 262_144, 64
+#: Keys over which the texts with one longer word are dealt.
+LONG_PARTS = 64
 #: Words that a task puts together at once.
 PART_WORDS = 1_000_000
 
@@ -68,37 +72,56 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([found.field(0), found.field(1)], ["word", "n"])
 
 
+def tokenizer(path: str):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(path)
+    tok.no_truncation()
+    tok.no_padding()
+    return tok
+
+
 def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """(word, n) with ids: the tokens of each word."""
+    """words, sorted by word in each partition, with ids: the tokens of each, as little-endian unsigned 32-bit integers.
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
+    A word is encoded where its run of rows starts.
+    """
+    names = words.columns
 
-        tok = Tokenizer.from_file(path)
-        tok.no_truncation()
-        tok.no_padding()
-        for b in batches:
-            for k in range(0, b.num_rows, 5_000):
-                part = b.slice(k, 5_000)
-                ids = [e.ids for e in tok.encode_batch_fast(part.column("word").to_pylist(), add_special_tokens=False)]
-                yield pa.RecordBatch.from_arrays([part.column("word"), part.column("n"), pa.array(ids, pa.list_(pa.int32()))], ["word", "n", "ids"])
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tok, last, last_ids = tokenizer(path), None, b""
+        for whole in batches:
+            for k in range(0, whole.num_rows, 5_000):
+                b = whole.slice(k, 5_000)
+                coded = b.column("word").dictionary_encode()
+                distinct = coded.dictionary.to_pylist()
+                new = distinct[1:] if distinct[0] == last else distinct
+                ids = [np.asarray(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(new, add_special_tokens=False)]
+                ids = [last_ids, *ids] if len(new) < len(distinct) else ids
+                last, last_ids = distinct[-1], ids[-1]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.binary()).take(coded.indices)], [*names, "ids"])
 
-    return words.mapInArrow(encode, "word string, n long, ids array<int>")
+    return words.mapInArrow(encode, words.schema.simpleString()[len("struct<"):-1].replace(":", " ") + ", ids binary")
 
 
-def most_frequent(encoded: DataFrame, most: int) -> pa.Table:
-    """(word, ids) of the words above a count that at most `most` words reach: no sort, and a bounded result.
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """(word, n) of the words above a count that at most `most` words reach: no sort, and a bounded result.
 
     Counts are rounded down to eighths of a power of two, and the words of whole steps are taken.
     """
-    short = encoded.where(F.octet_length("word") <= HEAD_BYTES).withColumn("step", F.floor(8 * F.log2("n")).cast("int"))
+    short = counts.where(F.octet_length("word") <= HEAD_BYTES).withColumn("step", F.floor(8 * F.log2("n")).cast("int"))
     least, total = None, 0
     for step, n in sorted(short.groupBy("step").count().collect(), reverse=True):
         total += n
         if total > most:
             break
         least = step
-    return short.where(F.lit(False) if least is None else F.col("step") >= least).select("word", "ids").toArrow()
+    return short.where(F.lit(False) if least is None else F.col("step") >= least).select("word", "n")
+
+
+def flat_ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of a column that encode_words made, in one run, and how many each row has."""
+    return np.frombuffer(b"".join(column.to_pylist()), "<u4").astype(np.int64), pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64) // 4
 
 
 def pieces_of(path: str) -> list[str]:
@@ -109,26 +132,25 @@ def pieces_of(path: str) -> list[str]:
     return [tok.id_to_token(k) for k in range(tok.get_vocab_size())]
 
 
-def bpe_round_trip(docs: DataFrame, path: str, head: int = HEAD) -> DataFrame:
+def bpe_round_trip(docs: DataFrame, path: str, head: int = HEAD, whole: bool = True) -> DataFrame:
     """Encodes and decodes every text as the tokenizers library does with the file at path, without special tokens added.
 
-    docs: (doc_id, text), further columns are ignored. Returns (doc_id, n_tokens, ids, decoded, ids_sha256), one row for
-    each input row. A null or blank text has no token and decodes to ''. Rows that repeat an id, or have none, are encoded
-    each on their own. head bounds the number of words in the table that all tasks get; it changes no result. An empty table
-    gives an empty result.
+    docs: (doc_id, text), further columns are ignored. Returns (doc_id, n_tokens, ids_sha256, decoded_sha256, ids, decoded), one
+    row for each input row; whole=False leaves out the last two. A null or blank text has no token and decodes to ''. Rows that
+    repeat an id, or have none, are encoded each on their own. head bounds the number of words in the table that all tasks
+    get; it changes no result. An empty table gives an empty result.
     """
     spark = docs.sparkSession
+    kind = docs.schema["doc_id"].dataType
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     counts = texts.select("text").mapInArrow(count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    encoded = written(encode_words(counts, path), "bpe-words")
-    top = most_frequent(encoded, min(head, HEAD))
-    known = spark.sparkContext.broadcast(top.column("word").cast(pa.string()).combine_chunks())
-    top_ids = top.column("ids").combine_chunks()
-    known_ids = spark.sparkContext.broadcast((pc.list_flatten(top_ids).to_numpy(zero_copy_only=False), pc.list_value_length(top_ids).to_numpy(zero_copy_only=False)))
+    counts = written(counts.where("n > 1"), "bpe-words")  # a word that occurs once gains nothing from a place in the table
+    top = encode_words(most_frequent(counts, min(head, HEAD)), path).toArrow().sort_by([("n", "descending"), ("word", "ascending")]).combine_chunks()
+    known = spark.sparkContext.broadcast((top.column("word").cast(pa.string()).combine_chunks(), *flat_ids(top.column("ids"))))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Texts as codes: a place in the table, or beyond its end a place in the text's own list of other words."""
-        table_, codec = known.value, pa.Codec("zstd")
+        table_, codec = known.value[0], pa.Codec("zstd", 3)
         for b in parts(batches):
             flat, starts = split_words(b.column("text"))
             coded = flat.dictionary_encode()
@@ -146,59 +168,58 @@ def bpe_round_trip(docs: DataFrame, path: str, head: int = HEAD) -> DataFrame:
                 packed.append(codec.compress(mine.view(np.uint8).reshape(-1, 4).T.tobytes(), asbytes=True) if y > x else b"")
             at = np.append(0, np.cumsum([len(x) for x in others])).astype(np.int32)
             rare = coded.dictionary.take(pa.array(np.concatenate([*others, np.zeros(0, np.int64)]).astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(np.diff(starts), pa.int64()), pa.array(packed, pa.binary()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), rare)], ["doc_id", "key", "n_words", "codes", "rare"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("rid"), b.column("key"), pa.array(np.diff(starts), pa.int64()), pa.array(packed, pa.binary()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), rare)], ["doc_id", "rid", "key", "n_words", "codes", "rare"])
 
-    id_type = docs.schema["doc_id"].dataType.simpleString()
     # read and coded twice, which costs less than to keep the codes on disk; equal rows share an id and a key, and their rare words
-    coded = texts.withColumn("key", F.xxhash64("text")).mapInArrow(code, f"doc_id {id_type}, key long, n_words long, codes binary, rare array<string>")
-    rare = coded.select("doc_id", "key", F.posexplode("rare").alias("nth", "word")).join(encoded.select("word", "ids"), "word")
-    rare = rare.groupBy(F.col("doc_id").alias("rare_id"), F.col("key").alias("rare_key")).agg(F.collect_set(F.struct("nth", "ids")).alias("found"))
-    full = coded.join(rare, coded["doc_id"].eqNullSafe(rare["rare_id"]) & (coded["key"] == rare["rare_key"]), "left")
-    full = full.select("doc_id", "n_words", "codes", F.array_sort("found").alias("found")).select("doc_id", "n_words", "codes", F.col("found.ids").alias("rare_ids"))
+    rid = F.coalesce(F.col("doc_id").cast("long"), F.lit(0)) if isinstance(kind, IntegralType) else F.xxhash64("doc_id")
+    coded = texts.select("doc_id", "text", rid.alias("rid"), F.xxhash64("text").alias("key")).mapInArrow(code, f"doc_id {kind.simpleString()}, rid long, key long, n_words long, codes binary, rare array<string>")
+    # a word that is too long for the table may be in any number of texts: dealt over LONG_PARTS keys, and encoded as often
+    salt = F.when(F.octet_length("word") > HEAD_BYTES, F.pmod("key", F.lit(LONG_PARTS))).otherwise(0)
+    asked = coded.select("rid", "key", F.posexplode("rare").alias("nth", "word")).repartition("word", salt).sortWithinPartitions("word")
+    rare = encode_words(asked, path).groupBy("rid", "key").agg(F.collect_set(F.struct("nth", "ids")).alias("found"))
+    full = coded.join(rare, ["rid", "key"], "left").select("doc_id", "n_words", "codes", F.col("found"))
+    full = full.select("doc_id", "n_words", "codes", F.array_sort("found")["ids"].alias("rare_ids"))
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_flat, sizes = (np.asarray(x, np.int64) for x in known_ids.value)
+        _, ids_flat, sizes = known.value
         vocabulary, codec = pa.array(pieces_of(path), pa.string()), pa.Codec("zstd")
-        for whole in batches:
-            counts = whole.column("n_words").to_numpy(zero_copy_only=False)
-            cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(counts) // PART_WORDS)) + 1), whole.num_rows]
+        for batch in batches:
+            counts = batch.column("n_words").to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(counts) // PART_WORDS)) + 1), batch.num_rows]
             for x, y in zip(cuts[:-1], cuts[1:]):
                 if x == y:
                     continue
-                b, n_words = whole.slice(x, y - x), counts[x:y]
-                rare_ids = b.column("rare_ids")
-                n_rare = pc.fill_null(pc.list_value_length(rare_ids), 0).to_numpy(zero_copy_only=False)
-                lists = pc.list_flatten(rare_ids)  # one list of ids for each rare word of each text
-                size = np.concatenate([sizes, pc.list_value_length(lists).to_numpy(zero_copy_only=False)]).astype(np.int64)
-                pool = np.concatenate([ids_flat, pc.list_flatten(lists).to_numpy(zero_copy_only=False)]).astype(np.int64)
-                begin = np.cumsum(size) - size
-                shift = np.cumsum(n_rare) - n_rare
+                b, n_words = batch.slice(x, y - x), counts[x:y]
+                n_rare = pc.fill_null(pc.list_value_length(b.column("rare_ids")), 0).to_numpy(zero_copy_only=False)
+                more, more_sizes = flat_ids(pc.list_flatten(b.column("rare_ids")))  # of each rare word of each text
+                size, pool = np.concatenate([sizes, more_sizes]), np.concatenate([ids_flat, more])
+                begin, shift = np.cumsum(size) - size, np.cumsum(n_rare) - n_rare
                 codes = [np.zeros(0, np.int64)]
-                for raw, n, more in zip(b.column("codes").to_pylist(), n_words, shift):
+                for raw, n, skip in zip(b.column("codes").to_pylist(), n_words, shift):
                     if n:
                         mine = np.frombuffer(codec.decompress(raw, 4 * int(n), asbytes=True), np.uint8).reshape(4, -1).T.copy().view("<i4").ravel().astype(np.int64)
-                        codes.append(np.where(mine < len(sizes), mine, mine + more))
+                        codes.append(np.where(mine < len(sizes), mine, mine + skip))
                 flat = np.concatenate(codes)
                 length = size[flat]
                 ends = np.append(0, np.cumsum(length))
                 ids = pool[np.repeat(begin[flat] - ends[:-1], length) + np.arange(ends[-1])]
-                ids_at = ends[np.append(0, np.cumsum(n_words))]
-                as_list = pa.ListArray.from_arrays(pa.array(ids_at, pa.int32()), pa.array(ids, pa.int32()))
-                decoded = pc.binary_join(pa.ListArray.from_arrays(pa.array(ids_at, pa.int32()), vocabulary.take(pa.array(ids))), " ")
-                yield from finish(b.column("doc_id"), as_list, ids, ids_at, decoded)
+                yield finish(b.column("doc_id"), ids, ends[np.append(0, np.cumsum(n_words))], vocabulary)
 
-    def finish(doc_id, as_list, ids, ids_at, decoded):
+    def finish(doc_id, ids, ids_at, vocabulary) -> pa.RecordBatch:
+        at = pa.array(ids_at, pa.int32())
+        decoded = pc.binary_join(pa.ListArray.from_arrays(at, vocabulary.take(pa.array(ids))), " ")
         raw = ids.astype("<u4").tobytes()
-        n = pa.array(np.diff(ids_at), pa.int64())
-        ids_sha = [hashlib.sha256(raw[4 * x:4 * y]).hexdigest() for x, y in zip(ids_at[:-1], ids_at[1:])]
-        yield pa.RecordBatch.from_arrays([doc_id, n, as_list, decoded, pa.array(ids_sha, pa.string())], ["doc_id", "n_tokens", "ids", "decoded", "ids_sha256"])
+        sha = lambda parts: pa.array([hashlib.sha256(p).hexdigest() for p in parts], pa.string())
+        out = [doc_id, pa.array(np.diff(ids_at), pa.int64()), sha(raw[4 * x:4 * y] for x, y in zip(ids_at[:-1], ids_at[1:])), sha(decoded.cast(pa.binary()).to_pylist())]
+        out += [pa.ListArray.from_arrays(at, pa.array(ids, pa.int32())), decoded] if whole else []
+        return pa.RecordBatch.from_arrays(out, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][:len(out)])
 
-    return full.mapInArrow(assemble, f"doc_id {id_type}, n_tokens long, ids array<int>, decoded string, ids_sha256 string")
+    return full.mapInArrow(assemble, f"doc_id {kind.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if whole else ""))
 
 
 def bpe_digests(docs: DataFrame, path: str) -> DataFrame:
-    out = bpe_round_trip(docs, path)
-    return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every text, see bpe_round_trip()."""
+    return bpe_round_trip(docs, path, whole=False)
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
