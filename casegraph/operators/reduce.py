@@ -35,9 +35,9 @@ def disturbances(clusters: DataFrame) -> DataFrame:
     return rows.select("case_id", "host_name", F.col("constructor").alias("kind"), (F.col("time_start") - pad).alias("start"), (F.col("time_end") + pad).alias("end"), "cluster_id")
 
 
-def tampered_files(clusters: DataFrame, events: DataFrame) -> DataFrame:
-    """(host_name, target_file): files in timestamp-tampering clusters."""
-    ids = clusters.where("constructor = 'Timestomp'").select(F.explode("members").alias("event_id")).distinct()
+def tampered_files(clusters: DataFrame, members: DataFrame, events: DataFrame) -> DataFrame:
+    """(host_name, target_file): files in timestamp-tampering clusters. members: (cluster_id, event_id)."""
+    ids = members.join(clusters.where("constructor = 'Timestomp'").select("cluster_id"), "cluster_id", "left_semi").select("event_id").distinct()
     return events.join(ids, "event_id", "left_semi").where("coalesce(target_file, '') <> ''").select("host_name", "target_file").distinct()
 
 

@@ -82,9 +82,8 @@ def auth_summary(events: DataFrame, failed: Column) -> DataFrame:
     return events.where("canonical_type = 'AUTHENTICATION'").groupBy("host_name", "user").agg(F.count_if(~failed).alias("ok"), F.count_if(failed).alias("failed"))
 
 
-def expand_cluster(clusters: DataFrame, events: DataFrame) -> DataFrame:
-    """(cluster_id, event_id, missing, event columns): members as events; those that are gone are reported."""
-    members = clusters.select("cluster_id", F.explode("members").alias("event_id"))
+def expand_cluster(members: DataFrame, events: DataFrame) -> DataFrame:
+    """(cluster_id, event_id, missing, event columns): members (cluster_id, event_id) as events; those that are gone are reported."""
     return members.join(events.withColumn("_here", F.lit(True)), "event_id", "left").withColumn("missing", F.col("_here").isNull()).drop("_here")
 
 

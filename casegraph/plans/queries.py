@@ -35,15 +35,9 @@ def text(c: str):
     return F.array_join(F.array_sort(c), ",")
 
 
-_BUILT: dict[tuple[str, str], DataFrame] = {}
-
-
 def clusters(spark: SparkSession, d: str) -> DataFrame:
-    """The scored clusters of a case: a stage table, built once for a session and a folder."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _BUILT:
-        _BUILT[key] = G.saved(C.build_clusters(D.events(spark, d)))
-    return _BUILT[key]
+    """The scored clusters of a case, built anew for each query."""
+    return C.build_clusters(D.events(spark, d))
 
 
 for _f in FAMILIES:
@@ -105,7 +99,7 @@ def cluster_counters(spark, d):
 def context_counts(spark, d):
     rows = prepared(D.events(spark, d))
     g = C.group_hits(C.trigger_hits(rows, (C.BY_NAME["LateralMovement"],)))
-    return C.context(g, rows.select("host_name", "epoch"), 1800).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
+    return C.over_context(g, rows.select("host_name", "epoch", F.lit(1).alias("n")), 1800, {"n": (F.count, F.sum)})
 
 
 @query(over_events("""SELECT event_id FROM (SELECT event_id, epoch, lag(epoch) OVER (PARTITION BY host_name, "user" ORDER BY epoch, event_id) AS b FROM ev WHERE canonical_type = 'AUTHENTICATION') WHERE b IS NULL OR epoch - b > 86400"""))
@@ -417,7 +411,7 @@ def auth_success_split(spark, d):
 @query(f"WITH {HITS} SELECT DISTINCT 'cluster-' || sha256(constructor || '|' || host_name || '|' || bucket)[1:16] AS cluster_id, event_id, false AS missing FROM h")
 def expand_cluster(spark, d):
     e = D.events(spark, d)
-    return V.expand_cluster(C.group_hits(C.trigger_hits(e)), e.select("event_id")).select("cluster_id", "event_id", "missing")
+    return V.expand_cluster(C.cluster_members(C.trigger_hits(e)), e.select("event_id")).select("cluster_id", "event_id", "missing")
 
 
 @query(over_events("SELECT host_name, count(*) AS connections, count(DISTINCT remote_ip) AS destinations FROM ev WHERE canonical_type = 'NETWORK_CONNECTION' GROUP BY ALL"))

@@ -29,7 +29,7 @@ def test_rules(spark):
 def test_buckets(spark):
     e = event(spark, canonical_type="AUTHENTICATION", logon_type="10")
     r = group_hits(trigger_hits(e, (BY_NAME["LateralMovement"],))).first()
-    assert r["bucket"] % 1800 == 0 and r["members"] == ["e1"] and r["first_trigger"] == "rdp_logon"
+    assert r["bucket"] % 1800 == 0 and r["n_members"] == 1 and r["first_trigger"] == "rdp_logon"
 
 
 def test_scores(spark):
