@@ -1,93 +1,155 @@
 """Toxicity grades by cumulative-link ordinal regression over sparse text features.
 
-Severity has three grades: 0 for documents labelled clean; documents labelled toxic are 1 or 2 by how much of their text is
-made of words that mark toxic documents (the share above its median counts as 2). One weight vector w serves both thresholds:
-P(grade >= k) = sigmoid(w.x - theta_k), theta_1 <= theta_2. A document's severity is the expected grade.
+Severity has three grades, all from the labels: 0 for a document labelled clean, 1 for one labelled toxic, 2 for one labelled
+toxic and of low quality. One weight vector w serves both thresholds: P(grade >= k) = sigmoid(w.x - theta_k), theta_1 <=
+theta_2. A document's severity is the expected grade.
+
+A document's features are its distinct words and their beginnings of a few lengths, so that inflected and compound forms count
+together; a feature's value grows with the logarithm of how many distinct words share it, over the root of the number of
+distinct words.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .common import table
 
-#: Hashed word features; a document's vector holds which of them it has.
-FEATURES = 1 << 18
-#: Labelled rows that the model is fitted on at most, the smallest by a hash of the id. A documented bound: 20,000 rows of at
-#: most FIT_WORDS distinct features.
-FIT_ROWS, FIT_WORDS = 20_000, 4_000
+#: Labelled rows, and bytes of their texts, that the model is fitted on at most: the first by a hash of the id. A documented bound.
+FIT_ROWS, FIT_BYTES = 10_000, 64 << 20
+#: Lengths of the beginnings of words that are features.
+PREFIXES = (4, 5, 6, 7, 8)
+#: A feature takes part if it is in so many toxic documents, and so many deviations more often there than chance would have it.
+LEAST, SIGNIFICANT = 3, 2.5
+#: What an error on a toxic row weighs against one on a clean row, and the penalty on squared weights.
+TOXIC_WEIGHT, L2 = 3.0, 1e-4
 #: Documents with at least this chance of grade 1 are rejected.
 REJECT = 0.5
 
-
-def words_of(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{M}]+"), F.lit(0)))
-
-
-def features(text: Column) -> Column:
-    """Sorted distinct feature numbers of a text's words."""
-    return F.array_distinct(F.transform(words_of(text), lambda w: F.pmod(F.xxhash64(w), F.lit(FEATURES)).cast("int")))
+Model = tuple[dict[str, float], np.ndarray]
 
 
-def log_odds(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
-    """Smoothed log ratio of document frequencies: each feature's weight before fitting, 0 where it is not significant."""
-    pos, neg = np.zeros(FEATURES), np.zeros(FEATURES)
-    for r, t in zip(rows, toxic):
-        (pos if t else neg)[r] += 1
-    n_pos, n_neg = max(1, toxic.sum()), max(1, (~toxic).sum())
-    ratio = np.log((pos + 0.1) / (n_pos + 0.2)) - np.log((neg + 0.1) / (n_neg + 0.2))
-    # a feature has to be seen more often in toxic documents than chance explains: z of a difference of proportions
-    share = (pos + neg) / (n_pos + n_neg)
+def words_of(text: Column) -> Column:
+    """The distinct words of a text, in lower case."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text.cast("string"), F.lit(""))), F.lit(r"[\p{L}\p{M}]+"), F.lit(0)))
+
+
+def flat_words(lists: pa.Array | pa.ChunkedArray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct words of all rows; for each word of each row, its place among them and its row."""
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    coded = lists.flatten().dictionary_encode()
+    n = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(n)), n)
+
+
+def features_of(words: pa.Array) -> list[pa.Array]:
+    """Feature names of each word: itself, marked, and its proper beginnings; null where a word is too short for one."""
+    size = pc.utf8_length(words)
+    cut = lambda k: pc.if_else(pc.greater(size, k), pc.utf8_slice_codeunits(words, 0, k), pa.scalar(None, pa.string()))
+    return [pc.binary_join_element_wise("=", words, ""), *(cut(k) for k in PREFIXES)]
+
+
+def counted(place: np.ndarray, row: np.ndarray, ids: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, feature, distinct words of the row with it). ids: (kind, word) to a feature below width, or -1."""
+    keys = np.concatenate([(row * width + own[place])[own[place] >= 0] for own in ids])
+    keys, n = np.unique(keys, return_counts=True)
+    return keys // width, keys % width, n
+
+
+def values(rows: np.ndarray, n: np.ndarray, n_words: np.ndarray) -> np.ndarray:
+    return np.log1p(n) * np.sqrt(100 / np.maximum(n_words[rows], 20))
+
+
+def fit(lists: pa.Array | pa.ChunkedArray, grade: np.ndarray, rounds: int = 400, rate: float = 0.05) -> Model:
+    """(weights by feature, thresholds). lists: the distinct words of each document; grade: 0, 1 or 2."""
+    words, place, row = flat_words(lists)
+    n_rows, toxic = len(grade), np.asarray(grade) > 0
+    none = ({}, np.array([8.0, 9.0]))
+    if not toxic.any() or toxic.all() or not len(words):
+        return none
+    names = pa.chunked_array(features_of(words)).dictionary_encode().combine_chunks()
+    ids = np.where(names.indices.is_valid().to_numpy(zero_copy_only=False), names.indices.fill_null(0).to_numpy(zero_copy_only=False), -1).reshape(1 + len(PREFIXES), -1).astype(np.int64)
+    width, n_words = len(names.dictionary), np.bincount(row, minlength=n_rows)
+    pos, neg, step = np.zeros(width), np.zeros(width), 500
+    edges = np.searchsorted(row, np.arange(0, n_rows + step, step))
+    for x, y in zip(edges[:-1], edges[1:]):
+        if y > x:
+            r, f, _ = counted(place[x:y], row[x:y], ids, width)
+            np.add.at(pos, f[toxic[r]], 1)
+            np.add.at(neg, f[~toxic[r]], 1)
+    n_pos, n_neg = toxic.sum(), (~toxic).sum()
+    share = (pos + neg) / n_rows
     z = (pos / n_pos - neg / n_neg) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n_pos + 1 / n_neg))
-    return np.where((z >= 4) & (pos >= 3) & (ratio >= 1.5), ratio, 0.0)
-
-
-def fit(rows: list[np.ndarray], toxic: np.ndarray, rounds: int = 300, rate: float = 0.5, l2: float = 1e-3) -> tuple[dict[int, float], np.ndarray]:
-    """(weights by feature, thresholds). rows: features of each document; toxic: its label."""
-    toxic = np.asarray(toxic, bool)
-    prior = log_odds(rows, toxic)
-    used = np.flatnonzero(prior)
-    if not toxic.any() or not len(used):
-        return {}, np.array([8.0, 9.0])
-    place = np.full(FEATURES, -1)
-    place[used] = np.arange(len(used))
-    hits = [place[r][place[r] >= 0] for r in rows]
-    share = np.array([prior[used[h]].sum() / max(1, len(r)) for h, r in zip(hits, rows)])
-    grade = np.where(toxic, 1 + (share > np.median(share[toxic])), 0)
-    doc = np.repeat(np.arange(len(hits)), [len(h) for h in hits])
-    col = np.concatenate(hits).astype(np.int64)
-    w, theta = prior[used] / 2, np.array([2.0, 6.0])
-    g_w, g_t = np.full(len(used), 1e-6), np.full(2, 1e-6)
-    for _ in range(rounds):
-        z = np.bincount(doc, weights=w[col], minlength=len(rows))
-        slope = np.zeros(len(rows))
-        d_theta = np.zeros(2)
-        for k in (0, 1):
-            err = 1 / (1 + np.exp(-np.clip(z - theta[k], -30, 30))) - (grade > k)
-            slope += err
-            d_theta[k] = -err.mean()
-        d_w = np.bincount(col, weights=slope[doc], minlength=len(used)) / len(rows) + l2 * (w - prior[used] / 2)
-        g_w += d_w**2
-        g_t += d_theta**2
-        w, theta = np.maximum(w - rate * d_w / np.sqrt(g_w), 0), theta - rate * d_theta / np.sqrt(g_t)
-        theta[1] = max(theta[1], theta[0] + 1e-3)
-    return {int(c): float(x) for c, x in zip(used, w)}, theta
-
-
-def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[int, float], np.ndarray]:
-    """Fits on the labelled documents, FIT_ROWS of them at most."""
-    chosen = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = F.broadcast(chosen.orderBy(F.xxhash64("doc_id")).limit(FIT_ROWS))
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select(F.slice(features(F.coalesce("text", F.lit(""))), 1, FIT_WORDS).alias("x"), F.col("toxic").cast("int").alias("y"))
-    got = rows.toArrow()
-    return fit([np.array(x, np.int64) for x in got["x"].to_pylist()], np.array(got["y"].to_pylist(), int) > 0)
-
-
-def toxicity(docs: DataFrame, model: tuple[dict[int, float], np.ndarray], reject: float = REJECT) -> DataFrame:
+    used = np.flatnonzero((z >= SIGNIFICANT) & (pos >= LEAST))
+    if not len(used):
+        return none
+    new = np.full(width + 1, -1)
+    new[used] = np.arange(len(used))
+    r, f, n = counted(place, row, new[ids], len(used))
+    v = values(r, n, n_words)
+    weight = np.where(toxic, TOXIC_WEIGHT, 1.0)
+    weight /= weight.sum()
+    par = np.concatenate([np.zeros(len(used)), [2.0, 4.0]])
+    mean, square = np.zeros_like(par), np.zeros_like(par)
+    for k in range(1, rounds + 1):
+        at = np.bincount(r, weights=par[f] * v, minlength=n_rows)
+        err = [(1 / (1 + np.exp(-np.clip(at - t, -30, 30))) - (grade > i)) * weight for i, t in enumerate(par[-2:])]
+        slope = np.concatenate([np.bincount(f, weights=(err[0] + err[1])[r] * v, minlength=len(used)) + L2 * par[:-2], [-err[0].sum(), -err[1].sum()]])
+        mean, square = 0.9 * mean + 0.1 * slope, 0.999 * square + 0.001 * slope**2
+        par = par - rate * (mean / (1 - 0.9**k)) / (np.sqrt(square / (1 - 0.999**k)) + 1e-9)
+        par[-1] = max(par[-1], par[-2] + 1e-3)
+    return dict(zip(names.dictionary.take(pa.array(used)).to_pylist(), par[:-2].tolist())), par[-2:]
+
+
+def train(docs: DataFrame, labels: DataFrame) -> Model:
+    """Fits on labelled documents, FIT_ROWS of them and FIT_BYTES of whole texts at most.
+
+    labels: (doc_id, toxic, quality). A row without an id or a toxic label is left out, repeated labels count as the gravest.
+    """
+    severe = F.coalesce(F.col("quality") == 0, F.lit(False)).cast("int")
+    grade = F.when(F.col("toxic") > 0, 1 + severe).otherwise(0)
+    chosen = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(grade).alias("grade"))
+    chosen = F.broadcast(chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS))
+    rows = docs.select("doc_id", "text").join(chosen, "doc_id")
+    size = rows.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).alias("size")).groupBy("doc_id").agg(F.sum("size").alias("size"))
+    before = F.sum("size").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # at most FIT_ROWS rows of two numbers
+    fits = F.broadcast(size.withColumn("before", before).where(F.col("before") <= FIT_BYTES).select("doc_id"))
+    got = rows.join(fits, "doc_id").select(words_of(F.col("text")).alias("words"), "grade").toArrow()
+    return fit(got["words"], got["grade"].to_numpy().astype(int))
+
+
+def score(words: Column, weights: dict[str, float], spark: SparkSession) -> Column:
+    """w.x of a document's distinct words, in Arrow batches."""
+    names = pa.array(sorted(weights), pa.string())
+    shared = spark.sparkContext.broadcast((names, np.array([weights[k] for k in names.to_pylist()], float)))
+
+    @F.pandas_udf("double")
+    def linear(lists: pd.Series) -> pd.Series:
+        known, w = shared.value
+        if not len(known) or not len(lists):
+            return pd.Series(np.zeros(len(lists)))
+        flat = pa.array(np.concatenate(lists.to_numpy()) if sum(map(len, lists)) else [], pa.string())
+        n = np.fromiter(map(len, lists), np.int64, len(lists))
+        coded = flat.dictionary_encode()
+        ids = np.stack([pc.index_in(f, value_set=known).fill_null(-1).to_numpy(zero_copy_only=False) for f in features_of(coded.dictionary)]).astype(np.int64)
+        row = np.repeat(np.arange(len(n)), n)
+        place = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        hit = (ids >= 0).any(0)[place]
+        r, f, k = counted(place[hit], row[hit], ids, len(known))
+        return pd.Series(np.bincount(r, weights=w[f] * values(r, k, n), minlength=len(n)))
+
+    return linear(words)
+
+
+def _chance(z: Column, theta: float) -> Column:
+    return 1 / (1 + F.exp(F.greatest(F.least(F.lit(float(theta)) - z, F.lit(30.0)), F.lit(-30.0))))
+
+
+def toxicity(docs: DataFrame, model: Model, reject: float = REJECT) -> DataFrame:
     """Grades every document.
 
     docs: (doc_id, text), further columns are ignored. Returns (doc_id, severity, p_toxic, p_severe, grade, rejected), one row
@@ -96,39 +158,18 @@ def toxicity(docs: DataFrame, model: tuple[dict[int, float], np.ndarray], reject
     graded alike. An empty table gives an empty result.
     """
     weights, theta = model
-    dense = np.zeros(FEATURES)
-    for k, x in weights.items():
-        dense[k] = x
-    shared = docs.sparkSession.sparkContext.broadcast(dense)
-
-    def grade(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = shared.value
-        for b in batches:
-            lists = b.column("x")
-            at = lists.offsets.to_numpy()
-            x = lists.values.to_numpy(zero_copy_only=False)[at[0]:at[-1]]
-            z = np.diff(np.append(0, np.cumsum(w[x]))[at - at[0]])
-            p1, p2 = (1 / (1 + np.exp(-np.clip(z - t, -30, 30))) for t in theta)
-            best = np.argmax(np.stack([1 - p1, p1 - p2, p2]), axis=0)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(v) for v in (p1 + p2, p1, p2)), pa.array(best.astype(np.int32)), pa.array(p1 >= reject)], ["doc_id", "severity", "p_toxic", "p_severe", "grade", "rejected"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", features(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("x"))
-    return rows.mapInArrow(grade, f"doc_id {kind}, severity double, p_toxic double, p_severe double, grade int, rejected boolean")
-
-
-def filter_toxic(docs: DataFrame, model: tuple[dict[int, float], np.ndarray], reject: float = REJECT) -> DataFrame:
-    """The rows of docs, all columns, that the model does not reject: one narrow pass, without a join.
-
-    A hashed feature's weight is looked up in a map of the model's few weights, as a sum over the row's features.
-    """
+    z = score(words_of(F.col("text")), weights, docs.sparkSession)
+    rows = docs.select("doc_id", z.alias("z")).select("doc_id", _chance(F.col("z"), theta[0]).alias("p_toxic"), _chance(F.col("z"), theta[1]).alias("p_severe"))
+    p1, p2 = F.col("p_toxic"), F.col("p_severe")
+    grade = F.when((1 - p1 >= p1 - p2) & (1 - p1 >= p2), 0).when(p1 - p2 >= p2, 1).otherwise(2)
+    return rows.select("doc_id", (p1 + p2).alias("severity"), "p_toxic", "p_severe", grade.alias("grade"), (p1 >= reject).alias("rejected"))
+
+
+def filter_toxic(docs: DataFrame, model: Model, reject: float = REJECT) -> DataFrame:
+    """The rows of docs, all columns, that the model does not reject: one narrow pass, without a join."""
     weights, theta = model
-    if not weights:
-        return docs
-    table_ = F.create_map(*[x for k, v in sorted(weights.items()) for x in (F.lit(k), F.lit(v))])
-    known = F.array_intersect(features(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.array(*[F.lit(k) for k in sorted(weights)]))
-    worth = F.aggregate(known, F.lit(0.0), lambda s, k: s + F.element_at(table_, k))
-    return docs.where(1 / (1 + F.exp(F.lit(float(theta[0])) - worth)) < reject)
+    z = score(words_of(F.col("text")), weights, docs.sparkSession)
+    return docs.select("*", z.alias("toxicity_z_")).where(_chance(F.col("toxicity_z_"), theta[0]) < reject).drop("toxicity_z_")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
