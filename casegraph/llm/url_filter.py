@@ -14,8 +14,8 @@ from .common import table
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 #: Where no rule fits, these globs over host + path block, and anything else is allowed.
 GLOBS = ["*/login*", "*/logout*", "*/cgi-bin/*", "*/track/*", "*/ads/*", "*.exe", "*.zip"]
-#: URLs that one automaton run simulates together.
-TOGETHER = 2048
+#: URLs that one automaton run simulates together; longer ones, in bytes, are run one by one.
+TOGETHER, LONG = 2048, 4096
 
 
 def host_of(url: Column) -> Column:
@@ -57,6 +57,8 @@ class GlobAutomaton:
         self.masks = np.array([self._pack(m) for m in masks])
         self.first, self.loops, self.floating = self._pack(first), self._pack({x for x in loops if x >= 0}), self._pack(first & floating)
         self.not_first = ~self.first
+        whole = lambda words: sum(int(w) << (64 * k) for k, w in enumerate(words))
+        self.as_ints = [whole(m) for m in self.masks], whole(self.first), whole(self.loops), whole(self.floating), (1 << 64 * self.words) - 1
 
     def _pack(self, bits: set[int]) -> np.ndarray:
         out = np.zeros(self.words, np.uint64)
@@ -64,11 +66,23 @@ class GlobAutomaton:
             out[b // 64] |= np.uint64(1 << (b % 64))
         return out
 
+    def _long(self, text: bytes) -> list[bool]:
+        """The same steps for one text, with its state in one number."""
+        masks, first, loops, floating, full = self.as_ints
+        state, begin = 0, first
+        for byte in text.replace(b"\x00", b"\x01") + b"\x00":
+            state = (((state << 1) & full & ~first) | begin) & masks[byte] | (state & loops)
+            begin = floating
+        return [bool(state >> bit & 1) for bit in self.last]
+
     def matches(self, texts: list[bytes]) -> np.ndarray:
         """(text, glob): whether the whole text matches."""
         out = np.zeros((len(texts), len(self.last)), bool)
-        order = np.argsort([len(x) for x in texts], kind="stable")
-        for k in range(0, len(texts), TOGETHER):
+        size = np.array([len(x) for x in texts], int)
+        for r in np.flatnonzero(size > LONG):
+            out[r] = self._long(texts[r])
+        order = np.argsort(size, kind="stable")[:np.count_nonzero(size <= LONG)]
+        for k in range(0, len(order), TOGETHER):
             rows = order[k:k + TOGETHER]
             size = np.array([len(texts[r]) + 1 for r in rows])
             wide = np.zeros((len(rows), size.max()), np.uint8)
