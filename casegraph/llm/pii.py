@@ -31,16 +31,36 @@ MARK, OTHER = "\uFDD0", "\uFDD1"  # characters that no pattern matches; the firs
 SPAN = "array<struct<start:int,end:int,value:string>>"
 
 
+#: Matches that one inner fold adds to its array; folds over all matches of a text would copy with the square of their number.
+CHUNK = 256
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def pieces(text: Column, pattern: str) -> Column:
+    """The text cut at leftmost non-overlapping matches: what is between them at even places, from 0, matches at odd ones."""
+    return F.split(F.regexp_replace(F.translate(text, MARK, OTHER), F.lit(pattern), F.lit(f"{MARK}$0{MARK}")), MARK)
+
+
 def spans(text: Column, pattern: str, keep: Callable[[Column], Column] = lambda p: F.lit(True)) -> Column:
     """Leftmost non-overlapping matches whose value meets keep, as (start, end, value), in code points, end exclusive."""
-    parts = F.split(F.regexp_replace(F.translate(text, MARK, OTHER), F.lit(pattern), F.lit(f"{MARK}$0{MARK}")), MARK)
-    zero = F.struct(F.lit(0).alias("at"), F.lit(False).alias("hit"), F.array().cast(SPAN).alias("out"))
+    none = F.array().cast(SPAN)
+    zero = F.struct(F.lit(0).alias("at"), F.lit(False).alias("hit"), none.alias("out"))
 
     def step(s: Column, p: Column) -> Column:
         end = s["at"] + F.char_length(p)
         return F.struct(end.alias("at"), (~s["hit"]).alias("hit"), F.when(s["hit"] & keep(p), F.array_append(s["out"], F.struct(s["at"].alias("start"), end.alias("end"), p.alias("value")))).otherwise(s["out"]).alias("out"))
 
-    return F.aggregate(parts, zero, step, lambda s: s["out"])
+    def shifted(s: Column, part: Column) -> Column:
+        moved = F.transform(part["out"], lambda m: F.struct((m["start"] + s["at"]).alias("start"), (m["end"] + s["at"]).alias("end"), m["value"].alias("value")))
+        return F.struct((s["at"] + part["at"]).alias("at"), F.array_append(s["out"], moved).alias("out"))
+
+    parts = let(pieces(text, pattern), lambda ps: F.transform(F.sequence(F.lit(0), F.floor((F.size(ps) - 1) / CHUNK).cast("int")), lambda c: F.aggregate(F.slice(ps, c * CHUNK + 1, F.lit(CHUNK)), zero, step)))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+    return F.aggregate(parts, start, shifted, lambda s: F.flatten(s["out"]))
 
 
 def luhn(digits: Column) -> Column:
@@ -53,20 +73,24 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.char_length(digits)), F.lit(0), add) % 10 == 0
 
 
-def base_spans(text: Column) -> dict[str, Column]:
+def valid(kind: str) -> Callable[[Column], Column]:
+    """Whether a match of the kind's pattern is one."""
     digits = lambda v: F.regexp_replace(v, "[^0-9]", "")
     small = r"^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}$"
     keep = {
         "email": None,
-        "ip": lambda m: m["value"].rlike(small),
-        "card": lambda m: F.when(F.char_length(digits(m["value"])).between(16, 19), luhn(digits(m["value"]))).otherwise(False),
-        "phone": lambda m: F.char_length(digits(m["value"])).between(8, 15),
+        "ip": lambda v: v.rlike(small),
+        "card": lambda v: F.when(F.char_length(digits(v)).between(16, 19), luhn(digits(v))).otherwise(False),
+        "phone": lambda v: F.char_length(digits(v)).between(8, 15),
     }
+    return lambda v: F.lit(True) if keep[kind] is None else keep[kind](v)
+
+
+def base_spans(text: Column) -> dict[str, Column]:
     out = {}
     for kind, pattern in PATTERNS.items():
         may = {"email": F.contains(text, F.lit("@")), "phone": F.contains(text, F.lit("+"))}.get(kind, text.rlike("[0-9]"))
-        found = F.when(may, spans(text, pattern)).otherwise(F.array().cast(SPAN))
-        out[kind] = F.filter(found, keep[kind]) if keep[kind] else found
+        out[kind] = F.when(may, spans(text, pattern, valid(kind))).otherwise(F.array().cast(SPAN))
     return out
 
 
@@ -124,29 +148,33 @@ def find_pii(docs: DataFrame) -> DataFrame:
     found = written(found.select("key", values.alias("values"), terms_of(F.col("text")).alias("terms")).where(F.size("values") > 0), "pii-found")
     terms = disclosing(whole, found)
     rows = base.select("doc_id", "key", "text", *PATTERNS).join(terms, "key", "left")
-    told = spans(F.col("text"), TERM, lambda p: F.array_contains("terms", F.lower(p)))
     # words of an address go with it; the other kinds hold no letters
-    told = F.filter(told, lambda m: ~F.exists("email", lambda b: (m["start"] < b["end"]) & (b["start"] < m["end"])))
+    told = spans(replaced(F.col("text"), "email", lambda p: F.repeat(F.lit(OTHER), F.char_length(p))), TERM, lambda p: F.array_contains("terms", F.lower(p)))
     rows = rows.withColumn("term", F.when(F.size("terms") > 0, told).otherwise(F.array().cast(SPAN)))
     named = lambda k: F.transform(k, lambda m: F.concat_ws(":", F.lit(k), m["start"].cast("string"), m["end"].cast("string")))
     return rows.select(
         "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in PATTERNS], F.sha2(F.array_join(F.concat(*[named(k) for k in PATTERNS]), ","), 256).alias("base_sha256"),
-        F.array_join(F.concat(*[named(k) for k in PATTERNS], named("term")), ",").alias("spans"), F.size("term").cast("long").alias("n_term"), masked(F.col("text")).alias("sanitised"),
+        F.array_join(F.concat(*[named(k) for k in PATTERNS], named("term")), ",").alias("spans"), F.size("term").cast("long").alias("n_term"), masked(F.col("text"), F.col("terms")).alias("sanitised"),
     )
 
 
-def masked(text: Column) -> Column:
-    """The text with base spans generalised to their kind and terms removed. Of overlapping spans, the first kind wins."""
-    tag = lambda p, k: F.transform(k, lambda m: F.struct(m["start"].alias("start"), F.lit(p).alias("rank"), m["end"].alias("end"), F.lit(f"[{k.upper()}]" if k != "term" else "").alias("by")))
-    tagged = F.concat(*[tag(p, k) for p, k in enumerate([*PATTERNS, "term"])])
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+def replaced(text: Column, kind: str, by: Callable[[Column], Column]) -> Column:
+    """The text with each span of a base kind replaced."""
+    keep = valid(kind)
+    return F.array_join(F.transform(pieces(text, PATTERNS[kind]), lambda p, k: F.when((k % 2 == 1) & keep(p), by(p)).otherwise(p)), "")
 
-    def step(s: Column, m: Column) -> Column:
-        clear = m["start"] >= s["at"]
-        done = F.struct(m["end"].alias("at"), F.concat(s["out"], F.substring(text, s["at"] + 1, m["start"] - s["at"]), m["by"]).alias("out"))
-        return F.when(clear, done).otherwise(s)
 
-    return F.aggregate(F.array_sort(tagged), zero, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.char_length(text))))
+def masked(text: Column, terms: Column) -> Column:
+    """The text with base spans generalised to their kind, kind by kind as listed, each in what is left, and disclosing terms removed."""
+    tags = {kind: chr(0xFDD2 + k) for k, kind in enumerate(PATTERNS)}  # no pattern matches them, and the text has none
+    text = F.translate(text, "".join(tags.values()), OTHER * len(tags))
+    for kind, tag in tags.items():
+        text = replaced(text, kind, (lambda t: lambda p: F.lit(t))(tag))
+    parts = F.transform(pieces(text, TERM), lambda p, k: F.when((k % 2 == 1) & F.coalesce(F.array_contains(terms, F.lower(p)), F.lit(False)), "").otherwise(p))
+    text = F.array_join(parts, "")
+    for kind, tag in tags.items():
+        text = F.replace(text, F.lit(tag), F.lit(f"[{kind.upper()}]"))
+    return text
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
