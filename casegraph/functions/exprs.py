@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .lookups import CAUSAL_PHRASES, HOOK_PREFIXES, SHELL_PREFIXES
+
 INTERNAL = r"^(?:10\.|192\.168\.|172\.(?:1[6-9]|2[0-9]|3[01])\.)"
-#: The phrases that claim a cause; fixed values.
-CAUSAL = ["caused", "led to", "resulted in", "because of", "due to", "triggered", "enabled", "as a result"]
 
 
 def filled(c: Column) -> Column:
@@ -63,11 +63,17 @@ def int_of(text: Column) -> Column:
     return F.when(t.startswith("0x"), F.conv(F.substring(t, 3, 32), 16, 10)).otherwise(t).try_cast("long")
 
 
+def last_wins(pairs: Column) -> Column:
+    """A map of pairs (key, value); the last of equal keys wins, a null key is left out."""
+    pairs = F.filter(pairs, lambda p: p["key"].isNotNull())
+    keep = F.filter(pairs, lambda p, k: ~F.exists(F.slice(pairs, k + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
+    return F.coalesce(F.map_from_entries(keep), F.create_map().cast("map<string,string>"))
+
+
 def xml_fields(xml: Column) -> Column:
     """All <Data Name="k">v</Data> pairs as a map; the last of equal names wins."""
-    keys = F.regexp_extract_all(xml, F.lit(r'<Data Name="([^"]+)">([^<]*)</Data>'), F.lit(1))
-    values = F.regexp_extract_all(xml, F.lit(r'<Data Name="([^"]+)">([^<]*)</Data>'), F.lit(2))
-    return F.map_from_arrays(keys, values)
+    found = [F.regexp_extract_all(xml, F.lit(r'<Data Name="([^"]+)">([^<]*)</Data>'), F.lit(k)) for k in (1, 2)]
+    return last_wins(F.zip_with(*found, lambda k, v: F.struct(k.alias("key"), v.alias("value"))))
 
 
 def key_value(text: Column, name: str) -> Column:
@@ -97,22 +103,23 @@ def confidence_tier(score: Column) -> Column:
     return F.when(score >= 76, "HIGH").when(score >= 51, "MEDIUM").when(score >= 31, "LOW").otherwise("SPECULATIVE")
 
 
-def provenance(audit_id: Column) -> Column:
-    a = F.lower(F.coalesce(audit_id, F.lit("")))
-    return F.when(a.startswith("shell-"), "SHELL").when(a.startswith("hook-"), "HOOK").when(a == "", "NONE").otherwise("MCP")
+def provenance(audit_id: Column, tool_prefix: str = "tool-") -> Column:
+    """MCP for ids that tool calls give (tool_prefix), HOOK and SHELL by their prefixes, NONE for anything else."""
+    starts = lambda prefixes: audit_id.rlike("^(?:" + "|".join(prefixes) + ")")
+    return F.when(audit_id.startswith(tool_prefix), "MCP").when(starts(HOOK_PREFIXES), "HOOK").when(starts(SHELL_PREFIXES), "SHELL").otherwise("NONE")
 
 
-def weakest(ids: Column) -> Column:
-    """The weakest provenance of a list: NONE, SHELL, HOOK, MCP; an empty list is NONE."""
-    kinds = F.transform(ids, provenance)
-    out = F.when(F.size(ids) == 0, "NONE")
+def weakest(ids: Column, tool_prefix: str = "tool-") -> Column:
+    """The weakest provenance of a list: NONE, SHELL, HOOK, MCP; an empty or missing list is NONE."""
+    kinds = F.transform(ids, lambda x: provenance(x, tool_prefix))
+    out = F.when(F.coalesce(F.size(ids), F.lit(0)) <= 0, "NONE")
     for kind in ("NONE", "SHELL", "HOOK"):
         out = out.when(F.array_contains(kinds, kind), kind)
     return out.otherwise("MCP")
 
 
 def claims_cause(text: Column) -> Column:
-    return F.lower(F.coalesce(text, F.lit(""))).rlike(r"\b(?:" + "|".join(CAUSAL) + r")\b")
+    return F.lower(F.coalesce(text, F.lit(""))).rlike("|".join(CAUSAL_PHRASES))
 
 
 def is_technique(c: Column) -> Column:

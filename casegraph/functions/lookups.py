@@ -2,51 +2,103 @@
 
 TYPES = ["PROCESS_EXECUTION", "NETWORK_CONNECTION", "AUTHENTICATION", "LSASS_ACCESS", "TICKET_REQUEST", "REPLICATION", "LOG_CLEARED", "FILE_CREATION", "FILE_MODIFICATION", "FILE_DELETION", "REGISTRY_MODIFICATION", "SERVICE_INSTALLATION", "SCHEDULED_TASK", "ALERT"]
 
-# fixed values: event ids by type
+# fixed values: the type of an event id
 EVENT_IDS = {
-    "PROCESS_EXECUTION": ["1", "4688", "4689"],
-    "NETWORK_CONNECTION": ["3", "22", "5156", "5157"],
-    "AUTHENTICATION": ["4624", "4625", "4634", "4647", "4648", "4672"],
-    "LSASS_ACCESS": ["4656"],
-    "TICKET_REQUEST": ["4769"],
-    "REPLICATION": ["4934", "4935"],
-    "LOG_CLEARED": ["104", "1102"],
-    "FILE_CREATION": ["11"],
-    "FILE_MODIFICATION": ["4663"],
-    "FILE_DELETION": ["23"],
-    "REGISTRY_MODIFICATION": ["12", "13", "4657"],
-    "SERVICE_INSTALLATION": ["4697", "7036", "7045"],
-    "SCHEDULED_TASK": ["4698", "4702"],
-    "ALERT": ["chainsaw-alert", "hayabusa-alert", "sigma-alert"],
+    "1": "PROCESS_EXECUTION",
+    "3": "NETWORK_CONNECTION",
+    "11": "FILE_CREATION",
+    "12": "REGISTRY_MODIFICATION",
+    "13": "REGISTRY_MODIFICATION",
+    "22": "NETWORK_CONNECTION",
+    "23": "FILE_DELETION",
+    "104": "LOG_CLEARED",
+    "1102": "LOG_CLEARED",
+    "4624": "AUTHENTICATION",
+    "4625": "AUTHENTICATION",
+    "4634": "AUTHENTICATION",
+    "4647": "AUTHENTICATION",
+    "4648": "AUTHENTICATION",
+    "4656": "LSASS_ACCESS",
+    "4657": "REGISTRY_MODIFICATION",
+    "4663": "FILE_MODIFICATION",
+    "4672": "AUTHENTICATION",
+    "4688": "PROCESS_EXECUTION",
+    "4689": "PROCESS_EXECUTION",
+    "4697": "SERVICE_INSTALLATION",
+    "4698": "SCHEDULED_TASK",
+    "4702": "SCHEDULED_TASK",
+    "4769": "TICKET_REQUEST",
+    "4934": "REPLICATION",
+    "4935": "REPLICATION",
+    "5156": "NETWORK_CONNECTION",
+    "5157": "NETWORK_CONNECTION",
+    "7036": "SERVICE_INSTALLATION",
+    "7045": "SERVICE_INSTALLATION",
+    "chainsaw-alert": "ALERT",
+    "hayabusa-alert": "ALERT",
+    "sigma-alert": "ALERT",
 }
-# fixed values: actions by type
+# fixed values: the type of an action
 ACTIONS = {
-    "PROCESS_EXECUTION": ["process-create", "process-created", "script-block-logged"],
-    "AUTHENTICATION": ["logon-failure", "logon-success"],
-    "SERVICE_INSTALLATION": ["service-installed"],
-    "SCHEDULED_TASK": ["scheduled-task-created"],
-    "NETWORK_CONNECTION": ["network-connection-allowed", "network-connection-blocked"],
-    "FILE_MODIFICATION": ["object-access-attempt"],
-    "FILE_DELETION": ["object-deleted"],
-    "REGISTRY_MODIFICATION": ["registry-key-modified"],
-    "LOG_CLEARED": ["log-cleared"],
-    "TICKET_REQUEST": ["kerberos-tgs-request"],
-    "ALERT": ["sigma-alert"],
+    "kerberos-tgs-request": "TICKET_REQUEST",
+    "log-cleared": "LOG_CLEARED",
+    "logon-failure": "AUTHENTICATION",
+    "logon-success": "AUTHENTICATION",
+    "network-connection-allowed": "NETWORK_CONNECTION",
+    "network-connection-blocked": "NETWORK_CONNECTION",
+    "object-access-attempt": "FILE_MODIFICATION",
+    "object-deleted": "FILE_DELETION",
+    "process-create": "PROCESS_EXECUTION",
+    "process-created": "PROCESS_EXECUTION",
+    "registry-key-modified": "REGISTRY_MODIFICATION",
+    "scheduled-task-created": "SCHEDULED_TASK",
+    "script-block-logged": "PROCESS_EXECUTION",
+    "service-installed": "SERVICE_INSTALLATION",
+    "sigma-alert": "ALERT",
 }
-# fixed values: categories by type
-CATEGORIES = {"PROCESS_EXECUTION": ["process"], "NETWORK_CONNECTION": ["network"], "AUTHENTICATION": ["authentication"], "FILE_MODIFICATION": ["file"], "REGISTRY_MODIFICATION": ["registry"], "ALERT": ["intrusion_detection", "malware"]}
-# fixed values: artifact codes by type
+# fixed values: the type of a category
+CATEGORIES = {"authentication": "AUTHENTICATION", "file": "FILE_MODIFICATION", "intrusion_detection": "ALERT", "malware": "ALERT", "network": "NETWORK_CONNECTION", "process": "PROCESS_EXECUTION", "registry": "REGISTRY_MODIFICATION"}
+# fixed values: the type of an artifact code
 ARTIFACTS = {
-    "PROCESS_EXECUTION": ["evtx", "evtx_folder", "memory", "prefetch"],
-    "REGISTRY_MODIFICATION": ["registry"],
-    "FILE_MODIFICATION": ["mft"],
-    "FILE_CREATION": ["jumplist", "lnk"],
-    "NETWORK_CONNECTION": ["apache_log", "pcap"],
-    "AUTHENTICATION": ["auth_log"],
-    "ALERT": ["win_timeline"],
+    "apache_log": "NETWORK_CONNECTION",
+    "auth_log": "AUTHENTICATION",
+    "evtx": "PROCESS_EXECUTION",
+    "evtx_folder": "PROCESS_EXECUTION",
+    "jumplist": "FILE_CREATION",
+    "lnk": "FILE_CREATION",
+    "memory": "PROCESS_EXECUTION",
+    "mft": "FILE_MODIFICATION",
+    "pcap": "NETWORK_CONNECTION",
+    "prefetch": "PROCESS_EXECUTION",
+    "registry": "REGISTRY_MODIFICATION",
+    "win_timeline": "ALERT",
 }
-# fixed values: memory plugins by type
-PLUGINS = {"PROCESS_EXECUTION": ["pslist", "pstree", "psscan", "cmdline", "dlllist"], "NETWORK_CONNECTION": ["netscan", "netstat"], "ALERT": ["malfind"]}
+# fixed values: the type of a memory plugin
+PLUGINS = {
+    "cmdline": "PROCESS_EXECUTION",
+    "dlllist": "PROCESS_EXECUTION",
+    "malfind": "ALERT",
+    "netscan": "NETWORK_CONNECTION",
+    "netstat": "NETWORK_CONNECTION",
+    "pslist": "PROCESS_EXECUTION",
+    "psscan": "PROCESS_EXECUTION",
+    "pstree": "PROCESS_EXECUTION",
+}
+
+# fixed values: what an event id is called, and its category
+EVENT_ACTIONS = {
+    "1": "process-create", "3": "network-connection", "7": "image-loaded", "8": "create-remote-thread", "10": "process-access", "11": "file-create", "12": "registry-object-added-deleted", "13": "registry-value-set", "15": "file-create-stream-hash",
+    "21": "rdp-logon-succeeded", "22": "dns-query", "23": "file-delete", "24": "rdp-session-disconnected", "25": "process-tampering", "4103": "module-logged", "4104": "script-block-logged", "4624": "logon-success", "4625": "logon-failure",
+    "4634": "logoff", "4647": "user-initiated-logoff", "4648": "explicit-credentials-logon", "4656": "handle-requested", "4660": "object-deleted", "4663": "object-access-attempt", "4672": "special-privileges-assigned", "4688": "process-created",
+    "4689": "process-terminated", "4698": "scheduled-task-created", "4702": "scheduled-task-updated", "4720": "user-account-created", "4722": "user-account-enabled", "4724": "password-reset-attempt", "4725": "user-account-disabled",
+    "4726": "user-account-deleted", "4728": "member-added-to-global-group", "4732": "member-added-to-local-group", "4756": "member-added-to-universal-group", "5156": "network-connection-allowed", "5157": "network-connection-blocked",
+    "5861": "wmi-activity", "7036": "service-state-changed", "7045": "service-installed",
+}
+EVENT_CATEGORIES = {
+    "1": "process", "3": "network", "11": "file", "22": "network", "4104": "process", "4624": "authentication", "4625": "authentication", "4634": "authentication", "4647": "authentication", "4648": "authentication", "4660": "file",
+    "4663": "file", "4672": "authentication", "4688": "process", "4689": "process", "4698": "configuration", "4720": "iam", "4722": "iam", "4724": "iam", "4725": "iam", "4726": "iam", "4728": "iam", "4732": "iam", "4756": "iam",
+    "5156": "network", "5157": "network", "7045": "configuration",
+}
 
 # fixed values: techniques of a trigger; the first entry whose name contains the trigger's, or the other way round, counts
 TECHNIQUES = {
@@ -58,5 +110,15 @@ TECHNIQUES = {
 # fixed values: triggers of ordinary activity, and parts of the names of triggers that are always kept
 NOISE = ["new_service_remote", "service_install", "service_remote_install", "scheduled_task_remote", "scheduled_task_creation"]
 KEEP = ["lsass_access", "sam_hive", "psexec", "amsi_bypass", "etw_tamper", "edr_disable", "process_injection", "process_masquerad", "uac_bypass", "pass_the_hash", "shadow_copy", "ransom", "cloud_upload", "archive_creation", "ntds_dump", "kerberoast"]
-# fixed values: ranks of causal levels
-CAUSAL_RANK = {"CHAIN": 5, "WRITE": 4, "NET": 3, "TIME": 2, "NONE": 1}
+# fixed values: causal levels, what they weigh, and those that may carry a claim of cause
+CAUSAL_WEIGHTS = {"CHAIN": 15, "WRITE": 12, "NET": 10, "TIGHT_TIME": 6, "CO_OCCUR": 3, "TEMPORAL_ONLY": 1, "UNSUPPORTED": 0}
+CAUSAL_RANK = {"CHAIN": 6, "WRITE": 5, "NET": 4, "TIGHT_TIME": 3, "CO_OCCUR": 2, "TEMPORAL_ONLY": 1, "UNSUPPORTED": 0}
+STRONG_CAUSES = ["CHAIN", "WRITE", "NET"]
+# fixed values: phrases that claim a cause
+CAUSAL_PHRASES = ["caused", "led to", "enabled", "resulted in", "triggered", "launched", "spawned", "executed via", "dropped by", "deployed by", "initiated by", "established by", "pivoted to", "moved laterally", "exfiltrated via", "propagated to", "chained to", "which then"]
+# fixed values: what provenance and the strength of a cluster weigh
+PROVENANCE_WEIGHTS = {"MCP": 20, "HOOK": 15, "SHELL": 8, "NONE": 0}
+STRENGTH_WEIGHTS = {"STRONG": 15, "MODERATE": 10, "WEAK": 4, "NOISE": 0}
+# fixed values: prefixes of audit ids
+HOOK_PREFIXES = ["hook-", "ingest-", "constructor-", "auto-seed-"]
+SHELL_PREFIXES = ["shell-", "manual-", "cli-"]

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, functions as F
 
 
-def which(table: dict[str, list[str]], value: Column) -> Column:
-    """The key of the entry that lists value, or null."""
-    pairs = [x for name, values in table.items() for v in values for x in (F.lit(v), F.lit(name))]
-    return F.try_element_at(F.create_map(*pairs), F.coalesce(value.cast("string"), F.lit("")))
+def look_up(table: dict, key: Column) -> Column:
+    """The entry of key, or null."""
+    pairs = [F.lit(x) for item in table.items() for x in item]
+    return F.try_element_at(F.create_map(*pairs), F.coalesce(key.cast("string"), F.lit("")))

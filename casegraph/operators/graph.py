@@ -14,7 +14,12 @@ from ..functions.exprs import is_internal, short_hash
 def saved(df: DataFrame) -> DataFrame:
     """df written below spark.checkpoint.dir and read again: an iteration's plan stays short and survives lost executors."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="casegraph-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="casegraph-")  # one machine
+        spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

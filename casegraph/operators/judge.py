@@ -7,7 +7,8 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.exprs import claims_cause, confidence_tier, is_technique, weakest
-from ..functions.lookups import CAUSAL_RANK
+from ..functions.lookups import CAUSAL_RANK, CAUSAL_WEIGHTS, PROVENANCE_WEIGHTS, STRENGTH_WEIGHTS, STRONG_CAUSES
+from ..functions.tables import look_up
 from .graph import saved
 
 
@@ -19,20 +20,42 @@ def case_profile(events: DataFrame, artifacts: DataFrame | None = None) -> DataF
     return out
 
 
-#: name: (weight, what a case must have for it to apply); fixed values.
-FACTORS = {"provenance": (15, "TRUE"), "domains": (15, "TRUE"), "strength": (20, "TRUE"), "counter_checked": (20, "TRUE"), "multi_host": (10, "hosts > 1"), "memory": (10, "has_memory"), "network": (10, "has_network"), "intel": (5, "has_intel"), "timeline": (5, "has_timeline"), "registry": (5, "has_registry")}
-
-
-def confidence(hypotheses: DataFrame, factors: dict[str, tuple[int, str]] = FACTORS) -> DataFrame:
-    """Adds score and confidence: points consulted of the points that apply, in percent, rounded half to even, less penalties.
-
-    hypotheses has the profile columns that the conditions name, a column points_<factor> from 0 to 1 for each factor, and penalty.
+#: factor: (most points, what a case must have for it to apply, the points that a hypothesis gets); fixed values.
+FACTORS = {
+    "provenance_tier": (20, "TRUE", lambda: look_up(PROVENANCE_WEIGHTS, F.col("provenance"))),
+    "causal_lineage": (15, "TRUE", lambda: look_up(CAUSAL_WEIGHTS, F.col("causal_level"))),
+    "cluster_strength": (15, "cluster_strength IS NOT NULL", lambda: look_up(STRENGTH_WEIGHTS, F.col("cluster_strength"))),
+    "domain_breadth": (20, "TRUE", "CASE WHEN domain_count >= 3 THEN 20 WHEN domain_count = 2 THEN 12 WHEN domain_count = 1 THEN 5 END"),
+    "cross_host_corroboration": (10, "host_count > 1", "least(5 * corroborating_hosts, 10)"),
+    "sigma_co_occurrence": (10, "array_contains(artifacts, 'sigma')", "if(sigma_critical, 10, 0)"),
+    "threat_intel_match": (5, "size(intel_sources) > 0", "if(intel_match, 5, 0)"),
+    "anti_forensic_clear": (5, "anti_forensic_observed", "if(anti_forensic_clear, 5, 0)"),
+    "memory_corroboration": (5, "memory_available", "if(memory_corroboration, 5, 0)"),
+    "network_corroboration": (5, "network_available", "if(network_corroboration, 5, 0)"),
+}
+#: What nearness to tampering and a contradicting cluster cost; fixed values.
+NEAR_TAMPERING, CONTRADICTED = 15, 20
+#: What confidence() takes a missing column for.
+ABSENT = {
+    "provenance": "'NONE'", "causal_level": "'UNSUPPORTED'", "cluster_strength": "CAST(NULL AS string)", "artifacts": "CAST(array() AS array<string>)", "intel_sources": "CAST(array() AS array<string>)", "host_count": "1", "domain_count": "0", "corroborating_hosts": "0",
+} | {c: "false" for c in ("sigma_critical", "intel_match", "anti_forensic_observed", "anti_forensic_clear", "memory_available", "memory_corroboration", "network_available", "network_corroboration", "near_disturbance", "contradicted")}
+
+
+def confidence(hypotheses: DataFrame) -> DataFrame:
+    """Adds score, confidence and applicable: points got of the points that apply, in percent, less penalties, rounded half to even.
+
+    hypotheses has the columns that FACTORS names, of the hypothesis and of its case, and near_disturbance and contradicted for the
+    penalties; one that is missing counts as in ABSENT.
     """
-    applies = {k: F.coalesce(F.expr(c), F.lit(False)) for k, (_, c) in factors.items()}
-    most = sum((F.when(applies[k], w).otherwise(0) for k, (w, _) in factors.items()), F.lit(0))
-    got = sum((F.when(applies[k], F.col(f"points_{k}") * w).otherwise(0.0) for k, (w, _) in factors.items()), F.lit(0.0))
-    score = F.bround(F.try_divide(got * 100, most)).cast("int") - F.col("penalty")
-    return hypotheses.withColumn("score", F.greatest(F.lit(0), F.least(F.lit(100), F.coalesce(score, F.lit(0))))).withColumn("confidence", confidence_tier(F.col("score")))
+    rows = hypotheses.withColumns({c: F.expr(v) for c, v in ABSENT.items() if c not in hypotheses.columns})
+    applies = {k: F.coalesce(F.expr(c), F.lit(False)) for k, (_, c, _) in FACTORS.items()}
+    total = lambda of: sum((F.when(applies[k], F.coalesce(of(k), F.lit(0))).otherwise(0) for k in FACTORS), F.lit(0))
+    points = lambda p: F.expr(p) if isinstance(p, str) else p()
+    raw = F.try_divide(total(lambda k: points(FACTORS[k][2])).cast("double"), total(lambda k: F.lit(FACTORS[k][0])).cast("double")) * 100
+    less = F.when(F.col("near_disturbance"), NEAR_TAMPERING).otherwise(0) + F.when(F.col("contradicted"), CONTRADICTED).otherwise(0)
+    score = F.greatest(F.lit(0), F.least(F.lit(100), F.rint(raw - less).cast("int")))
+    out = rows.withColumns({"score": score, "applicable": F.array_compact(F.array(*[F.when(a, F.lit(k)) for k, a in applies.items()]))})
+    return out.withColumn("confidence", confidence_tier(F.col("score")))
 
 
 def near_disturbance(refs: DataFrame, disturbed: DataFrame) -> DataFrame:
@@ -43,10 +66,10 @@ def near_disturbance(refs: DataFrame, disturbed: DataFrame) -> DataFrame:
     return rows.join(spans, (rows["case_id"] == spans["case_id"]) & (rows["host_name"] == spans["host_name"]) & (rows["slot"] == spans["slot"]) & rows["timestamp"].between(spans["start"], spans["end"]), "left_semi").drop("slot")
 
 
-def gate(hypotheses: DataFrame) -> DataFrame:
+def gate(hypotheses: DataFrame, tool_prefix: str = "tool-") -> DataFrame:
     """Adds the gate flags and the first status. Wants audit_ids, score, interpretation, levels, near_disturbance."""
-    cause_ok = ~claims_cause(F.col("interpretation")) | F.arrays_overlap("levels", F.array(F.lit("CHAIN"), F.lit("WRITE"), F.lit("NET")))
-    rows = hypotheses.withColumn("provenance", weakest(F.col("audit_ids"))).withColumn("cause_ok", F.coalesce(cause_ok, F.lit(False)))
+    cause_ok = ~claims_cause(F.col("interpretation")) | F.arrays_overlap("levels", F.array(*[F.lit(x) for x in STRONG_CAUSES]))
+    rows = hypotheses.withColumn("provenance", weakest(F.col("audit_ids"), tool_prefix)).withColumn("cause_ok", F.coalesce(cause_ok, F.lit(False)))
     status = F.when((F.col("provenance") == "NONE") | (F.col("score") < 31), "INSUFFICIENT").when((F.col("score") >= 76) & (F.col("provenance") == "MCP") & ~F.col("near_disturbance") & F.col("cause_ok"), "APPROVED").otherwise("DRAFT")
     return rows.withColumn("status", status)
 
@@ -80,10 +103,10 @@ def fold(decisions: DataFrame) -> DataFrame:
 
 
 def strongest_incoming(links: DataFrame) -> DataFrame:
-    """(node, came_from, level): the strongest link into each node (source, target, level, at); ties go to the earliest."""
-    rank = F.create_map(*[x for k, v in CAUSAL_RANK.items() for x in (F.lit(k), F.lit(v))])[F.col("level")]
+    """(node, came_from, level): the strongest supported link into each node (source, target, level, at); ties go to the earliest."""
+    rank = look_up(CAUSAL_RANK, F.col("level"))
     order = Window.partitionBy("target").orderBy(F.desc("rank"), "at", "source")
-    return links.withColumn("rank", rank).withColumn("rn", F.row_number().over(order)).where("rn = 1").select(F.col("target").alias("node"), F.col("source").alias("came_from"), "level")
+    return links.withColumn("rank", rank).where("rank > 0").withColumn("rn", F.row_number().over(order)).where("rn = 1").select(F.col("target").alias("node"), F.col("source").alias("came_from"), "level")
 
 
 def root_causes(links: DataFrame, starts: DataFrame, depth: int | None = None) -> DataFrame:

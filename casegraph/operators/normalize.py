@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.exprs import filled, short_hash
 from ..functions.lookups import ACTIONS, ARTIFACTS, CATEGORIES, EVENT_IDS, PLUGINS, TYPES
-from ..functions.tables import which
+from ..functions.tables import look_up
 
 
 def canonical_type(preset: Column, code: Column, action: Column, category: Column, artifact: Column, path: Column, plugin: Column, kind: Column) -> Column:
@@ -14,10 +14,10 @@ def canonical_type(preset: Column, code: Column, action: Column, category: Colum
     code_ = F.lower(code)
     p = F.lower(F.coalesce(path, F.lit("")))
     by_path = F.when(p.rlike(r"\.(?:evtx|pf|lnk)$"), "FILE_CREATION").when(p.rlike(r"(?:sam|system|software|security|ntuser\.dat)$"), "REGISTRY_MODIFICATION")
-    meta = F.when(code_.isin("unknown", "kape_zip", "e01"), F.lit(None)).otherwise(F.coalesce(which(ARTIFACTS, code_), by_path))
-    by_category = F.when(category == "artifact", meta).otherwise(which(CATEGORIES, category))
+    meta = F.when(code_.isin("unknown", "kape_zip", "e01"), F.lit(None)).otherwise(F.coalesce(look_up(ARTIFACTS, code_), by_path))
+    by_category = F.when(category == "artifact", meta).otherwise(look_up(CATEGORIES, category))
     short = F.regexp_extract(F.lower(F.coalesce(plugin, F.lit(""))), r"([^.]*)$", 1)
-    return F.coalesce(F.when(preset.isin(*TYPES), preset), which(EVENT_IDS, code), which(ACTIONS, F.lower(action)), by_category, which(PLUGINS, short), F.when(kind == "alert", "ALERT"))
+    return F.coalesce(F.when(preset.isin(*TYPES), preset), look_up(EVENT_IDS, code), look_up(ACTIONS, F.lower(action)), by_category, look_up(PLUGINS, short), F.when(kind == "alert", "ALERT"))
 
 
 def normalize(ecs: DataFrame, case_id: str, mode: str = "default") -> DataFrame:

@@ -277,11 +277,13 @@ def profile(spark, d):
     return J.case_profile(D.events(spark, d)).select("case_id", "hosts", "events", F.unix_timestamp("first").alias("first"), F.unix_timestamp("last").alias("last"))
 
 
-@query(over_clusters("SELECT cluster_id, greatest(0, least(100, round_even(100.0 * (15 * 0.8 + 12 + 20 * least(score / 100.0, 1) + 20 * (counter > 0)::INT) / 80, 0)::INT)) AS score FROM cl"))
+@query(over_clusters("""SELECT cluster_id, greatest(0, least(100, round_even(100.0 * (15 + CASE tier WHEN 'STRONG' THEN 15 WHEN 'MODERATE' THEN 10 WHEN 'WEAK' THEN 4 ELSE 0 END + CASE len(triggers) WHEN 1 THEN 5 WHEN 2 THEN 12 ELSE 20 END
+  + CASE score % 3 WHEN 0 THEN 0 WHEN 1 THEN 5 ELSE 10 END + CASE score % 7 WHEN 0 THEN 15 WHEN 1 THEN 12 WHEN 2 THEN 10 WHEN 3 THEN 6 WHEN 4 THEN 3 WHEN 5 THEN 1 ELSE 0 END + CASE WHEN counter = 0 THEN 5 ELSE 0 END) / 85
+  - CASE WHEN constructor = 'LogClearing' THEN 15 ELSE 0 END - CASE WHEN counter > 20 THEN 20 ELSE 0 END, 0)::INT)) AS score FROM cl"""))
 def confidence_scores(spark, d):
-    rows = clusters(spark, d).select("cluster_id", "counter", F.col("score").alias("strength")).withColumns({"hosts": F.lit(3), "penalty": F.lit(0)} | {f"has_{k}": F.lit(False) for k in ("memory", "network", "intel", "timeline", "registry")})
-    points = {"provenance": F.lit(0.8), "domains": F.lit(0.8), "strength": F.col("strength") / 100.0, "counter_checked": (F.col("counter") > 0).cast("double")}
-    rows = rows.withColumns({f"points_{k}": points.get(k, F.lit(0.0)) for k in J.FACTORS})
+    """Each cluster as a hypothesis of a case with several hosts in which tampering was seen; what clusters don't tell is read off their scores."""
+    level = F.element_at(F.array(*[F.lit(x) for x in CAUSAL_RANK]), F.col("score") % 7 + 1)
+    rows = clusters(spark, d).select("cluster_id", F.lit("HOOK").alias("provenance"), level.alias("causal_level"), F.col("tier").alias("cluster_strength"), F.size("triggers_fired").alias("domain_count"), F.lit(3).alias("host_count"), (F.col("score") % 3).alias("corroborating_hosts"), F.lit(True).alias("anti_forensic_observed"), (F.col("counter") == 0).alias("anti_forensic_clear"), (F.col("constructor") == "LogClearing").alias("near_disturbance"), (F.col("counter") > 20).alias("contradicted"))
     return J.confidence(rows).select("cluster_id", "score")
 
 
@@ -311,10 +313,11 @@ def status_fold(spark, d):
 
 def links(spark, d):
     """Causal links between users whose events follow each other on a host."""
-    o = D.read(spark, d, "orders").select((F.col("o_custkey") % 400).alias("source"), (F.col("o_orderkey") % 400).alias("target"), F.element_at(F.array(*[F.lit(x) for x in CAUSAL_RANK]), (F.col("o_orderkey") % 5 + 1).cast("int")).alias("level"), F.col("o_orderdate").alias("at"))
+    o = D.read(spark, d, "orders").select((F.col("o_custkey") % 400).alias("source"), (F.col("o_orderkey") % 400).alias("target"), F.element_at(F.array(*[F.lit(x) for x in LEVELS]), (F.col("o_orderkey") % 5 + 1).cast("int")).alias("level"), F.col("o_orderdate").alias("at"))
     return o.where("source <> target")
 
 
+LEVELS = ["CHAIN", "WRITE", "NET", "TIGHT_TIME", "CO_OCCUR"]
 _LINKS = "lk AS (SELECT o_custkey % 400 AS source, o_orderkey % 400 AS target, ['CHAIN', 'WRITE', 'NET', 'TIME', 'NONE'][o_orderkey % 5 + 1] AS level, 5 - o_orderkey % 5 AS rank, o_orderdate AS moment FROM orders WHERE o_custkey % 400 <> o_orderkey % 400)"
 
 
@@ -340,7 +343,7 @@ def order_links(spark, d):
     before = lambda *by: F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy(*by))
     o = o.withColumns({"by_date": before("o_orderdate", "o_orderkey"), "by_key": before("o_orderkey")})
     o = o.select(F.explode(F.array_distinct(F.array("by_date", "by_key"))).alias("source"), F.col("o_orderkey").alias("target"), F.col("o_orderdate").alias("at"))
-    level = F.element_at(F.array(*[F.lit(x) for x in CAUSAL_RANK]), ((F.col("source") + F.col("target")) % 5 + 1).cast("int"))
+    level = F.element_at(F.array(*[F.lit(x) for x in LEVELS]), ((F.col("source") + F.col("target")) % 5 + 1).cast("int"))
     return o.where("source IS NOT NULL").select("source", "target", level.alias("level"), "at")
 
 

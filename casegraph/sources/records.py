@@ -8,9 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.exprs import basename, doc_id, filled, first_positive, from_epoch, from_filetime, int_of, utc_millis, xml_fields
+from ..functions.exprs import basename, doc_id, filled, first_positive, from_epoch, from_filetime, int_of, last_wins, utc_millis, xml_fields
+from ..functions.lookups import EVENT_ACTIONS, EVENT_CATEGORIES
+from ..functions.tables import look_up
 
 FIELDS = ["event_code", "event_action", "event_category", "user", "process_name", "process_path", "pid", "ppid", "command_line", "target_file", "remote_ip", "remote_port", "registry_key", "alert_name", "alert_level", "message"]
 KINDS = {"pid": "long", "ppid": "long", "remote_port": "int"}
@@ -44,21 +47,20 @@ EVENT_XML = "System struct<Provider:struct<_Name:string>,EventID:string,TimeCrea
 def event_xml(df: DataFrame, column: str = "xml") -> DataFrame:
     """Event records as XML text. What can't be parsed gives no row; an IpAddress of '-' is none."""
     rows = df.select(F.from_xml(column, EVENT_XML).alias("e")).where("e.System.EventID IS NOT NULL")
-    named = F.filter("e.EventData.Data", lambda d: d["_Name"].isNotNull())
-    rows = rows.withColumn("d", F.coalesce(F.map_from_entries(F.transform(named, lambda d: F.struct(d["_Name"], d["_VALUE"]))), F.create_map().cast("map<string,string>")))
+    rows = rows.withColumn("d", last_wins(F.transform("e.EventData.Data", lambda d: F.struct(d["_Name"].alias("key"), d["_VALUE"].alias("value")))))
     get = lambda *names: F.coalesce(*[filled(F.try_element_at("d", F.lit(n))) for n in names])
     ip = F.nullif(get("IpAddress", "SourceAddress"), F.lit("-"))
     user = F.coalesce(get("TargetUserName"), get("SubjectUserName"))
-    out = ecs(rows, "evtx", F.col("e.System.Computer"), utc_millis(F.col("e.System.TimeCreated._SystemTime")), {"channel": F.col("e.System.Channel"), "provider": F.col("e.System.Provider._Name"), "record_id": F.col("e.System.EventRecordID"), "LogonType": get("LogonType")}, event_code=F.col("e.System.EventID"), user=user, process_path=get("NewProcessName", "Image"), process_name=basename(get("NewProcessName", "Image")), pid=int_of(get("NewProcessId", "ProcessId")), command_line=get("CommandLine"), target_file=get("TargetFilename", "ObjectName"), registry_key=get("TargetObject"), remote_ip=F.coalesce(get("DestinationIp", "DestAddress"), ip), remote_port=get("DestinationPort", "DestPort").try_cast("int"))
+    out = ecs(rows, "evtx", F.col("e.System.Computer"), utc_millis(F.col("e.System.TimeCreated._SystemTime")), {"channel": F.col("e.System.Channel"), "provider": F.col("e.System.Provider._Name"), "record_id": F.col("e.System.EventRecordID"), "LogonType": get("LogonType")}, event_code=F.col("e.System.EventID"), event_action=look_up(EVENT_ACTIONS, F.col("e.System.EventID")), event_category=look_up(EVENT_CATEGORIES, F.col("e.System.EventID")), user=user, process_path=get("NewProcessName", "Image"), process_name=basename(get("NewProcessName", "Image")), pid=int_of(get("NewProcessId", "ProcessId")), command_line=get("CommandLine"), target_file=get("TargetFilename", "ObjectName"), registry_key=get("TargetObject"), remote_ip=F.coalesce(get("DestinationIp", "DestAddress"), ip), remote_port=get("DestinationPort", "DestPort").try_cast("int"))
     return out
 
 
 def event_csv(df: DataFrame) -> DataFrame:
     """Event rows with a JSON payload of EventData.Data[{@Name, #text}]."""
     data = F.from_json("Payload", "EventData struct<Data:array<struct<`@Name`:string,`#text`:string>>>")["EventData"]["Data"]
-    rows = df.withColumn("d", F.coalesce(F.map_from_entries(F.transform(F.filter(data, lambda x: x["@Name"].isNotNull()), lambda x: F.struct(x["@Name"], x["#text"]))), F.create_map().cast("map<string,string>")))
+    rows = df.withColumn("d", last_wins(F.transform(data, lambda x: F.struct(x["@Name"].alias("key"), x["#text"].alias("value")))))
     get = lambda n: filled(F.try_element_at("d", F.lit(n)))
-    return ecs(rows, "evtx", F.col("Computer"), utc_millis(F.col("TimeCreated")), {"channel": F.col("Channel"), "provider": F.col("Provider"), "LogonType": get("LogonType")}, event_code=F.col("EventId"), event_action=F.col("MapDescription"), user=F.coalesce(filled(F.col("UserName")), get("TargetUserName")), command_line=F.coalesce(get("CommandLine"), filled(F.col("ExecutableInfo"))), process_path=get("NewProcessName"), process_name=basename(get("NewProcessName")), pid=int_of(get("NewProcessId")), remote_ip=get("IpAddress"), registry_key=get("TargetObject"), target_file=get("TargetFilename"))
+    return ecs(rows, "evtx", F.col("Computer"), utc_millis(F.col("TimeCreated")), {"channel": F.col("Channel"), "provider": F.col("Provider"), "LogonType": get("LogonType")}, event_code=F.col("EventId"), event_action=F.coalesce(look_up(EVENT_ACTIONS, F.col("EventId")), F.col("MapDescription")), event_category=look_up(EVENT_CATEGORIES, F.col("EventId")), user=F.coalesce(filled(F.col("UserName")), get("TargetUserName")), command_line=F.coalesce(get("CommandLine"), filled(F.col("ExecutableInfo"))), process_path=get("NewProcessName"), process_name=basename(get("NewProcessName")), pid=int_of(get("NewProcessId")), remote_ip=get("IpAddress"), registry_key=get("TargetObject"), target_file=get("TargetFilename"))
 
 
 def event_jsonl(df: DataFrame) -> DataFrame:
@@ -108,7 +110,7 @@ def alerts(df: DataFrame) -> DataFrame:
 
 def memory(df: DataFrame, plugin: str, host: str) -> DataFrame:
     """Rows of a memory plugin as maps of text in column row; keys in any case. Without a name and a pid a row is dropped, except connections."""
-    low = df.withColumn("m", F.transform_keys("row", lambda k, _: F.lower(k)))
+    low = df.withColumn("m", last_wins(F.transform(F.map_entries("row"), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))))
     get = lambda *names: F.coalesce(*[filled(F.try_element_at("m", F.lit(n))) for n in names])
     name, pid = get("imagefilename", "process", "name", "owner"), int_of(get("pid"))
     rows = low if "netscan" in plugin else low.where(name.isNotNull() | pid.isNotNull())
@@ -145,12 +147,15 @@ def bodyfile(df: DataFrame, host: str) -> DataFrame:
     return ecs(df, "bodyfile", F.lit(host), at, {"md5": F.col("md5"), "size": F.col("size"), "mode": F.col("mode")}, target_file=F.col("name"), event_category=F.lit("file"))
 
 
-TIME_KEYS = ["timestamp", "Timestamp", "@timestamp", "time", "Time", "datetime", "date", "created", "CreationTime", "TimeCreated", "LastWriteTime", "mtime", "event_time"]
+# fixed values: names of fields that may hold a record's time
+TIME_KEYS = ["@timestamp", "timestamp", "time", "date", "datetime", "created", "creation_time", "created_at", "modified", "mtime", "modified_at", "accessed", "atime", "accessed_at", "last_run", "lastrun", "last_seen", "event_time", "eventtime", "log_time", "crtime", "ctime", "birth"]
 
 
 def generic(df: DataFrame, host: str) -> DataFrame:
-    """Any record as a map of text in column row: the first usable time of TIME_KEYS, the rest kept."""
-    at = F.coalesce(*[F.coalesce(utc_millis(F.try_element_at("row", F.lit(k))), from_epoch(F.try_element_at("row", F.lit(k)).try_cast("double"))) for k in TIME_KEYS])
+    """Any record as a map of text in column row: the first usable time of TIME_KEYS, in any case, the rest kept."""
+    low = last_wins(F.transform(F.map_entries("row"), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))))
+    df = df.withColumn("m", low)
+    at = F.coalesce(*[F.coalesce(utc_millis(F.try_element_at("m", F.lit(k))), from_epoch(F.try_element_at("m", F.lit(k)).try_cast("double"))) for k in TIME_KEYS])
     return ecs(df, "generic", F.lit(host), at, {"record": F.to_json("row")}, message=F.coalesce(F.try_element_at("row", F.lit("message")), F.try_element_at("row", F.lit("msg"))))
 
 
@@ -178,8 +183,16 @@ def not_yet_ingested(files: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def write_ecs(df: DataFrame, path: str) -> None:
-    """Each document once, in one folder for each case, artifact and host."""
-    df.dropDuplicates(["doc_id"]).write.mode("append").partitionBy("artifact", "host_name").parquet(path)
+    """Each document once, in one folder for each artifact and host; documents that path holds already are left out."""
+    rows = df.dropDuplicates(["doc_id"])
+    try:
+        have = df.sparkSession.read.schema(df.schema).parquet(path).select("doc_id")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    else:
+        rows = rows.join(have, "doc_id", "left_anti")
+    rows.write.mode("append").partitionBy("artifact", "host_name").parquet(path)
 
 
 READERS: dict[str, Callable] = {f.__name__: f for f in (event_xml, event_csv, event_jsonl, file_table, registry_csv, prefetch_csv, amcache_csv, shimcache_csv, srum_csv, alerts, memory, scan_text, timeline_csv, timeline_json, bodyfile, generic, carved, beacon_config)}
