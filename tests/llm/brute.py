@@ -1,8 +1,12 @@
 """Plain versions of the operators, for small tables: one Python loop each."""
 
+import base64
 import hashlib
+import math
 import re
 
+import regex
+
 
 def sha(b):
     return hashlib.sha256(b if isinstance(b, bytes) else b.encode()).hexdigest()
@@ -55,3 +59,62 @@ def near(docs, words=5, percent=80):
                         p, q = sorted((root(a), root(b)))
                         up[q] = p
     return [(i, len(s), root(i)) for i, s in sets.items()]
+
+
+def exact(docs):
+    """docs: [(doc_id, text)] with distinct ids -> {doc_id: keep_id}."""
+    groups = {}
+    for i, t in docs:
+        groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", t or ""), []).append((-len(t or ""), i))
+    keep = {g: min(v)[1] for g, v in groups.items()}
+    return {i: keep[re.sub(r"[\x20\x09-\x0D]", "", t or "")] for i, t in docs}
+
+
+LEAK_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def leak_words(t):
+    return re.findall(LEAK_WORD, "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+
+
+def leaks(docs, items, window=10):
+    """docs: [(doc_id, text)], items: [(item_id, text)] -> [(doc_id, n_words, n_hit, n_items)]."""
+    windows = {}
+    for i, t in items:
+        w = leak_words(t)
+        for k in range(max(1, len(w) - window + 1)) if w else ():
+            windows.setdefault(tuple(w[k:k + window]), set()).add(i)
+    out = []
+    for i, t in docs:
+        w, hit, found = leak_words(t), set(), set()
+        for g, ids in windows.items():
+            for k in range(len(w) - len(g) + 1):
+                if tuple(w[k:k + len(g)]) == g:
+                    hit |= set(range(k, k + len(g)))
+                    found |= ids
+        out.append((i, len(w), len(hit), len(found)))
+    return out
+
+
+def warc(pages):
+    """pages: [(page_id, url, html)] -> [(page_id, payload_bytes, payload_digest, record_type, refers_to)]."""
+    first, out = {}, []
+    for i, _, h in pages:
+        if i is not None:
+            first[h or ""] = min(first.get(h or "", i), i)
+    for i, _, h in pages:
+        raw, f = (h or "").encode(), first.get(h or "")
+        out.append((i, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "response" if i == f else "revisit", None if i == f else f))
+    return out
+
+
+def toxic_chance(text, model):
+    """The chance of grade 1 or more, word by word."""
+    weights, theta = model
+    words = set(regex.findall(r"[\p{L}\p{M}]+", (text or "").lower()))
+    count = {}
+    for w in words:
+        for f in ["=" + w, *(w[:k] for k in (4, 5, 6, 7, 8) if len(w) > k)]:
+            count[f] = count.get(f, 0) + 1
+    z = sum(weights[f] * math.log(1 + n) for f, n in count.items() if f in weights) * math.sqrt(100 / max(len(words), 20))
+    return 1 / (1 + math.exp(theta[0] - z))
