@@ -11,6 +11,7 @@ from ..functions.lookups import CAUSAL_RANK, KEEP, NOISE
 from ..operators import cluster as C, detect as T, graph as G, judge as J, reduce as R, views as V
 from ..operators.rules import FAMILIES, prepared
 from ..sources import driver as D
+from . import ingest
 from .oracle import GROUPS, HITS, hits_by_trigger, over_clusters, over_events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -465,3 +466,7 @@ def process_tree_whole(spark, d):
     pid = F.col("source_doc_id").cast("long")
     started = D.events(spark, d).where("canonical_type = 'PROCESS_EXECUTION'").withColumns({"pid": pid, "ppid": F.nullif(F.floor(pid / 7), pid)})
     return G.process_tree(started).select("host_name", "pid", "ppid", "depth")
+
+
+QUERIES |= ingest.QUERIES
+ORACLE_SQL |= ingest.ORACLE_SQL
