@@ -44,7 +44,7 @@ def sessions(events: DataFrame, keys: list[str], gap: int, least: int) -> DataFr
 
 def entropy(values: DataFrame, text: str) -> DataFrame:
     """(text, entropy): Shannon entropy in bits of the characters of each distinct text."""
-    chars = values.select(text).where(F.col(text).isNotNull()).distinct().select(text, F.explode(F.split(text, "(?!^)")).alias("ch"))
+    chars = values.select(text).where(F.col(text).isNotNull()).distinct().select(text, F.explode(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))).alias("ch"))
     counts = chars.groupBy(text, "ch").agg(F.count(F.lit(1)).alias("c"))
     p = F.col("c") / F.sum("c").over(Window.partitionBy(text))
     return counts.withColumn("p", p).groupBy(text).agg(F.sum(-F.col("p") * F.log2("p")).alias("entropy"))

@@ -102,18 +102,25 @@ def reach(links: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
-def paths(links: DataFrame, src: str, dst: str, depth: int = 5) -> DataFrame:
-    """(path, steps): the shortest paths from src to dst along links (a, b), without repeats, of at most depth steps."""
-    spark = links.sparkSession
-    edge = links.select("a", "b").distinct()
-    front = spark.createDataFrame([([src],)], "path array<string>")
+def paths(links: DataFrame, pairs: DataFrame, depth: int = 5) -> DataFrame:
+    """(src, dst, path, steps): the shortest paths of each pair (src, dst) along links (a, b), without repeats, of at most depth steps.
+
+    Each round looks for ends first, and extends only the paths of pairs that have none; the last round only looks.
+    """
+    edge = saved(links.select("a", "b").distinct())
+    front = saved(pairs.select("src", "dst", F.array("src").alias("path"), F.col("src").alias("a")).distinct())
+    out = None
     for k in range(1, depth + 1):
-        at = F.element_at("path", -1)
-        front = saved(front.withColumn("a", at).join(edge, "a").where(~F.array_contains("path", F.col("b"))).select(F.array_append("path", F.col("b")).alias("path")))
-        done = front.where(F.element_at("path", -1) == dst)
-        if front.isEmpty() or not done.isEmpty():
-            return done.select("path", F.lit(k).alias("steps"))
-    return front.where(F.lit(False)).select("path", F.lit(depth).alias("steps"))
+        ends = edge.select("a", F.col("b").alias("dst"))
+        done = saved(front.join(ends, ["a", "dst"]).where(~F.array_contains("path", F.col("dst"))).select("src", "dst", F.array_append("path", F.col("dst")).alias("path"), F.lit(k).alias("steps")))
+        out = done if out is None else out.unionByName(done)
+        if k == depth:
+            break
+        rest = front.join(done.select("src", "dst").distinct(), ["src", "dst"], "left_anti").join(edge, "a").where(~F.array_contains("path", F.col("b")))
+        front = saved(rest.select("src", "dst", F.array_append("path", F.col("b")).alias("path"), F.col("b").alias("a")))
+        if front.isEmpty():
+            break
+    return out
 
 
 def subgraph(edges_: DataFrame, nodes: DataFrame, both: bool = True) -> DataFrame:

@@ -11,7 +11,7 @@ from ..functions.lookups import CAUSAL_RANK, KEEP, NOISE
 from ..operators import cluster as C, detect as T, graph as G, judge as J, reduce as R, views as V
 from ..operators.rules import FAMILIES, prepared
 from ..sources import driver as D
-from . import ingest
+from . import ingest, lists
 from .oracle import GROUPS, HITS, hits_by_trigger, over_clusters, over_events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -468,5 +468,6 @@ def process_tree_whole(spark, d):
     return G.process_tree(started).select("host_name", "pid", "ppid", "depth")
 
 
-QUERIES |= ingest.QUERIES
-ORACLE_SQL |= ingest.ORACLE_SQL
+for _more in (ingest, lists):
+    QUERIES |= _more.QUERIES
+    ORACLE_SQL |= _more.ORACLE_SQL
