@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from typing import Any
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from ..operators.cluster import trigger_hits
@@ -42,6 +45,34 @@ def stream_sessions(stream: DataFrame, keys: list[str], gap: str, late: str = "1
     return out.select(*keys, F.unix_timestamp("session_window.start").alias("start"), F.unix_timestamp("session_window.end").alias("end"), "n")
 
 
+def stream_jitter(stream: DataFrame, keys: list[str], least: int = 10, most_cv: float = 0.25) -> DataFrame:
+    """(keys, n, mean_gap, jitter) after each micro-batch, for keys that it touched and whose gaps are regular so far.
+
+    The state of a key is its last time, the number of events, and mean and squared deviation of the gaps, so it does not grow
+    with the events. Events of a key have to come in order of their epoch from one micro-batch to the next; within one they are
+    sorted, and one that is older than the last time counts as of that time. Output mode update.
+    """
+    types = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
+    named = ", ".join(f"{k} {types[k]}" for k in keys)
+
+    def run(key: tuple[Any, ...], parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, n, mean, m2 = state.get if state.exists else (None, 0, 0.0, 0.0)
+        for at in sorted(x for part in parts for x in part["epoch"]):
+            if last is not None:
+                gap = max(at - last, 0)
+                off = gap - mean
+                mean += off / n  # n events so far are n gaps with this one
+                m2 += off * (gap - mean)
+            last, n = at if last is None else max(at, last), n + 1
+        state.update((last, n, mean, m2))
+        jitter = 1.0 if n < 3 or mean == 0 else (m2 / (n - 2)) ** 0.5 / mean
+        if n > least and jitter < most_cv:
+            yield pd.DataFrame([(*key, n, mean, jitter)], columns=[*keys, "n", "mean_gap", "jitter"])
+
+    rows = stream.select(*keys, F.col("epoch").cast("long").alias("epoch")).where("epoch IS NOT NULL").groupBy(*keys)
+    return rows.applyInPandasWithState(run, f"{named}, n long, mean_gap double, jitter double", "last long, n long, mean double, m2 double", "update", GroupStateTimeout.NoTimeout)
+
+
 def merge_each_batch(stream: DataFrame, merge: Callable[[DataFrame], None], checkpoint: str):
     """Runs merge on every micro-batch, such as a graph upsert."""
     return stream.writeStream.foreachBatch(lambda df, _: merge(df)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
