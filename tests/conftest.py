@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 def spark():
     s = (
         SparkSession.builder.master("local[4]").appName("tests").config("spark.sql.shuffle.partitions", "4").config("spark.sql.session.timeZone", "UTC")
-        .config("spark.ui.enabled", "false").config("spark.driver.memory", "4g").config("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
+        .config("spark.ui.enabled", "false").config("spark.driver.memory", "4g")
         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-tests-")).getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
