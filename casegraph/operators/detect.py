@@ -14,9 +14,17 @@ def beacon_jitter(events: DataFrame, keys: list[str], least: int = 10, most_cv:
 
 
 def burst(events: DataFrame, keys: list[str], seconds: int, least: int) -> DataFrame:
-    """Events that end a run of more than least events of their keys within seconds: adds n_window."""
-    frame = Window.partitionBy(*keys).orderBy("epoch").rangeBetween(-seconds, 0)
-    return events.withColumn("n_window", F.count(F.lit(1)).over(frame)).where(F.col("n_window") > least)
+    """Events that end a run of more than least events of their keys within seconds: adds n_window.
+
+    Time is cut into slots of 16 times that span, and the end of a slot is copied to the next one, so that keys with many events
+    are counted by many tasks.
+    """
+    size = 16 * max(seconds, 1)
+    slot = F.floor(F.col("epoch") / size)
+    copies = F.array_compact(F.array(F.struct(slot.alias("slot"), F.lit(True).alias("own")), F.when((slot + 1) * size - F.col("epoch") <= seconds, F.struct((slot + 1).alias("slot"), F.lit(False).alias("own")))))
+    rows = events.withColumn("s_", F.explode(copies)).select("*", "s_.*").drop("s_")
+    frame = Window.partitionBy(*keys, "slot").orderBy("epoch").rangeBetween(-seconds, 0)
+    return rows.withColumn("n_window", F.count(F.lit(1)).over(frame)).where(F.col("own") & (F.col("n_window") > least)).drop("slot", "own")
 
 
 def per_window(events: DataFrame, keys: list[str], every: int, least: int, distinct: str | None = None) -> DataFrame:
@@ -35,11 +43,23 @@ def sliding(events: DataFrame, keys: list[str], size: int, step: int, least: int
 
 
 def sessions(events: DataFrame, keys: list[str], gap: int, least: int) -> DataFrame:
-    """(keys, start, end, n): runs whose neighbours are at most gap seconds apart."""
-    order = Window.partitionBy(*keys).orderBy("epoch", "event_id")
+    """(keys, start, end, n): runs whose neighbours are at most gap seconds apart.
+
+    Runs are built in slots of 64 gaps; only those near an end of their slot, a few for each slot, are then joined to each other.
+    """
+    size = 64 * max(gap, 1)
+    order = Window.partitionBy(*keys, "slot").orderBy("epoch", "event_id")
     new = (F.col("epoch") - F.lag("epoch").over(order) > gap).cast("int")
-    rows = events.withColumn("new", F.coalesce(new, F.lit(0))).withColumn("session", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy(*keys, "session").agg(F.min("epoch").alias("start"), F.max("epoch").alias("end"), F.count(F.lit(1)).alias("n")).where(F.col("n") > least).drop("session")
+    rows = events.select(*keys, "epoch", "event_id", F.floor(F.col("epoch") / size).alias("slot")).withColumn("new", F.coalesce(new, F.lit(0)))
+    rows = rows.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = rows.groupBy(*keys, "slot", "run").agg(F.min("epoch").alias("start"), F.max("epoch").alias("end"), F.count(F.lit(1)).alias("n"))
+    near = (F.col("start") - F.col("slot") * size <= gap) | ((F.col("slot") + 1) * size - F.col("end") <= gap)
+    along = Window.partitionBy(*keys).orderBy("start")
+    apart = (F.col("start") - F.lag("end").over(along) > gap).cast("int")
+    edge = runs.where(near).withColumn("new", F.coalesce(apart, F.lit(0))).withColumn("run", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    edge = edge.groupBy(*keys, "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n"))
+    cols = [*keys, "start", "end", "n"]
+    return runs.where(~near).select(*cols).unionByName(edge.select(*cols)).where(F.col("n") > least)
 
 
 def entropy(values: DataFrame, text: str) -> DataFrame:
