@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .common import table, written
 
 WINDOW, SHINGLE = 10, 5
-#: Rows of a benchmark-side table that is broadcast; a larger one is joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Rows, and bytes of words and ids, of a benchmark-side table that is broadcast; a larger one is joined by a shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -37,9 +37,11 @@ def item_windows(items: DataFrame, window: int, shingle: int) -> DataFrame:
     return each.groupBy("wwords", "wlen").agg(F.collect_set(F.col("item_id").cast("string")).alias("items")).select(F.xxhash64("wwords").alias("wid"), "wlen", "wwords", "items", F.least("wlen", F.lit(shingle)).alias("s"))
 
 
-def small(df: DataFrame) -> DataFrame:
-    """Broadcast if its rows, counted, are within the bound."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def small(df: DataFrame, *texts: str) -> DataFrame:
+    """Broadcast if its rows, counted, and the bytes of its columns of texts are within the bounds; other columns are numbers."""
+    size = sum((F.octet_length(F.array_join(c, " ")) for c in texts), F.lit(0)).cast("long")
+    rows, size = df.limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
@@ -69,7 +71,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
     prefix = written(prefix, "leak-prefix")
     start = F.col("pos") - F.col("off") + 1
     maybe = hits.join(small(prefix), "h").where((start >= 1) & (start + F.col("wlen") - 1 <= F.col("n"))).select("key", "wid", start.alias("start"))
-    maybe = maybe.distinct().join(small(wins.select("wid", "wlen", "wwords", "items")), "wid")
+    maybe = maybe.distinct().join(small(wins.select("wid", "wlen", "wwords", "items"), "wwords", "items"), "wid")
     found = maybe.groupBy("key").agg(F.collect_list(F.struct("start", "wlen", "wwords", "items")).alias("maybe"))
 
     rows = docs.select("doc_id", key.alias("key"), F.col("text")).join(found, "key", "left").select("doc_id", words_of(F.col("text")).alias("words"), "maybe")
