@@ -91,7 +91,7 @@ def reach(links: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     Each round extends only the nodes found in the round before, and drops those already seen.
     """
     seen = saved(start.select("src", F.col("src").alias("node"), F.lit(0).alias("depth")).distinct())
-    edge = links.select(F.col("a").alias("node"), F.col("b").alias("next")).distinct()
+    edge = saved(links.select(F.col("a").alias("node"), F.col("b").alias("next")).distinct())
     front = seen
     for k in range(1, depth + 1):
         step = front.join(edge, "node").select("src", F.col("next").alias("node")).distinct().join(seen.select("src", "node"), ["src", "node"], "left_anti")
