@@ -55,8 +55,8 @@ def sharded(docs: DataFrame, n: int) -> DataFrame:
     return docs.select(F.pmod(key, F.lit(n)).cast("int").alias("shard"), F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
-def hash_words(texts: pa.ChunkedArray | pa.Array, fold_case: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words [^\\x20\\x09-\\x0D]+ of the texts in one run, and for each text where its words start (one more at the end)."""
+def hash_words(texts: pa.ChunkedArray | pa.Array, fold_case: bool, keys: tuple[str, ...] = ("0123456789123456",)) -> tuple[np.ndarray, ...]:
+    """Hashes of all words [^\\x20\\x09-\\x0D]+ of the texts in one run, one array for each key, and for each text where its words start (one more at the end)."""
     texts = pc.cast(texts, pa.large_string())
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -70,15 +70,16 @@ def hash_words(texts: pa.ChunkedArray | pa.Array, fold_case: bool) -> tuple[np.n
     offsets = offsets - offsets[0]
     coded = words.dictionary_encode()
     if len(coded.dictionary) == 0:
-        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
-    hashes = pd.util.hash_array(coded.dictionary.to_pandas().to_numpy(dtype=object), categorize=False)
+        return *(np.zeros(0, np.uint64) for _ in keys), np.zeros(len(texts) + 1, np.int64)
+    distinct = coded.dictionary.to_pandas().to_numpy(dtype=object)
+    hashes = [pd.util.hash_array(distinct, hash_key=k, categorize=False) for k in keys]
     codes = coded.indices.to_numpy(zero_copy_only=False)
     full = pc.not_equal(pc.binary_length(coded.dictionary), 0).to_numpy(zero_copy_only=False)
     if not full.all():  # blanks at the ends of a text give empty words
         keep = full[codes]
         offsets = np.concatenate([[0], np.cumsum(keep)])[offsets]
         codes = codes[keep]
-    return hashes[codes], offsets
+    return *(h[codes] for h in hashes), offsets
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

@@ -3,11 +3,13 @@
 Every document's words are cut into non-overlapping reference blocks of BLOCK words. Every rolling window of BLOCK words of
 every document probes the index of those blocks. A repeat of WINDOW >= 2 * BLOCK - 1 words holds at least one whole
 reference block, so a window without a hit can't repeat. Around the hits, the windows of WINDOW words are compared
-themselves, which extends each hit to the maximal run of words that repeats exactly.
+themselves, which extends each hit to the maximal run of words that repeats exactly. Windows are told apart by two hashes
+over two independent hashes of each word, 128 bits in all.
 
 Documents are dealt to shards. A shard sends each bucket of the index the distinct hashes it has there (one entry however
 many documents of the shard share it, so a passage in a third of all documents costs an entry per shard), and gets back
-those that hit. No table of all probes or pairs is ever made, and nothing is sent to the driver but one sum.
+those that hit. Messages number shards times buckets at most, and never more than the shards' distinct blocks, so beyond
+about a million shards a message holds few of them. No table of pairs is made, and nothing is sent to the driver but one sum.
 """
 
 from __future__ import annotations
@@ -18,16 +20,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import bucket_runs, cells, hash_words, inside, joined, mixed, owner, pieces, rolling, shard_count, sharded, table
+from .common import bucket_runs, cells, hash_words, inside, joined, owner, pieces, rolling, shard_count, sharded, table
 
 WINDOW, BLOCK = 50, 25
 LAST = np.iinfo(np.int64).max  # stands for a missing id: after all others
 
 
-def _docs(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids, word hashes and offsets."""
-    h, offsets = hash_words(t["text"], fold_case=False)
-    return t["doc_id"].fill_null(LAST).to_numpy(), h, offsets
+def _docs(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, two hashes of each word, and offsets."""
+    h, other, offsets = hash_words(t["text"], fold_case=False, keys=("0123456789123456", "9e3779b97f4a7c15"))
+    return t["doc_id"].fill_null(LAST).to_numpy(), h, other, offsets
 
 
 def _anchors(h: np.ndarray, offsets: np.ndarray, n: int, window: int, block: int) -> tuple[np.ndarray, np.ndarray]:
@@ -38,11 +40,9 @@ def _anchors(h: np.ndarray, offsets: np.ndarray, n: int, window: int, block: int
     return at, cells(rolling(h, block, 0x9E3779B97F4A7C15)[at], n)
 
 
-def _long_hashes(h: np.ndarray, at: np.ndarray, window: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+def _long_hashes(h: np.ndarray, other: np.ndarray, at: np.ndarray, window: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Two independent hashes of the windows that start at at; the second one carries the bucket."""
-    one = rolling(h, window, 0xD6E8FEB86659FD93)[at]
-    two = cells(rolling(mixed(h), window, 0xA0761D6478BD642F)[at], n)
-    return one, two
+    return rolling(h, window, 0xD6E8FEB86659FD93)[at], cells(rolling(other, window, 0xA0761D6478BD642F)[at], n)
 
 
 def _candidates(h, offsets, n, window, block, hits: np.ndarray) -> np.ndarray:
@@ -70,7 +70,7 @@ def _unique_windows(doc, own, at, one, two):
 def substring_dedup(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """Removes each word covered by a window whose words also start a window in a document with a smaller id.
 
-    docs: (doc_id, text), further columns are ignored. Returns (doc_id, n_words, n_removed, kept_sha256, kept_text), one row
+    docs: (doc_id, text), further columns are ignored; doc_id is an integer. Returns (doc_id, n_words, n_removed, kept_sha256, kept_text), one row
     for each input row. Windows are judged on the input. A null text is empty: 0 words. A row without an id counts as
     coming after all others: it loses what any document with an id has, and takes nothing from anyone. Rows that repeat
     an id are one document, so they don't take from each other. A document shorter than the window keeps all words.
@@ -82,7 +82,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -
     parts = sharded(docs, n)
 
     def probe(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        doc, h, offsets = _docs(t)
+        doc, h, other, offsets = _docs(t)
         at, cell = _anchors(h, offsets, n, window, block)
         own = owner(offsets)
         order = np.lexsort((doc[own[at]], cell))
@@ -112,9 +112,9 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -
         return np.sort((np.repeat(replies["bucket"].to_numpy().astype(np.uint64), sizes) << np.uint64(32)) | keys.astype(np.uint64))
 
     def extend(key: tuple[pa.Scalar, ...], t: pa.Table, replies: pa.Table) -> pa.Table:
-        doc, h, offsets = _docs(t)
+        doc, h, other, offsets = _docs(t)
         at = _candidates(h, offsets, n, window, block, hits_of(replies))
-        one, two, least, _ = _unique_windows(doc, owner(offsets), at, *_long_hashes(h, at, window, n))
+        one, two, least, _ = _unique_windows(doc, owner(offsets), at, *_long_hashes(h, other, at, window, n))
         buckets, starts = bucket_runs(two)
         return pa.table({"bucket": pa.array(buckets, pa.int32()), "shard": pa.array(np.full(len(buckets), int(key[0].as_py())), pa.int32()), "one": pieces(one, starts), "two": pieces(two.astype(np.uint32), starts), "least": pieces(least, starts)})
 
@@ -134,11 +134,11 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -
     both = hits.selectExpr("shard", "bucket", "keys", "CAST(NULL AS binary) best").unionByName(answers.selectExpr("shard", "bucket", "CAST(NULL AS binary) keys", "best"))
 
     def cut(key: tuple[pa.Scalar, ...], t: pa.Table, replies: pa.Table) -> pa.Table:
-        doc, h, offsets = _docs(t)
+        doc, h, other, offsets = _docs(t)
         kind = replies["best"].is_valid()
         at = _candidates(h, offsets, n, window, block, hits_of(replies.filter(replies["keys"].is_valid())))
         own = owner(offsets)
-        _, _, _, index = _unique_windows(doc, own, at, *_long_hashes(h, at, window, n))
+        _, _, _, index = _unique_windows(doc, own, at, *_long_hashes(h, other, at, window, n))
         best, _ = joined(replies.filter(kind).sort_by("bucket")["best"], "<i8")
         at = at[best[index] < doc[own[at]]] if len(at) else at
         edge = np.zeros(int(offsets[-1]) + 1, np.int64)
