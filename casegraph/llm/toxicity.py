@@ -12,7 +12,6 @@ distinct words.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -127,20 +126,17 @@ def score(words: Column, weights: dict[str, float], spark: SparkSession) -> Colu
     names = pa.array(sorted(weights), pa.string())
     shared = spark.sparkContext.broadcast((names, np.array([weights[k] for k in names.to_pylist()], float)))
 
-    @F.pandas_udf("double")
-    def linear(lists: pd.Series) -> pd.Series:
+    @F.arrow_udf("double")
+    def linear(lists: pa.Array) -> pa.Array:
         known, w = shared.value
-        if not len(known) or not len(lists):
-            return pd.Series(np.zeros(len(lists)))
-        flat = pa.array(np.concatenate(lists.to_numpy()) if sum(map(len, lists)) else [], pa.string())
-        n = np.fromiter(map(len, lists), np.int64, len(lists))
-        coded = flat.dictionary_encode()
-        ids = np.stack([pc.index_in(f, value_set=known).fill_null(-1).to_numpy(zero_copy_only=False) for f in features_of(coded.dictionary)]).astype(np.int64)
-        row = np.repeat(np.arange(len(n)), n)
-        place = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        distinct, place, row = flat_words(lists)
+        if not len(known) or not len(distinct):
+            return pa.array(np.zeros(len(lists)))
+        ids = np.stack([pc.index_in(f, value_set=known).fill_null(-1).to_numpy(zero_copy_only=False) for f in features_of(distinct)]).astype(np.int64)
+        n_words = np.bincount(row, minlength=len(lists))
         hit = (ids >= 0).any(0)[place]
-        r, f, k = counted(place[hit], row[hit], ids, len(known))
-        return pd.Series(np.bincount(r, weights=w[f] * values(r, k, n), minlength=len(n)))
+        r, f, n = counted(place[hit], row[hit], ids, len(known))
+        return pa.array(np.bincount(r, weights=w[f] * values(r, n, n_words), minlength=len(lists)))
 
     return linear(words)
 
