@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .lookups import CAUSAL_PHRASES, HOOK_PREFIXES, SHELL_PREFIXES
+from .lookups import CAUSAL_PHRASES, EXTENSIONS, FILE_NAMES, HIVES, HOOK_PREFIXES, PATH_PARTS, SHELL_PREFIXES
+from .tables import look_up
 
 INTERNAL = r"^(?:10\.|192\.168\.|172\.(?:1[6-9]|2[0-9]|3[01])\.)"
 
@@ -132,16 +133,17 @@ def content_hash(title: Column, observation: Column, interpretation: Column, tec
 
 
 def evidence_type(path: Column) -> Column:
-    """What a collected file is, by extension, name and place."""
+    """What a collected file is: by extension, else by how its name starts, as a registry hive, by a part of its path, or unknown."""
     p = F.lower(F.regexp_replace(path, r"\\", "/"))
     name = F.regexp_extract(p, r"([^/]+)$", 1)
-    return (
-        F.when(p.endswith(".evtx"), "evtx").when(p.rlike(r"\.(?:mem|raw|vmem|dmp|lime)$"), "memory").when(p.rlike(r"\.(?:pcap|pcapng|cap)$"), "pcap")
-        .when(p.endswith(".pf"), "prefetch").when(p.endswith(".lnk"), "lnk").when(p.rlike(r"\.(?:e01|ex01)$"), "e01").when(p.rlike(r"destinations-ms$"), "jumplist")
-        .when(name.isin("$mft", "mft"), "mft").when(name.isin("sam", "system", "software", "security", "ntuser.dat", "usrclass.dat", "amcache.hve"), "registry")
-        .when(name.rlike(r"^auth\.log"), "auth_log").when(name.rlike(r"^access[._]log"), "apache_log").when(p.endswith(".zip"), "kape_zip")
-        .when(p.contains("/winevt/logs/"), "evtx").when(p.contains("/prefetch/"), "prefetch").otherwise("unknown")
-    )
+    suffix = F.regexp_extract(name, r"^.+(\.[^.]+)$", 1)
+    out = F.when(look_up(EXTENSIONS, suffix).isNotNull(), look_up(EXTENSIONS, suffix))
+    for start, kind in FILE_NAMES.items():
+        out = out.when(name.startswith(start), kind)
+    out = out.when(name.isin(*HIVES) | (suffix == ".hve"), "registry")
+    for part, kind in PATH_PARTS.items():
+        out = out.when(F.contains(p, F.lit(part)), kind)
+    return out.when((suffix == ".xml") & F.contains(p, F.lit("tasks")), "scheduled_task_xml").otherwise("unknown")
 
 
 def wanted(path: Column) -> Column:

@@ -122,3 +122,18 @@ STRENGTH_WEIGHTS = {"STRONG": 15, "MODERATE": 10, "WEAK": 4, "NOISE": 0}
 # fixed values: prefixes of audit ids
 HOOK_PREFIXES = ["hook-", "ingest-", "constructor-", "auto-seed-"]
 SHELL_PREFIXES = ["shell-", "manual-", "cli-"]
+# fixed values: what a collected file is, by its extension, its name, and a part of its path, in this order
+EXTENSIONS = {
+    ".e01": "e01", ".ex01": "e01", ".e02": "e01", ".evtx": "evtx", ".evt": "evtx", ".mem": "memory", ".dmp": "memory", ".vmem": "memory", ".raw": "memory", ".lime": "memory", ".001": "memory", ".002": "memory", ".003": "memory", ".004": "memory",
+    ".pf": "prefetch", ".pcap": "pcap", ".pcapng": "pcap", ".cap": "pcap", ".lnk": "lnk", ".pst": "outlook", ".ost": "outlook", ".automaticdestinations-ms": "jumplist", ".customdestinations-ms": "jumplist", ".csv": "win_timeline", ".json": "win_timeline",
+    ".jsonl": "win_timeline", ".mans": "redline_mans", ".plaso": "plaso_storage", ".zip": "kape_zip",
+} | {x: "unknown" for x in (".exe", ".dll", ".sys", ".bat", ".cmd", ".vbs", ".ps1", ".js", ".vbe", ".scr", ".msi", ".dat", ".doc", ".docx", ".xls", ".xlsx", ".pdf", ".txt", ".rtf", ".log")}
+FILE_NAMES = {
+    "$mft": "mft", "$j": "usn_journal", "$usnjrnl": "usn_journal", "$logfile": "logfile", "amcache.hve": "amcache", "appcompatcache": "shimcache", "srudb.dat": "srum", "activitiescache.db": "win_timeline", "history": "browser_history", "places.sqlite": "browser_history",
+    "webcachev01.dat": "browser_history", "auth.log": "auth_log", "secure": "auth_log", "syslog": "syslog", "messages": "syslog", ".bash_history": "bash_history", "audit.log": "auditd", "shellbag": "shellbag",
+}
+HIVES = ["sam", "security", "system", "software", "ntuser.dat", "usrclass.dat", "default", "components", "schema.dat", "drivers", "elam"]
+PATH_PARTS = {
+    "$recycle.bin": "recyclebin", "recyclebin": "recyclebin", "/scheduled tasks/": "scheduled_task_xml", "/automaticdestinations/": "jumplist", "/customdestinations/": "jumplist", "/iis/logs/": "iis_log", "/inetpub/logs/": "iis_log", "/apache2/": "apache_log",
+    "/httpd/": "apache_log", "/shimcache/": "shimcache", "/volatility/": "memory", "/memory/": "memory", "/timeline/": "win_timeline", "/redline/": "win_timeline",
+}

@@ -165,3 +165,19 @@ def odd_labels(events: DataFrame, domain: str, longest: int = 40) -> DataFrame:
     """Events whose domain has a long, base32- or base64-like first label."""
     label = F.substring_index(domain, ".", 1)
     return events.where((F.char_length(label) >= longest) | label.rlike(r"^[a-z2-7]{24,}$") | label.rlike(r"^[A-Za-z0-9+/_-]{32,}=*$"))
+
+
+def lateral_counters(logons: DataFrame, failed: Column, source: str, admin_hosts: DataFrame | None = None, maintenance: list[tuple[int, int]] = []) -> DataFrame:  # noqa: B006
+    """Adds what speaks against lateral movement: logon_failed, from_admin_host and in_maintenance.
+
+    admin_hosts: (source) of documented workstations. maintenance: spans of hours, the first included, that may go over midnight.
+    """
+    hour = F.hour("timestamp")
+    inside = F.lit(False)
+    for x, y in maintenance:
+        inside = inside | (((hour >= x) & (hour < y)) if x <= y else ((hour >= x) | (hour < y)))
+    rows = logons.withColumns({"logon_failed": F.coalesce(failed, F.lit(False)), "in_maintenance": F.coalesce(inside, F.lit(False))})
+    if admin_hosts is None:
+        return rows.withColumn("from_admin_host", F.lit(False))
+    known = admin_hosts.select(F.col("source").alias(source)).distinct().withColumn("from_admin_host", F.lit(True))
+    return rows.join(known, source, "left").na.fill(False, ["from_admin_host"])

@@ -169,3 +169,25 @@ def path_hashes(spark, d):
     k = F.col("p_partkey")
     rows = D.read(spark, d, "part").select("p_partkey", F.regexp_replace("p_name", " ", r"\\").alias("path"), F.upper(F.md5(k.cast("string").cast("binary"))).alias("md5"))
     return L.path_hashes(rows.where("p_partkey % 4 = 0"), rows.where("p_partkey % 4 = 2"))
+
+
+#: Paths and what they are, by hand.
+COLLECTED = {
+    r"C:\w\Security.evtx": "evtx", "/d/disk.E01": "e01", "/d/host-memory-raw.001": "memory", "/p/CMD.EXE-1.pf": "prefetch", "/n/x.pcapng": "pcap", "/u/a.lnk": "lnk", "/u/mail.ost": "outlook", "/u/a.automaticDestinations-ms": "jumplist", "/t/super.csv": "win_timeline", "/t/c.plaso": "plaso_storage",
+    "/k/triage.zip": "kape_zip", "/x/tool.exe": "unknown", "/var/log/auth.log": "unknown", "/var/log/secure-2024": "auth_log", "/e/$MFT": "mft", "/e/$J": "usn_journal", "/e/$LogFile": "logfile", "/e/Amcache.hve": "amcache", "/e/COMPONENTS": "registry", "/e/other.hve": "registry",
+    "/b/History": "browser_history", "/h/.bash_history": "bash_history", r"C:\$Recycle.Bin\x": "recyclebin", r"C:\inetpub\logs\u_ex": "iis_log", "/var/apache2/access": "apache_log", "/w/Tasks/upd.xml": "scheduled_task_xml", "/w/notes.xml": "unknown", "/none": "unknown",
+}
+
+
+@query(f"SELECT o_orderkey, [{', '.join(repr(v) for v in COLLECTED.values())}][o_orderkey % {len(COLLECTED)} + 1] AS kind FROM orders")
+def evidence_kinds(spark, d):
+    k = F.col("o_orderkey")
+    path = F.element_at(F.array(*[F.lit(p) for p in COLLECTED]), (k % len(COLLECTED) + 1).cast("int"))
+    return D.read(spark, d, "orders").select("o_orderkey", X.evidence_type(path).alias("kind"))
+
+
+@query(over_events("SELECT event_id, logon_type = '2' AS logon_failed, host_name IN (SELECT 'host-' || n_regionkey FROM nation WHERE n_nationkey < 5) AS from_admin_host, hour(timestamp) IN (22, 23, 0, 1, 2, 3) AS in_maintenance FROM ev WHERE canonical_type = 'AUTHENTICATION'"))
+def lateral_counters(spark, d):
+    admin = D.read(spark, d, "nation").where("n_nationkey < 5").select(F.concat(F.lit("host-"), "n_regionkey").alias("source"))
+    rows = T.lateral_counters(D.events(spark, d).where("canonical_type = 'AUTHENTICATION'"), F.col("logon_type") == "2", "host_name", admin, [(22, 4)])
+    return rows.select("event_id", "logon_failed", "from_admin_host", "in_maintenance")
