@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import IntegralType
 
-from .common import table, written
+from .common import release, table, written
 
 #: Words in the table that all tasks get, each of at most HEAD_BYTES bytes: 16 MB of text at most, for any input.
 HEAD, HEAD_BYTES = 262_144, 64
@@ -70,6 +70,7 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in parts(batches):
         found = pc.value_counts(split_words(b.column("text"))[0])
         yield pa.RecordBatch.from_arrays([found.field(0), found.field(1)], ["word", "n"])
+    release()
 
 
 def tokenizer(path: str):
@@ -169,6 +170,7 @@ def bpe_round_trip(docs: DataFrame, path: str, head: int = HEAD, whole: bool = T
             at = np.append(0, np.cumsum([len(x) for x in others])).astype(np.int32)
             rare = coded.dictionary.take(pa.array(np.concatenate([*others, np.zeros(0, np.int64)]).astype(np.int64)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("rid"), b.column("key"), pa.array(np.diff(starts), pa.int64()), pa.array(packed, pa.binary()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), rare)], ["doc_id", "rid", "key", "n_words", "codes", "rare"])
+        release()
 
     # read and coded twice, which costs less than to keep the codes on disk; equal rows share an id and a key, and their rare words
     rid = F.coalesce(F.col("doc_id").cast("long"), F.lit(0)) if isinstance(kind, IntegralType) else F.xxhash64("doc_id")
@@ -204,6 +206,7 @@ def bpe_round_trip(docs: DataFrame, path: str, head: int = HEAD, whole: bool = T
                 ends = np.append(0, np.cumsum(length))
                 ids = pool[np.repeat(begin[flat] - ends[:-1], length) + np.arange(ends[-1])]
                 yield finish(b.column("doc_id"), ids, ends[np.append(0, np.cumsum(n_words))], vocabulary)
+            release()
 
     def finish(doc_id, ids, ids_at, vocabulary) -> pa.RecordBatch:
         at = pa.array(ids_at, pa.int32())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import tempfile
 import uuid
@@ -154,6 +155,14 @@ def joined(column: pa.ChunkedArray, dtype: str) -> tuple[np.ndarray, np.ndarray]
     return (np.concatenate(parts) if parts else np.zeros(0, dtype)), np.array([len(p) for p in parts], np.int64)
 
 
+def release() -> None:
+    """Gives memory that is free back to the system: workers live on, and would keep what their largest task took."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
 def key_of(*columns: str) -> Column:
     return F.xxhash64(*columns)
 

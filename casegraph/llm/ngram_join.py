@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import bucket_runs, cells, components, hash_words, inside, joined, mixed, owner, pieces, rolling, shard_count, sharded, table, written
+from .common import bucket_runs, cells, components, hash_words, inside, joined, mixed, owner, pieces, release, rolling, shard_count, sharded, table, written
 
 WORDS, PERCENT, GROUPS = 5, 80, 64
 #: Shingles that a block of a bundle should hold (2 MB), and points in a leaf of an R-tree.
@@ -109,6 +109,7 @@ def near_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, group
         sh = live & shared
         yes = pa.array(may)
         null = lambda a: pa.compute.if_else(yes, a, pa.scalar(None, a.type))
+        release()
         return pa.table({
             "doc_id": t["doc_id"].combine_chunks(), "n": pa.array(size, pa.int64()), "sig1": pa.array(sig[0], pa.int64()), "sig2": pa.array(sig[1], pa.int64()), "live": yes,
             "shared": null(_lists(h[sh].view(np.int64), np.bincount(own[sh], minlength=len(size)), pa.int64())),
@@ -180,8 +181,8 @@ def _tree_links(left: np.ndarray, right: np.ndarray, doc: np.ndarray, n: np.ndar
     Two rows that are both outside the largest component meet twice, in either role; the smaller document is then x.
     """
     joined_ = _Joined(comp)
-    codes, at = np.unique(np.concatenate(sets), return_inverse=True), np.append(0, np.cumsum([len(v) for v in sets]))
-    at, codes = at, codes[1]
+    at = np.append(0, np.cumsum([len(v) for v in sets]))
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
     mark = np.zeros(len(codes) and int(codes.max()) + 1, bool)
     one, two = [left[x] for x in _tree(vec[left])], [right[y] for y in _tree(vec[right])]
     top, least = np.array([vec[y].max(0) for y in two]), np.array([n[y].min() for y in two])

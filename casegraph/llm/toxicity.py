@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .common import table
+from .common import release, table
 
 #: Labelled rows, and bytes of their texts, that the model is fitted on at most: the first by a hash of the id. A documented bound.
 FIT_ROWS, FIT_BYTES = 10_000, 64 << 20
@@ -26,6 +26,8 @@ PREFIXES = (4, 5, 6, 7, 8)
 LEAST, SIGNIFICANT = 3, 2.5
 #: What an error on a toxic row weighs against one on a clean row, and the penalty on squared weights.
 TOXIC_WEIGHT, L2 = 3.0, 1e-4
+#: Documents that a task scores at once.
+AT_ONCE = 2_000
 #: Documents with at least this chance of grade 1 are rejected.
 REJECT = 0.5
 
@@ -126,17 +128,22 @@ def score(words: Column, weights: dict[str, float], spark: SparkSession) -> Colu
     names = pa.array(sorted(weights), pa.string())
     shared = spark.sparkContext.broadcast((names, np.array([weights[k] for k in names.to_pylist()], float)))
 
-    @F.arrow_udf("double")
-    def linear(lists: pa.Array) -> pa.Array:
+    def part(lists: pa.Array) -> np.ndarray:
         known, w = shared.value
         distinct, place, row = flat_words(lists)
         if not len(known) or not len(distinct):
-            return pa.array(np.zeros(len(lists)))
+            return np.zeros(len(lists))
         ids = np.stack([pc.index_in(f, value_set=known).fill_null(-1).to_numpy(zero_copy_only=False) for f in features_of(distinct)]).astype(np.int64)
         n_words = np.bincount(row, minlength=len(lists))
         hit = (ids >= 0).any(0)[place]
         r, f, n = counted(place[hit], row[hit], ids, len(known))
-        return pa.array(np.bincount(r, weights=w[f] * values(r, n, n_words), minlength=len(lists)))
+        return np.bincount(r, weights=w[f] * values(r, n, n_words), minlength=len(lists))
+
+    @F.arrow_udf("double")
+    def linear(lists: pa.Array) -> pa.Array:
+        out = np.concatenate([np.zeros(0), *(part(lists[k:k + AT_ONCE]) for k in range(0, len(lists), AT_ONCE))])
+        release()
+        return pa.array(out)
 
     return linear(words)
 
