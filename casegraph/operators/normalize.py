@@ -36,4 +36,7 @@ def normalize(ecs: DataFrame, case_id: str, mode: str = "default") -> DataFrame:
 
 
 def normalize_stats(ecs: DataFrame, canonical: DataFrame) -> DataFrame:
-    return ecs.agg(F.count(F.lit(1)).alias("scanned")).crossJoin(canonical.agg(F.count(F.lit(1)).alias("created"))).withColumn("skipped", F.col("scanned") - F.col("created"))
+    """(scanned, created, skipped): one row."""
+    n = F.count(F.lit(1))
+    both = ecs.agg(n.alias("scanned"), F.lit(0).cast("long").alias("created")).unionByName(canonical.agg(F.lit(0).cast("long").alias("scanned"), n.alias("created")))
+    return both.agg(F.sum("scanned").alias("scanned"), F.sum("created").alias("created")).withColumn("skipped", F.col("scanned") - F.col("created"))

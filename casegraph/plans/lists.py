@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import exprs as X
 from ..operators import cluster as C, detect as T, graph as G, judge as J, lists as L, reduce as R
-from ..operators.rules import FAMILIES
 from ..sources import driver as D
-from .oracle import over_clusters, over_events
+from .oracle import HITS, over_clusters, over_events
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -130,12 +129,11 @@ def technique_validity(spark, d):
 _NAMED = {"sam_hive_copy": "T1003.002", "psexec_usage": "T1569.002", "service_install": "T1543.003", "registry_run_key": "T1547.001", "startup_folder": "T1547.001", "amsi_bypass": "T1562.001", "shadow_copy_deletion": "T1490"}
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _NAMED.items()) + ") AS t(trigger, technique) WHERE trigger IN (SELECT unnest([" + ", ".join(f"'{t.name}'" for f in FAMILIES for t in f.triggers) + "])) AND (SELECT count(*) FROM events) > 0")
+@query(f"WITH {HITS} SELECT trigger, technique, count(*) AS n FROM h JOIN (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _NAMED.items()) + ") AS t(trigger, technique) USING (trigger) GROUP BY ALL")
 def trigger_techniques(spark, d):
-    """The techniques of triggers that fire on the events or are in the rules."""
-    rules = spark.createDataFrame([(t.name,) for f in FAMILIES for t in f.triggers], "trigger string").distinct()
-    some = D.read(spark, d, "events").limit(1).select(F.lit(1).alias("one"))
-    return rules.where(F.col("trigger").isin(*_NAMED)).join(F.broadcast(some)).select("trigger", R.technique(F.col("trigger")).alias("technique"))
+    """The techniques of some triggers, with how often they fire."""
+    hits = C.trigger_hits(D.events(spark, d)).where(F.col("trigger").isin(*_NAMED))
+    return hits.groupBy("trigger").agg(F.count(F.lit(1)).alias("n")).select("trigger", R.technique(F.col("trigger")).alias("technique"), "n")
 
 
 @query("SELECT name AS p_name, round(-sum(c / n * log2(c / n)), 6) AS entropy FROM (SELECT p_name AS name, ch, count(*)::DOUBLE AS c, any_value(length(p_name))::DOUBLE AS n FROM (SELECT p_name, unnest(string_split(p_name, '')) AS ch FROM (SELECT DISTINCT p_name FROM part)) GROUP BY p_name, ch) GROUP BY name")
