@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from casegraph.operators.cluster import build_clusters, trigger_hits
-from casegraph.operators.rules import BY_NAME, FAMILIES
+from casegraph.operators.graph import saved
+from casegraph.operators.rules import BY_NAME, FAMILIES, prepared
 
 COLUMNS = "event_id string, case_id string, host_name string, timestamp string, canonical_type string, user string, process_name string, process_path string, command_line string, target_file string, remote_ip string, remote_port int, registry_key string, alert_name string, logon_type string, parent_name string, user_agent string, md5 string, volatility map<string,string>, event_data map<string,string>"
 NAMES = [c.strip().split(" ")[0] for c in COLUMNS.split(", ")]
@@ -49,7 +50,7 @@ TRIGGERS = {
         "service_remote_install": (SVC, A("service x")), "winrm_remote_management": (N(port=5986), N(port=5987)),
     },
     "DefenseEvasion": {
-        "obfuscated_powershell": (P("powershell -enc AAAA", process_name="powershell.exe"), P("x -enc AAAA", process_name="x.exe")), "amsi_bypass": (P("amsiInitFailed"), P("amsi")), "etw_tamper": (P("patch etw"), P("etw")), "edr_disable": (P("Set-MpPreference x"), P("Get-MpPreference x")), "process_injection": (P("CreateRemoteThread"), P("CreateThread")),
+        "obfuscated_powershell": (P("powershell -enc AAAA", process_name="powershell.exe"), P("x -enc AAAA", process_name="x.exe")), "amsi_bypass": (P("amsiInitFailed"), P("ams init")), "etw_tamper": (P("patch etw"), P("etw")), "edr_disable": (P("Set-MpPreference x"), P("Get-MpPreference x")), "process_injection": (P("CreateRemoteThread"), P("CreateThread")),
         "process_masquerading": (P(process_name="svchost.exe", process_path=r"C:\Temp\svchost.exe"), P(process_name="svchost.exe", process_path=r"C:\Windows\System32\svchost.exe")), "uac_bypass": (P("fodhelper.exe & reg add hkcu"), P("fodhelper.exe")), "sigma_defense_evasion": (A("TA0005"), A("TA0006")),
     },
     "Beaconing": {
@@ -140,7 +141,7 @@ def test_every_rule_has_a_case():
 
 def test_triggers(spark):
     rows = [e | {"event_id": f"{f}/{t}/{sign}"} for f, ts in TRIGGERS.items() for t, pair in ts.items() for sign, e in zip("+-", pair)]
-    hits = {(r["event_id"], r["constructor"], r["trigger"]): r["base"] for r in trigger_hits(events(spark, rows)).select("event_id", "constructor", "trigger", "base").collect()}
+    hits = {(r["event_id"], r["constructor"], r["trigger"]): r["base"] for r in trigger_hits(saved(prepared(events(spark, rows)))).select("event_id", "constructor", "trigger", "base").collect()}
     for f in FAMILIES:
         for t in f.triggers:
             assert hits.get((f"{f.name}/{t.name}/+", f.name, t.name)) == t.base, (f.name, t.name)
