@@ -117,7 +117,7 @@ COUNTERS = {
     "Timestomp": {"matched_known_installer_behavior": ({"process_name": "update.exe"}, {"process_name": "up.exe"}), "within_file_restore_window": ({"target_file": "listed"}, {"target_file": "x"})},
     "ShadowDeletion": {"matched_documented_disk_cleanup": ({"process_name": "diskcleanup.exe"}, {"process_name": "clean.exe"}), "within_backup_software_window": ({"timestamp": "2024-05-01 04:59:59"}, {"timestamp": "2024-05-01 05:00:00"})},
     "MemoryAnomaly": {"dll_in_system_path": ({"process_path": r"C:\Windows\WinSxS\x\a.dll"}, {"process_path": r"C:\x\a.dll"}), "signed_microsoft_dll": ({"volatility": {"BaseName": "NTDLL.dll"}}, {"volatility": {"BaseName": "x.dll"}})},
-    "SuspiciousLineage": {"known_admin_invocation": ({"user": r"NT AUTHORITY\SYSTEM"}, {"user": "admin"}), "office_addin_path": ({"process_path": r"C:\Users\a\AppData\Roaming\Microsoft\AddIns\x.exe"}, {"process_path": r"C:\addins\x.exe"})},
+    "SuspiciousLineage": {"known_admin_invocation": ({"user": r"NT AUTHORITY\SYSTEM"}, {"user": "admin"}), "office_addin_path": ({"process_path": r"C:\Users\a\AppData\Roaming\Microsoft\AddIns\x.exe"}, {"process_path": r"C:\Temp\addins\x.exe"})},
     "CredentialAccess": {"accessing_process_is_defender": ({"process_name": "msmpeng.exe"}, {"process_name": "x"}), "accessing_process_is_sysmon": ({"process_name": "sysmon64.exe"}, {"process_name": "x"}), "matched_known_av_or_edr_signature": ({"process_name": "listed"}, {"process_name": "x"}), "audit_legitimate_use_window": ({"user": "listed"}, {"user": "x"})},
 }
 #: An event that meets a trigger of the family and neither a signal of the first event nor a counter.
