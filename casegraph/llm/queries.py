@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, exact_dedup, ngram_join, pii, quality, substring_dedup, toxicity, url_filter, warc
+from . import bpe, decontaminate, exact_dedup, ngram_join, pii, quality, spelling, substring_dedup, toxicity, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -19,10 +19,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": quality.op8_quality,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "op11_spelling": spelling.op11_spelling,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_dedup": exact_dedup.OP4_SQL,
     "op9_url_filter": url_filter.OP9_SQL,
     "op10_decontaminate": decontaminate.OP10_SQL,
+    "op11_spelling": spelling.OP11_SQL,
 }

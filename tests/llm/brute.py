@@ -4,6 +4,7 @@ import base64
 import hashlib
 import math
 import re
+import zlib
 
 import regex
 
@@ -118,3 +119,36 @@ def toxic_chance(text, model):
             count[f] = count.get(f, 0) + 1
     z = sum(weights[f] * math.log(1 + n) for f, n in count.items() if f in weights) * math.sqrt(100 / max(len(words), 20))
     return 1 / (1 + math.exp(theta[0] - z))
+
+
+def spelling(docs, size=6, least=5, ratio=5, drop=199):
+    """docs: [(doc_id, text)] -> [(word, form, root, n, n_near, form_n)]."""
+    n = {}
+    for i, t in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", t or ""):
+            run = "".join(c.lower() if "A" <= c <= "Z" else c for c in run)
+            h = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
+            if drop and h % drop == 0:
+                run = run[:h % len(run)] + run[h % len(run) + 1:]
+            n[run] = n.get(run, 0) + 1
+    n = {w: k for w, k in n.items() if len(w) >= size and k >= least}
+
+    def near(a, b):
+        if len(a) > len(b):
+            a, b = b, a
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b)) == 1
+        return len(b) == len(a) + 1 and any(b[:k] + b[k + 1:] == a for k in range(len(b)))
+
+    form, count = {}, {}
+    for a in n:
+        close = sorted((-n[b], b) for b in n if abs(len(a) - len(b)) < 2 and near(a, b))
+        count[a] = len(close)
+        form[a] = close[0][1] if close and -close[0][0] >= ratio * n[a] else None
+    out = []
+    for a in n:
+        root = a
+        while form[root]:
+            root = form[root]
+        out.append((a, form[a], root, n[a], count[a], n[form[a]] if form[a] else None))
+    return out
