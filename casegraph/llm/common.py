@@ -155,6 +155,27 @@ def joined(column: pa.ChunkedArray, dtype: str) -> tuple[np.ndarray, np.ndarray]
     return (np.concatenate(parts) if parts else np.zeros(0, dtype)), np.array([len(p) for p in parts], np.int64)
 
 
+def packed(**columns: pa.Array) -> bytes:
+    """Columns of one length as a compressed Arrow stream."""
+    batch = pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(body: bytes) -> pa.Table:
+    return pa.ipc.open_stream(body).read_all()
+
+
+def grouped(keys: np.ndarray, *sums: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The distinct keys in order, how many there are of each, and the sums of further integers by key."""
+    order = np.argsort(keys, kind="stable")
+    ordered = keys[order]
+    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return ordered[first], np.diff(np.append(first, len(keys))), *(np.add.reduceat(x[order], first) if len(keys) else x for x in sums)
+
+
 def release() -> None:
     """Gives memory that is free back to the system: workers live on, and would keep what their largest task took."""
     pa.default_memory_pool().release_unused()

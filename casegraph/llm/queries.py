@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, exact_dedup, ngram_join, pii, quality, spelling, substring_dedup, toxicity, url_filter, warc
+from . import bpe, decontaminate, exact_dedup, ngram_join, pii, quality, source_audit, spelling, substring_dedup, toxicity, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_decontaminate": decontaminate.op10_decontaminate,
     "op11_spelling": spelling.op11_spelling,
+    "op12_source_audit": source_audit.op12_source_audit,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -27,4 +28,5 @@ ORACLE_SQL: dict[str, str] = {
     "op9_url_filter": url_filter.OP9_SQL,
     "op10_decontaminate": decontaminate.OP10_SQL,
     "op11_spelling": spelling.OP11_SQL,
+    "op12_source_audit": source_audit.OP12_SQL,
 }

@@ -152,3 +152,50 @@ def spelling(docs, size=6, least=5, ratio=5, drop=199):
             root = form[root]
         out.append((a, form[a], root, n[a], count[a], n[form[a]] if form[a] else None))
     return out
+
+
+def audit(docs, least=3, top=200):
+    """docs: [(lang, source, text)] -> [(lang, source, part, item, value, rank)]."""
+    docs = [tuple(x or "" for x in d) for d in docs]
+    word = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+    fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    out = []
+    for lang in {d[0] for d in docs}:
+        mine = [(s, [w.translate(fold) for w in word.findall(t)]) for x, s, t in docs if x == lang]
+        in_docs, n, sources = {}, {}, {s for s, _ in mine}
+        for s, ws in mine:
+            for w in set(ws):
+                in_docs[w] = in_docs.get(w, 0) + 1
+            for w in ws:
+                n[s, w] = n.get((s, w), 0) + 1
+        kept = [w for w, k in in_docs.items() if k >= least]
+        total = {s: sum(n.get((s, w), 0) for w in kept) for s in sources}
+        share = lambda k, whole: 1 + 10**9 * (k + 1) // (whole + len(kept))  # noqa: B023, E731
+        p = {s: {w: share(n.get((s, w), 0), total[s]) for w in kept} for s in sources}
+        q = {w: share(sum(n.get((s, w), 0) for s in sources), sum(total.values())) for w in kept}
+        f = lambda a, b: (a - b) ** 2 // b
+        for s in sources:
+            pairs = [(sum(f(p[s][w], p[o][w]) for w in kept), o) for o in sources if o != s]
+            terms = [(f(p[s][w], q[w]), w) for w in kept if n.get((s, w), 0) and p[s][w] > q[w]]
+            for part, found in (("pair", pairs), ("term", terms)):
+                found.sort(key=lambda x: (-x[0], x[1].encode()))
+                out += [(lang, s, part, i, v, k + 1) for k, (v, i) in enumerate(found) if part == "pair" or k < top]
+    return out
+
+
+def substring_bytes(docs, window=50):
+    """docs: [(doc_id, text)] -> [(doc_id, n_bytes, n_removed, n_spans, kept_sha256)]."""
+    data = [(i if i is not None else float("inf"), (t or "").encode()) for i, t in docs]
+    first = {}
+    for i, b in data:
+        for k in range(len(b) - window + 1):
+            first[b[k:k + window]] = min(first.get(b[k:k + window], i), i)
+    out = []
+    for (i, b), (doc_id, _) in zip(data, docs):
+        gone = bytearray(len(b))
+        for k in range(len(b) - window + 1):
+            if first[b[k:k + window]] < i:
+                gone[k:k + window] = b"\x01" * window
+        spans = sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
+        out.append((doc_id, len(b), sum(gone), spans, sha(bytes(x for x, g in zip(b, gone) if not g))))
+    return out

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from casegraph.llm import spelling
+from casegraph.llm import source_audit, spelling
 
 from . import brute
 
@@ -40,3 +40,21 @@ def test_spelling_chain(spark):
     data = [(k, " ".join([x] * (5 * 5**k))) for k, x in enumerate(w)]
     df = spark.createDataFrame(data, "doc_id string, text string")
     assert rows(spelling.spelling_variants(df, drop=None), "word", "root") == [(x, w[-1]) for x in w]
+
+
+AUDIT = ("lang", "source", "part", "item", "value", "rank")
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_audit(spark, small, monkeypatch):
+    if small:
+        monkeypatch.setattr(source_audit, "BLOCK_ROWS", 7)
+        monkeypatch.setattr(source_audit, "CELLS", 20)
+    rnd = random.Random(4)
+    words = ["alpha", "Beta", "GAMMA", "éa", "É", "don't", "x1y", "--", "a.b.a", "\u00a0z", "(beta)", "beta;"]
+    data = [(rnd.choice(["en", "de", None]), rnd.choice(["a", "b", "ü", "B", None]), rnd.choice([" ", "\n", "\t "]).join(rnd.choices(words[: rnd.randint(2, 12)], k=rnd.randint(0, 30)))) for _ in range(60)]
+    data += [("en", "a", None), ("en", "none", "1 2 ---"), ("solo", "s", "one two"), ("two", "p", "only"), ("two", "q", "other"), ("en", "b", "beta " * 50_000), ("en", "a", "x" * 100_000)]
+    data += data[:9]
+    df = spark.createDataFrame([(k, 3, *r, "t") for k, r in enumerate(data)], "doc_id long, n int, lang string, source string, text string, term string")
+    assert rows(source_audit.source_divergence(df, top=5), *AUDIT) == sorted(brute.audit(data, top=5), key=str)
+    assert source_audit.source_divergence(df.limit(0)).count() == 0
