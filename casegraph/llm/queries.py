@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, exact_dedup, ngram_join, pii, quality, source_audit, spelling, substring_dedup, toxicity, url_filter, warc
+from . import bpe, decontaminate, exact_dedup, ngram_join, pii, quality, source_audit, spelling, substring_dedup, suffix_dedup, toxicity, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontaminate": decontaminate.op10_decontaminate,
     "op11_spelling": spelling.op11_spelling,
     "op12_source_audit": source_audit.op12_source_audit,
+    "op13_suffix_dedup": suffix_dedup.op13_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -29,4 +30,5 @@ ORACLE_SQL: dict[str, str] = {
     "op10_decontaminate": decontaminate.OP10_SQL,
     "op11_spelling": spelling.OP11_SQL,
     "op12_source_audit": source_audit.OP12_SQL,
+    "op13_suffix_dedup": suffix_dedup.OP13_SQL,
 }

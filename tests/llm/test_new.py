@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from casegraph.llm import source_audit, spelling
+from casegraph.llm import source_audit, spelling, suffix_dedup
 
 from . import brute
 
@@ -58,3 +58,43 @@ def test_audit(spark, small, monkeypatch):
     df = spark.createDataFrame([(k, 3, *r, "t") for k, r in enumerate(data)], "doc_id long, n int, lang string, source string, text string, term string")
     assert rows(source_audit.source_divergence(df, top=5), *AUDIT) == sorted(brute.audit(data, top=5), key=str)
     assert source_audit.source_divergence(df.limit(0)).count() == 0
+
+
+BYTES = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@pytest.mark.parametrize("plan", [{}, {"hot": 2}, {"hot": 0}, {"kgram": 50}])
+def test_suffix(spark, plan, monkeypatch):
+    rnd = random.Random(6)
+    text = lambda n, of="abcdeé ": "".join(rnd.choices(of, k=n))
+    passages = [text(rnd.randint(40, 130)) for _ in range(6)]
+    data = [(k, text(rnd.randint(0, 60)).join(rnd.choices(passages, k=rnd.randint(0, 4)))) for k in range(40)]
+    for k in range(40, 60):  # near copies
+        t = list(data[k % 3][1])
+        for _ in range(3 if t else 0):
+            t[rnd.randrange(len(t))] = rnd.choice("xyz")
+        data.append((k, "".join(t)))
+    data += [(70, None), (71, ""), (72, "a" * 49), (73, "a" * 50), (74, "a" * 300), (75, "ab" * 200), (76, "a" * 50 + "\x00" * 60), (77, "\x00" * 70)]
+    data += [data[3], (3, data[5][1]), (None, data[0][1] + passages[0]), (None, passages[0] * 2), (-5, passages[1]), (90, "".join(passages) * 50), (91, text(60) + "".join(passages) * 50)]
+    df = spark.createDataFrame([(*r, 0, "x") for r in data], "doc_id long, text string, shard int, keys string")
+    got = suffix_dedup.suffix_dedup(df, **plan)
+    assert rows(got, *BYTES) == sorted(brute.substring_bytes(data), key=str)
+    assert suffix_dedup.suffix_dedup(df.limit(0), **plan).count() == 0
+
+
+def test_suffix_pieces():
+    """Pieces give the anchors of the whole, and the sort is the order of the bytes."""
+    import numpy as np
+    import pyarrow as pa
+
+    rnd = np.random.default_rng(2)
+    texts = pa.array([bytes(rnd.integers(97, 99, n).astype(np.uint8)).decode() for n in (5000, 10, 0, 700, 50, 51)])
+    whole, size = suffix_dedup.Anchors(texts, 50, 24, 7), suffix_dedup.PIECE
+    suffix_dedup.PIECE = 333
+    cut = suffix_dedup.Anchors(texts, 50, 24, 7)
+    suffix_dedup.PIECE = size
+    windows = lambda a: sorted((int(s), int(p)) for lo, hi, p in zip(a.low, a.high, a.at) for s in range(lo, hi + 1))
+    assert windows(whole) == windows(cut) and len(windows(whole)) == 4951 + 651 + 1 + 2
+    rows_ = rnd.integers(0, 2, (500, 21)).astype(np.uint8)
+    order = suffix_dedup.multikey_sort(rows_)
+    assert [bytes(rows_[k]) for k in order] == sorted(bytes(r) for r in rows_)
