@@ -23,13 +23,13 @@ FIT_ROWS, FIT_BYTES = 10_000, 64 << 20
 #: Lengths of the beginnings of words that are features.
 PREFIXES = (4, 5, 6, 7, 8)
 #: A feature takes part if it is in so many toxic documents, and so many deviations more often there than chance would have it.
-LEAST, SIGNIFICANT = 3, 2.5
+LEAST, SIGNIFICANT = 5, 4.0
 #: What an error on a toxic row weighs against one on a clean row, and the penalty on squared weights.
-TOXIC_WEIGHT, L2 = 3.0, 1e-4
+TOXIC_WEIGHT, L2 = 3.0, 1e-3
 #: Documents that a task scores at once.
 AT_ONCE = 2_000
 #: Documents with at least this chance of grade 1 are rejected.
-REJECT = 0.5
+REJECT = 0.3
 
 Model = tuple[dict[str, float], np.ndarray]
 
