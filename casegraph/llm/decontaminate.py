@@ -8,6 +8,7 @@ joined with these prefix tokens; offset and length bound where the window can st
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import table, written
 
@@ -29,12 +30,11 @@ def shingles(words: str, size: int) -> Column:
     return F.transform(at, lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice(F.col(words), i, F.lit(size)), F.lit(size)).alias("h")))
 
 
-def item_windows(items: DataFrame, window: int, shingle: int) -> DataFrame:
-    """(wid, wlen, wwords, items, s): distinct windows, the items that have each, and the length of its shingles."""
-    words = items.select(F.col("item_id"), words_of(F.col("text")).alias("w")).where(F.size("w") > 0)
+def item_windows(items: DataFrame, window: int) -> DataFrame:
+    """(item_id, wlen, wwords): the windows of each item."""
+    words = items.select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text")).alias("w")).where(F.size("w") > 0)
     n = F.least(F.size("w"), F.lit(window))
-    each = words.select("item_id", n.alias("wlen"), F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.slice(F.col("w"), i, n))).alias("wwords"))
-    return each.groupBy("wwords", "wlen").agg(F.collect_set(F.col("item_id").cast("string")).alias("items")).select(F.xxhash64("wwords").alias("wid"), "wlen", "wwords", "items", F.least("wlen", F.lit(shingle)).alias("s"))
+    return words.select("item_id", n.alias("wlen"), F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.slice(F.col("w"), i, n))).alias("wwords"))
 
 
 def small(df: DataFrame, *texts: str) -> DataFrame:
@@ -47,19 +47,22 @@ def small(df: DataFrame, *texts: str) -> DataFrame:
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
     """Marks the documents that hold a window of consecutive words of a benchmark item.
 
-    docs: (doc_id, text), items: (item_id, text); further columns are ignored. Returns (doc_id, n_words, n_hit, n_items,
+    docs: (doc_id, text), items: (item_id, text), ids of any type; further columns are ignored. Returns (doc_id, n_words, n_hit, n_items,
     items_sha256, contaminated), one row for each row of docs. A null text has no words; an item without words has no
     window; an item shorter than the window is one window. Repeated items and repeated documents are each judged on their
     own, an item_id that is null names no item but its windows still count as hits. With no documents the result is empty,
     with no items nothing is contaminated.
     """
-    wins = written(item_windows(items, window, shingle), "leak-windows")
+    each = written(item_windows(items, window), "leak-items")
+    # numbers instead of hashes: two windows never share one, and once written they stay
+    wins = written(each.select("wlen", "wwords").distinct().select(F.monotonically_increasing_id().alias("wid"), "wlen", "wwords", F.least("wlen", F.lit(shingle)).alias("s")), "leak-windows")
     sizes = [r["s"] for r in wins.select("s").distinct().collect()]  # at most SHINGLE rows
     tokens = F.concat(*[shingles("wwords", s) for s in sizes]) if sizes else F.array().cast("array<struct<pos:int,h:bigint>>")
-    own = F.transform(tokens, lambda t: t)
-    parts = written(wins.select("wid", "wlen", "s", F.explode(own).alias("t")).select("wid", "wlen", F.col("t.pos").alias("off"), F.col("t.h").alias("h")), "leak-tokens")
+    parts = written(wins.select("wid", "wlen", "s", F.explode(tokens).alias("t")).select("wid", "wlen", F.col("t.pos").alias("off"), F.col("t.h").alias("h")), "leak-tokens")
 
-    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    # documents that share a key only share what is then compared with each one's words
+    whole = isinstance(docs.schema["doc_id"].dataType, IntegralType)
+    key = F.coalesce(F.col("doc_id").cast("long") if whole else F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     base = docs.select(key.alias("key"), words_of(F.col("text")).alias("words")).select("key", F.size("words").alias("n"), "words")
     made = F.concat(*[shingles("words", s) for s in sizes]) if sizes else F.array().cast("array<struct<pos:int,h:bigint>>")
     seen = base.select("key", "n", F.explode(made).alias("t")).select("key", "n", F.col("t.pos").alias("pos"), F.col("t.h").alias("h"))
@@ -71,15 +74,21 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
     prefix = written(prefix, "leak-prefix")
     start = F.col("pos") - F.col("off") + 1
     maybe = hits.join(small(prefix), "h").where((start >= 1) & (start + F.col("wlen") - 1 <= F.col("n"))).select("key", "wid", start.alias("start"))
-    maybe = maybe.distinct().join(small(wins.select("wid", "wlen", "wwords", "items"), "wwords", "items"), "wid")
-    found = maybe.groupBy("key").agg(F.collect_list(F.struct("start", "wlen", "wwords", "items")).alias("maybe"))
+    maybe = maybe.distinct().join(small(wins.select("wid", "wlen", "wwords"), "wwords"), "wid")
+    found = maybe.groupBy("key").agg(F.collect_list(F.struct("start", "wlen", "wwords", "wid")).alias("maybe"))
 
-    rows = docs.select("doc_id", key.alias("key"), F.col("text")).join(found, "key", "left").select("doc_id", words_of(F.col("text")).alias("words"), "maybe")
+    rows = docs.select("doc_id", key.alias("key"), F.col("text")).join(found, "key", "left").select("doc_id", "key", words_of(F.col("text")).alias("words"), "maybe")
     sure = F.filter("maybe", lambda c: F.slice(F.col("words"), c["start"], c["wlen"]) == c["wwords"])
-    rows = rows.select("doc_id", F.size("words").cast("long").alias("n_words"), F.coalesce(F.when(F.size("words") > 0, sure), F.array().cast("array<struct<start:int,wlen:int,wwords:array<string>,items:array<string>>>")).alias("sure"))
+    none = F.array().cast("array<struct<start:int,wlen:int,wwords:array<string>,wid:bigint>>")
+    rows = rows.select("doc_id", "key", F.size("words").cast("long").alias("n_words"), F.coalesce(F.when(F.size("words") > 0, sure), none).alias("sure"))
     covered = F.array_distinct(F.flatten(F.transform("sure", lambda c: F.sequence(c["start"], c["start"] + c["wlen"] - 1))))
-    named = F.array_sort(F.array_distinct(F.flatten(F.transform("sure", lambda c: c["items"]))))
-    rows = rows.select("doc_id", "n_words", F.size(covered).cast("long").alias("n_hit"), named.alias("items"))
+    wids = F.array_sort(F.array_distinct(F.transform("sure", lambda c: c["wid"])))
+    rows = written(rows.select("doc_id", "key", "n_words", F.size(covered).cast("long").alias("n_hit"), wids.alias("wids")), "leak-rows")
+    # the items of the windows come last, for documents that hold any: a window may be in any number of items
+    names = each.join(wins.select("wid", "wwords"), "wwords").where("item_id IS NOT NULL").select("wid", "item_id").distinct()
+    named = rows.where("n_hit > 0").select("key", "wids").distinct().withColumn("wid", F.explode("wids")).join(names, "wid").groupBy("key", "wids").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    hit = rows.where("n_hit > 0").join(named, ["key", "wids"], "left")
+    rows = rows.where("n_hit = 0").withColumn("items", F.lit(None).cast("array<string>")).unionByName(hit).withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
     return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
