@@ -12,7 +12,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import table, written
 
@@ -33,6 +34,8 @@ SPAN = "array<struct<start:int,end:int,value:string>>"
 
 #: Matches that one inner fold adds to its array; folds over all matches of a text would copy with the square of their number.
 CHUNK = 256
+#: Classes of a document's entities that meet its terms in one group.
+BLOCK = 64
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -107,39 +110,65 @@ def once(docs: DataFrame) -> DataFrame:
     return docs.join(again, "key", "left_anti").unionByName(merged)
 
 
+def classes(rows: DataFrame, what: str, n: str) -> DataFrame:
+    """rows (key, what, n) with (n, x, y), a class of those that the same keys have: two independent hashes of the set, and n."""
+    sets = rows.groupBy(what, n).agg(F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(7))).alias("y"))
+    return rows.join(sets, [what, n])
+
+
 def disclosing(docs: DataFrame, found: DataFrame) -> DataFrame:
     """(key, terms): for each document with an entity, the terms that disclose it.
 
     docs: (key, text), found: (key, values, terms) of those with an entity, both with one row for each key.
+
+    What one common document suffices for needs no pairs: in each document that is a bound on a term's count. For the other
+    terms, pairs with entities are counted, in classes of entities and terms that the same documents hold, so that copies of
+    a long list are one pair; BLOCK classes of a document's entities at a time meet its terms.
     """
     total = float(max(docs.count(), 1))
     info = F.log2(F.lit(total) / F.col("n_e"))
 
-    def tells(n_te: Column) -> Column:
-        pmi = info + F.log2((n_te + PRIOR * F.col("n_e") / total) / (F.col("n_t") + PRIOR))
+    def tells(n_te: Column, n_t: Column = F.col("n_t")) -> Column:
+        pmi = info + F.log2((n_te + PRIOR * F.col("n_e") / total) / (n_t + PRIOR))
         return (pmi >= BITS) & (pmi >= SHARE * info)
 
     held = found.select("key", F.explode("values").alias("e"))
-    held = written(held.join(held.groupBy("e").agg(F.count(F.lit(1)).alias("n_e")).where(info >= BITS), "e"), "pii-held")
+    # the most documents that a term may be in if it has one in common with the entity: the formula turned around, and tried
+    about = F.floor((1 + PRIOR * F.col("n_e") / total) * F.pow(F.lit(2.0), info - F.greatest(F.lit(BITS), SHARE * info)) - PRIOR).cast("long")
+    alone = F.when(tells(F.lit(1), about + 1), about + 1).when(tells(F.lit(1), about), about).otherwise(about - 1)
+    held = held.join(held.groupBy("e").agg(F.count(F.lit(1)).alias("n_e")).where(info >= BITS), "e")
+    held = written(held.withColumn("alone", alone), "pii-held")
     # no pair passes where n_t is above this for every entity, as n_te is n_e at most
     most = held.agg(F.max((F.col("n_e") + PRIOR) * F.pow(F.lit(2.0), (1 - SHARE) * info))).first()[0] or 0.0
     often = docs.select(F.explode(terms_of(F.col("text"))).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n_t")).where(F.col("n_t") <= most)
     rare = written(found.select("key", F.explode("terms").alias("t")).join(often, "t"), "pii-rare")
-    pairs = held.join(rare, "key").where(tells(F.least("n_e", "n_t"))).groupBy("e", "n_e", "t", "n_t").agg(F.count(F.lit(1)).alias("n_te"))
-    told = written(pairs.where(tells(F.col("n_te"))).select("e", "t"), "pii-told")
-    return held.select("key", "e").join(told, "e").join(rare.select("key", "t"), ["key", "t"]).groupBy("key").agg(F.collect_set("t").alias("terms"))
+    simple = rare.join(held.groupBy("key").agg(F.max("alone").alias("alone")), "key").where("n_t <= alone").select("key", "t")
+
+    several = classes(held.where("n_e > 1").select("key", "e", "n_e", "alone"), "e", "n_e").select("key", "n_e", "alone", F.struct("n_e", "x", "y").alias("c_e")).distinct()
+    nth = F.row_number().over(Window.partitionBy("key").orderBy("c_e")) - 1
+    several = written(several.withColumn("block", F.floor(nth / BLOCK).cast("int")), "pii-entities")
+    shared = written(classes(rare.where("n_t > 1"), "t", "n_t").select("key", "t", "n_t", F.struct("n_t", "x", "y").alias("c_t")), "pii-terms")
+    blocks = several.groupBy("key").agg(F.max("block").alias("last")).select("key", F.explode(F.sequence(F.lit(0), "last")).alias("block"))
+    terms = shared.select("key", "n_t", "c_t").distinct().join(blocks, "key")
+    pairs = several.join(terms, ["key", "block"]).where(F.col("n_t") > F.col("alone")).where(tells(F.least("n_e", "n_t")))
+    told = pairs.groupBy("c_e", "n_e", "c_t", "n_t").agg(F.count(F.lit(1)).alias("n_te")).where(tells(F.col("n_te"))).select("c_e", "c_t")
+    counted = several.select("key", "c_e").join(written(told, "pii-told"), "c_e").select("key", "c_t").distinct().join(shared.select("key", "c_t", "t"), ["key", "c_t"]).select("key", "t")
+    return simple.unionByName(counted).groupBy("key").agg(F.collect_set("t").alias("terms"))
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
     """Spans of personal data in every text.
 
-    docs: (doc_id, text), further columns are ignored. Returns (doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans,
+    docs: (doc_id, text), ids of any type; further columns are ignored. Returns (doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans,
     n_term, sanitised), one row for each input row. A null or empty text has no span. Repeated rows, and rows without an id,
     are handled each on their own text; rows that repeat an id count as one document in the statistics and share the
     terms found for it. An empty table gives an empty result.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    docs = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text)).alias("key"), text.alias("text"))
+    # a document's key in the statistics; ids that are no integers keep their text, and rows without one are told apart by theirs
+    whole = isinstance(docs.schema["doc_id"].dataType, IntegralType)
+    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text)) if whole else F.coalesce(F.concat(F.lit("id "), F.col("doc_id").cast("string")), F.concat(F.lit("no id "), F.sha2(text, 256)))
+    docs = docs.select("doc_id", key.alias("key"), text.alias("text"))
     base = docs.select("doc_id", "key", "text", *[c.alias(k) for k, c in base_spans(F.col("text")).items()])
     prefixed = lambda k: F.transform(k, lambda m: F.concat(F.lit(f"{k}:"), m["value"]))
     values = F.array_distinct(F.concat(*[prefixed(k) for k in PATTERNS]))

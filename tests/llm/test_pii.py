@@ -51,3 +51,38 @@ def test_against_plain(spark):
     got = {i: {texts[i][int(a):int(b)] for k, a, b in (x.split(":") for x in s) if k == "term"} for i, s in spans(pii.find_pii(frame(spark, docs))).items()}
     assert {i: t for i, t in got.items() if t} == want
     assert pii.find_pii(frame(spark, [])).count() == 0
+
+
+def test_string_ids_and_lists(spark):
+    """Ids that are no numbers, and a long list of entities and rare words, copied with changes: no table of all their pairs."""
+    import time
+
+    many = " ".join(f"u{k}@x.org word{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}zz" for k in range(3000))
+    docs = [(f"d{k}", f"{FILL} {k}") for k in range(600)] + [("long", many), ("copy", many), (None, many + " lastone"), ("half", many[: len(many) // 2])]
+    began = time.time()
+    out = {r["doc_id"]: (r["n_email"], r["n_term"]) for r in pii.find_pii(spark.createDataFrame(docs, "doc_id string, text string")).collect()}
+    assert out["long"] == out["copy"] == (3000, 3000) and out[None] == (3000, 3001) and out["d5"] == (0, 0) and time.time() - began < 60
+
+
+def test_base_spans(spark):
+    """The four kinds against their plain patterns, on random texts of the characters that matter."""
+    import random
+    import re
+
+    rnd = random.Random(8)
+    plain = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+    def luhn(d):
+        return sum(sum(divmod(int(x) * (1 + k % 2), 10)) for k, x in enumerate(reversed(d))) % 10 == 0
+
+    def valid(kind, v):
+        d = re.sub("[^0-9]", "", v)
+        return {"email": True, "ip": kind != "ip" or all(int(p) <= 255 for p in v.split(".")), "card": 16 <= len(d) <= 19 and luhn(d), "phone": 8 <= len(d) <= 15}[kind]
+
+    texts = ["".join(rnd.choices(rnd.choice(["0123456789. -+()", "ab@.-é 1", "4 -0", "+1 ()-.", "25.0", "@.a"]), k=rnd.randint(0, 120))) for _ in range(400)]
+    texts += ["4111 1111 1111 1111 4111111111111111", "x@y.z.", "+1 (555) 010-9999", "1.2.3.4.5.6.7.8", "999.1.1.1 1.1.1.1"]
+    want = {}
+    for k, t in enumerate(texts):
+        want[k] = [f"{kind}:{m.start()}:{m.end()}" for kind, p in plain.items() for m in re.finditer(p, t) if valid(kind, m[0])]
+    got = {i: [x for x in s if not x.startswith("term")] for i, s in spans(pii.find_pii(frame(spark, list(enumerate(texts))))).items()}
+    assert got == want
