@@ -195,11 +195,13 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, kgram: int = KGRAM, hot:
     parts = sharded(docs, n)
     cuts = docs.sparkSession.sparkContext.broadcast(splitters(docs, n, window, kgram))  # n - 1 grams, as many as there are buckets
 
-    def read(t: pa.Table) -> tuple[Anchors, np.ndarray]:
-        return Anchors(t["text"].combine_chunks(), window, kgram, n), t["doc_id"].fill_null(LAST).to_numpy()
+    def read(t: pa.Table) -> tuple[pa.Table, Anchors, np.ndarray]:
+        """In one order, whatever order the rows come in: pieces, and so spans, have to be the same each time."""
+        t = t.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        return t, Anchors(t["text"].combine_chunks(), window, kgram, n), t["doc_id"].fill_null(LAST).to_numpy()
 
     def probe(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        a, ids = read(t)
+        _, a, ids = read(t)
         who = ids[a.doc]
         order = np.lexsort((who, a.cell))
         cell, who = a.cell[order], who[order]
@@ -263,7 +265,7 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, kgram: int = KGRAM, hot:
         return first, np.append(first[1:], len(bucket))
 
     def send(key: tuple[pa.Scalar, ...], t: pa.Table, replies: pa.Table) -> pa.Table:
-        *_, spans, place, least, bucket = records(*read(t), replies)
+        *_, spans, place, least, bucket = records(*read(t)[1:], replies)
         first, ends = runs(bucket)
         bodies = [packed(span=spans.slice(x, y - x).cast(pa.binary()), at=pa.array(place[x:y], pa.uint8()), doc=pa.array(least[x:y], pa.int64())) for x, y in zip(first, ends)]
         release()
@@ -284,7 +286,7 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, kgram: int = KGRAM, hot:
     both = hits.select("shard", "bucket", "keys", "hot", *none("lost")).unionByName(answers.select("shard", "bucket", *none("keys", "hot"), "lost"))
 
     def cut(key: tuple[pa.Scalar, ...], t: pa.Table, replies: pa.Table) -> pa.Table:
-        a, ids = read(t)
+        t, a, ids = read(t)
         answer = replies["lost"].is_valid()
         low, high, doc, at, index, _, _, least, bucket = records(a, ids, replies.filter(replies["keys"].is_valid()))
         codec, (first, ends) = pa.Codec("zstd"), runs(bucket)
