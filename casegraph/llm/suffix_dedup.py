@@ -29,7 +29,7 @@ from .common import bucket_runs, cells, joined, mixed, packed, pieces, release,
 
 WINDOW, KGRAM = 50, 24
 #: Occurrences of a gram from which its windows are dealt one by one, bytes that are looked at at once, grams of the sample for each bucket.
-HOT, PIECE, SAMPLE = 4096, 1 << 20, 64
+HOT, PIECE, SAMPLE = 4096, 1 << 17, 64
 LAST = np.iinfo(np.int64).max  # stands for a missing id: after all others
 #: A random number for each byte.
 CODES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -65,7 +65,8 @@ class Anchors:
         least = np.minimum(least[: len(least) - rest], least[rest:]) if rest else least
         at = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
         start = np.arange(x, x + len(at))
-        ends = self.starts[np.searchsorted(self.starts, start, "right")]
+        first, last = np.searchsorted(self.starts, x, "right") - 1, np.searchsorted(self.starts, x + len(at), "left")
+        ends = np.repeat(self.starts[first + 1:last + 1], np.diff(np.clip(self.starts[first:last + 1], x, x + len(at))))  # of each start's document
         whole = np.flatnonzero(start + window <= ends)
         if not len(whole):
             return [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)]
@@ -180,19 +181,20 @@ def splitters(docs: DataFrame, n: int, window: int, kgram: int) -> np.ndarray:
     return found[np.arange(1, n) * len(found) // n] if len(found) >= n else found
 
 
-def suffix_dedup(docs: DataFrame, window: int = WINDOW, kgram: int = KGRAM, hot: int = HOT) -> DataFrame:
+def suffix_dedup(docs: DataFrame, window: int = WINDOW, kgram: int = KGRAM, hot: int = HOT, whole: bool = True) -> DataFrame:
     """Removes each byte covered by a string of window bytes that also starts in a document with a smaller id.
 
     docs: (doc_id, text), further columns are ignored; doc_id is an integer. Returns (doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept),
-    one row for each input row: bytes of the text, bytes and maximal runs removed, and what is left, which may cut a character. Strings
-    are judged on the input, and don't cross documents. A null text is empty. A row without an id counts as coming after all
+    one row for each input row: bytes of the text, bytes and maximal runs removed, and what is left, which may cut a character;
+    whole=False leaves out the last. Strings are judged on the input, and don't cross documents. A null text is empty. A row without an id counts as coming after all
     others: it loses what any document with an id has, and takes nothing from anyone. Rows that repeat an id are one document, so they
     don't take from each other. A document shorter than the window keeps all. An empty table gives an empty result.
     """
     if not 8 <= kgram <= window <= kgram + 63:
         raise ValueError("a gram has 8 bytes at least, and a window as many grams as a mask has bits")
-    n = shard_count(docs)
-    parts = sharded(docs, n)
+    shards = shard_count(docs)
+    n = max(shards // 2, 1)  # buckets
+    parts = sharded(docs, shards)
     cuts = docs.sparkSession.sparkContext.broadcast(splitters(docs, n, window, kgram))  # n - 1 grams, as many as there are buckets
 
     def read(t: pa.Table) -> tuple[pa.Table, Anchors, np.ndarray]:
@@ -294,31 +296,30 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, kgram: int = KGRAM, hot:
         mask = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(codec.decompress(x, 8 * int(e - f), asbytes=True), np.uint64) for x, f, e in zip(lost, first, ends))])
         edge = np.zeros(len(a.data) + window + 1, np.int32)
         mine = ids[doc] > least[index]  # what another document of the shard has, with a smaller id
-        np.add.at(edge, low[mine], 1)
-        np.add.at(edge, high[mine] + window, -1)
-        rest = np.flatnonzero(~mine)
-        for o in range(window - kgram + 1):
-            start = low[rest] + at[rest] - o
-            use = (start >= low[rest]) & (start <= high[rest]) & (mask[index[rest]] >> np.uint64(o) & np.uint64(1) > 0)
-            np.add.at(edge, start[use], 1)
-            np.add.at(edge, start[use] + window, -1)
+        edge += (np.bincount(low[mine], minlength=len(edge)) - np.bincount(high[mine] + window, minlength=len(edge))).astype(np.int32)
+        rest = np.flatnonzero(~mine & (mask[index] > 0))  # a mask has bits for windows of the span only
+        bits, anchor = mask[index[rest]], low[rest] + at[rest]
+        starts = np.concatenate([low[:0], *(anchor[bits >> np.uint64(o) & np.uint64(1) > 0] - o for o in range(window - kgram + 1))])
+        edge += (np.bincount(starts, minlength=len(edge)) - np.bincount(starts + window, minlength=len(edge))).astype(np.int32)
         gone = np.cumsum(edge[:len(a.data)]) > 0
         begins = gone & ~np.append(False, gone[:-1])
         inner = a.starts[:-1][a.lengths > 0]
         begins[inner] = gone[inner]  # a run ends with its document
         total = lambda x: np.append(0, np.cumsum(x))[a.starts[1:]] - np.append(0, np.cumsum(x))[a.starts[:-1]]
-        kept = [a.data[x:y][~gone[x:y]].tobytes() for x, y in zip(a.starts[:-1], a.starts[1:])]
+        removed = total(gone)
+        kept = [a.data[x:y][~gone[x:y]] if r else a.data[x:y] for x, y, r in zip(a.starts[:-1], a.starts[1:], removed)]
+        out = {
+            "doc_id": t["doc_id"].combine_chunks(), "n_bytes": pa.array(a.lengths, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(total(begins), pa.int64()),
+            "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()),
+        } | ({"kept": pa.array([x.tobytes() for x in kept], pa.binary())} if whole else {})
         release()
-        return pa.table({
-            "doc_id": t["doc_id"].combine_chunks(), "n_bytes": pa.array(a.lengths, pa.int64()), "n_removed": pa.array(total(gone), pa.int64()), "n_spans": pa.array(total(begins), pa.int64()),
-            "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()), "kept": pa.array(kept, pa.binary()),
-        })
+        return pa.table(out)
 
-    return parts.groupBy("shard").cogroup(both.groupBy("shard")).applyInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return parts.groupBy("shard").cogroup(both.groupBy("shard")).applyInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if whole else ""))
 
 
 def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup(table(spark, sf_dir, "documents")).drop("kept")
+    return suffix_dedup(table(spark, sf_dir, "documents"), whole=False)
 
 
 OP13_SQL = r"""
