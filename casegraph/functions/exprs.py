@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .lookups import CAUSAL_PHRASES, EXTENSIONS, FILE_NAMES, HIVES, HOOK_PREFIXES, PATH_PARTS, SHELL_PREFIXES
 from .tables import look_up
@@ -64,11 +66,23 @@ def int_of(text: Column) -> Column:
     return F.when(t.startswith("0x"), F.conv(F.substring(t, 3, 32), 16, 10)).otherwise(t).try_cast("long")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def last_wins(pairs: Column) -> Column:
-    """A map of pairs (key, value); the last of equal keys wins, a null key is left out."""
-    pairs = F.filter(pairs, lambda p: p["key"].isNotNull())
-    keep = F.filter(pairs, lambda p, k: ~F.exists(F.slice(pairs, k + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
-    return F.coalesce(F.map_from_entries(keep), F.create_map().cast("map<string,string>"))
+    """A map of pairs (key, value); the last of equal keys wins, a null key is left out. Sorted by key and place, so that the last of each key is next to another one."""
+    numbered = F.filter(F.transform(pairs, lambda p, k: F.struct(p["key"].alias("key"), k.alias("at"), p["value"].alias("value"))), lambda p: p["key"].isNotNull())
+    last = let(F.array_sort(numbered), lambda s: F.filter(s, lambda p, k: ~F.get(s, k + 1)["key"].eqNullSafe(p["key"])))
+    return F.coalesce(F.map_from_entries(F.transform(last, lambda p: F.struct(p["key"], p["value"]))), F.create_map().cast("map<string,string>"))
+
+
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with further columns, each computed once: the optimizer copies a projection into whatever takes parts of it, but no generator."""
+    for name, c in columns.items():
+        df = df.select("*", F.explode(F.array(c)).alias(name))
+    return df
 
 
 def xml_fields(xml: Column) -> Column:

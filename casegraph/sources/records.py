@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.exprs import basename, doc_id, filled, first_positive, from_epoch, from_filetime, int_of, last_wins, utc_millis, xml_fields
+from ..functions.exprs import basename, computed, doc_id, filled, first_positive, from_epoch, from_filetime, int_of, last_wins, utc_millis, xml_fields
 from ..functions.lookups import EVENT_ACTIONS, EVENT_CATEGORIES
 from ..functions.tables import look_up
 
@@ -46,8 +46,8 @@ EVENT_XML = "System struct<Provider:struct<_Name:string>,EventID:string,TimeCrea
 
 def event_xml(df: DataFrame, column: str = "xml") -> DataFrame:
     """Event records as XML text. What can't be parsed gives no row; an IpAddress of '-' is none."""
-    rows = df.select(F.from_xml(column, EVENT_XML).alias("e")).where("e.System.EventID IS NOT NULL")
-    rows = rows.withColumn("d", last_wins(F.transform("e.EventData.Data", lambda d: F.struct(d["_Name"].alias("key"), d["_VALUE"].alias("value")))))
+    rows = computed(df.select(column), e=F.from_xml(column, EVENT_XML)).where("e.System.EventID IS NOT NULL")
+    rows = computed(rows, d=last_wins(F.transform("e.EventData.Data", lambda d: F.struct(d["_Name"].alias("key"), d["_VALUE"].alias("value")))))
     get = lambda *names: F.coalesce(*[filled(F.try_element_at("d", F.lit(n))) for n in names])
     ip = F.nullif(get("IpAddress", "SourceAddress"), F.lit("-"))
     user = F.coalesce(get("TargetUserName"), get("SubjectUserName"))
@@ -58,7 +58,7 @@ def event_xml(df: DataFrame, column: str = "xml") -> DataFrame:
 def event_csv(df: DataFrame) -> DataFrame:
     """Event rows with a JSON payload of EventData.Data[{@Name, #text}]."""
     data = F.from_json("Payload", "EventData struct<Data:array<struct<`@Name`:string,`#text`:string>>>")["EventData"]["Data"]
-    rows = df.withColumn("d", last_wins(F.transform(data, lambda x: F.struct(x["@Name"].alias("key"), x["#text"].alias("value")))))
+    rows = computed(df, d=last_wins(F.transform(data, lambda x: F.struct(x["@Name"].alias("key"), x["#text"].alias("value")))))
     get = lambda n: filled(F.try_element_at("d", F.lit(n)))
     return ecs(rows, "evtx", F.col("Computer"), utc_millis(F.col("TimeCreated")), {"channel": F.col("Channel"), "provider": F.col("Provider"), "LogonType": get("LogonType")}, event_code=F.col("EventId"), event_action=F.coalesce(look_up(EVENT_ACTIONS, F.col("EventId")), F.col("MapDescription")), event_category=look_up(EVENT_CATEGORIES, F.col("EventId")), user=F.coalesce(filled(F.col("UserName")), get("TargetUserName")), command_line=F.coalesce(get("CommandLine"), filled(F.col("ExecutableInfo"))), process_path=get("NewProcessName"), process_name=basename(get("NewProcessName")), pid=int_of(get("NewProcessId")), remote_ip=get("IpAddress"), registry_key=get("TargetObject"), target_file=get("TargetFilename"))
 
@@ -110,7 +110,7 @@ def alerts(df: DataFrame) -> DataFrame:
 
 def memory(df: DataFrame, plugin: str, host: str) -> DataFrame:
     """Rows of a memory plugin as maps of text in column row; keys in any case. Without a name and a pid a row is dropped, except connections."""
-    low = df.withColumn("m", last_wins(F.transform(F.map_entries("row"), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))))
+    low = computed(df, m=last_wins(F.transform(F.map_entries("row"), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))))
     get = lambda *names: F.coalesce(*[filled(F.try_element_at("m", F.lit(n))) for n in names])
     name, pid = get("imagefilename", "process", "name", "owner"), int_of(get("pid"))
     rows = low if "netscan" in plugin else low.where(name.isNotNull() | pid.isNotNull())
@@ -127,7 +127,7 @@ def timeline_csv(df: DataFrame) -> DataFrame:
     """17-column timelines: fields from the XML in extra."""
     data = xml_fields(F.coalesce("extra", F.lit("")))
     get = lambda n: filled(F.try_element_at("d", F.lit(n)))
-    rows = df.withColumn("d", data)
+    rows = computed(df, d=data)
     at = F.date_trunc("millisecond", F.try_to_timestamp(F.concat_ws(" ", "date", "time"), F.lit("MM/dd/yyyy HH:mm:ss")))
     return ecs(rows, "timeline", F.substring_index("host", ".", 1), at, {"sourcetype": F.col("sourcetype"), "source": F.col("source")}, event_code=filled(F.regexp_extract("extra", r"<EventID[^>]*>(\d+)<", 1)), user=F.coalesce(filled(F.col("user")), get("TargetUserName")), command_line=F.substring(get("CommandLine"), 1, 2048), target_file=F.substring(F.col("filename"), 1, 512), message=F.col("desc"))
 
@@ -154,7 +154,7 @@ TIME_KEYS = ["@timestamp", "timestamp", "time", "date", "datetime", "created", "
 def generic(df: DataFrame, host: str) -> DataFrame:
     """Any record as a map of text in column row: the first usable time of TIME_KEYS, in any case, the rest kept."""
     low = last_wins(F.transform(F.map_entries("row"), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))))
-    df = df.withColumn("m", low)
+    df = computed(df, m=low)
     at = F.coalesce(*[F.coalesce(utc_millis(F.try_element_at("m", F.lit(k))), from_epoch(F.try_element_at("m", F.lit(k)).try_cast("double"))) for k in TIME_KEYS])
     return ecs(df, "generic", F.lit(host), at, {"record": F.to_json("row")}, message=F.coalesce(F.try_element_at("row", F.lit("message")), F.try_element_at("row", F.lit("msg"))))
 
