@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .lookups import CAUSAL_PHRASES, EXTENSIONS, FILE_NAMES, HIVES, HOOK_PREFIXES, PATH_PARTS, SHELL_PREFIXES
+from .lookups import BINARIES, CAUSAL_PHRASES, EXTENSIONS, FILE_NAMES, GATE_PHRASES, HARMLESS, HIVES, HOOK_PREFIXES, LIBRARY_FOLDERS, PATH_PARTS, SCRIPTS, SHELL_PREFIXES, SUSPICIOUS_PLACES, SYSTEM_FOLDERS
 from .tables import look_up
 
 INTERNAL = r"^(?:10\.|192\.168\.|172\.(?:1[6-9]|2[0-9]|3[01])\.)"
@@ -133,17 +133,37 @@ def weakest(ids: Column, tool_prefix: str = "tool-") -> Column:
     return out.otherwise("MCP")
 
 
-def claims_cause(text: Column) -> Column:
-    return F.lower(F.coalesce(text, F.lit(""))).rlike("|".join(CAUSAL_PHRASES))
+def claims_cause(text: Column, phrases: list[str] = CAUSAL_PHRASES) -> Column:
+    """Whether a text claims a cause; where a hypothesis is staged, GATE_PHRASES count instead."""
+    return F.lower(F.coalesce(text, F.lit(""))).rlike("|".join(phrases))
 
 
 def is_technique(c: Column) -> Column:
     return c.rlike(r"^T\d+(\.\d+)?$")
 
 
+def json_text(text: Column) -> Column:
+    """A text in quotes as JSON writes it in ASCII: two-letter escapes, and four hexadecimal digits for any other character outside of it, two of them beyond U+FFFF."""
+    code = lambda n: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(n)), 4, "0"))
+    short = {"\b": "\\b", "\f": "\\f", "\n": "\\n", "\r": "\\r", "\t": "\\t"}
+
+    def one(c: Column) -> Column:
+        n = F.ascii(c)
+        out = F.when(n.between(32, 126), c)
+        for x, y in short.items():
+            out = out.when(c == x, y)
+        return out.when(n > 0xFFFF, F.concat(code(55296 + F.shiftright(n - 65536, 10)), code(56320 + (n - 65536).bitwiseAND(1023)))).otherwise(code(n))
+
+    plain = F.regexp_replace(F.coalesce(text, F.lit("")), r'(["\\])', r"\\$1")
+    odd = F.array_join(F.transform(F.regexp_extract_all(plain, F.lit("(?s)."), F.lit(0)), one), "")
+    return F.concat(F.lit('"'), F.when(plain.rlike(r"[^ -~]"), odd).otherwise(plain), F.lit('"'))
+
+
 def content_hash(title: Column, observation: Column, interpretation: Column, techniques: Column) -> Column:
-    body = F.to_json(F.struct(interpretation.alias("interpretation"), observation.alias("observation"), F.array_sort(techniques).alias("techniques"), title.alias("title")))
-    return F.substring(F.sha2(body, 256), 1, 32)
+    """The first 32 digits of the SHA-256 of a JSON object with sorted keys and blanks after its marks; techniques stay in their order."""
+    ids = F.array_join(F.transform(F.coalesce(techniques, F.array().cast("array<string>")), json_text), ", ")
+    parts = [F.lit('{"interpretation": '), json_text(interpretation), F.lit(', "observation": '), json_text(observation), F.lit(', "technique_ids": ['), ids, F.lit('], "title": '), json_text(title), F.lit("}")]
+    return F.substring(F.sha2(F.concat(*parts), 256), 1, 32)
 
 
 def evidence_type(path: Column) -> Column:
@@ -161,12 +181,13 @@ def evidence_type(path: Column) -> Column:
 
 
 def wanted(path: Column) -> Column:
-    """Triage: known kinds and scripts pass, then suspicious folders; system folders and harmless extensions do not."""
+    """Triage: known kinds and scripts pass, then programs and documents in suspicious places; system folders don't, fewer of them for libraries; other programs pass, harmless extensions don't."""
     p = F.lower(F.regexp_replace(path, r"\\", "/"))
-    return (
-        F.when(evidence_type(path) != "unknown", True).when(p.rlike(r"\.(?:ps1|bat|cmd|vbs|js|hta|psm1)$"), True).when(p.rlike(r"/(?:temp|tmp|appdata|programdata|users/public|downloads)/"), True)
-        .when(p.rlike(r"/windows/(?:system32|syswow64|winsxs)/|/program files"), False).when(p.rlike(r"\.(?:txt|jpg|png|gif|css|html|ttf|mui)$"), False).otherwise(True)
-    )
+    suffix = F.regexp_extract(p, r"[^/](\.[^./]+)$", 1)
+    holds = lambda parts: F.coalesce(*[F.when(F.contains(p, F.lit(x)), True) for x in parts], F.lit(False))
+    system = F.when(suffix == ".dll", holds(LIBRARY_FOLDERS)).otherwise(holds(SYSTEM_FOLDERS))
+    known = (evidence_type(path) != "unknown") | suffix.isin(SCRIPTS) | (suffix.isin(BINARIES) & holds(SUSPICIOUS_PLACES))
+    return F.when(known, True).when(system, False).when(suffix.isin(BINARIES), True).otherwise(~suffix.isin(HARMLESS))
 
 
 def summary_line(*parts: Column, size: int = 100) -> Column:

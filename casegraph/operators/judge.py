@@ -7,7 +7,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.exprs import claims_cause, confidence_tier, is_technique, weakest
-from ..functions.lookups import CAUSAL_RANK, CAUSAL_WEIGHTS, PROVENANCE_WEIGHTS, STRENGTH_WEIGHTS, STRONG_CAUSES
+from ..functions.lookups import CAUSAL_RANK, CAUSAL_WEIGHTS, GATE_PHRASES, PROVENANCE_WEIGHTS, STRENGTH_WEIGHTS, STRONG_CAUSES
 from ..functions.tables import look_up
 from .graph import saved
 
@@ -68,7 +68,7 @@ def near_disturbance(refs: DataFrame, disturbed: DataFrame) -> DataFrame:
 
 def gate(hypotheses: DataFrame, tool_prefix: str = "tool-") -> DataFrame:
     """Adds the gate flags and the first status. Wants audit_ids, score, interpretation, levels, near_disturbance."""
-    cause_ok = ~claims_cause(F.col("interpretation")) | F.arrays_overlap("levels", F.array(*[F.lit(x) for x in STRONG_CAUSES]))
+    cause_ok = ~claims_cause(F.col("interpretation"), GATE_PHRASES) | F.arrays_overlap("levels", F.array(*[F.lit(x) for x in STRONG_CAUSES]))
     rows = hypotheses.withColumn("provenance", weakest(F.col("audit_ids"), tool_prefix)).withColumn("cause_ok", F.coalesce(cause_ok, F.lit(False)))
     status = F.when((F.col("provenance") == "NONE") | (F.col("score") < 31), "INSUFFICIENT").when((F.col("score") >= 76) & (F.col("provenance") == "MCP") & ~F.col("near_disturbance") & F.col("cause_ok"), "APPROVED").otherwise("DRAFT")
     return rows.withColumn("status", status)

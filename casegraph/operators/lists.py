@@ -63,8 +63,8 @@ def audit(entries: DataFrame, case_id: str | None = None, tool: str | None = Non
 
 
 def is_audit_id(c: Column) -> Column:
-    """<tool>-<examiner>-<date>-<number>"""
-    return c.rlike(r"^[a-z]+-[a-z0-9_]+-[0-9]{8}-[0-9]{3,}$")
+    """<tool>-<examiner>-<date>-<number>; tool and examiner may hold digits and hyphens."""
+    return c.rlike(r"^[a-z][a-z0-9-]*-[a-z0-9][a-z0-9-]*-[0-9]{8}-[0-9]{3,}$")
 
 
 def edge_timeline(edges: DataFrame, start: str | None = None, end: str | None = None, limit: int | None = 1000) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions.exprs import content_hash
+from ..functions.paths import host_of_path
 from ..operators.normalize import normalize
 from ..sources import driver as D, records as R
 
@@ -107,15 +109,69 @@ def ingest_memory(spark: SparkSession, d: str) -> DataFrame:
     return shown(normalize(R.memory(rows, "windows.pslist", "MEM"), "C1"), "host_name", "canonical_type", "ms", "pid", "ppid", "process_name")
 
 
-@query(r"""SELECT 'ws' || user_id % 3 AS host_name, CASE WHEN event_id % 2 = 0 THEN 'PROCESS_EXECUTION' ELSE 'SERVICE_INSTALLATION' END AS canonical_type, (epoch_us(ts) // 1000000) * 1000 AS ms, CASE WHEN event_id % 3 = 0 THEN 'col' ELSE 'u' || user_id END AS "user", 'go ' || event_id AS command_line FROM events WHERE event_id % 2 = 0 OR event_id % 5 = 0""")
+SOURCES = ["WinPrefetch", "AppCompatCache Registry Entry", "File entry shell item", "MSIE Cache File URL record", "Firefox History", "Firefox Cache", "File stat", "NTFS USN change", "something else"]
+TIMELINE_CODES = ["4688", "7045", "1000", "4768", "4624"]
+
+
+@query(r"""WITH e AS (SELECT *, event_id % 2 = 0 AS is_event, ['4688', '7045', '1000', '4768', '4624'][event_id % 5 + 1] AS code FROM events)
+SELECT 'ws' || user_id % 3 AS host_name, CASE WHEN is_event THEN ['PROCESS_EXECUTION', 'SERVICE_INSTALLATION', 'PROCESS_EXECUTION', 'AUTHENTICATION', 'AUTHENTICATION'][event_id % 5 + 1]
+    ELSE ['PROCESS_EXECUTION', 'PROCESS_EXECUTION', 'FILE_MODIFICATION', 'NETWORK_CONNECTION', 'NETWORK_CONNECTION', 'NETWORK_CONNECTION', 'FILE_MODIFICATION', 'FILE_MODIFICATION', 'FILE_CREATION'][event_id % 9 + 1] END AS canonical_type,
+  (epoch_us(ts) // 1000000) * 1000 AS ms, CASE WHEN event_id % 3 = 0 THEN 'col' WHEN is_event THEN 'u' || user_id END AS "user", CASE WHEN is_event THEN 'go ' || event_id END AS command_line,
+  CASE WHEN NOT is_event AND event_id % 9 < 2 THEN 'f' || user_id || '.lnk' END AS process_name, '/x/f' || user_id || '.lnk' AS target_file, CASE WHEN is_event AND event_id % 7 = 0 THEN '10.1.1.1' END AS remote_ip FROM e""")
 def ingest_timeline(spark: SparkSession, d: str) -> DataFrame:
-    """Timeline rows of 17 columns: the fields come out of the XML in one of them."""
+    """Timeline rows of 17 columns: event rows typed by the id in their XML, known or not, other rows by each source type, known or not."""
     e = F.col("event_id")
-    extra = text("<EventID Qualifiers='0'>", F.when(e % 2 == 0, "4688").when(e % 5 == 0, "7045").otherwise("1000"), '</EventID><Data Name="TargetUserName">x</Data><Data Name="TargetUserName">u', F.col("user_id"), '</Data><Data Name="CommandLine">go ', e, "</Data>")
-    rows = D.read(spark, d, "events").select(utc(F.col("ts"), "MM/dd/yyyy").alias("date"), utc(F.col("ts"), "HH:mm:ss").alias("time"), text("ws", F.col("user_id") % 3, ".corp.local").alias("host"), F.when(e % 3 == 0, "col").otherwise("").alias("user"), F.lit("WinEVTX").alias("sourcetype"), F.lit("EVT").alias("source"), extra.alias("extra"), F.lit("f").alias("filename"), F.lit("d").alias("desc"))
+    pick = lambda of: F.element_at(F.array(*[F.lit(x) for x in of]), (e % len(of) + 1).cast("int"))
+    extra = text("<EventID Qualifiers='0'>", pick(TIMELINE_CODES), '</EventID><Data Name="TargetUserName">x</Data><Data Name="TargetUserName">u', F.col("user_id"), '</Data><Data Name="CommandLine">go ', e, '</Data><Data Name="IpAddress">', F.when(e % 7 == 0, "10.1.1.1").otherwise("127.0.0.1"), "</Data>")
+    rows = D.read(spark, d, "events").select(utc(F.col("ts"), "MM/dd/yyyy").alias("date"), utc(F.col("ts"), "HH:mm:ss").alias("time"), text("ws", F.col("user_id") % 3, ".corp.local").alias("host"), F.when(e % 3 == 0, "col").otherwise("").alias("user"), F.when(e % 2 == 0, "WinEVTX").otherwise(pick(SOURCES)).alias("sourcetype"), F.lit("EVT").alias("source"), extra.alias("extra"), text("TSK:/x/f", F.col("user_id"), ".lnk").alias("filename"), F.lit("d").alias("desc"))
     utc_zone = spark.conf.get("spark.sql.session.timeZone")  # these times have no zone: they are read in the session's
-    out = shown(normalize(R.timeline_csv(rows), "C1"), "host_name", "canonical_type", "timestamp", "user", "command_line")
-    return out.select("host_name", "canonical_type", F.unix_millis(F.from_utc_timestamp("timestamp", utc_zone) if utc_zone not in ("UTC", "Etc/UTC") else F.col("timestamp")).alias("ms"), "user", "command_line")
+    out = shown(normalize(R.timeline_csv(rows), "C1"), "host_name", "canonical_type", "timestamp", "user", "command_line", "process_name", "target_file", "remote_ip")
+    at = F.unix_millis(F.from_utc_timestamp("timestamp", utc_zone) if utc_zone not in ("UTC", "Etc/UTC") else F.col("timestamp"))
+    return out.select("host_name", "canonical_type", at.alias("ms"), "user", "command_line", "process_name", "target_file", "remote_ip")
+
+
+OBJECTS = ["windows:prefetch:execution", "windows:registry:run", "windows:lnk:link", "windows:tasks:job", "msiecf:url", "fs:stat", "not:known"]
+
+
+@query(r"""WITH e AS (SELECT *, event_id % 2 = 0 AS record FROM events WHERE event_id % 11 <> 3)
+SELECT 'pc' || user_id % 4 AS host_name, CASE WHEN record THEN ['AUTHENTICATION', 'PROCESS_EXECUTION', 'SERVICE_INSTALLATION', 'TICKET_REQUEST', 'PROCESS_EXECUTION'][event_id % 5 + 1]
+    ELSE ['PROCESS_EXECUTION', 'REGISTRY_MODIFICATION', 'FILE_CREATION', 'SCHEDULED_TASK', 'NETWORK_CONNECTION', 'FILE_MODIFICATION', 'ALERT'][event_id % 7 + 1] END AS canonical_type, epoch_us(ts) // 1000 AS ms,
+  CASE WHEN record THEN CASE event_id % 5 WHEN 0 THEN 'u' || user_id WHEN 1 THEN 'sub' WHEN 2 THEN 'acct' WHEN 3 THEN 'k' || user_id END END AS "user", CASE WHEN record AND event_id % 5 = 0 THEN (event_id % 12)::VARCHAR END AS logon_type,
+  CASE WHEN record AND event_id % 5 = 1 THEN 'run ' || event_id || ', now' END AS command_line, CASE WHEN record AND event_id % 5 = 2 THEN 'C:/svc/s' || user_id || '.exe' WHEN record AND event_id % 5 = 1 THEN 'C:/p.exe' END AS process_path,
+  CASE WHEN record AND event_id % 5 = 0 THEN '10.2.' || user_id % 200 || '.1' WHEN record AND event_id % 5 = 3 THEN '10.3.3.3' END AS remote_ip FROM e""")
+def ingest_timeline_json(spark: SparkSession, d: str) -> DataFrame:
+    """Timeline objects: strings of event records by position, with missing ones and commas in them, other objects by their data type."""
+    e, u = F.col("event_id"), F.col("user_id")
+    strings = (
+        F.when(e % 5 == 0, text("'S-1', 'sub', 'D', '0x1', 'S-2', 'u", u, "', 'DOM', '0x2', '", e % 12, "', None, None, 'WS', '-', '', None, '0', '0x3', '-', '10.2.", u % 200, ".1', '99'"))
+        .when(e % 5 == 1, text("'S-1', 'sub', 'D', '0x1', '0x77', 'C:/p.exe', 'T', '0x2', 'run ", e, ", now', None, '-', None")).when(e % 5 == 2, text("'svc', 'C:/svc/s", u, ".exe', 'x', 'auto', 'acct'"))
+        .when(e % 5 == 3, text("'k", u, "', 'DOM', 'svc', 'S', '0x4', '0x17', '10.3.3.3', '88'")).otherwise("'a', 'b'")
+    )
+    pick = lambda of: F.element_at(F.array(*[F.lit(x) for x in of]), (e % len(of) + 1).cast("int"))
+    record = e % 2 == 0
+    rows = D.read(spark, d, "events").select(
+        F.when(e % 11 == 3, "event_data").otherwise("event").alias("__container_type__"), F.unix_micros(F.to_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone())).alias("timestamp"), F.when(record, "windows:evtx:record").otherwise(pick(OBJECTS)).alias("data_type"),
+        F.when(record, pick(["4624", "4688", "7045", "4769", "9999"])).otherwise("").alias("event_identifier"), F.when(record, text("[", e, "] Strings: [", strings, "] Computer Name: x Record Number: 1")).otherwise("plain").alias("message"), text("pc", u % 4).alias("computer_name"),
+    )
+    return shown(normalize(R.timeline_json(rows), "C1"), "host_name", "canonical_type", "ms", "user", "logon_type", "command_line", "process_path", "remote_ip")
+
+
+@query(r"""SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN 'dc-' || o_custkey % 30 WHEN 1 THEN 'srv-' || o_custkey % 30 WHEN 2 THEN 'maria' WHEN 3 THEN '10.1.' || o_custkey % 250 || '.7' WHEN 4 THEN 'finance' || o_custkey WHEN 5 THEN '10.9.' || o_custkey % 250 || '.8' ELSE 'the-case' END AS host FROM orders""")
+def hosts_of_paths(spark: SparkSession, d: str) -> DataFrame:
+    """The hosts of collected files by each rule: before a triage folder, host-like, a word of a folder's name, an address, the first folder, the root."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    path = (
+        F.when(k % 7 == 0, text("out/DC-", c % 30, "/C/Windows/System32/winevt/Logs/Security.evtx")).when(k % 7 == 1, text("evidence/SRV_", c % 30, "/Users/a/b.lnk")).when(k % 7 == 2, text("win10-64-maria-10.3.58.", c % 250, "/c/x"))
+        .when(k % 7 == 3, text("logs/10.1.", c % 250, ".7/c/f")).when(k % 7 == 4, text("finance", c, "\\", k, ".bin")).when(k % 7 == 5, text("32_10-9-", c % 250, "-8/evtx/", k)).otherwise(text("c/d/", k))
+    )
+    return D.read(spark, d, "orders").select("o_orderkey", host_of_path(path, F.lit("The Case")).alias("host"))
+
+
+@query(r"""SELECT o_orderkey, sha256('{"interpretation": "' || o_orderpriority || ' \"\u00e9\" \ud83d\ude00", "observation": "row ' || o_custkey || '\n\\", "technique_ids": [' || CASE WHEN o_orderkey % 2 = 0 THEN '"T2", "T1.002"' ELSE '' END || '], "title": "' || o_orderstatus || '"}')[1:32] AS content_hash FROM orders""")
+def content_hashes(spark: SparkSession, d: str) -> DataFrame:
+    """Hashes of hypotheses over sorted JSON with escapes; the order of techniques counts."""
+    ids = F.when(F.col("o_orderkey") % 2 == 0, F.array(F.lit("T2"), F.lit("T1.002"))).otherwise(F.array().cast("array<string>"))
+    return D.read(spark, d, "orders").select("o_orderkey", content_hash(F.col("o_orderstatus"), text("row ", F.col("o_custkey"), "\n\\"), text(F.col("o_orderpriority"), ' "é" 😀'), ids).alias("content_hash"))
 
 
 @query(r"""SELECT 'G' AS host_name, CASE o_orderkey % 4 WHEN 0 THEN epoch_ms(o_orderdate) WHEN 1 THEN o_custkey::BIGINT * 1000 + 1700000000000 WHEN 2 THEN o_custkey::BIGINT + 1700000000000 END AS ms, 'note ' || o_orderkey AS message FROM orders""")

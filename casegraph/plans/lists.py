@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import exprs as X
+from ..functions.lookups import TECHNIQUES
 from ..operators import cluster as C, detect as T, graph as G, judge as J, lists as L, reduce as R
 from ..sources import driver as D
 from .oracle import HITS, over_clusters, over_events
@@ -33,9 +34,9 @@ def drafts(spark: SparkSession, d: str) -> DataFrame:
 _DRAFTS = "dr AS (SELECT o_orderkey AS hypothesis_id, CASE o_orderstatus WHEN 'O' THEN 'DRAFT' WHEN 'F' THEN 'APPROVED' ELSE 'REJECTED' END AS status, o_orderkey % 4 AS rank, ['HIGH', 'MEDIUM', 'LOW', 'SPECULATIVE'][o_orderkey % 4 + 1] AS confidence, o_orderdate AS created_at, o_orderpriority AS kind FROM orders)"
 
 
-@query(over_events("SELECT event_id, canonical_type FROM ev WHERE event_id IN (SELECT 'ev-' || o_orderkey FROM orders WHERE o_orderkey % 3 = 0) OR substr(event_id, 4) IN (SELECT c_custkey::VARCHAR FROM customer)"))
+@query(over_events("SELECT event_id, canonical_type FROM ev WHERE event_id IN (SELECT 'ev-' || o_orderkey FROM orders) OR substr(event_id, 4) IN (SELECT c_custkey::VARCHAR FROM customer)"))
 def events_by_id(spark, d):
-    ids = D.read(spark, d, "orders").where("o_orderkey % 3 = 0").select(F.concat(F.lit("ev-"), "o_orderkey").alias("id")).unionByName(D.read(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("id")))
+    ids = D.read(spark, d, "orders").select(F.concat(F.lit("ev-"), "o_orderkey").alias("id")).unionByName(D.read(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("id")))
     return L.events_by_id(D.events(spark, d), ids).select("event_id", "canonical_type")
 
 
@@ -60,16 +61,17 @@ def journal_span(spark, d):
     return L.journal(entries, "1995-01-01", "1996-06-30", ["1-URGENT", "5-LOW"], False, 100).select("entry_id")
 
 
-@query("SELECT event_id AS audit_id FROM events WHERE event_type = 'click' AND user_id % 5 = 2 ORDER BY ts DESC, event_id LIMIT 50")
+@query("SELECT event_id AS audit_id FROM events WHERE event_type = 'click' AND props = (SELECT min(props) FROM events) ORDER BY ts DESC, event_id LIMIT 50")
 def audit_newest(spark, d):
-    e = D.read(spark, d, "events").select(F.col("event_id").alias("audit_id"), F.lit("c").alias("case_id"), F.col("event_type").alias("tool"), F.concat(F.lit("x"), F.col("user_id") % 5).alias("examiner"), F.col("ts").cast("timestamp").alias("at"))
-    return L.audit(e, "c", "click", "x2").select("audit_id")
+    e = D.read(spark, d, "events").select(F.col("event_id").alias("audit_id"), F.lit("c").alias("case_id"), F.col("event_type").alias("tool"), F.col("props").alias("examiner"), F.col("ts").cast("timestamp").alias("at"))
+    first = D.read(spark, d, "events").agg(F.min("props")).first()[0]
+    return L.audit(e, "c", "click", first).select("audit_id")
 
 
-@query("SELECT e AS audit_id, regexp_matches(e, '^[a-z]+-[a-z0-9_]+-[0-9]{8}-[0-9]{3,}$') AS valid FROM (SELECT CASE o_orderkey % 3 WHEN 0 THEN 'tool-' || o_custkey || '-20240501-' || lpad(o_orderkey::VARCHAR, 6, '0') WHEN 1 THEN 'tool-x-2024-' || o_orderkey ELSE 'TOOL-x-20240501-001' END AS e FROM orders)")
+@query(r"SELECT e AS audit_id, regexp_matches(e, '^[a-z][a-z0-9-]*-[a-z0-9][a-z0-9-]*-\d{8}-\d{3,}$') AS valid FROM (SELECT CASE o_orderkey % 5 WHEN 0 THEN 'tool-' || o_custkey || '-20240501-' || lpad(o_orderkey::VARCHAR, 6, '0') WHEN 1 THEN 'tool-x-2024-' || o_orderkey WHEN 2 THEN 't2-scan-ann-lee' || o_custkey || '-20240501-001' WHEN 3 THEN 'tool_a-x-20240501-001' ELSE 'TOOL-x-20240501-001' END AS e FROM orders)")
 def audit_id_format(spark, d):
-    k = F.col("o_orderkey")
-    made = F.when(k % 3 == 0, F.concat(F.lit("tool-"), "o_custkey", F.lit("-20240501-"), F.lpad(k.cast("string"), 6, "0"))).when(k % 3 == 1, F.concat(F.lit("tool-x-2024-"), k)).otherwise("TOOL-x-20240501-001")
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    made = F.when(k % 5 == 0, F.concat(F.lit("tool-"), c, F.lit("-20240501-"), F.lpad(k.cast("string"), 6, "0"))).when(k % 5 == 1, F.concat(F.lit("tool-x-2024-"), k)).when(k % 5 == 2, F.concat(F.lit("t2-scan-ann-lee"), c, F.lit("-20240501-001"))).when(k % 5 == 3, "tool_a-x-20240501-001").otherwise("TOOL-x-20240501-001")
     return D.read(spark, d, "orders").select(made.alias("audit_id")).select("audit_id", L.is_audit_id(F.col("audit_id")).alias("valid"))
 
 
@@ -107,13 +109,13 @@ def counter_details(spark, d):
     return L.cluster_detail(C.build_clusters(D.events(spark, d))).where("applies").groupBy("cluster_id").agg(F.sum("weight").alias("counter"))
 
 
-@query("SELECT o_orderkey AS hypothesis_id, CASE WHEN o_orderkey % 4 = 3 OR o_custkey % 100 < 31 THEN 'INSUFFICIENT' WHEN o_custkey % 100 >= 76 AND o_orderkey % 4 = 0 AND o_orderkey % 5 <> 0 AND (o_orderkey % 3 <> 0 OR o_custkey % 2 = 0) THEN 'APPROVED' ELSE 'DRAFT' END AS status, ['MCP', 'HOOK', 'SHELL', 'NONE'][o_orderkey % 4 + 1] AS provenance FROM orders")
+@query("SELECT o_orderkey AS hypothesis_id, CASE WHEN o_orderkey % 4 = 3 OR o_custkey % 100 < 31 THEN 'INSUFFICIENT' WHEN o_custkey % 100 >= 76 AND o_orderkey % 4 = 0 AND o_orderkey % 5 <> 0 AND (o_orderkey % 3 <> 1 OR o_custkey % 2 = 0) THEN 'APPROVED' ELSE 'DRAFT' END AS status, ['MCP', 'HOOK', 'SHELL', 'NONE'][o_orderkey % 4 + 1] AS provenance FROM orders")
 def gate_status(spark, d):
     """Gates of hypotheses: the weakest of their audit ids, the score, tampering near by, and claims of cause that need a strong link."""
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     extra = F.when(k % 4 == 1, "ingest-7").when(k % 4 == 2, "manual-1").when(k % 4 == 3, "note").otherwise("tool-b-2")
     o = D.read(spark, d, "orders").select(
-        k.alias("hypothesis_id"), F.array(F.lit("tool-a-1"), extra).alias("audit_ids"), (c % 100).alias("score"), F.when(k % 3 == 0, "the dropper Spawned a shell").otherwise("seen together").alias("interpretation"),
+        k.alias("hypothesis_id"), F.array(F.lit("tool-a-1"), extra).alias("audit_ids"), (c % 100).alias("score"), F.when(k % 3 == 0, "the dropper Spawned a shell").when(k % 3 == 1, "Because of the dropper").otherwise("seen together").alias("interpretation"),
         F.array(F.when(c % 2 == 0, "WRITE").otherwise("TIGHT_TIME")).alias("levels"), (k % 5 == 0).alias("near_disturbance"),
     )
     return J.gate(o).select("hypothesis_id", "status", "provenance")
@@ -126,13 +128,15 @@ def technique_validity(spark, d):
     return D.read(spark, d, "orders").select(t.alias("technique")).groupBy("technique", X.is_technique(F.col("technique")).alias("valid")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_NAMED = {"sam_hive_copy": "T1003.002", "psexec_usage": "T1569.002", "service_install": "T1543.003", "registry_run_key": "T1547.001", "startup_folder": "T1547.001", "amsi_bypass": "T1562.001", "shadow_copy_deletion": "T1490"}
+def _technique_sql() -> str:
+    """The technique of a trigger: of the first entry whose name holds the trigger's, or the other way round."""
+    return "CASE " + " ".join(f"WHEN contains(trigger, '{a}') OR contains('{a}', trigger) THEN '{b}'" for a, b in TECHNIQUES.items()) + " END"
 
 
-@query(f"WITH {HITS} SELECT trigger, technique, count(*) AS n FROM h JOIN (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _NAMED.items()) + ") AS t(trigger, technique) USING (trigger) GROUP BY ALL")
+@query(f"WITH {HITS} SELECT trigger, {_technique_sql()} AS technique, count(*) AS n FROM h GROUP BY ALL")
 def trigger_techniques(spark, d):
-    """The techniques of some triggers, with how often they fire."""
-    hits = C.trigger_hits(D.events(spark, d)).where(F.col("trigger").isin(*_NAMED))
+    """The techniques of all triggers that fire, and how often they do."""
+    hits = C.trigger_hits(D.events(spark, d))
     return hits.groupBy("trigger").agg(F.count(F.lit(1)).alias("n")).select("trigger", R.technique(F.col("trigger")).alias("technique"), "n")
 
 
@@ -162,11 +166,11 @@ def shortest_paths(spark, d):
     return found.groupBy(F.substring("src", 2, 20).cast("long").alias("src"), F.substring("dst", 2, 20).cast("long").alias("dst")).agg(F.count(F.lit(1)).alias("paths"))
 
 
-@query("SELECT lower(regexp_replace(p_name, '[ ]', '/', 'g')) AS path, md5(p_partkey::VARCHAR) AS md5 FROM part WHERE p_partkey % 2 = 0 QUALIFY row_number() OVER (PARTITION BY lower(regexp_replace(p_name, '[ ]', '/', 'g')) ORDER BY p_partkey % 4 <> 0, md5(p_partkey::VARCHAR)) = 1")
+@query("SELECT lower(regexp_replace(p_name, '[ ]', '/', 'g')) AS path, md5(p_partkey::VARCHAR) AS md5 FROM part QUALIFY row_number() OVER (PARTITION BY lower(regexp_replace(p_name, '[ ]', '/', 'g')) ORDER BY p_type <> 'ECONOMY', md5(p_partkey::VARCHAR)) = 1")
 def path_hashes(spark, d):
     k = F.col("p_partkey")
-    rows = D.read(spark, d, "part").select("p_partkey", F.regexp_replace("p_name", " ", r"\\").alias("path"), F.upper(F.md5(k.cast("string").cast("binary"))).alias("md5"))
-    return L.path_hashes(rows.where("p_partkey % 4 = 0"), rows.where("p_partkey % 4 = 2"))
+    rows = D.read(spark, d, "part").select("p_type", F.regexp_replace("p_name", " ", r"\\").alias("path"), F.upper(F.md5(k.cast("string").cast("binary"))).alias("md5"))
+    return L.path_hashes(rows.where("p_type = 'ECONOMY'"), rows.where("p_type <> 'ECONOMY'"))
 
 
 #: Paths and what they are, by hand.

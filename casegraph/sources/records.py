@@ -12,8 +12,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.exprs import basename, computed, doc_id, filled, first_positive, from_epoch, from_filetime, int_of, last_wins, utc_millis, xml_fields
-from ..functions.lookups import EVENT_ACTIONS, EVENT_CATEGORIES
-from ..functions.tables import look_up
+from ..functions.lookups import DATA_TYPES, EVENT_ACTIONS, EVENT_CATEGORIES, LAYOUTS, NAMED_FIELDS, RECORD_TYPES, TIMELINE_EVENTS, TIMELINE_SOURCES
+from ..functions.tables import look_up, routed
 
 FIELDS = ["event_code", "event_action", "event_category", "user", "process_name", "process_path", "pid", "ppid", "command_line", "target_file", "remote_ip", "remote_port", "registry_key", "alert_name", "alert_level", "message"]
 KINDS = {"pid": "long", "ppid": "long", "remote_port": "int"}
@@ -123,20 +123,78 @@ def scan_text(df: DataFrame, host: str) -> DataFrame:
     return ecs(df.where(part(1) != ""), "yara", F.lit(host), F.lit(None).cast("timestamp"), {"namespace": part(2), "offset": part(4)}, alert_name=part(1), target_file=part(3), event_category=F.lit("malware"))
 
 
-def timeline_csv(df: DataFrame) -> DataFrame:
-    """17-column timelines: fields from the XML in extra."""
-    data = xml_fields(F.coalesce("extra", F.lit("")))
-    get = lambda n: filled(F.try_element_at("d", F.lit(n)))
-    rows = computed(df, d=data)
-    at = F.date_trunc("millisecond", F.try_to_timestamp(F.concat_ws(" ", "date", "time"), F.lit("MM/dd/yyyy HH:mm:ss")))
-    return ecs(rows, "timeline", F.substring_index("host", ".", 1), at, {"sourcetype": F.col("sourcetype"), "source": F.col("source")}, event_code=filled(F.regexp_extract("extra", r"<EventID[^>]*>(\d+)<", 1)), user=F.coalesce(filled(F.col("user")), get("TargetUserName")), command_line=F.substring(get("CommandLine"), 1, 2048), target_file=F.substring(F.col("filename"), 1, 512), message=F.col("desc"))
-
-
-def timeline_json(df: DataFrame) -> DataFrame:
-    """Timeline events: FILETIME or microseconds, and positional strings in the message."""
-    at = F.coalesce(from_filetime(F.col("filetime").try_cast("long")) if "filetime" in df.columns else F.lit(None).cast("timestamp"), F.timestamp_micros(F.col("timestamp").try_cast("long")))
-    items = F.regexp_extract_all("message", F.lit(r"'([^']*)'"), F.lit(1))
-    return ecs(df, "plaso", F.col("computer_name"), at, {"data_type": F.col("data_type"), "strings": F.array_join(items, "|")}, event_code=F.col("event_identifier"), registry_key=F.col("key_path"), target_file=F.col("filename"), message=F.col("message"))
+EVENT_ROWS = "WinEVTX"
+CSV_ROUTES = {(EVENT_ROWS, k): (None, *v) for k, v in TIMELINE_EVENTS.items()} | {("", k): v for k, v in TIMELINE_SOURCES.items()}
+
+
+def timeline_csv(df: DataFrame, aliases: dict[str, str] | None = None, host: str | None = None) -> DataFrame:
+    """17-column timelines. Event rows are routed by the event id in their XML, an unknown one to a process; other rows by their source type, an unknown one to an artifact.
+
+    Only event rows have a command line. Hosts are cut at the first dot, and renamed by aliases; one without an alias keeps its name, or becomes
+    host where that is given.
+    """
+    have = lambda c: F.coalesce(F.col(c), F.lit("")) if c in df.columns else F.lit("")
+    rows = computed(df, d=F.map_filter(xml_fields(F.regexp_replace(have("extra"), r"(?i)<Data\s+Name=\"([^\"]+)\"\s*>\s*([^<]*?)\s*</Data>", '<Data Name="$1">$2</Data>')), lambda _, v: ~v.isin("", "-")))
+    rows = rows.withColumn("is_event", F.trim(have("sourcetype")) == EVENT_ROWS)
+    xml = lambda pattern: F.when(F.col("is_event"), filled(F.regexp_extract(have("extra"), pattern, 1)))
+    get = lambda *names: F.when(F.col("is_event"), F.coalesce(*[F.try_element_at("d", F.lit(n)) for n in names]))
+    rows = rows.withColumn("event_id", xml(r"<EventID(?:\s[^>]*)?>(\d+)</EventID>"))
+    rows = routed(rows, CSV_ROUTES, F.when(F.col("is_event"), EVENT_ROWS).otherwise(""), F.when(F.col("is_event"), F.col("event_id")).otherwise(F.trim(have("sourcetype"))), ["r_code", "r_action", "r_category"])
+    action = F.coalesce("r_action", F.when(F.col("is_event"), "evtx-unknown").otherwise("artifact"))
+    category = F.coalesce("r_category", F.when(F.col("is_event"), "process").otherwise("artifact"))
+    code = F.coalesce("event_id", "r_code", action)
+    path = filled(F.regexp_replace(have("filename"), "^TSK:", ""))
+    program = F.when(F.col("is_event"), get("ProcessName")).when(category == "process", path)
+    user, target, sid = F.trim(have("user")), get("TargetUserName", "SubjectUserName"), xml(r'UserID="([^"]+)"')
+    user = F.when(target.isNotNull() & user.isin("", "-", "systemprofile", "SYSTEM"), target).when(target.isNull() & sid.isNotNull() & user.isin("", "-", "systemprofile"), sid).otherwise(user)
+    ip = get("IpAddress")
+    ip = F.when(~ip.isin("::1", "127.0.0.1"), ip)
+    bare = F.nullif(F.nullif(F.substring_index(have("host"), ".", 1), F.lit("")), F.lit("-"))
+    named = F.coalesce(*([look_up(aliases, bare)] if aliases else []), F.lit(host) if host else bare)
+    at = F.date_trunc("millisecond", F.try_to_timestamp(F.concat_ws(" ", F.trim("date"), F.trim("time")), F.lit("MM/dd/yyyy HH:mm:ss")))
+    cut = lambda c: F.substring(c, 1, 512)
+    more = {"sourcetype": F.trim(have("sourcetype")), "source": have("source"), "short": cut(have("short")), "channel": xml(r"<Channel>([^<]+)</Channel>"), "LogonType": get("LogonType"), "TargetUserName": target, "WorkstationName": get("WorkstationName"), "version": have("version"), "notes": have("notes"), "format": have("format")}
+    return ecs(rows, "timeline", named, at, more, event_code=code, event_action=action, event_category=category, user=user, pid=xml(r'ProcessID="(\d+)"'), process_path=program, process_name=basename(program), command_line=F.substring(get("CommandLine", "ProcessCommandLine"), 1, 2048), target_file=cut(path), remote_ip=ip, message=cut(have("desc")))
+
+
+JSON_ROUTES = {("", k): (v,) for k, v in DATA_TYPES.items()} | {("record", k): (v,) for v, ids in RECORD_TYPES.items() for k in ids}
+
+
+def positional(message: Column, event_id: Column) -> Column:
+    """The items of 'Strings: [...]' under the names that an event id gives to their places; '' and '-' are none, None keeps its place."""
+    body = F.regexp_extract(message, r"(?s)Strings:\s*\[(.*?)\](?:\s+Computer Name|\s+Record Number|\s*$)", 1)
+    item = lambda t: F.when(t.startswith("'"), F.substring(t, F.lit(2), F.char_length(t) - 2)).when(t == "None", "").otherwise(F.trim(t))
+    items = F.transform(F.regexp_extract_all(body, F.lit(r"'(?:[^'\\]|\\.)*'|None|[^,\s][^,]*"), F.lit(0)), item)
+    names = F.split(look_up({k: ",".join(v) for k, v in LAYOUTS.items()}, event_id), ",")
+    return last_wins(F.filter(F.zip_with(names, items, lambda n, v: F.struct(n.alias("key"), v.alias("value"))), lambda p: ~F.coalesce(p["value"], F.lit("")).isin("", "-")))
+
+
+def timeline_json(df: DataFrame, host: str | None = None) -> DataFrame:
+    """Timeline events of one object a line: FILETIME, else microseconds; typed by data type, event records by their event id.
+
+    Fields of an event record come from its strings by position, else from names in the message. An unknown event record is a
+    process, any other unknown type an alert. Containers that are no event give no row.
+    """
+    have = lambda *names: F.coalesce(*[filled(F.col(c).cast("string")) for c in names if c in df.columns], F.lit(None).cast("string"))
+    if "__container_type__" in df.columns:
+        df = df.where("`__container_type__` = 'event'")
+    ticks = F.col("date_time.timestamp") if "date_time" in df.columns else have("filetime")
+    ticks, micros = ticks.try_cast("long"), have("timestamp").try_cast("long")
+    at = F.coalesce(F.when(ticks > 0, from_filetime(ticks)), F.when(micros != 0, F.timestamp_micros(micros)))
+    code, kind, message = have("event_identifier", "event_id"), F.coalesce(have("data_type"), F.lit("")), have("message", "xml_string", "display_name")
+    named = last_wins(F.array(*[F.struct(F.lit(k).alias("key"), filled(F.regexp_extract(message, k + r"[:\s=]+([^\s,;'\"\)]+)", 1)).alias("value")) for k in NAMED_FIELDS]))
+    rows = computed(df, named=named, placed=positional(message, code))
+    rows = routed(rows, JSON_ROUTES, F.when((kind == "windows:evtx:record") & code.isNotNull(), "record").otherwise(""), F.when((kind == "windows:evtx:record") & code.isNotNull(), code).otherwise(kind), ["r_type"])
+    get = lambda *names: F.coalesce(*[F.coalesce(F.try_element_at("placed", F.lit(n)), F.try_element_at("named", F.lit(n))) for n in names])
+    type_ = F.coalesce("r_type", F.when((kind == "windows:evtx:record") & code.isNotNull(), "PROCESS_EXECUTION").when(kind != "", "ALERT"))
+    category = F.when(F.contains(kind, F.lit("evtx")) | F.contains(kind, F.lit("execution")), "process").otherwise("artifact")
+    name = F.coalesce(get("NewProcessName", "ProcessName"), have("process_name"))
+    more = {"canonical_type": type_, "data_type": kind, "channel": have("source_name", "channel"), "LogonType": get("LogonType"), "service_name": get("ServiceName"), "strings": F.to_json("placed")}
+    return ecs(
+        rows, "plaso", F.lit(host) if host else have("computer_name"), at, more, event_code=F.coalesce(code, kind), event_action=kind, event_category=category, user=F.coalesce(get("TargetUserName", "SubjectUserName", "AccountName"), have("user", "username")),
+        command_line=get("CommandLine", "ProcessCommandLine"), process_name=name, process_path=F.coalesce(have("process_executable"), get("ImagePath", "ServiceFileName"), name), remote_ip=get("IpAddress", "ClientAddress"), registry_key=have("key_path", "registry_key"),
+        target_file=F.coalesce(have("filename"), get("ObjectName"), have("display_name")), message=F.substring(message, 1, 1500),
+    )
 
 
 BODY = ["md5", "name", "inode", "mode", "uid", "gid", "size", "atime", "mtime", "ctime", "crtime"]

@@ -1,7 +1,8 @@
 from pyspark.sql import functions as F
 
-from casegraph.functions import exprs as X
+from casegraph.functions import exprs as X, lookups as L, paths as P
 from casegraph.operators import judge
+from casegraph.operators.normalize import normalize
 from casegraph.sources import records as R
 
 
@@ -42,8 +43,8 @@ def test_small_readers(spark):
     assert (r["process_name"], r["extra"], r["ts"]) == ("y.exe", {"sent": "12", "profile": "w"}, None)
     lines = spark.createDataFrame([("RULE [ns] /a/b c:77",), ("noise",)], "value string")
     assert (one(R.scan_text(lines, "h"))["alert_name"], one(R.scan_text(lines, "h"))["target_file"]) == ("RULE", "/a/b c")
-    r = one(R.timeline_json(frame(spark, timestamp="1714557600000000", message="x 'one' y 'two'", data_type="d", computer_name="C", event_identifier="4624", key_path="", filename="f")))
-    assert (r["extra"]["strings"], r["event_code"], ms(r)) == ("one|two", "4624", 1714557600000)
+    r = one(R.timeline_json(frame(spark, timestamp="1714557600000000", message="x", data_type="d", computer_name="C", event_identifier="4624", key_path="", filename="f")))
+    assert (r["extra"]["canonical_type"], r["event_code"], ms(r)) == ("ALERT", "4624", 1714557600000)
     r = one(R.timeline_json(frame(spark, filetime="133590312000000000", timestamp="0", message="", data_type="d", computer_name="C", event_identifier="", key_path="k", filename="")))
     assert ms(r) == 1714557600000 and r["registry_key"] == "k"
     assert one(R.carved(frame(spark, Type="url", Offset="5", Hit="http://x"), "h"))["message"] == "http://x"
@@ -77,3 +78,112 @@ def test_judgement(spark):
         df = spark.createDataFrame([tuple(given.values())], ", ".join(f"{k} {kinds[type(v)]}" for k, v in given.items()))
         r = one(judge.confidence(df))
         assert (r["score"], len(r["applicable"])) == (score, applicable), given
+
+
+def test_one_parse(spark):
+    """A record is parsed once, whatever is taken out of it."""
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    xml = plan(normalize(R.event_xml(spark.createDataFrame([("<a/>",)], "xml string")), "C"))
+    csv = plan(normalize(R.event_csv(frame(spark, Computer="", TimeCreated="", EventId="", Channel="", Provider="", MapDescription="", UserName="", ExecutableInfo="", Payload="")), "C"))
+    assert xml.count("from_xml") == 1 and csv.count("from_json") == 1
+
+
+def test_many_names(spark):
+    """Names of one record, all alike or all different, in time that does not grow with their square."""
+    import time
+
+    data = "".join(f'<Data Name="n{k % 9000}">{k}</Data>' for k in range(20_000))
+    began = time.time()
+    r = one(spark.createDataFrame([(data,)], "x string").select(X.xml_fields(F.col("x")).alias("m")))
+    assert r["m"]["n0"] == "18000" and r["m"]["n1999"] == "19999" and len(r["m"]) == 9000 and time.time() - began < 20
+
+
+def timeline(spark, **columns):
+    base = {"date": "05/01/2024", "time": "10:00:00", "host": "WKS-1.corp.local", "user": "", "sourcetype": "WinEVTX", "source": "EVT", "short": "", "desc": "", "filename": "", "extra": ""}
+    return frame(spark, **(base | columns))
+
+
+def test_timeline_rows(spark):
+    data = lambda **kv: "".join(f'<Data Name="{k}">{v}</Data>' for k, v in kv.items())
+    event = lambda code, **kv: f"<EventID Qualifiers='0'>{code}</EventID>" + data(**kv)
+    get = lambda **c: one(normalize(R.timeline_csv(timeline(spark, **c)), "C"))
+    r = get(extra=event(4768, TargetUserName="admin", IpAddress="10.0.0.9"), user="SYSTEM")
+    assert (r["canonical_type"], r["user"], r["remote_ip"], r["host_name"]) == ("AUTHENTICATION", "admin", "10.0.0.9", "WKS-1")
+    r = get(extra=event(1000, ProcessCommandLine="x" * 3000, ProcessName=r"C:\a\b.exe") + ' ProcessID="77" UserID="S-1-5"', user="-")
+    assert (r["canonical_type"], len(r["command_line"]), r["process_name"], r["pid"], r["user"]) == ("PROCESS_EXECUTION", 2048, "b.exe", 77, "S-1-5")
+    assert get(extra=event(4624, TargetUserName="t", IpAddress="127.0.0.1"), user="named")["user"] == "named"
+    assert get(extra=event(4624, IpAddress="-"))["remote_ip"] is None and get(extra=event(4624, IpAddress="::1"))["remote_ip"] is None
+    assert get(extra='<EventID>1102</EventID>')["canonical_type"] == "LOG_CLEARED" and get(extra="<EventID>7036</EventID>")["canonical_type"] == "SERVICE_INSTALLATION"
+    assert get(extra="<data name=\"x\">1</data><EventID>4624</EventID><DATA  Name=\"LogonType\" > 3 </DATA>")["logon_type"] == "3"
+    r = get(sourcetype="WinPrefetch", filename=r"TSK:/Windows/Prefetch/CMD.EXE-1.pf", extra=data(CommandLine="never"))
+    assert (r["canonical_type"], r["process_name"], r["process_path"], r["command_line"]) == ("PROCESS_EXECUTION", "CMD.EXE-1.pf", "/Windows/Prefetch/CMD.EXE-1.pf", None)
+    kinds = {"File entry shell item": "FILE_MODIFICATION", "MSIE Cache File URL record": "NETWORK_CONNECTION", "Firefox History": "NETWORK_CONNECTION", "Firefox Cache": "NETWORK_CONNECTION", "File stat": "FILE_MODIFICATION", "NTFS USN change": "FILE_MODIFICATION", "AppCompatCache Registry Entry": "PROCESS_EXECUTION"}
+    for source, kind in kinds.items():
+        assert get(sourcetype=source, filename="/a/b.exe")["canonical_type"] == kind
+    assert normalize(R.timeline_csv(timeline(spark, sourcetype="other", filename="/a/b.xyz")), "C").count() == 0
+    assert get(sourcetype="other", filename="/a/b.lnk")["canonical_type"] == "FILE_CREATION"
+    assert normalize(R.timeline_csv(timeline(spark, date="", extra=event(4624))), "C").count() == 0
+    named = lambda **c: one(R.timeline_csv(timeline(spark), **c))["host_name"]
+    assert (named(), named(aliases={"WKS-1": "anna"}), named(aliases={"other": "x"}, host="dflt")) == ("WKS-1", "anna", "dflt")
+
+
+def test_timeline_objects(spark):
+    def get(message="", **c):
+        return one(normalize(R.timeline_json(frame(spark, **({"timestamp": "1714557600000000", "data_type": "windows:evtx:record", "computer_name": "C", "message": message} | c))), "K"))
+
+    r = get("[4624] Strings: ['S-1', 'sub', 'D', '0x1', 'S-2', 'it\\'s, me', 'DOM', '0x2', '3', None, 'x', 'WS', None, '-', '', '0', '0x3', 'C:\\\\p.exe', '10.1.1.1', '99'] Computer Name: C", event_identifier="4624")
+    assert (r["canonical_type"], r["user"], r["logon_type"], r["remote_ip"]) == ("AUTHENTICATION", "it\\'s, me", "3", "10.1.1.1")
+    r = get("Strings: ['S', 'who', 'D', 'L', '0x1', 'C:\\new.exe', 'T', '0x2', 'cmd /c a, b', None, None]", event_identifier="4688")
+    assert (r["canonical_type"], r["process_name"], r["command_line"], r["user"]) == ("PROCESS_EXECUTION", "C:\\new.exe", "cmd /c a, b", "who")
+    r = get("Strings: ['svc', 'C:\\s.exe', 'x', 'auto', 'acct'] Record Number: 7", event_identifier="7045")
+    assert (r["canonical_type"], r["process_path"], r["user"], r["event_data"]["service_name"]) == ("SERVICE_INSTALLATION", "C:\\s.exe", "acct", "svc")
+    assert get("IpAddress: 10.9.9.9; TargetUserName=zoe", event_identifier="4625")["user"] == "zoe" and get("no strings", event_identifier="9999")["canonical_type"] == "PROCESS_EXECUTION"
+    assert get(event_identifier="4769")["canonical_type"] == "TICKET_REQUEST" and get(event_identifier="4656")["canonical_type"] == "LSASS_ACCESS"
+    kinds = {"windows:prefetch:execution": "PROCESS_EXECUTION", "windows:lnk:link": "FILE_CREATION", "windows:tasks:job": "SCHEDULED_TASK", "msiecf:url": "NETWORK_CONNECTION", "fs:stat": "FILE_MODIFICATION", "windows:registry:run": "REGISTRY_MODIFICATION", "never:heard": "ALERT"}
+    for kind, want in kinds.items():
+        assert get(data_type=kind)["canonical_type"] == want
+    assert normalize(R.timeline_json(frame(spark, timestamp="5", data_type="", message="", computer_name="C")), "K").count() == 0
+    nested = spark.createDataFrame([("event", (133590312000000000,), 1, "fs:stat", "/f"), ("report", (133590312000000000,), 1, "fs:stat", "/g"), ("event", (0,), 0, "fs:stat", "/h")], "`__container_type__` string, date_time struct<timestamp:long>, timestamp long, data_type string, filename string")
+    r = one(normalize(R.timeline_json(nested, "h1"), "K"))
+    assert (r["host_name"], r["target_file"], int(r["timestamp"].timestamp())) == ("h1", "/f", 1714557600)
+
+
+def test_host_of_path(spark):
+    want = {
+        "DC01/C/Windows/System32/winevt/Logs/Security.evtx": "dc01", "kape/srv_02/filesystem/x": "srv-02", "windows/anna7/registry/SAM": "anna7", "10.0.0.5/c/x": "10-0-0-5", "a/10.0.0.5/x": "10.0.0.5", "finance1/file": "finance1", "evidence/afd4ed01/x": "root-case",
+        "win10-32-maria-10.3.58.5_unpacked/c/x": "maria", "x64-10-3-58-5/c/x": "x64", "32_10-3-58-5/c/x": "10.3.58.5", "c/x64-300.1.1.1-10.1.1.2/x": "root-case", "jspgsxnm1/x": "jspgsxnm1", "c/d/e": "root-case", "": "root-case", "Häuser/x.txt": "h-user", "PC": "pc", "ab/c": "ab", "windows\\WS-7\\c\\f": "ws-7",
+    }
+    want["10.0.0.5/c/x"] = "10.0.0.5"
+    rows = spark.createDataFrame(list(want), "string").select("value", P.host_of_path(F.col("value"), F.lit("Root Case"), ("unpacked",)).alias("h")).collect()
+    assert {r["value"]: r["h"] for r in rows} == want
+    assert [r[0] for r in spark.range(1).select(P.host_of_path(F.lit("DC01/c/x"), F.lit("r"), given=F.lit(" My Host "))).collect()] == ["my-host"]
+
+
+def test_json_hash_gate_triage(spark):
+    import hashlib
+    import json
+
+    texts = ["plain", 'q"b\\s', "tab\tnew\nline\r\b\f\x01\x7f", "é ü \u2028", "😀x", ""]
+    for t in texts:
+        ids = ["T2", "T1.002", "é"]
+        body = json.dumps({"title": t, "observation": t + "o", "interpretation": "i" + t, "technique_ids": ids}, sort_keys=True)
+        df = spark.createDataFrame([(t, t + "o", "i" + t, ids)], "t string, o string, i string, k array<string>")
+        assert one(df.select(X.content_hash(*[F.col(c) for c in "toik"]).alias("h")))["h"] == hashlib.sha256(body.encode()).hexdigest()[:32]
+    empty = json.dumps({"title": "", "observation": "", "interpretation": "", "technique_ids": []}, sort_keys=True)
+    assert one(spark.range(1).select(X.content_hash(*[F.lit(None).cast("string")] * 3, F.lit(None).cast("array<string>")).alias("h")))["h"] == hashlib.sha256(empty.encode()).hexdigest()[:32]
+
+    gated = spark.createDataFrame([(t, ["tool-a-1"], 90, ["TEMPORAL_ONLY"], False) for t in ("Because of it", "due to x", "it spawned y", "executed via z", "led to")], "interpretation string, audit_ids array<string>, score int, levels array<string>, near_disturbance boolean")
+    assert [r["status"] for r in judge.gate(gated).collect()] == ["DRAFT", "DRAFT", "APPROVED", "APPROVED", "DRAFT"]
+
+    from casegraph.operators.lists import is_audit_id
+
+    good = ["a-b-20240501-001", "tool-x2-ann-lee-20240501-1234", "t9-0-00000000-000"]
+    bad = ["A-b-20240501-001", "a_b-c-20240501-001", "a-b-20240501-01", "9a-b-20240501-001", "a-20240501-001", "a-b_c-20240501-001"]
+    assert [r[0] for r in spark.createDataFrame(good + bad, "string").select(is_audit_id(F.col("value"))).collect()] == [True] * 3 + [False] * 6
+
+    triage = {
+        r"C:\Windows\System32\a.exe": False, r"C:\Windows\System32\Temp\a.exe": True, r"C:\Windows\System32\a.ps1": True, r"C:\Program Files\x\a.dll": True, r"C:\Program Files\x\a.exe": False, r"C:\Windows\WinSxS\a.dll": False,
+        r"C:\Windows\Fonts\a.ttf": False, r"D:\x\a.ttf": True, r"D:\x\read.md": False, r"D:\x\a.docx": True, r"D:\PerfLogs\a.inf": True, r"C:\Windows\Fonts\a.dll": True, r"C:\Windows\System32\winevt\Security.evtx": True, r"D:\tmp\a.txt": False,
+    }
+    assert {r["value"]: r["w"] for r in spark.createDataFrame(list(triage), "string").select("value", X.wanted(F.col("value")).alias("w")).collect()} == triage
+    assert {t for t in L.TYPES} >= {"PROCESS_TERMINATION", "SHADOW_DELETED", "DEFENDER_EXCLUSION_ADDED"} and len(L.TYPES) == 17
