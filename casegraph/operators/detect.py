@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .intervals import overlapping
+
 
 def beacon_jitter(events: DataFrame, keys: list[str], least: int = 10, most_cv: float = 0.25) -> DataFrame:
     """(keys, n, mean_gap, jitter): stddev over mean of the gaps between connections, where it is low over more than least of them."""
@@ -70,12 +72,6 @@ def entropy(values: DataFrame, text: str) -> DataFrame:
     return counts.withColumn("p", p).groupBy(text).agg(F.sum(-F.col("p") * F.log2("p")).alias("entropy"))
 
 
-def over_quantile(events: DataFrame, value: str, q: float, keys: list[str]) -> DataFrame:
-    """Events whose value is above the q-quantile of their keys."""
-    cut = events.groupBy(*keys).agg(F.percentile(value, q).alias("threshold"))
-    return events.join(cut, keys).where(F.col(value) > F.col("threshold"))
-
-
 def id_gaps(rows: DataFrame, keys: list[str], id_col: str, least: int) -> DataFrame:
     """Rows whose id is more than least after the one before."""
     gap = F.col(id_col) - F.lag(id_col).over(Window.partitionBy(*keys).orderBy(id_col))
@@ -95,15 +91,6 @@ def sequence(first: DataFrame, then: DataFrame, keys: list[str], seconds: int) -
     return a.join(b, [*keys, "slot"]).where((F.col("next") >= F.col("at")) & (F.col("next") - F.col("at") <= seconds) & (F.col("first_id") != F.col("then_id"))).select(*keys, "first_id", "then_id", (F.col("next") - F.col("at")).alias("lag"))
 
 
-def as_of(rows: DataFrame, states: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Adds to each row the last state's value at or before it: one sort of the union, no pairs."""
-    a = rows.withColumn("_side", F.lit(1)).withColumn(value, F.lit(None).cast(states.schema[value].dataType))
-    b = states.select(*keys, "epoch", value).withColumn("_side", F.lit(0))
-    both = a.unionByName(b, allowMissingColumns=True)
-    last = F.last(value, ignorenulls=True).over(Window.partitionBy(*keys).orderBy("epoch", "_side").rowsBetween(Window.unboundedPreceding, 0))
-    return both.withColumn(value, last).where("_side = 1").drop("_side")
-
-
 def cross_host(events: DataFrame, keys: list[str], least: int = 2) -> DataFrame:
     """(keys, hosts, first_seen): what turns up on several hosts."""
     return events.groupBy(*keys).agg(F.count_distinct("host_name").alias("hosts"), F.min("epoch").alias("first_seen")).where(F.col("hosts") >= least)
@@ -114,14 +101,13 @@ def single_host(events: DataFrame, keys: list[str]) -> DataFrame:
     return events.groupBy(*keys).agg(F.count_distinct("host_name").alias("hosts"), F.min("host_name").alias("host_name")).where("hosts = 1").drop("hosts")
 
 
-def contradictions(clusters: DataFrame, pairs: DataFrame, slot: int = 86400) -> DataFrame:
-    """(host_name, a, b): clusters of exclusive families (pairs: type_a, type_b) on a host whose times overlap."""
+def contradictions(clusters: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(host_name, a, b): clusters of exclusive families (pairs: type_a, type_b, a short list) on a host whose times overlap."""
     def side(x: str) -> DataFrame:
-        slots = F.sequence(F.floor(F.col("start_epoch") / slot), F.floor(F.col("end_epoch") / slot))
-        return clusters.select("host_name", F.col("cluster_id").alias(x), F.col("constructor").alias(f"type_{x}"), F.col("start_epoch").alias(f"from_{x}"), F.col("end_epoch").alias(f"to_{x}"), F.explode(slots).alias("slot"))
+        return clusters.select("host_name", F.col("cluster_id").alias(x), F.col("constructor").alias(f"type_{x}"), F.col("start_epoch").alias(f"from_{x}"), F.col("end_epoch").alias(f"to_{x}"))
 
-    met = side("a").join(pairs, "type_a").join(side("b"), ["host_name", "slot", "type_b"])
-    return met.where("from_a <= to_b AND from_b <= to_a").select("host_name", "a", "b").distinct()
+    a, b = side("a").join(pairs.distinct(), "type_a"), side("b")
+    return overlapping(a, b, ["host_name", "type_b"], ("from_a", "to_a"), ("from_b", "to_b")).select("host_name", "a", "b")
 
 
 def intel_match(events: DataFrame, feed: DataFrame, column: str = "remote_ip") -> DataFrame:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from itertools import count
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.exprs import claims_cause, confidence_tier, is_technique, weakest
 from ..functions.lookups import CAUSAL_RANK, CAUSAL_WEIGHTS, GATE_PHRASES, PROVENANCE_WEIGHTS, STRENGTH_WEIGHTS, STRONG_CAUSES
 from ..functions.tables import look_up
+from .chains import walks
 from .graph import saved
+from .intervals import overlapping
 
 
 def case_profile(events: DataFrame, artifacts: DataFrame | None = None) -> DataFrame:
@@ -59,11 +59,14 @@ def confidence(hypotheses: DataFrame) -> DataFrame:
 
 
 def near_disturbance(refs: DataFrame, disturbed: DataFrame) -> DataFrame:
-    """refs (id, case_id, host_name, timestamp) that fall into a disturbance (start, end) of their host."""
-    slot = lambda c: F.floor(F.unix_timestamp(c) / 3600)
-    spans = disturbed.select("case_id", "host_name", "start", "end", F.explode(F.sequence(slot("start"), slot("end"))).alias("slot"))
-    rows = refs.withColumn("slot", slot("timestamp"))
-    return rows.join(spans, (rows["case_id"] == spans["case_id"]) & (rows["host_name"] == spans["host_name"]) & (rows["slot"] == spans["slot"]) & rows["timestamp"].between(spans["start"], spans["end"]), "left_semi").drop("slot")
+    """refs (id, case_id, host_name, timestamp) that fall into a disturbance (start, end) of their host, to the microsecond, each once."""
+    second = lambda c: F.unix_seconds(c)
+    points = refs.withColumns({"row_": F.monotonically_increasing_id(), "s_": second("timestamp"), "e_": second("timestamp")})
+    points = saved(points)  # the numbers have to stay what they are
+    spans = disturbed.select("case_id", "host_name", F.col("start").alias("span_start"), F.col("end").alias("span_end"), second("start").alias("from_s"), second("end").alias("to_s"))
+    met = overlapping(points.select("case_id", "host_name", "row_", "timestamp", "s_", "e_"), spans, ["case_id", "host_name"], ("s_", "e_"), ("from_s", "to_s"))
+    hit = met.where(F.col("timestamp").between(F.col("span_start"), F.col("span_end"))).select("row_").distinct()
+    return points.join(hit, "row_", "left_semi").drop("row_", "s_", "e_")
 
 
 def gate(hypotheses: DataFrame, tool_prefix: str = "tool-") -> DataFrame:
@@ -109,20 +112,16 @@ def strongest_incoming(links: DataFrame) -> DataFrame:
     return links.withColumn("rank", rank).where("rank > 0").withColumn("rn", F.row_number().over(order)).where("rn = 1").select(F.col("target").alias("node"), F.col("source").alias("came_from"), "level")
 
 
+def root_chains(links: DataFrame, starts: DataFrame, depth: int | None = None) -> DataFrame:
+    """(node, position, member): from each start (node) back along strongest links, a row a step, until none is left or a node repeats, or depth links where that is given."""
+    back = strongest_incoming(links).select("node", F.col("came_from").alias("parent"))
+    return walks(back, starts, depth)
+
+
 def root_causes(links: DataFrame, starts: DataFrame, depth: int | None = None) -> DataFrame:
-    """(node, chain): from each start (node), back along strongest links until none is left or a node repeats, or depth links where that is given."""
-    back = saved(strongest_incoming(links).select(F.col("node").alias("at"), "came_from"))
-    live = saved(starts.select("node", F.array("node").alias("chain")))
-    done = live.where(F.lit(False))
-    for _ in count() if depth is None else range(depth):
-        step = live.withColumn("at", F.element_at("chain", -1)).join(back, "at", "left")
-        more = F.coalesce(~F.array_contains("chain", F.col("came_from")), F.lit(False))
-        step = saved(step.select("node", "chain", more.alias("more"), F.when(more, F.array_append("chain", F.col("came_from"))).alias("next")))
-        done = done.unionByName(step.where("NOT more").select("node", "chain"))
-        live = step.where("more").select("node", F.col("next").alias("chain"))
-        if live.isEmpty():
-            return done
-    return done.unionByName(live)
+    """(node, chain): the chain of each start as an array, for chains short enough to read; root_chains() has them as rows."""
+    steps = F.array_sort(F.collect_list(F.struct("position", "member")))
+    return root_chains(links, starts, depth).groupBy("node").agg(steps.alias("steps")).select("node", F.transform("steps", lambda s: s["member"]).alias("chain"))
 
 
 def mutual_links(links: DataFrame) -> DataFrame:

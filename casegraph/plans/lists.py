@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import exprs as X
 from ..functions.lookups import TECHNIQUES
 from ..operators import cluster as C, detect as T, graph as G, judge as J, lists as L, reduce as R
+from ..operators.path_dag import ShortestPaths
 from ..sources import driver as D
 from .oracle import HITS, over_clusters, over_events
 
@@ -162,8 +163,8 @@ def shortest_paths(spark, d):
     """How many shortest paths lead from each supplier to the next one."""
     e = D.read(spark, d, "lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("a"), F.concat(F.lit("s"), "l_suppkey").alias("b")).distinct()
     pairs = D.read(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("src"), F.concat(F.lit("s"), F.col("s_suppkey") + 1).alias("dst"))
-    found = G.paths(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))), pairs, 2)
-    return found.groupBy(F.substring("src", 2, 20).cast("long").alias("src"), F.substring("dst", 2, 20).cast("long").alias("dst")).agg(F.count(F.lit(1)).alias("paths"))
+    found = ShortestPaths(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))), pairs, 2).counts()
+    return found.select(F.substring("src", 2, 20).cast("long").alias("src"), F.substring("dst", 2, 20).cast("long").alias("dst"), F.col("n_paths").alias("paths"))
 
 
 @query("SELECT lower(regexp_replace(p_name, '[ ]', '/', 'g')) AS path, md5(p_partkey::VARCHAR) AS md5 FROM part QUALIFY row_number() OVER (PARTITION BY lower(regexp_replace(p_name, '[ ]', '/', 'g')) ORDER BY p_type <> 'ECONOMY', md5(p_partkey::VARCHAR)) = 1")

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import exprs as X
 from ..functions.lookups import CAUSAL_RANK, KEEP, NOISE
-from ..operators import cluster as C, detect as T, graph as G, judge as J, reduce as R, views as V
+from ..operators import chains as H, cluster as C, detect as T, graph as G, judge as J, quantiles as Q, reduce as R, views as V
+from ..operators.intervals import as_of, overlapping
+from ..operators.path_dag import ShortestPaths
 from ..operators.rules import FAMILIES, prepared
 from ..sources import driver as D
 from . import ingest, lists
@@ -180,14 +182,6 @@ def neighbours_both(spark, d):
     return G.neighbours(e, ids).groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT DISTINCT 'p' || l_partkey AS from_id, 's' || l_suppkey AS to_id FROM lineitem WHERE l_partkey % 7 = 0 AND l_suppkey % 3 = 0")
-def subgraph_both_ends(spark, d):
-    e = part_edges(spark, d).select(F.col("a").alias("from_id"), F.col("b").alias("to_id"))
-    n = D.read(spark, d, "lineitem")
-    nodes = n.where("l_partkey % 7 = 0").select(F.concat(F.lit("p"), "l_partkey").alias("entity_id")).unionByName(n.where("l_suppkey % 3 = 0").select(F.concat(F.lit("s"), "l_suppkey").alias("entity_id"))).distinct()
-    return G.subgraph(e, nodes)
-
-
 _SUPPLIED = "SELECT DISTINCT 'p' || l_partkey AS from_id, 's' || l_suppkey AS to_id FROM lineitem"
 _OF_TYPE = "l_partkey IN (SELECT p_partkey FROM part WHERE p_type = 'ECONOMY') AND l_suppkey IN (SELECT s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA')"
 
@@ -253,9 +247,43 @@ def contradictions(spark, d):
     return T.contradictions(g, spark.createDataFrame([("Impact", "Persistence")], "type_a string, type_b string"))
 
 
-@query(over_events("SELECT event_id, round(value, 6) AS value FROM ev JOIN (SELECT host_name, quantile_cont(value, 0.95) AS q FROM ev WHERE canonical_type = 'NETWORK_CONNECTION' GROUP BY ALL) USING (host_name) WHERE canonical_type = 'NETWORK_CONNECTION' AND value > q"))
+_SKETCH = """, v AS (SELECT event_id, host_name, value, epoch // 86400 AS period, CASE WHEN value > 0 THEN ceil(ln(value) / ln(1.01 / 0.99))::BIGINT ELSE -2147483647 END AS bucket FROM ev WHERE canonical_type = 'NETWORK_CONNECTION'),
+k AS (SELECT host_name, period + u AS period, bucket, count(*) AS n FROM v, unnest(range(1, 8)) AS t(u) GROUP BY ALL),
+c AS (SELECT *, sum(n) OVER (PARTITION BY host_name, period) AS total, sum(n) OVER (PARTITION BY host_name, period ORDER BY bucket) AS up FROM k),
+th AS (SELECT host_name, period, min(bucket) AS bucket, any_value(total)::BIGINT AS n FROM c WHERE up > floor(0.95 * (total - 1)) GROUP BY ALL)"""
+
+
+@query(over_events(_SKETCH + " SELECT event_id, round(value, 6) AS value FROM v JOIN th USING (host_name, period) WHERE value > CASE WHEN th.bucket = -2147483647 THEN 0 ELSE 2 * pow(1.01 / 0.99, th.bucket) / (1.01 / 0.99 + 1) END"))
 def outbound_threshold(spark, d):
-    return T.over_quantile(ev(spark, d).where("canonical_type = 'NETWORK_CONNECTION'"), "value", 0.95, ["host_name"]).select("event_id", F.round("value", 6).alias("value"))
+    """Transfers above the 95 % quantile of their host's seven days before, by merged sketches with 1 % error."""
+    return Q.above_earlier(ev(spark, d).where("canonical_type = 'NETWORK_CONNECTION'"), "value", 0.95, ["host_name"]).select("event_id", F.round("value", 6).alias("value"))
+
+
+@query(over_events(_SKETCH + " SELECT host_name, period, bucket, n FROM th"))
+def outbound_sketch(spark, d):
+    """The thresholds themselves: for each host and day, from the sketch of the seven days before."""
+    rows = ev(spark, d).where("canonical_type = 'NETWORK_CONNECTION'")
+    t = Q.thresholds(Q.sketch(rows, "value", ["host_name"], 86400), 0.95, ["host_name"])
+    return t.select("host_name", "period", F.when(F.col("threshold") > 0, Q.bucket_of(F.col("threshold"))).otherwise(Q.ZERO).cast("long").alias("bucket"), "n")
+
+
+@query(over_events("""SELECT a.event_id, b.alert_name AS last_alert FROM (SELECT event_id, host_name, epoch FROM ev WHERE canonical_type <> 'ALERT') a
+ASOF LEFT JOIN (SELECT host_name, epoch, max(alert_name) AS alert_name FROM ev WHERE canonical_type = 'ALERT' GROUP BY ALL) b ON a.host_name = b.host_name AND a.epoch >= b.epoch"""))
+def last_alert(spark, d):
+    """The last alert of the host at or before each event."""
+    e = ev(spark, d)
+    rows = e.where("canonical_type <> 'ALERT'").select("event_id", "host_name", "epoch")
+    return as_of(rows, e.where("canonical_type = 'ALERT'").select("host_name", "epoch", "alert_name"), ["host_name"], "alert_name").select("event_id", F.col("alert_name").alias("last_alert"))
+
+
+@query("SELECT a.l_partkey AS l_partkey, a.l_orderkey AS a, a.l_linenumber AS la, b.l_orderkey AS b, b.l_linenumber AS lb FROM lineitem a JOIN lineitem b ON a.l_partkey = b.l_partkey AND a.l_suppkey = b.l_suppkey AND (a.l_orderkey, a.l_linenumber) < (b.l_orderkey, b.l_linenumber) AND epoch(a.l_shipdate)::BIGINT <= epoch(b.l_shipdate)::BIGINT + 86400 * b.l_quantity::BIGINT AND epoch(b.l_shipdate)::BIGINT <= epoch(a.l_shipdate)::BIGINT + 86400 * a.l_quantity::BIGINT")
+def overlapping_deliveries(spark, d):
+    """Pairs of lines of one part and supplier whose delivery times, as many days as pieces, overlap."""
+    at = F.unix_timestamp(F.col("l_shipdate").cast("timestamp"))
+    rows = D.read(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_orderkey", "l_linenumber", at.alias("from"), (at + 86400 * F.col("l_quantity").cast("long")).alias("to"))
+    side = lambda x: rows.select("l_partkey", "l_suppkey", F.col("l_orderkey").alias(x), F.col("l_linenumber").alias(f"l{x}"), F.col("from").alias(f"from_{x}"), F.col("to").alias(f"until_{x}"))
+    met = overlapping(side("a"), side("b"), ["l_partkey", "l_suppkey"], ("from_a", "until_a"), ("from_b", "until_b"))
+    return met.where("a < b OR a = b AND la < lb").select("l_partkey", "a", "la", "b", "lb")
 
 
 @query(over_events("SELECT event_id, remote_ip FROM ev WHERE remote_ip IN (SELECT '203.0.113.' || n_nationkey FROM nation)"))
@@ -312,30 +340,7 @@ def status_fold(spark, d):
     return J.fold(D.read(spark, d, "events").select(F.col("user_id").alias("hypothesis_id"), act.alias("action"), F.lit(None).cast("string").alias("link"), F.col("ts").alias("decided_at"), F.col("event_id").alias("seq"))).select("hypothesis_id", "status")
 
 
-def links(spark, d):
-    """Causal links between users whose events follow each other on a host."""
-    o = D.read(spark, d, "orders").select((F.col("o_custkey") % 400).alias("source"), (F.col("o_orderkey") % 400).alias("target"), F.element_at(F.array(*[F.lit(x) for x in LEVELS]), (F.col("o_orderkey") % 5 + 1).cast("int")).alias("level"), F.col("o_orderdate").alias("at"))
-    return o.where("source <> target")
-
-
 LEVELS = ["CHAIN", "WRITE", "NET", "TIGHT_TIME", "CO_OCCUR"]
-_LINKS = "lk AS (SELECT o_custkey % 400 AS source, o_orderkey % 400 AS target, ['CHAIN', 'WRITE', 'NET', 'TIME', 'NONE'][o_orderkey % 5 + 1] AS level, 5 - o_orderkey % 5 AS rank, o_orderdate AS moment FROM orders WHERE o_custkey % 400 <> o_orderkey % 400)"
-
-
-@query(f"WITH {_LINKS} SELECT DISTINCT p.source AS a, p.target AS b FROM lk p JOIN lk q ON p.source = q.target AND p.target = q.source WHERE p.source < p.target")
-def causal_contradictions(spark, d):
-    return J.mutual_links(links(spark, d))
-
-
-@query(f"WITH {_LINKS} SELECT c_custkey AS hypothesis_id FROM customer WHERE c_custkey NOT IN (SELECT source FROM lk) AND c_custkey NOT IN (SELECT target FROM lk)")
-def orphan_links(spark, d):
-    return J.orphans(D.read(spark, d, "customer").select(F.col("c_custkey").alias("hypothesis_id")), links(spark, d))
-
-
-@query(f"WITH RECURSIVE {_LINKS}, b AS (SELECT target, arg_max(source, row(rank, -epoch_us(moment), -source)) AS source FROM lk GROUP BY target), w AS (SELECT target AS node, [target] AS chain FROM (SELECT DISTINCT target FROM lk) UNION ALL SELECT node, list_append(chain, b.source) FROM w JOIN b ON b.target = chain[-1] WHERE NOT list_contains(chain, b.source)) SELECT node, array_to_string(arg_max(chain, len(chain)), '>') AS chain FROM w GROUP BY node")
-def kill_chain(spark, d):
-    lk = links(spark, d)
-    return J.root_causes(lk, lk.select(F.col("target").alias("node")).distinct(), 400).select("node", F.array_join("chain", ">").alias("chain"))
 
 
 def order_links(spark, d):
@@ -353,12 +358,12 @@ UNION SELECT lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey),
 
 
 @query(f"WITH {_ORDER_LINKS} SELECT DISTINCT p.source AS a, p.target AS b FROM lk p JOIN lk q ON p.source = q.target AND p.target = q.source WHERE p.source < p.target")
-def causal_contradictions_whole(spark, d):
+def causal_contradictions(spark, d):
     return J.mutual_links(order_links(spark, d))
 
 
 @query(f"WITH {_ORDER_LINKS} SELECT o_orderkey AS hypothesis_id FROM orders WHERE o_orderkey NOT IN (SELECT source FROM lk) AND o_orderkey NOT IN (SELECT target FROM lk)")
-def orphan_links_whole(spark, d):
+def orphan_links(spark, d):
     return J.orphans(D.read(spark, d, "orders").select(F.col("o_orderkey").alias("hypothesis_id")), order_links(spark, d))
 
 
@@ -369,6 +374,13 @@ def kill_chain_whole(spark, d):
     return J.root_causes(lk, lk.select(F.col("target").alias("node")).distinct()).select("node", F.array_join("chain", ">").alias("chain"))
 
 
+@query(f"WITH RECURSIVE {_ORDER_LINKS}, b AS (SELECT target, arg_max(source, row(rank, -epoch_us(moment), -source)) AS source FROM lk GROUP BY target), w AS (SELECT target AS node, [target] AS chain FROM (SELECT DISTINCT target FROM lk) UNION ALL SELECT node, list_append(chain, b.source) FROM w JOIN b ON b.target = chain[-1] WHERE NOT list_contains(chain, b.source)) SELECT node, unnest(range(len(chain))) AS position, unnest(chain) AS member FROM (SELECT node, arg_max(chain, len(chain)) AS chain FROM w GROUP BY node)")
+def kill_chain(spark, d):
+    """The same chains as rows, one for each step back from an order."""
+    lk = order_links(spark, d)
+    return J.root_chains(lk, lk.select(F.col("target").alias("node")).distinct())
+
+
 @query("SELECT o_orderstatus AS case_id, count_if(o_orderpriority = '1-URGENT') AS drafts, count_if(o_orderpriority <> '1-URGENT') AS approved, count_if(o_orderpriority <> '1-URGENT' AND o_orderkey % 3 = 0) AS without_technique, count_if(o_orderkey % 3 = 1) AS bad_technique, count_if(o_orderpriority <> '1-URGENT' AND o_orderkey % 2 = 0) AS unsigned FROM orders GROUP BY ALL")
 def readiness_counts(spark, d):
     k = F.col("o_orderkey") % 3
@@ -433,11 +445,31 @@ def service_changes(spark, d):
     return V.service_changes(ev(spark, d))
 
 
-@query("WITH RECURSIVE lk AS (SELECT DISTINCT 'p' || l_partkey AS a, 's' || l_suppkey AS b FROM lineitem UNION SELECT DISTINCT 's' || l_suppkey, 'p' || l_partkey FROM lineitem), r(node, depth) AS (SELECT 'p1', 0 UNION SELECT b, depth + 1 FROM r JOIN lk ON a = node WHERE depth < 5) SELECT 'p1' AS src, node, min(depth) AS depth FROM r GROUP BY node")
-def paths_depth5(spark, d):
+def neighbours_of_nation(spark, d):
+    """All pairs of suppliers of one nation, and the links between suppliers and parts, both ways."""
     e = part_edges(spark, d)
-    both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    return G.reach(both, spark.createDataFrame([("p1",)], "src string"), 5)
+    s = D.read(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("s"), "s_nationkey")
+    pairs = s.select(F.col("s").alias("src"), "s_nationkey").join(s.select(F.col("s").alias("dst"), "s_nationkey"), "s_nationkey").where("src <> dst").select("src", "dst")
+    return ShortestPaths(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))), pairs, 5)
+
+
+_PAIRS = """e AS (SELECT DISTINCT 'p' || l_partkey AS p, 's' || l_suppkey AS s FROM lineitem), pr AS (SELECT 's' || a.s_suppkey AS src, 's' || b.s_suppkey AS dst FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey),
+s2 AS (SELECT a.s AS src, b.s AS dst, count(*) AS n FROM e a JOIN e b ON a.p = b.p AND a.s <> b.s GROUP BY ALL), n2 AS (SELECT pr.src, pr.dst, n FROM pr JOIN s2 USING (src, dst)),
+n4 AS (SELECT pr.src, pr.dst, sum(x.n * y.n)::BIGINT AS n FROM (SELECT * FROM pr ANTI JOIN n2 USING (src, dst)) pr JOIN s2 x ON x.src = pr.src JOIN s2 y ON y.src = x.dst AND y.dst = pr.dst GROUP BY ALL)"""
+
+
+@query(f"WITH {_PAIRS} SELECT src, dst, 2 AS steps, n AS n_paths FROM n2 UNION ALL SELECT src, dst, 4, n FROM n4")
+def paths_depth5(spark, d):
+    """How many shortest paths lead from each supplier to the others of its nation, and of how many steps."""
+    return neighbours_of_nation(spark, d).counts()
+
+
+@query(f"WITH {_PAIRS} SELECT src, dst, 1 AS position, count(DISTINCT e.p) AS n FROM n2 JOIN e ON e.s = src JOIN e f ON f.p = e.p AND f.s = dst GROUP BY ALL UNION ALL SELECT src, dst, 2, count(DISTINCT e.p) FROM n2 JOIN e ON e.s = src JOIN e f ON f.p = e.p AND f.s = dst GROUP BY ALL")
+def path_steps(spark, d):
+    """How many different steps the shortest paths of two steps have at each place."""
+    found = neighbours_of_nation(spark, d)
+    short = found.counts().where("steps = 2").select("src", "dst")
+    return found.steps().join(short, ["src", "dst"]).groupBy("src", "dst", "position").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("WITH RECURSIVE lk AS (SELECT DISTINCT 'p' || l_partkey AS a, 's' || l_suppkey AS b FROM lineitem UNION SELECT DISTINCT 's' || l_suppkey, 'p' || l_partkey FROM lineitem), r(src, node, depth) AS (SELECT 's' || s_suppkey, 's' || s_suppkey, 0 FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_name = (SELECT min(n_name) FROM nation) UNION SELECT src, b, depth + 1 FROM r JOIN lk ON a = node WHERE depth < 5) SELECT src, node, min(depth) AS depth FROM r GROUP BY src, node")
@@ -451,13 +483,6 @@ def paths_from_nation(spark, d):
     return G.reach(both, start, 5)
 
 
-@query("WITH RECURSIVE " + over_events("")[5:].rstrip() + """, p AS (SELECT host_name, pid, arg_max(ppid, (timestamp, event_id)) AS ppid FROM ev GROUP BY ALL),
-t AS (SELECT host_name, pid, 0 AS depth FROM p WHERE NOT EXISTS (SELECT 1 FROM p q WHERE q.host_name = p.host_name AND q.pid = p.ppid) UNION ALL SELECT p.host_name, p.pid, depth + 1 FROM p JOIN t ON p.host_name = t.host_name AND p.ppid = t.pid WHERE depth < 16)
-SELECT p.host_name, p.pid, p.ppid, t.depth FROM p LEFT JOIN t USING (host_name, pid)""")
-def process_tree(spark, d):
-    return G.process_tree(D.events(spark, d), 16).select("host_name", "pid", "ppid", "depth")
-
-
 @query("WITH RECURSIVE " + over_events("")[5:].rstrip() + """, p AS (SELECT host_name, substr(event_id, 4)::BIGINT AS pid, nullif(substr(event_id, 4)::BIGINT // 7, substr(event_id, 4)::BIGINT) AS ppid FROM ev WHERE canonical_type = 'PROCESS_EXECUTION'),
 t AS (SELECT host_name, pid, 0 AS depth FROM p WHERE NOT EXISTS (SELECT 1 FROM p q WHERE q.host_name = p.host_name AND q.pid = p.ppid) UNION ALL SELECT p.host_name, p.pid, depth + 1 FROM p JOIN t ON p.host_name = t.host_name AND p.ppid = t.pid)
 SELECT p.host_name, p.pid, p.ppid, t.depth FROM p LEFT JOIN t USING (host_name, pid)""")
@@ -465,7 +490,17 @@ def process_tree_whole(spark, d):
     """One process for each PROCESS_EXECUTION event, so the tree grows with the table; to any depth."""
     pid = F.col("source_doc_id").cast("long")
     started = D.events(spark, d).where("canonical_type = 'PROCESS_EXECUTION'").withColumns({"pid": pid, "ppid": F.nullif(F.floor(pid / 7), pid)})
-    return G.process_tree(started).select("host_name", "pid", "ppid", "depth")
+    return H.process_tree(started).select("host_name", "pid", "ppid", "depth")
+
+
+@query("WITH RECURSIVE " + over_events("")[5:].rstrip() + """, p AS (SELECT host_name, substr(event_id, 4)::BIGINT AS pid, nullif(substr(event_id, 4)::BIGINT // 7, substr(event_id, 4)::BIGINT) AS ppid FROM ev WHERE canonical_type = 'PROCESS_EXECUTION'),
+t AS (SELECT host_name, pid, pid AS root, pid::VARCHAR AS path FROM p WHERE NOT EXISTS (SELECT 1 FROM p q WHERE q.host_name = p.host_name AND q.pid = p.ppid) UNION ALL SELECT p.host_name, p.pid, t.root, t.path || '/' || p.pid FROM p JOIN t ON p.host_name = t.host_name AND p.ppid = t.pid)
+SELECT host_name, pid, root, path FROM t""")
+def process_tree(spark, d):
+    """The root of each process and the path from there, by pointer doubling."""
+    pid = F.col("source_doc_id").cast("long")
+    started = D.events(spark, d).where("canonical_type = 'PROCESS_EXECUTION'").withColumns({"pid": pid, "ppid": F.nullif(F.floor(pid / 7), pid)})
+    return H.process_tree(started).select("host_name", "pid", "root", "path")
 
 
 for _more in (ingest, lists):

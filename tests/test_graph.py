@@ -1,10 +1,14 @@
+import itertools
+import math
 import os
+import random
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from casegraph.operators import graph, judge
+from casegraph.operators import chains, intervals, judge, quantiles
+from casegraph.operators.path_dag import ShortestPaths
 from casegraph.plans import queries
 
 DATA = "/root/testdata/sf0.001"
@@ -25,7 +29,7 @@ def agree(spark, name, data=DATA):
 
 def test_tree_has_no_depth_cap(spark):
     chain = spark.range(22).select(F.lit("h").alias("host_name"), F.col("id").alias("pid"), (F.col("id") - 1).alias("ppid"), F.lit("p").alias("process_name"), F.lit(0).alias("timestamp"), F.col("id").alias("event_id"))
-    assert {r["pid"]: r["depth"] for r in graph.process_tree(chain).collect()} == {k: k for k in range(22)}
+    assert {r["pid"]: r["depth"] for r in chains.process_tree(chain).collect()} == {k: k for k in range(22)}
 
 
 def test_chain_has_no_length_cap(spark):
@@ -40,7 +44,7 @@ def test_whole_tree(spark):
     assert all(r[3] is not None for r in rows) and any(r[3] > 0 for r in rows)
 
 
-@pytest.mark.parametrize("name", ["causal_contradictions_whole", "orphan_links_whole", "kill_chain_whole"])
+@pytest.mark.parametrize("name", ["causal_contradictions", "orphan_links", "kill_chain_whole", "kill_chain"])
 def test_whole_links(spark, name):
     rows, con = agree(spark, name)
     if name == "kill_chain_whole":
@@ -53,3 +57,131 @@ def test_subgraph_and_paths_by_attribute(spark):
     assert any(k % 7 for k in keys) and keys <= {k for k, in con.execute("SELECT p_partkey FROM part WHERE p_type = 'ECONOMY'").fetchall()}
     rows, con = agree(spark, "paths_from_nation", DATA.replace("0.001", "0.01"))
     assert {r[0] for r in rows if r[2] == 0} == {r[0] for r in rows} != set()
+
+
+def rounds(spark, work):
+    """What work gives, and how many tables it saved: the rounds of a loop."""
+    base = spark.conf.get("spark.checkpoint.dir")
+    before = len(os.listdir(base))
+    out = work()
+    return out, len(os.listdir(base)) - before
+
+
+def test_long_chain_takes_few_rounds(spark):
+    n = 100_000
+    parents = spark.range(n).select(F.col("id").alias("node"), F.nullif(F.col("id") - 1, F.lit(-1)).alias("parent"))
+    out, saved = rounds(spark, lambda: chains.depths(parents).agg(F.count("depth"), F.max("depth"), F.sum("depth"), F.max("root")).first())
+    assert tuple(out) == (n, n - 1, n * (n - 1) // 2, 0) and saved < 25
+    start = spark.createDataFrame([(n - 1,), (5,)], "node long")
+    out, saved = rounds(spark, lambda: chains.walks(parents, start).groupBy("node").agg(F.count(F.lit(1)), F.max("position"), F.sum(F.col("position") + F.col("member"))).collect())
+    assert {tuple(r) for r in out} == {(n - 1, n, n - 1, n * (n - 1)), (5, 6, 5, 30)} and saved < 50
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_chains_against_plain(spark, seed):
+    """Forests with cycles, self-links, missing parents and null ones."""
+    rnd = random.Random(seed)
+    up = {k: rnd.choice([None, 99, *range(k + 1)]) if k < 25 else rnd.randrange(25, 40) for k in range(40)}
+    up |= {k: rnd.randrange(60) for k in range(40, 60)}
+    df = spark.createDataFrame(list(up.items()), "node int, parent int")
+
+    def walk(k, most=None):
+        out = [k]
+        while up.get(out[-1]) is not None and up[out[-1]] not in out and (most is None or len(out) <= most):
+            out.append(up[out[-1]])
+        return out
+
+    def depth(k):
+        path = walk(k)
+        last = path[-1]
+        if last == 99:  # named as a parent, but no node
+            path = path[:-1]
+        elif up[last] is not None:
+            return None
+        return len(path) - 1, path[-1], "/".join(map(str, reversed(path)))
+
+    got = {r["node"]: (r["depth"], r["root"], r["path"]) if r["root"] is not None else None for r in chains.depths(df.withColumn("label", F.col("node")), "label").collect()}
+    assert got == {k: depth(k) for k in up}
+    starts = spark.createDataFrame([(k,) for k in [*up, 777]], "node int")
+    for most in (None, 3):
+        found = {}
+        for r in chains.walks(df, starts, most).collect():
+            found.setdefault(r["node"], {})[r["position"]] = r["member"]
+        assert found == {k: dict(enumerate(walk(k, most))) for k in [*up, 777]}
+
+
+@pytest.mark.parametrize("depth", [1, 2, 3, 5])
+def test_shortest_paths_against_plain(spark, depth):
+    rnd = random.Random(depth)
+    links = {(rnd.randrange(14), rnd.randrange(14)) for _ in range(30)}
+    pairs = [(a, b) for a, b in itertools.product(range(14), repeat=2) if rnd.random() < 0.6]
+
+    def plain(src, dst):
+        front = [[src]]
+        for _ in range(depth):
+            front = [[*p, b] for p in front for a, b in links if a == p[-1] and b not in p]
+            done = [p for p in front if p[-1] == dst]
+            if done:
+                return done
+        return []
+
+    want = {(a, b): plain(a, b) for a, b in pairs if a != b and plain(a, b)}
+    found = ShortestPaths(spark.createDataFrame(list(links), "a int, b int"), spark.createDataFrame(pairs, "src int, dst int"), depth)
+    assert {(r["src"], r["dst"]): (r["steps"], r["n_paths"]) for r in found.counts().collect()} == {k: (len(v[0]) - 1, len(v)) for k, v in want.items()}
+    assert sorted(tuple(r["path"]) for r in found.paths().collect()) == sorted(tuple(p) for v in want.values() for p in v)
+    steps = sorted((r["src"], r["dst"], r["position"], r["a"], r["b"]) for r in found.steps().collect())
+    assert steps == sorted({(*k, i + 1, p[i], p[i + 1]) for k, v in want.items() for p in v for i in range(len(p) - 1)})
+
+
+def test_hub_has_no_row_for_each_path(spark):
+    """Six layers of twelve nodes, each linked with all of the next: three million paths between the ends, a few hundred rows."""
+    layers = [[f"s{k}"] if k in (0, 7) else [f"n{k}.{x}" for x in range(12)] for k in range(8)]
+    links = [(a, b) for x, y in zip(layers, layers[1:]) for a in x for b in y]
+    found = ShortestPaths(spark.createDataFrame(links, "a string, b string"), spark.createDataFrame([("s0", "s7")], "src string, dst string"), 8)
+    assert tuple(found.counts().first()) == ("s0", "s7", 7, 12**6) and found.steps().count() == len(links)
+
+
+def test_overlapping_against_plain(spark):
+    rnd = random.Random(3)
+    side = lambda n: [(rnd.choice("xyz"), k, s, s + rnd.choice([0, 0, 1, 7, 8, 9, 64, 65, 500, 5000, 10**6, 10**9, -1])) for k in range(n) for s in [rnd.choice([rnd.randrange(-2000, 2000), 64 * rnd.randrange(-9, 9)])]]
+    a, b = side(150), side(150)
+    b += [("x", 900, None, 5), (None, 901, 0, 10)]
+    got = intervals.overlapping(spark.createDataFrame(a, "k string, a int, s long, e long"), spark.createDataFrame(b, "k string, b int, s2 long, e2 long"), ["k"], ("s", "e"), ("s2", "e2"))
+    want = sorted((k, i, j) for k, i, s, e in a for q, j, s2, e2 in b if k == q and None not in (s2, e2) and s <= e and s2 <= e2 and s <= e2 and s2 <= e)
+    assert sorted((r["k"], r["a"], r["b"]) for r in got.collect()) == want and len(want) > 500
+
+
+def test_overlapping_day_of_a_busy_host(spark):
+    """A host's day of 20,000 short intervals on each side, and one long one: what meets stays near what overlaps."""
+    n = 20_000
+    a = spark.range(n).select(F.lit("h").alias("k"), F.col("id").alias("a"), (4 * F.col("id")).alias("s"), (4 * F.col("id") + 1).alias("e"))
+    b = spark.range(n).select(F.lit("h").alias("k"), F.col("id").alias("b"), (4 * F.col("id") + 1).alias("s2"), (4 * F.col("id") + 2).alias("e2")).unionByName(spark.createDataFrame([("h", -1, 0, 4 * n)], "k string, b long, s2 long, e2 long"))
+    assert intervals.overlapping(a, b, ["k"], ("s", "e"), ("s2", "e2")).count() == 2 * n
+
+
+def test_as_of_against_plain(spark):
+    rnd = random.Random(4)
+    rows = [(rnd.choice(["x", "y", None]), k, rnd.choice([rnd.randrange(-9000, 90_000), 3600 * rnd.randrange(9)])) for k in range(300)] + [("x", 999, None)]
+    states = [(rnd.choice(["x", "y", None, "z"]), rnd.choice([rnd.randrange(-9000, 90_000), 3600 * rnd.randrange(9)]), rnd.choice(["a", "b", "c", None])) for _ in range(60)]
+    got = intervals.as_of(spark.createDataFrame(rows, "k string, id int, epoch long"), spark.createDataFrame(states, "k string, epoch long, v string"), ["k"], "v")
+    want = {i: max(((t, v) for q, t, v in states if q == k and v is not None and e is not None and t <= e), default=(0, None))[1] for k, i, e in rows}
+    assert {r["id"]: r["v"] for r in got.collect()} == want and got.columns == ["k", "id", "epoch", "v"]
+
+
+def test_sketch_error_and_merge(spark):
+    rnd = random.Random(5)
+    rows = [(rnd.choice("ab"), 86400 * rnd.randrange(12) + 5, rnd.choice([0.0, -3.0, rnd.lognormvariate(3, 2)])) for _ in range(3000)]
+    df = spark.createDataFrame([*rows, ("a", 5, None), ("a", 5, float("nan"))], "h string, epoch long, v double")
+    whole = quantiles.sketch(df, "v", ["h"], 86400)
+    parts = quantiles.merged(*[quantiles.sketch(df.where(F.pmod(F.hash("v"), F.lit(3)) == k), "v", ["h"], 86400) for k in range(3)])
+    assert sorted(map(tuple, whole.select("h", "period", "bucket", "n").collect())) == sorted(map(tuple, parts.select("h", "period", "bucket", "n").collect()))
+    seen = 0
+    for q in (0.0, 0.5, 0.95, 1.0):
+        for r in quantiles.thresholds(whole, q, ["h"], back=4).collect():
+            before = sorted(v for h, e, v in rows if h == r["h"] and r["period"] - 4 <= e // 86400 < r["period"])
+            exact = max(before[math.floor(q * (len(before) - 1))], 0.0)
+            assert r["n"] == len(before) and abs(r["threshold"] - exact) <= 0.0100001 * exact
+            seen += 1
+    assert seen > 80
+    one = spark.createDataFrame([("a", 0, 10.0), ("a", 86400, 11.0), ("a", 86401, 9.0), ("b", 0, 5.0)], "h string, epoch long, v double")
+    assert [r["v"] for r in quantiles.above_earlier(one, "v", 0.5, ["h"]).collect()] == [11.0]
