@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.exprs import cluster_score, cluster_tier, short_hash
+from ..functions.exprs import cluster_score, cluster_tier, computed, short_hash
 from .graph import saved
 from .rules import BY_NAME, CHANNELS, EXTERNAL, FAMILIES, Family, prepared
 
@@ -35,7 +35,7 @@ def trigger_hits(events: DataFrame, families: tuple[Family, ...] = FAMILIES) ->
         rules += f.triggers
     met = F.array_compact(F.array(*[F.when(F.expr(t.when), F.lit(k)) for k, t in enumerate(rules)]))
     table = events.sparkSession.createDataFrame(table, "rule int, of_family int, constructor string, trigger string, base int, window int")
-    hits = rows.select(*keep, met.alias("met")).where(F.size("met") > 0).select(*keep, "met", F.explode("met").alias("rule")).join(F.broadcast(table), "rule")  # the rules, not data
+    hits = computed(rows, met=met).select(*keep, "met").where(F.size("met") > 0).select(*keep, "met", F.explode("met").alias("rule")).join(F.broadcast(table), "rule")  # the rules, not data
     lead = ~F.exists("met", lambda k: (k >= F.col("of_family")) & (k < F.col("rule")))
     at = F.when(F.col("window").isNull(), F.lit(0)).when(F.col("window") <= 0, F.col("epoch")).otherwise(F.col("epoch") - F.pmod(F.col("epoch"), F.greatest("window", F.lit(1))))
     return hits.select(*keep, "constructor", "trigger", "base", at.cast("long").alias("bucket"), lead.cast("int").alias("lead"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .graph import saved
+
 #: Lengths of slots, in seconds, from one level to the next; with so many levels the last is longer than any table's time.
 BASE, LEVELS = 8, 14
 
@@ -33,7 +35,7 @@ def overlapping(a: DataFrame, b: DataFrame, keys: list[str], span_a: tuple[str,
     """
     a = a.withColumns({"from_": F.col(span_a[0]).cast("long"), "to_": F.col(span_a[1]).cast("long")}).where("from_ <= to_")
     b = b.withColumns({"from_": F.col(span_b[0]).cast("long"), "to_": F.col(span_b[1]).cast("long")}).where("from_ <= to_")
-    a, b = (x.withColumn("level", _level(F.col("from_"), F.col("to_"))) for x in (a, b))
+    a, b = (saved(x.withColumn("level", _level(F.col("from_"), F.col("to_")))) for x in (a, b))  # each is read three times
     present = lambda x: sorted(r["level"] for r in x.select("level").distinct().collect())  # at most LEVELS numbers
     in_a, in_b = present(a), present(b)
     above = lambda levels, least: F.filter(F.array(*[F.lit(k) for k in levels]).cast("array<int>"), least)

@@ -100,9 +100,8 @@ def cluster_counters(spark, d):
 
 @query(f"WITH {GROUPS} SELECT cluster_id, count(*) AS n FROM g JOIN ru ON ru.host_name = g.host_name AND ru.epoch BETWEEN g.start_epoch - 1800 AND g.end_epoch + 1800 WHERE constructor = 'LateralMovement' GROUP BY ALL")
 def context_counts(spark, d):
-    rows = prepared(D.events(spark, d))
-    g = C.group_hits(C.trigger_hits(rows, (C.BY_NAME["LateralMovement"],)))
-    return C.over_context(g, rows.select("host_name", "epoch", F.lit(1).alias("n")), 1800, {"n": (F.count, F.sum)})
+    g = C.group_hits(C.trigger_hits(D.events(spark, d), (C.BY_NAME["LateralMovement"],)))
+    return C.over_context(g, ev(spark, d).select("host_name", "epoch", F.lit(1).alias("n")), 1800, {"n": (F.count, F.sum)})
 
 
 @query(over_events("""SELECT event_id FROM (SELECT event_id, epoch, lag(epoch) OVER (PARTITION BY host_name, "user" ORDER BY epoch, event_id) AS b FROM ev WHERE canonical_type = 'AUTHENTICATION') WHERE b IS NULL OR epoch - b > 86400"""))
