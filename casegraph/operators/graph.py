@@ -5,23 +5,30 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.exprs import is_internal, short_hash
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """df written below spark.checkpoint.dir and read again: an iteration's plan stays short and survives lost executors."""
-    spark = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir, or below a temporary one where that is unset on a single machine.
+
+    What lies there is read for as long as a DataFrame made from it is used, so a job that is over deletes its checkpoint folder.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="casegraph-")  # one machine
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """df written below spark.checkpoint.dir and read again: an iteration's plan stays short and survives lost executors."""
+    path = folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _id(kind: str, key: Column) -> Column:

@@ -208,3 +208,23 @@ def normalize_counts(spark: SparkSession, d: str) -> DataFrame:
     rows = D.read(spark, d, "events").select(F.lit("H").alias("Computer"), utc(F.col("ts"), "yyyy-MM-dd HH:mm:ss.SSSSSSXXX").alias("TimeCreated"), code.alias("EventId"), *[F.lit("").alias(c) for c in ("Channel", "Provider", "MapDescription", "UserName", "ExecutableInfo", "Payload")])
     ecs = R.event_csv(rows)
     return normalize_stats(ecs, normalize(ecs, "C1"))
+
+
+@query(r"""SELECT 'PROCESS_EXECUTION' AS canonical_type, c_custkey AS pid, 'p' || c_custkey % 9 || '.exe' AS process_name, NULL AS alert_name, 1 AS n FROM customer
+UNION ALL SELECT 'ALERT', NULL, 'p' || c_custkey % 9 || '.exe', 'rule ' || o_orderpriority, count(*) FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND o_orderkey % 4 <> 0 GROUP BY ALL
+UNION ALL SELECT 'ALERT', NULL, NULL, 'API Hook Detected', count(*) FROM supplier UNION ALL SELECT 'ALERT', NULL, NULL, CASE WHEN n_regionkey = 0 THEN 'IOC Alert' ELSE 'e' || n_regionkey END, count(*) FROM nation GROUP BY ALL
+UNION ALL SELECT 'SERVICE_INSTALLATION', NULL, NULL, NULL, count(*) FROM part UNION ALL SELECT 'REGISTRY_MODIFICATION', NULL, NULL, NULL, count(*) FROM region""")
+def ingest_memory_tables(spark: SparkSession, d: str) -> DataFrame:
+    """The six tables of a memory image; hits on processes that are gone stay."""
+    read = lambda name: D.read(spark, d, name)
+    at, none = F.lit("2024-05-01T10:00:00Z"), F.lit(None).cast("string")
+    c = F.col("c_custkey")
+    processes = read("customer").select(c.alias("ID"), c.alias("PID"), (c + 1).alias("ParentPID"), F.lit("u").alias("Username"), F.lit("C:\\w").alias("Path"), F.when(c % 2 == 0, text("p", c % 9, ".exe")).otherwise("").alias("ProcessName"), text('C:\\w\\p', c % 9, ".exe -x ", c).alias("Arguments"), at.alias("StartTime"), none.alias("Hidden"), none.alias("SID"))
+    processes = processes.withColumn("ProcessName", F.when(F.col("ProcessName") == "", text("p", F.col("PID") % 9, ".exe")).otherwise(F.col("ProcessName")))
+    hits = read("orders").select(text("rule ", F.col("o_orderpriority")).alias("RuleID"), F.lit("t").alias("HitType"), F.lit(1).alias("ScoreModifier"), text("d", F.col("o_orderkey")).alias("HitDescription"), F.when(F.col("o_orderkey") % 4 == 0, -1).otherwise(F.col("o_custkey")).alias("ProcessID"))
+    hooks = read("supplier").select(text("h", F.col("s_suppkey")).alias("HookDescription"), *[none.alias(x) for x in ("HookedFunction", "HookedModule", "HookingModule", "HookingAddress")])
+    services = read("part").select(text("s", F.col("p_partkey")).alias("Name"), *[none.alias(x) for x in ("DescriptiveName", "Path", "ServiceType", "Mode", "ServiceStatus", "ServiceDLL", "FromPersistence")])
+    registry = read("region").select(none.alias("Hive"), F.col("r_name").alias("KeyPath"), none.alias("TextValue"), none.alias("RegistryType"), at.alias("Modified"), none.alias("FromPersistence"))
+    indicators = read("nation").select(F.when(F.col("n_regionkey") == 0, "").otherwise(text("e", F.col("n_regionkey"))).alias("AlertEventType"), F.col("n_nationkey").alias("IndicatorId"), at.alias("MatchTimestamp"))
+    rows = normalize(R.memory_tables("M", F.lit("2024-05-02").cast("timestamp"), processes, hooks, services, registry, hits, indicators), "C1")
+    return rows.groupBy("canonical_type", "pid", "process_name", "alert_name").agg(F.count(F.lit(1)).alias("n"))

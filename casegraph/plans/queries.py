@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import exprs as X
 from ..functions.lookups import CAUSAL_RANK, KEEP, NOISE
-from ..operators import chains as H, cluster as C, detect as T, graph as G, judge as J, quantiles as Q, reduce as R, views as V
+from ..operators import chains as H, cluster as C, coverage as K, detect as T, graph as G, judge as J, quantiles as Q, reduce as R, views as V
 from ..operators.intervals import as_of, overlapping
+from ..operators.graph import folder
+from ..operators.pages import Pages
 from ..operators.path_dag import ShortestPaths
 from ..operators.rules import FAMILIES, prepared
 from ..sources import driver as D
@@ -145,9 +147,53 @@ def disturbance_windows(spark, d):
     return R.disturbances(clusters(spark, d)).select("cluster_id", F.unix_timestamp("start").alias("start"), F.unix_timestamp("end").alias("end"))
 
 
-@query(over_clusters("SELECT 'CASE-1' AS case_id, unnest(['missing evtx', 'missing memory', 'missing pcap', 'missing registry']) AS gap"))
+def evidence_kind():
+    return F.when(F.col("canonical_type") == "NETWORK_CONNECTION", "pcap").when(F.col("canonical_type") == "REGISTRY_MODIFICATION", "registry").otherwise("evtx")
+
+
+_GAPS = """, k AS (SELECT host_name, CASE canonical_type WHEN 'NETWORK_CONNECTION' THEN 'pcap' WHEN 'REGISTRY_MODIFICATION' THEN 'registry' ELSE 'evtx' END AS kind, epoch FROM ev), hs AS (SELECT host_name, min(epoch) AS a, max(epoch) AS b FROM ev GROUP BY ALL),
+pt AS (SELECT host_name, kind, epoch FROM k UNION ALL SELECT DISTINCT host_name, kind, a FROM k JOIN hs USING (host_name) UNION ALL SELECT DISTINCT host_name, kind, b FROM k JOIN hs USING (host_name)),
+gp AS (SELECT host_name, kind, 'hole' AS gap, p AS start, epoch AS "end" FROM (SELECT *, lag(epoch) OVER (PARTITION BY host_name, kind ORDER BY epoch) AS p FROM pt) WHERE epoch - p > 14400 UNION ALL SELECT host_name, 'memory', 'missing', a, b FROM hs)"""
+
+
+@query(over_clusters(_GAPS + " SELECT gp.*, EXISTS (SELECT 1 FROM cl WHERE cl.host_name = gp.host_name AND cl.tier = 'STRONG' AND cl.start_epoch <= gp.\"end\" AND cl.end_epoch >= gp.start) AS blocks_report FROM gp"))
 def gap_detection(spark, d):
-    return R.gaps(J.case_profile(D.events(spark, d)), C.group_hits(C.trigger_hits(D.events(spark, d))))
+    """What evidence each host lacks, by kind and time, and whether a strong finding lies there."""
+    e = ev(spark, d)
+    found = K.holes(K.evidence_spans(e, evidence_kind(), 14400), K.expected_by_host(e), 14400)
+    return K.blocking(found, clusters(spark, d).where("tier = 'STRONG'")).drop("case_id")
+
+
+@query(over_events(_GAPS + " SELECT host_name, kind, coalesce(sum(epoch - p) FILTER (epoch - p <= 14400), 0)::BIGINT AS seconds FROM (SELECT DISTINCT host_name, kind FROM gp) LEFT JOIN (SELECT *, lag(epoch) OVER (PARTITION BY host_name, kind ORDER BY epoch) AS p FROM k) USING (host_name, kind) GROUP BY ALL"))
+def evidence_coverage(spark, d):
+    """Seconds of a host's time that its evidence of each kind covers, for kinds with gaps."""
+    e = ev(spark, d)
+    spans = K.evidence_spans(e, evidence_kind(), 14400)
+    gaps = K.holes(spans, K.expected_by_host(e), 14400).select("host_name", "kind").distinct()
+    return K.covered(spans, K.expected_by_host(e)).join(gaps, ["host_name", "kind"]).select("host_name", "kind", "seconds")
+
+
+_CASES = "h AS (SELECT o_orderstatus AS case_id, o_orderkey AS id, CASE WHEN o_orderpriority = '1-URGENT' AND o_orderstatus <> 'P' THEN 'DRAFT' WHEN o_orderpriority = '5-LOW' THEN 'REJECTED' ELSE 'APPROVED' END AS status, o_orderkey % 3 AS t, o_orderkey - 32 AS against, o_orderkey % 2 = 1 AS signed FROM orders)"
+
+
+@query(f"""WITH {_CASES} SELECT h.case_id, count_if(status = 'DRAFT') AS drafts, count_if(status = 'APPROVED') AS approved, count_if(status = 'APPROVED' AND t = 0) AS without_technique, count_if(status = 'APPROVED' AND t = 1) AS bad_techniques, count_if(status = 'APPROVED' AND NOT signed) AS unsigned,
+count_if(status = 'APPROVED' AND against IN (SELECT g.id FROM h g WHERE g.status = 'APPROVED' AND g.case_id = h.case_id)) AS approved_contradicted, count_if(status = 'DRAFT') = 0 AND count_if(status = 'APPROVED' AND against IN (SELECT g.id FROM h g WHERE g.status = 'APPROVED' AND g.case_id = h.case_id)) = 0 AS ready FROM h GROUP BY h.case_id""")
+def case_readiness(spark, d):
+    """Orders as hypotheses of three cases, each contradicted by the one 32 before it."""
+    k = F.col("o_orderkey")
+    tech = F.when(k % 3 == 0, F.array().cast("array<string>")).when(k % 3 == 1, F.array(F.lit("T1x"))).otherwise(F.array(F.lit("T1003.001")))
+    status = F.when((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") != "P"), "DRAFT").when(F.col("o_orderpriority") == "5-LOW", "REJECTED").otherwise("APPROVED")
+    h = D.read(spark, d, "orders").select(F.col("o_orderstatus").alias("case_id"), k.alias("hypothesis_id"), status.alias("status"), tech.alias("techniques"), (k - 32).alias("contradicted_by"), (k % 2 == 1).alias("signed"))
+    none = lambda s: spark.createDataFrame([], s)
+    out = K.case_readiness(h, none("case_id string, source long, target long"), none("case_id string, blocks_report boolean"), none("case_id string, tier string"))
+    return out.select("case_id", "drafts", "approved", "without_technique", "bad_techniques", "unsigned", "approved_contradicted", "ready")
+
+
+@query(over_events("SELECT event_id, epoch, (SELECT count(*) FROM ev) AS total FROM ev ORDER BY epoch, event_id LIMIT 300 OFFSET 2100"))
+def page_8(spark, d):
+    """Page 8 of all events, by an index of ranges, with the number of all."""
+    p = Pages.build(ev(spark, d).select("event_id", "epoch"), ["epoch", "event_id"], f"{folder(spark)}/pages", 16)
+    return p.page(300, 7).withColumn("total", F.lit(p.total).cast("long"))
 
 
 _ENT = """, e AS (SELECT 'host' AS t, host_name AS k, epoch FROM ev UNION ALL SELECT 'user', "user", epoch FROM ev UNION ALL SELECT 'process', host_name || ':' || pid || ':' || epoch, epoch FROM ev WHERE process_name IS NOT NULL

@@ -197,6 +197,50 @@ def timeline_json(df: DataFrame, host: str | None = None) -> DataFrame:
     )
 
 
+def _program(args: Column) -> Column:
+    """The first word of a command line as a shell reads it: quotes go, and outside of them a backslash stands for the character after it; without a closing quote, what comes before the first blank."""
+    word = F.regexp_extract(args, r"^(\S+)", 1)
+    return (
+        F.when(args.rlike(r'^"(?:[^"\\]|\\.)*"(?:\s|$)'), F.regexp_replace(F.regexp_extract(args, r'^"((?:[^"\\]|\\.)*)"', 1), r'\\(["\\])', "$1")).when(args.rlike(r"^'[^']*'(?:\s|$)"), F.regexp_extract(args, r"^'([^']*)'", 1))
+        .when(~word.rlike("[\"']") & (F.regexp_count(args, F.lit("[\"']")) % 2 == 0) & ~args.rlike(r"\\$"), F.regexp_replace(word, r"\\(.)", "$1")).otherwise(F.regexp_replace(F.regexp_extract(args, r"^([^ ]*)", 1), "^[\"']+|[\"']+$", ""))
+    )
+
+
+def memory_tables(host: str, collected: Column, processes: DataFrame | None = None, hooks: DataFrame | None = None, services: DataFrame | None = None, registry: DataFrame | None = None, hits: DataFrame | None = None, indicators: DataFrame | None = None) -> DataFrame:
+    """The tables of a memory image, those that there are: a row for each record of each.
+
+    collected is the time of what has none of its own: hooks, services and hits. A hit has the name and folder of its process (ProcessID is the
+    ID there), or neither where the process is not in the table; several hits of a process are rows of their own.
+    """
+    out = []
+    if processes is not None:
+        args = F.trim(F.coalesce("Arguments", F.lit("")))
+        name = F.coalesce(filled(F.col("ProcessName")), filled(F.regexp_replace(F.substring_index(F.substring_index(args, "\\", -1), " ", 1), '^"+|"+$', "")))
+        folder = filled(F.col("Path"))
+        program = F.coalesce(filled(_program(args)), F.when(name.isNotNull(), F.concat(folder, F.lit("\\"), name)).otherwise(folder))
+        more = {"hidden": F.coalesce(filled(F.col("Hidden").cast("string")), F.lit("False")), "working_dir": folder, "sid": F.col("SID")}
+        out.append(ecs(processes, "memory_image", F.lit(host), utc_millis(F.col("StartTime").cast("string")), more, event_action=F.lit("process-started"), event_category=F.lit("process"), pid=F.col("PID"), ppid=F.col("ParentPID"), process_name=name, process_path=program, command_line=F.coalesce(filled(args), program), user=F.col("Username")))
+    if hooks is not None:
+        more = {x: F.col(y) for x, y in (("description", "HookDescription"), ("function", "HookedFunction"), ("module", "HookedModule"), ("by", "HookingModule"), ("address", "HookingAddress"))}
+        out.append(ecs(hooks, "memory_image", F.lit(host), collected, more, event_action=F.lit("api-hook-detected"), event_category=F.lit("intrusion_detection"), alert_name=F.lit("API Hook Detected")))
+    if services is not None:
+        more = {x: F.col(y) for x, y in (("service_name", "Name"), ("display_name", "DescriptiveName"), ("path", "Path"), ("type", "ServiceType"), ("start_type", "Mode"), ("state", "ServiceStatus"), ("dll", "ServiceDLL"), ("from_persistence", "FromPersistence"))}
+        out.append(ecs(services, "memory_image", F.lit(host), collected, more, event_action=F.lit("service-installed"), event_category=F.lit("configuration")))
+    if registry is not None:
+        more = {"hive": F.col("Hive"), "value": F.col("TextValue"), "type": F.col("RegistryType"), "from_persistence": F.col("FromPersistence")}
+        out.append(ecs(registry, "memory_image", F.lit(host), utc_millis(F.col("Modified").cast("string")), more, event_action=F.lit("registry-modified"), event_category=F.lit("registry"), registry_key=F.col("KeyPath")))
+    if hits is not None:
+        of = processes.select(F.col("ID").alias("ProcessID"), "ProcessName", "Path") if processes is not None else hits.sparkSession.createDataFrame([], "ProcessID long, ProcessName string, Path string")
+        more = {"hit_type": F.col("HitType"), "score_modifier": F.col("ScoreModifier"), "description": F.col("HitDescription")}
+        out.append(ecs(hits.join(of, "ProcessID", "left"), "memory_image", F.lit(host), collected, more, event_action=F.lit("malware-risk-index-hit"), event_category=F.lit("malware"), process_name=F.col("ProcessName"), process_path=F.col("Path"), alert_name=F.coalesce(filled(F.col("RuleID").cast("string")), F.lit("MRI Hit"))))
+    if indicators is not None:
+        out.append(ecs(indicators, "memory_image", F.lit(host), utc_millis(F.col("MatchTimestamp").cast("string")), {"indicator_id": F.col("IndicatorId")}, event_action=F.lit("ioc-match"), event_category=F.lit("intrusion_detection"), alert_name=F.coalesce(filled(F.col("AlertEventType")), F.lit("IOC Alert"))))
+    rows = out[0]
+    for more in out[1:]:
+        rows = rows.unionByName(more)
+    return rows
+
+
 BODY = ["md5", "name", "inode", "mode", "uid", "gid", "size", "atime", "mtime", "ctime", "crtime"]
 
 
@@ -253,4 +297,4 @@ def write_ecs(df: DataFrame, path: str) -> None:
     rows.write.mode("append").partitionBy("artifact", "host_name").parquet(path)
 
 
-READERS: dict[str, Callable] = {f.__name__: f for f in (event_xml, event_csv, event_jsonl, file_table, registry_csv, prefetch_csv, amcache_csv, shimcache_csv, srum_csv, alerts, memory, scan_text, timeline_csv, timeline_json, bodyfile, generic, carved, beacon_config)}
+READERS: dict[str, Callable] = {f.__name__: f for f in (event_xml, event_csv, event_jsonl, file_table, registry_csv, prefetch_csv, amcache_csv, shimcache_csv, srum_csv, alerts, memory, scan_text, timeline_csv, timeline_json, memory_tables, bodyfile, generic, carved, beacon_config)}
