@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.exprs import claims_cause, confidence_tier, is_technique, weakest
+from ..functions.exprs import claims_cause, confidence_tier, content_hash, is_technique, weakest
 from ..functions.lookups import CAUSAL_RANK, CAUSAL_WEIGHTS, GATE_PHRASES, PROVENANCE_WEIGHTS, STRENGTH_WEIGHTS, STRONG_CAUSES
 from ..functions.tables import look_up
 from .chains import walks
@@ -136,6 +136,12 @@ def orphans(hypotheses: DataFrame, links: DataFrame) -> DataFrame:
     return hypotheses.join(ends, "hypothesis_id", "left_anti")
 
 
+def changed(hypotheses: DataFrame) -> DataFrame:
+    """Hypotheses (title, observation, interpretation, techniques, content_hash) whose hash is not that of their content; one without a hash was never staged and is none."""
+    now = content_hash(F.col("title"), F.col("observation"), F.col("interpretation"), F.col("techniques"))
+    return hypotheses.where(F.col("content_hash") != now)
+
+
 def readiness(hypotheses: DataFrame) -> DataFrame:
     """(case_id, drafts, approved, without_technique, bad_technique, unsigned): what stands against closing a case."""
     approved = F.col("status") == "APPROVED"

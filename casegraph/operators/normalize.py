@@ -27,6 +27,10 @@ def normalize(ecs: DataFrame, case_id: str, mode: str = "default") -> DataFrame:
     rows = ecs.withColumn("canonical_type", kind).where("canonical_type IS NOT NULL AND ts IS NOT NULL")
     if mode == "strict":
         rows = rows.where("coalesce(host_name, '') <> ''")
+    # a field that is empty may be in the event's data
+    data = lambda field, *names: F.coalesce(filled(field), *[filled(extra(n)) for n in names])
+    user = data(F.when(filled(F.col("user")).isNotNull(), F.concat(F.coalesce(F.concat(filled(extra("user_domain")), F.lit("\\")), F.lit("")), F.col("user"))), "TargetUserName", "SubjectUserName", "AccountName")
+    rows = rows.withColumns({"user": user, "command_line": data(F.col("command_line"), "CommandLine", "ProcessCommandLine"), "remote_ip": data(F.col("remote_ip"), "source_ip", "IpAddress", "ClientAddress")})
     ident = [F.lit(case_id), F.col("host_name"), F.col("canonical_type"), F.unix_millis("ts"), F.col("process_name"), F.col("target_file"), F.col("remote_ip"), F.col("registry_key"), F.col("artifact"), F.col("doc_id")]
     return rows.select(
         short_hash(*ident, size=64 if mode == "strict" else 32).alias("event_id"), F.lit(case_id).alias("case_id"), F.coalesce("host_name", F.lit("")).alias("host_name"), F.col("ts").alias("timestamp"), "canonical_type", F.col("artifact").alias("source_index"), F.col("doc_id").alias("source_doc_id"),

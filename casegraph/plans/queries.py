@@ -15,7 +15,7 @@ from ..operators.pages import Pages
 from ..operators.path_dag import ShortestPaths
 from ..operators.rules import FAMILIES, prepared
 from ..sources import driver as D
-from . import ingest, lists
+from . import ingest, lists, rare
 from .oracle import GROUPS, HITS, hits_by_trigger, over_clusters, over_events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,11 +58,6 @@ def norm_type_counts(spark, d):
     return V.counts(ev(spark, d), "canonical_type", "host_name")
 
 
-@query(over_events("SELECT event_id, sha256(case_id || ':' || host_name || ':' || canonical_type || ':' || epoch || ':' || event_id)[1:32] AS canonical_id FROM ev"))
-def norm_event_ids(spark, d):
-    return ev(spark, d).select("event_id", X.short_hash(*[F.col(c) for c in ("case_id", "host_name", "canonical_type", "epoch", "event_id")]).alias("canonical_id"))
-
-
 @query("SELECT doc_id, sha256('CASE-1:' || coalesce(source, '') || ':' || coalesce(lang, '') || ':' || doc_id) AS document_id FROM documents")
 def doc_ids(spark, d):
     return D.read(spark, d, "documents").select("doc_id", X.doc_id(F.lit("CASE-1"), F.col("source"), F.col("lang"), F.col("doc_id")).alias("document_id"))
@@ -336,9 +331,10 @@ def intel_match(spark, d):
     return T.intel_match(ev(spark, d), D.read(spark, d, "nation").select(F.concat(F.lit("203.0.113."), "n_nationkey").alias("indicator"))).select("event_id", "remote_ip")
 
 
-@query("SELECT page_id, u AS indicator, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, 'https?://[^\\s''\"<>]+')) AS u FROM pages) GROUP BY ALL")
+@query("SELECT page_id, u AS indicator, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(concat_ws(' ', url, html), 'https?://[^\\s''\"<>]+')) AS u FROM pages) GROUP BY ALL")
 def carve_urls(spark, d):
-    return T.carve(D.read(spark, d, "pages"), "html", ["page_id"], T.URL)
+    rows = D.read(spark, d, "pages").select("page_id", F.concat_ws(" ", "url", "html").alias("all"))
+    return T.carve(rows, "all", ["page_id"], T.URL)
 
 
 @query("SELECT doc_id, u AS indicator, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\\b[0-9]{1,3}(?:\\.[0-9]{1,3}){3}\\b')) AS u FROM documents) GROUP BY ALL")
@@ -548,6 +544,6 @@ def process_tree(spark, d):
     return H.process_tree(started).select("host_name", "pid", "root", "path")
 
 
-for _more in (ingest, lists):
+for _more in (ingest, lists, rare):
     QUERIES |= _more.QUERIES
     ORACLE_SQL |= _more.ORACLE_SQL
