@@ -25,7 +25,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_substring_dedup": substring_dedup.OP1_SQL,
+    "op3_warc": warc.OP3_SQL,
     "op4_exact_dedup": exact_dedup.OP4_SQL,
+    "op7_ngram_jaccard": ngram_join.OP7_SQL,
     "op9_url_filter": url_filter.OP9_SQL,
     "op10_decontaminate": decontaminate.OP10_SQL,
     "op11_spelling": spelling.OP11_SQL,

@@ -159,3 +159,16 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
+OP1_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, i, md5(array_to_string(w[i + 1:i + 50], ' ')) AS s FROM (SELECT doc_id, w, unnest(range(len(w) - 49)) AS i FROM d WHERE len(w) >= 50)),
+m AS (SELECT s, min(doc_id) AS least FROM s GROUP BY s HAVING count(*) > 1),
+lost AS (SELECT DISTINCT doc_id, i FROM s JOIN m USING (s) WHERE least < doc_id),
+runs AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run
+    FROM (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS new FROM lost)) GROUP BY doc_id, run),
+cuts AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, list(a ORDER BY a) AS a, list(b ORDER BY a) AS b FROM runs GROUP BY doc_id),
+kept AS (SELECT d.doc_id, len(w) AS n, coalesce(n_removed, 0) AS n_removed, CASE WHEN a IS NULL THEN w ELSE flatten([w[list_extract([0] || b, k) + 1:list_extract(a || [len(w)], k)] FOR k IN range(1, len(a) + 2)]) END AS kept FROM d LEFT JOIN cuts ON d.doc_id = cuts.doc_id)
+SELECT doc_id, n AS n_words, n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM kept
+"""

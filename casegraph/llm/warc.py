@@ -259,3 +259,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pages = shared_folder(spark, "warc"), table(spark, sf_dir, "pages")
     write_archives(pages, path)
     return read_records(spark, path, lookup(spark, path, pages), payload=False).drop("url", "payload")
+
+
+OP3_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), f AS (SELECT h, min(page_id) AS first FROM p GROUP BY h)
+SELECT page_id, strlen(p.h) AS payload_bytes, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(sha1(p.h), 5 * (k // 4) + 1, 5))::INT >> (15 - 5 * (k % 4))) & 31) + 1)::INT, 1) FOR k IN range(32)], '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM p JOIN f USING (h)
+"""
