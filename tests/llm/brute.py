@@ -199,3 +199,18 @@ def substring_bytes(docs, window=50):
         spans = sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
         out.append((doc_id, len(b), sum(gone), spans, sha(bytes(x for x, g in zip(b, gone) if not g))))
     return out
+
+
+def quality_score(text, model):
+    """The score of one text, word by word."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    shapes = []
+    for w in words:
+        for pattern, by in ((r"\p{Lu}", "A"), (r"[\p{L}\p{M}]", "a"), (r"\p{N}", "9")):
+            w = regex.sub(pattern, lambda m, by=by: by, w)
+        shapes.append(re.sub(r"A{2,}", "AA", re.sub(r"a{2,}", "aa", re.sub(r"9{2,}", "99", w)))[:12])
+    shapes += [" repeat" for x, y in zip(words, words[1:]) if x == y]
+    n = max(len(words), 1)
+    x = [math.sqrt(shapes.count(k) / n) for k in model["known"].to_pylist()] + [1 / math.sqrt(n)]
+    worth = sum(min(max((v - c) / s, -4), 4) * w for v, c, s, w in zip(x, model["centre"], model["scale"], model["w"]))
+    return 1 / (1 + math.exp(-min(max((worth - model["cut"]) / (0.5 * model["spread"]) + math.log(0.7 / 0.3), -35), 35)))

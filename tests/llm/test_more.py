@@ -152,6 +152,8 @@ def test_quality(spark):
     turned = labels.withColumn("quality", F.when(quality.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
     again = quality.train(docs, turned)
     assert (again["w"] == model["w"]).all() and again["cut"] == model["cut"]
+    want = sorted((brute.quality_score(t, model) for _, t, *_ in [*data, *EDGES]), key=str)
+    assert all(abs(x - y) < 1e-6 for x, y in zip(sorted((r["score"] for r in quality.quality(docs, model).collect()), key=str), want))
     out = quality.quality(docs, model)
     assert out.count() == len(data) + len(EDGES) and out.where("doc_id IS NULL AND held_out").count() == 0 and quality.quality(docs.limit(0), model).count() == 0
     assert quality.quality(docs, quality.train(docs, labels.limit(0))).where("score IS NULL OR isnan(score)").count() == 0
