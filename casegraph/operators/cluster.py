@@ -19,9 +19,9 @@ BASE, LEVELS = 8, 5
 
 
 def trigger_hits(events: DataFrame, families: tuple[Family, ...] = FAMILIES) -> DataFrame:
-    """(event columns, constructor, trigger, base, bucket, lead): one row for each rule that an event meets.
+    """(event columns, constructor, trigger, base, bucket, lead, who): one row for each rule that an event meets.
 
-    lead is 1 for the first rule of a family that an event meets. One narrow pass over columns that are computed once; no shuffle.
+    who is the user for families whose clusters are of a host and user, else null. lead is 1 for the first rule of a family that an event meets. One narrow pass over columns that are computed once; no shuffle.
     """
     rows = events if "kind" in events.columns else prepared(events)
     rows = rows.withColumns({c: F.lit(False) for c in FLAGS if c not in rows.columns})
@@ -31,18 +31,19 @@ def trigger_hits(events: DataFrame, families: tuple[Family, ...] = FAMILIES) ->
 
     rules, table = [], []
     for f in families:
-        table += [(len(rules) + k, len(rules), f.name, t.name, t.base, f.window) for k, t in enumerate(f.triggers)]
+        table += [(len(rules) + k, len(rules), f.name, t.name, t.base, f.window, f.by_user) for k, t in enumerate(f.triggers)]
         rules += f.triggers
     met = F.array_compact(F.array(*[F.when(F.expr(t.when), F.lit(k)) for k, t in enumerate(rules)]))
-    table = events.sparkSession.createDataFrame(table, "rule int, of_family int, constructor string, trigger string, base int, window int")
+    table = events.sparkSession.createDataFrame(table, "rule int, of_family int, constructor string, trigger string, base int, window int, by_user boolean")
     hits = computed(rows, met=met).select(*keep, "met").where(F.size("met") > 0).select(*keep, "met", F.explode("met").alias("rule")).join(F.broadcast(table), "rule")  # the rules, not data
     lead = ~F.exists("met", lambda k: (k >= F.col("of_family")) & (k < F.col("rule")))
     at = F.when(F.col("window").isNull(), F.lit(0)).when(F.col("window") <= 0, F.col("epoch")).otherwise(F.col("epoch") - F.pmod(F.col("epoch"), F.greatest("window", F.lit(1))))
-    return hits.select(*keep, "constructor", "trigger", "base", at.cast("long").alias("bucket"), lead.cast("int").alias("lead"))
+    who = F.when(F.col("by_user"), F.coalesce("user", F.lit("")))
+    return hits.select(*keep, "constructor", "trigger", "base", at.cast("long").alias("bucket"), lead.cast("int").alias("lead"), who.alias("who"))
 
 
 def cluster_id(*more_keys: str) -> Column:
-    return F.concat(F.lit("cluster-"), F.substring(F.sha2(F.concat_ws("|", "constructor", "host_name", F.col("bucket").cast("string"), *more_keys), 256), 1, 16))
+    return F.concat(F.lit("cluster-"), F.substring(F.sha2(F.concat_ws("|", "constructor", "host_name", F.col("bucket").cast("string"), "who", *more_keys), 256), 1, 16))
 
 
 def group_hits(hits: DataFrame, *more_keys: str) -> DataFrame:
@@ -51,7 +52,7 @@ def group_hits(hits: DataFrame, *more_keys: str) -> DataFrame:
     A cluster has counts, the fields of its first event that rules read (as first), and what holds for any member (as any); its
     members stay rows, see cluster_members(). Everything is combined before the shuffle, so a hot host sends a row for each bucket and task.
     """
-    keys = ["case_id", "constructor", "host_name", "bucket", *more_keys]
+    keys = ["case_id", "constructor", "host_name", "bucket", "who", *more_keys]
     members = [c for c in hits.columns if c in FLAGS or c.startswith("m_")]
     order = F.struct("timestamp", "event_id", "lead", "base", "trigger")
     out = hits.groupBy(*keys).agg(

@@ -51,6 +51,7 @@ class Family:
     triggers: tuple[Trigger, ...]
     signals: tuple[Signal, ...] = ()
     counters: tuple[Counter, ...] = ()
+    by_user: bool = False  # clusters of a host and user, not of a host
 
 
 def has(col: str, *words: str) -> str:
@@ -253,7 +254,7 @@ FAMILIES = (
         Trigger("long_base64_in_cmdline", 50, of(PROCESS, f"length(cmd) >= 80 AND {like('cmd', r'\b[A-Za-z0-9+/]{60,}={0,2}\b')}")), Trigger("executable_in_writable_dir", 35, of(PROCESS, like("ppath", WRITABLE_DOWN))),
     ), (
         Signal("writable_path_with_lolbin", 12, one_of("proc", LOLBINS)), Signal("followed_by_outbound_network", 12, of(NET, f"ip <> '' AND NOT {PRIVATE} AND NOT {like('ip', r'^(?:127|169[.]254)[.]')}")), Signal("persistence_co_occurs", 14, _persists),
-    ), (KNOWN_HASH, Counter("system_legitimate_path", 18, SYSTEM_PATH.when, on="member"), Counter("known_admin_invocation", 8, one_of(r"translate(trim(usr), '\\', '/')", SYSTEM_USERS)), Counter("office_addin_path", 12, has("ppath", "/appdata/roaming/microsoft/")))),
+    ), (KNOWN_HASH, Counter("system_legitimate_path", 18, SYSTEM_PATH.when, on="member"), Counter("known_admin_invocation", 8, one_of(r"translate(trim(usr), '\\', '/')", SYSTEM_USERS)), Counter("office_addin_path", 12, has("ppath", "/appdata/roaming/microsoft/"))), True),
     Family("CredentialAccess", 1800, "TA0006", (
         Trigger("lsass_access_or_dump", 30, any_of("kind = 'LSASS_ACCESS'", alert("lsass"), run_all("procdump", "lsass"), run_all("comsvcs", "minidump"))), Trigger("sam_hive_copy", 45, any_of(of(PROCESS, like("cmd", r"reg(?:\.exe)?\s+save\s+hklm.(?:sam|system|security)")), alert("sam hive"))),
         Trigger("ntds_dump", 30, any_of(run("ntds.dit", "ntdsutil"), alert("ntds"))), Trigger("kerberoast", 30, any_of(of("TICKET_REQUEST", "ticket_cipher IN ('0x17', '0x18')"), alert("kerberoast"))), Trigger("dcsync_replication", 30, any_of("kind = 'REPLICATION'", alert("dcsync"))),

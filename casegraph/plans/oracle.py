@@ -19,7 +19,8 @@ def bucket(window: int | None) -> str:
 
 
 def hits(f: Family) -> str:
-    return " UNION ALL ".join(f"SELECT event_id, case_id, host_name, epoch, \"user\", remote_ip, '{f.name}' AS constructor, {bucket(f.window)} AS bucket, '{t.name}' AS trigger, {t.base} AS base FROM ru WHERE {duck(t.when)}" for t in f.triggers)
+    who = "coalesce(\"user\", '')" if f.name == "SuspiciousLineage" else "NULL::VARCHAR"
+    return " UNION ALL ".join(f"SELECT event_id, case_id, host_name, epoch, \"user\", remote_ip, '{f.name}' AS constructor, {bucket(f.window)} AS bucket, '{t.name}' AS trigger, {t.base} AS base, {who} AS who FROM ru WHERE {duck(t.when)}" for t in f.triggers)
 
 
 def hits_by_trigger(f: Family) -> str:
@@ -27,13 +28,13 @@ def hits_by_trigger(f: Family) -> str:
 
 
 HITS = f"{RU}, h AS ({' UNION ALL '.join(hits(f) for f in FAMILIES)})"
-GROUPS = f"""{HITS}, g AS (SELECT case_id, constructor, host_name, bucket, list_sort(list(DISTINCT trigger)) AS triggers, max(base) AS base, count(DISTINCT event_id) AS n_members, min(epoch) AS start_epoch, max(epoch) AS end_epoch,
-  'cluster-' || sha256(constructor || '|' || host_name || '|' || bucket)[1:16] AS cluster_id FROM h GROUP BY ALL)"""
+GROUPS = f"""{HITS}, g AS (SELECT case_id, constructor, host_name, bucket, who, list_sort(list(DISTINCT trigger)) AS triggers, max(base) AS base, count(DISTINCT event_id) AS n_members, min(epoch) AS start_epoch, max(epoch) AS end_epoch,
+  'cluster-' || sha256(constructor || '|' || host_name || '|' || bucket || coalesce('|' || who, ''))[1:16] AS cluster_id FROM h GROUP BY ALL)"""
 COMMON = """,
 cp AS (SELECT host_name, proc FROM ru WHERE kind = 'PROCESS_EXECUTION' AND proc <> '' GROUP BY ALL HAVING count(*) > 100),
 fl AS (SELECT host_name, usr, min(epoch) AS first_logon FROM ru WHERE kind = 'AUTHENTICATION' AND usr <> '' GROUP BY ALL),
 en AS (SELECT ru.*, cp.proc IS NOT NULL AS common_process, first_logon FROM ru LEFT JOIN cp ON ru.host_name = cp.host_name AND ru.proc = cp.proc LEFT JOIN fl ON ru.host_name = fl.host_name AND ru.usr = fl.usr),
-mb AS (SELECT DISTINCT g.cluster_id, g.constructor AS family, h.event_id FROM g JOIN h USING (constructor, host_name, bucket)),
+mb AS (SELECT DISTINCT g.cluster_id, g.constructor AS family, h.event_id FROM g JOIN h ON g.constructor = h.constructor AND g.host_name = h.host_name AND g.bucket = h.bucket AND g.who IS NOT DISTINCT FROM h.who),
 fe AS (SELECT family, cluster_id, arg_min(en, (en.timestamp, en.event_id)) AS f, bool_or(common_process) AS common_member,
   bool_or(kind = 'PROCESS_EXECUTION' AND ends_with(ppath, proc) AND regexp_matches(ppath, '/(windows/(system32|syswow64|winsxs)|program files( \\(x86\\))?)/[^/]*$')
     AND proc IN ('svchost.exe', 'lsass.exe', 'csrss.exe', 'smss.exe', 'wininit.exe', 'services.exe', 'spoolsv.exe', 'winlogon.exe', 'explorer.exe', 'taskhost.exe', 'dwm.exe', 'conhost.exe', 'rundll32.exe', 'taskmgr.exe', 'regedit.exe', 'cmd.exe', 'powershell.exe', 'msiexec.exe', 'wuauclt.exe', 'trustedinstaller.exe')) AS system_member

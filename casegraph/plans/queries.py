@@ -465,7 +465,7 @@ def auth_success_split(spark, d):
     return V.auth_summary(ev(spark, d), F.col("logon_type") == "2")
 
 
-@query(f"WITH {HITS} SELECT DISTINCT 'cluster-' || sha256(constructor || '|' || host_name || '|' || bucket)[1:16] AS cluster_id, event_id, false AS missing FROM h")
+@query(f"WITH {HITS} SELECT DISTINCT 'cluster-' || sha256(constructor || '|' || host_name || '|' || bucket || coalesce('|' || who, ''))[1:16] AS cluster_id, event_id, false AS missing FROM h")
 def expand_cluster(spark, d):
     e = D.events(spark, d)
     return V.expand_cluster(C.cluster_members(C.trigger_hits(e)), e.select("event_id")).select("cluster_id", "event_id", "missing")

@@ -27,8 +27,8 @@ def stream_hits(stream: DataFrame, families: tuple[Family, ...] = FAMILIES, late
     if len(sizes) != 1 or not min(sizes):
         raise ValueError("stream_hits takes families with one and the same window above 0")
     hits = trigger_hits(stream.withWatermark("timestamp", late), families)
-    groups = hits.groupBy("constructor", "host_name", F.window("timestamp", f"{sizes.pop()} seconds"))
-    return groups.agg(F.array_sort(F.collect_set("trigger")).alias("triggers_fired"), F.max("base").alias("base_score"), F.count(F.lit(1)).alias("n")).select("constructor", "host_name", F.unix_timestamp("window.start").alias("bucket"), "triggers_fired", "base_score", "n")
+    groups = hits.groupBy("constructor", "host_name", "who", F.window("timestamp", f"{sizes.pop()} seconds"))
+    return groups.agg(F.array_sort(F.collect_set("trigger")).alias("triggers_fired"), F.max("base").alias("base_score"), F.count(F.lit(1)).alias("n")).select("constructor", "host_name", "who", F.unix_timestamp("window.start").alias("bucket"), "triggers_fired", "base_score", "n")
 
 
 def stream_burst(stream: DataFrame, keys: list[str], size: str, step: str, least: int, late: str = "1 hour") -> DataFrame:

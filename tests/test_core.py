@@ -50,3 +50,14 @@ def test_jitter_and_fold(spark):
     assert detect.beacon_jitter(even, ["host"]).first()["jitter"] == 0
     d = spark.createDataFrame([("a", "draft", None, 1, 1), ("a", "reject", None, 2, 2), ("a", "approve", None, 3, 3), ("b", "approve", "L", 1, 4)], "hypothesis_id string, action string, link string, decided_at int, seq int")
     assert {r["hypothesis_id"]: r["status"] for r in judge.fold(d).collect()} == {"a": "REJECTED", "b": "APPROVED"}
+
+
+def test_lineage_is_by_user(spark):
+    """Clusters of suspicious lineage are of a host and user, others of a host."""
+    rows = [(f"e{k}", "c", "h", u, "2024-05-01T10:00:00Z", "PROCESS_EXECUTION", "powershell.exe", "winword.exe") for k, u in enumerate(["ann", "ben", "ann", None])]
+    e = spark.createDataFrame(rows, "event_id string, case_id string, host_name string, user string, timestamp string, canonical_type string, process_name string, parent_name string").withColumn("timestamp", F.to_timestamp("timestamp"))
+    for name, kind in (("process_path", "string"), ("command_line", "string"), ("target_file", "string"), ("remote_ip", "string"), ("remote_port", "int"), ("registry_key", "string"), ("alert_name", "string"), ("pid", "long"), ("ppid", "long")):
+        e = e.withColumn(name, F.lit(None).cast(kind))
+    got = group_hits(trigger_hits(e, (BY_NAME["SuspiciousLineage"], BY_NAME["RemoteExecution"]))).collect()
+    assert sorted((r["constructor"], r["who"] or "", r["n_members"]) for r in got) == [("RemoteExecution", "", 4), ("SuspiciousLineage", "", 1), ("SuspiciousLineage", "ann", 2), ("SuspiciousLineage", "ben", 1)]
+    assert len({r["cluster_id"] for r in got}) == 4
