@@ -128,6 +128,19 @@ PIPE = r"(?i)\\pipe\\(?:msagent_|postex_|status_|mojo\.|psexesvc|paexec|remcom)"
 PERSIST = r"(?i)image file execution options.*debugger|appinit_dlls|(?:sethc|utilman|osk|narrator|magnify)\.exe|knowndlls"
 
 
+#: Ways to hide what a script does: fixed values, by name.
+OBFUSCATION = {
+    "encoded": r"(?i)frombase64string|(?:^|\s)-e(?:nc|ncodedcommand)?\s+[a-z0-9+/=]{8,}", "char_codes": r"(?i)(?:\[char\]\s*(?:0x[0-9a-f]+|\d+)\W*){3,}", "back_ticks": r"(?:[A-Za-z]`[A-Za-z].*){3,}", "format": r"(?i)(?:\{\d+\}\s*){3,}[\"']\s*-f\b",
+    "joined": r"(?i)-join\b|\[array\]::reverse|\.replace\(.*\.replace\(", "evaluated": r"(?i)\biex\b|invoke-expression|&\s*\(\s*[\"'$]", "long_word": r"[A-Za-z0-9+/=]{200,}",
+}
+
+
+def obfuscated_scripts(events: DataFrame, text: Column, least: int = 2) -> DataFrame:
+    """Events whose script text (ScriptBlockText of a script-block record, or a command line) hides what it does in least ways: adds ways. One way alone, such as -join, is ordinary."""
+    ways = F.array_compact(F.array(*[F.when(text.rlike(p), F.lit(name)) for name, p in OBFUSCATION.items()]))
+    return events.select("*", F.explode(F.array(ways)).alias("ways")).where(F.size("ways") >= least)
+
+
 def pipe_hits(events: DataFrame, column: str = "command_line") -> DataFrame:
     return events.where(F.col(column).rlike(PIPE))
 

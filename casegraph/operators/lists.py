@@ -100,9 +100,12 @@ def path_hashes(first: DataFrame, second: DataFrame) -> DataFrame:
     return rows.groupBy("path").agg(F.min_by("md5", F.struct("rank", "md5")).alias("md5"))
 
 
-def report(hypotheses_: DataFrame, clusters: DataFrame, gaps: DataFrame, disturbances: DataFrame, entities: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
-    """The tables of a case report, by name."""
+def report(hypotheses_: DataFrame, clusters: DataFrame, gaps: DataFrame, disturbances: DataFrame, entities: DataFrame, edges: DataFrame, profile: DataFrame) -> dict[str, DataFrame]:
+    """The tables of a case report, by name. header has a row for each case: profile (case_id, hosts, events, first, last), and how many findings are approved and how many gaps are open."""
+    approved = hypotheses_.groupBy("case_id").agg(F.count_if(F.col("status") == "APPROVED").alias("approved"))
+    header = profile.join(approved, "case_id", "left").join(gaps.groupBy("case_id").agg(F.count(F.lit(1)).alias("gaps")), "case_id", "left").na.fill(0, ["approved", "gaps"])
     return {
+        "header": header,
         "hypotheses": hypotheses_.where(F.col("status").isin("APPROVED", "REJECTED")).orderBy("hypothesis_id"), "clusters": clusters.orderBy(F.desc("score"), "cluster_id"), "gaps": gaps, "disturbances": disturbances,
         "edges": edge_timeline(edges, limit=1000), "entity_counts": entities.groupBy("entity_type").agg(F.count(F.lit(1)).alias("n")),
     }

@@ -27,6 +27,9 @@ def normalize(ecs: DataFrame, case_id: str, mode: str = "default") -> DataFrame:
     rows = ecs.withColumn("canonical_type", kind).where("canonical_type IS NOT NULL AND ts IS NOT NULL")
     if mode == "strict":
         rows = rows.where("coalesce(host_name, '') <> ''")
+    # without a name, the log's own computer, then the first part of the source file's path that may be one
+    parts = F.filter(F.split(F.translate(F.coalesce(extra("source_file"), F.lit("")), "\\", "/"), "/"), lambda p: F.lower(p).rlike("dc|srv|wkstn|pc|host"))
+    rows = rows.withColumn("host_name", F.coalesce(filled(F.col("host_name")), filled(extra("computer")), F.get(parts, 0), F.lit("unknown-host")))
     # a field that is empty may be in the event's data
     data = lambda field, *names: F.coalesce(filled(field), *[filled(extra(n)) for n in names])
     user = data(F.when(filled(F.col("user")).isNotNull(), F.concat(F.coalesce(F.concat(filled(extra("user_domain")), F.lit("\\")), F.lit("")), F.col("user"))), "TargetUserName", "SubjectUserName", "AccountName")

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.exprs import content_hash
-from ..operators import cluster as C, judge as J
+from ..operators import cluster as C, detect as T, graph as G, judge as J, lists as L
+from ..operators.graph import saved
 from ..operators.normalize import normalize
 from ..operators.rules import BY_NAME
 from ..sources import driver as D, records as R
-from .oracle import over_events
+from .oracle import over_clusters, over_events
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -94,3 +95,26 @@ def changed_after_staging(spark, d):
     o = D.read(spark, d, "orders").withColumn("w", was)
     h = o.select(F.col("o_orderkey").alias("hypothesis_id"), "w.title", F.when(F.col("o_orderpriority") == "1-URGENT", F.concat(F.col("w.observation"), F.lit("!"))).otherwise(F.col("w.observation")).alias("observation"), "w.interpretation", "w.techniques", content_hash(*[F.col(f"w.{x}") for x in ("title", "observation", "interpretation", "techniques")]).alias("content_hash"))
     return J.changed(h).select("hypothesis_id")
+
+
+@query("""WITH s AS (SELECT o_orderkey, o_orderkey % 8 AS k FROM orders) SELECT 's-' || o_orderkey AS event_id, ['encoded,evaluated', 'char_codes,joined', 'back_ticks,evaluated', 'format,evaluated', 'encoded,long_word'][k + 1] AS ways FROM s WHERE k < 5""")
+def obfuscated_scripts(spark, d):
+    """Script blocks that hide what they do in two ways; one way, or none, is no finding."""
+    k = (F.col("o_orderkey") % 8).cast("int")
+    texts = [
+        "$x = [Convert]::FromBase64String($y); iex $x", "-join ([char]72,[char]101,[char]108,[char]0x6c)", "I`nv`oke-We`b x; iex $a", "&('{2}{0}{1}' -f 'ke','-x','invo')", "powershell -enc " + "QUJD" * 60, "(1..3) -join ','", "Get-ChildItem C:/", "iex (get-content a.ps1)",
+    ]
+    blocks = D.read(spark, d, "orders").select(F.concat(F.lit("s-"), "o_orderkey").alias("event_id"), F.create_map(F.lit("ScriptBlockText"), F.element_at(F.array(*[F.lit(t) for t in texts]), k + 1)).alias("event_data"))
+    return T.obfuscated_scripts(blocks, F.col("event_data")["ScriptBlockText"]).select("event_id", F.array_join("ways", ",").alias("ways"))
+
+
+@query(over_clusters("""SELECT 'CASE-1' AS case_id, (SELECT count(DISTINCT host_name) FROM ev) AS hosts, (SELECT count(*) FROM ev) AS events, (SELECT count(*) FROM cl) AS clusters, (SELECT count(*) FROM cl WHERE constructor IN ('LogClearing', 'ShadowDeletion', 'Timestomp')) AS disturbances,
+  (SELECT count_if(tier = 'STRONG') FROM cl) AS approved, (SELECT count(DISTINCT host_name) FROM ev) AS gaps"""))
+def report_header(spark, d):
+    """The head of a case report, and how long its tables are: strong clusters as approved findings, and each host lacks a memory image."""
+    e, cl = D.events(spark, d), saved(C.build_clusters(D.events(spark, d)))
+    h = cl.select("case_id", F.col("cluster_id").alias("hypothesis_id"), F.when(F.col("tier") == "STRONG", "APPROVED").otherwise("DRAFT").alias("status"))
+    gaps = e.select("case_id", "host_name", F.lit("memory").alias("kind")).distinct()
+    tables = L.report(h, cl, gaps, cl.where("constructor IN ('LogClearing', 'ShadowDeletion', 'Timestomp')"), G.entities(e), G.edges(e), J.case_profile(e))
+    size = lambda name: tables[name].count()
+    return tables["header"].select("case_id", "hosts", "events", F.lit(size("clusters")).cast("long").alias("clusters"), F.lit(size("disturbances")).cast("long").alias("disturbances"), "approved", "gaps")
