@@ -30,6 +30,8 @@ from .common import bucket_runs, cells, joined, mixed, packed, pieces, release,
 WINDOW, KGRAM = 50, 24
 #: Occurrences of a gram from which its windows are dealt one by one, bytes that are looked at at once, grams of the sample for each bucket.
 HOT, PIECE, SAMPLE = 4096, 1 << 17, 64
+#: Grams of the sample in all, down to four for each bucket.
+MOST = 1_000_000
 LAST = np.iinfo(np.int64).max  # stands for a missing id: after all others
 #: A random number for each byte.
 CODES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -165,7 +167,7 @@ def lost_windows(spans: pa.Array, at: np.ndarray, doc: np.ndarray, window: int,
 
 def splitters(docs: DataFrame, n: int, window: int, kgram: int) -> np.ndarray:
     """n - 1 grams that cut the anchors of a sample of documents into equal parts. The sample is bounded, and decides the sizes of buckets only."""
-    want = max(1000, n // 4)
+    want, each = max(1000, n // 4), min(SAMPLE, max(MOST // n, 4))
     rows = docs.agg(F.count(F.lit(1))).first()[0]
     some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(max(rows // want, 1))) == 0) if rows > want else docs
 
@@ -173,10 +175,10 @@ def splitters(docs: DataFrame, n: int, window: int, kgram: int) -> np.ndarray:
         for b in batches:
             for k in range(b.num_rows):
                 a = Anchors(b.column("text").slice(k, 1), window, kgram, 1)
-                pick = np.flatnonzero(mixed(a.cell) % np.uint64(max(len(a.cell) * want // (SAMPLE * n), 1)) == 0)
-                yield pa.RecordBatch.from_arrays([pa.array(leads(a.data, a.at[pick[: SAMPLE * n]], kgram).tolist(), pa.binary())], ["gram"])
+                pick = np.flatnonzero(mixed(a.cell) % np.uint64(max(len(a.cell) * want // (each * n), 1)) == 0)
+                yield pa.RecordBatch.from_arrays([pa.array(leads(a.data, a.at[pick], kgram).tolist(), pa.binary())], ["gram"])
 
-    found = some.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).limit(4 * want).mapInArrow(grams, "gram binary").toArrow()["gram"].to_pylist()
+    found = some.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(grams, "gram binary").toArrow()["gram"].to_pylist()
     found = np.sort(np.array(found, f"S{kgram}")) if found else np.zeros(0, f"S{kgram}")
     return found[np.arange(1, n) * len(found) // n] if len(found) >= n else found
 
