@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-TEXT = ["command_line", "process_name", "process_path", "target_file", "registry_key", "remote_ip", "user", "alert_name", "host_name", "canonical_type"]
+#: The fields that free text is looked for in: fixed values.
+TEXT = ["command_line", "target_file", "registry_key", "user", "host_name", "alert_name", "process_name", "event_action", "message"]
 
 
 def search(events: DataFrame, text: str | None = None, *, case_id: str | None = None, kind: str | None = None, host: str | None = None, start: str | None = None, end: str | None = None, fields: list[str] = TEXT) -> DataFrame:
@@ -97,13 +98,6 @@ def case_status(hypotheses: DataFrame, clusters: DataFrame) -> DataFrame:
     return a.unionByName(clusters.groupBy(F.lit("cluster").alias("kind"), F.col("tier").alias("name")).agg(F.count(F.lit(1)).alias("n")))
 
 
-def assessment(clusters: DataFrame) -> DataFrame:
-    """(case_id, assessment): the gravest kind of activity among notable clusters."""
-    seen = lambda *names: F.bool_or(F.col("constructor").isin(*names))
-    text = F.when(seen("Impact"), "impact").when(seen("Exfiltration"), "data theft").when(seen("LateralMovement", "RemoteExecution"), "spread").when(seen("Persistence"), "foothold").otherwise("suspicion")
-    return clusters.where("score >= 40").groupBy("case_id").agg(text.alias("assessment"), F.count(F.lit(1)).alias("notable"))
-
-
 def export(df: DataFrame, path: str, form: str = "json") -> None:
     """json (one object a line) or csv (nested columns as JSON)."""
     if form == "csv":

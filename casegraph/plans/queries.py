@@ -15,7 +15,7 @@ from ..operators.pages import Pages
 from ..operators.path_dag import ShortestPaths
 from ..operators.rules import FAMILIES, prepared
 from ..sources import driver as D
-from . import ingest, lists, rare
+from . import ingest, lists, rare, summary
 from .oracle import GROUPS, HITS, hits_by_trigger, over_clusters, over_events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -435,11 +435,6 @@ def host_rollup(spark, d):
     return V.host_rollup(clusters(spark, d))
 
 
-@query(over_clusters("SELECT case_id, CASE WHEN bool_or(constructor = 'Impact') THEN 'impact' WHEN bool_or(constructor = 'Exfiltration') THEN 'data theft' ELSE 'spread' END AS assessment, count(*) AS notable FROM cl WHERE score >= 40 GROUP BY ALL"))
-def case_summary(spark, d):
-    return V.assessment(clusters(spark, d))
-
-
 @query(over_clusters("SELECT cluster_id, score FROM cl WHERE score >= 40 ORDER BY score DESC, cluster_id LIMIT 10"))
 def top_clusters(spark, d):
     return V.top_clusters(clusters(spark, d), 40, 10).select("cluster_id", "score")
@@ -450,7 +445,7 @@ def page_2(spark, d):
     return V.page(ev(spark, d).select("event_id", "epoch"), [F.col("epoch"), F.col("event_id")], 50, 1)
 
 
-@query(over_events("SELECT event_id FROM ev WHERE canonical_type = 'PROCESS_EXECUTION' AND contains(lower(concat_ws(chr(1), command_line, process_name, \"user\", host_name, canonical_type)), 'psexec')"))
+@query(over_events("SELECT event_id FROM ev WHERE canonical_type = 'PROCESS_EXECUTION' AND contains(lower(concat_ws(chr(1), command_line, process_name, \"user\", host_name, alert_name, target_file, registry_key)), 'psexec')"))
 def search_events(spark, d):
     return V.search(ev(spark, d), "PsExec", kind="PROCESS_EXECUTION").select("event_id")
 
@@ -544,6 +539,6 @@ def process_tree(spark, d):
     return H.process_tree(started).select("host_name", "pid", "root", "path")
 
 
-for _more in (ingest, lists, rare):
+for _more in (ingest, lists, rare, summary):
     QUERIES |= _more.QUERIES
     ORACLE_SQL |= _more.ORACLE_SQL
