@@ -7,12 +7,29 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .graph import saved
 
 
-def _jumps(parents: DataFrame, rounds: int) -> list[DataFrame]:
-    """For each k (node, to): the ancestor 2**k steps up, for the nodes that have one."""
-    out = [saved(parents.where("node IS NOT NULL AND parent IS NOT NULL").select("node", F.col("parent").alias("to")))]
-    while len(out) < rounds:
-        step = out[-1].alias("x").join(out[-1].alias("y"), F.col("x.to") == F.col("y.node")).select("x.node", "y.to")
-        step = saved(step)
+def _rings(links: DataFrame) -> DataFrame | None:
+    """The nodes (node) of links (node, to), one row a node, that lie on a cycle; None without any.
+
+    What ever more steps lead to shrinks until it is the cycles. A round makes four times the steps and goes on from what is left only, so
+    there are as many rounds as the logarithm of the longest way to a cycle, however many nodes there are.
+    """
+    size = None
+    while True:
+        ends = links.select(F.col("to").alias("node")).distinct()
+        left = ends.count()
+        if left == 0 or left == size:
+            return saved(ends) if left else None
+        size, far = left, links.join(ends, "node", "left_semi")
+        for _ in range(3):
+            far = far.alias("x").join(links.alias("y"), F.col("x.to") == F.col("y.node")).select("x.node", "y.to")
+        links = saved(far)
+
+
+def _jumps(links: DataFrame, most: int | None = None) -> list[DataFrame]:
+    """For each k (node, to): the ancestor 2**k steps up, for the nodes that have one; links (node, to) have no cycle."""
+    out = [links]
+    while most is None or 2 ** len(out) <= most:
+        step = saved(out[-1].alias("x").join(out[-1].alias("y"), F.col("x.to") == F.col("y.node")).select("x.node", "y.to"))
         if step.isEmpty():
             break
         out.append(step)
@@ -47,33 +64,42 @@ def walks(parents: DataFrame, starts: DataFrame, most: int | None = None) -> Dat
     parents: (node, parent) with one row a node. Rows, not arrays: a long chain is spread over tasks. The rows of a start double in each
     round: those at positions that are multiples of 2**(k+1) give those 2**k further.
     """
-    one = saved(parents.where("parent IS NOT NULL").select("node", "parent"))
-    size = one.count() + 1
-    jumps = _jumps(one, max(size.bit_length(), 1) + 1)
-    looped = len(jumps) == size.bit_length() + 1  # 2**k >= size steps were possible: there is a cycle, and its members are where they end
-    ring = None
-    if looped:
-        ring = saved(jumps[-1].select(F.col("to").alias("node")).distinct())
-        state = saved(one.join(ring, "node", "left_semi").select("node", F.col("parent").alias("to"), F.least("node", "parent").alias("least")))
-        for _ in range(size.bit_length()):
-            x, y = state.alias("x"), state.alias("y")
-            state = saved(x.join(y, F.col("x.to") == F.col("y.node")).select("x.node", "y.to", F.least("x.least", "y.least").alias("least")))
-        ring = saved(state.join(state.groupBy("least").agg(F.count(F.lit(1)).alias("around")), "least").select("node", "around"))
+    one = saved(parents.where("node IS NOT NULL AND parent IS NOT NULL").select("node", F.col("parent").alias("to")))
+    ring = _rings(one)
+    jumps = _jumps(one if ring is None else saved(one.join(ring, "node", "left_anti")), most)
     rows = saved(starts.select("node").distinct().select("node", F.lit(0).cast("long").alias("position"), F.col("node").alias("member")))
-    for k in reversed(range(min(len(jumps), (size - 1).bit_length()))):  # no walk has more steps than there are nodes with a parent
+    for k in reversed(range(len(jumps))):
         if most is not None and 2**k > most:
             continue
         step = rows.join(jumps[k].select(F.col("node").alias("member"), "to"), "member").select("node", (F.col("position") + 2**k).alias("position"), F.col("to").alias("member"))
         if most is not None:
             step = step.where(F.col("position") <= most)
-        if ring is not None:  # a walk is over after one turn: as many members as lie before the ring, and the ring
-            turn = rows.join(ring.select(F.col("node").alias("member"), "around"), "member").groupBy("node").agg(F.min(F.col("position") + F.col("around")).alias("over"))
-            step = step.join(turn, "node", "left").where("over IS NULL OR position < over").drop("over")
         rows = saved(rows.unionByName(step))
-    if ring is not None:
-        turn = rows.join(ring.select(F.col("node").alias("member"), "around"), "member").groupBy("node").agg(F.min(F.col("position") + F.col("around")).alias("over"))
-        rows = rows.join(turn, "node", "left").where("over IS NULL OR position < over").drop("over")
-    return rows
+    if ring is None:
+        return rows
+    # a walk that meets a cycle ends there, on its first node, and goes once around
+    entered = saved(rows.join(ring.select(F.col("node").alias("member")), "member", "left_semi").select("node", "position", "member"))
+    around = _turns(one.join(ring, "node", "left_semi"), entered.select(F.col("member").alias("node")).distinct()).where("position > 0")
+    more = entered.select("node", F.col("position").alias("before"), F.col("member").alias("entry")).join(around.select(F.col("node").alias("entry"), "position", "member"), "entry")
+    more = more.select("node", (F.col("before") + F.col("position")).alias("position"), "member")
+    return rows.unionByName(more if most is None else more.where(F.col("position") <= most))
+
+
+def _turns(links: DataFrame, starts: DataFrame) -> DataFrame:
+    """(node, position, member): once around its cycle from each start (node); links (node, to) are cycles only."""
+    states = [saved(links.select("node", "to", F.least("node", "to").alias("least")))]
+    while True:  # until each node knows the least node of its cycle
+        x, y = states[-1].alias("x"), states[-1].alias("y")
+        next_ = saved(x.join(y, F.col("x.to") == F.col("y.node")).select("x.node", "y.to", F.least("x.least", "y.least").alias("least"), (F.col("y.least") < F.col("x.least")).alias("moved")))
+        if next_.where("moved").isEmpty():
+            break
+        states.append(next_.drop("moved"))
+    size = states[-1].groupBy("least").agg(F.count(F.lit(1)).alias("around"))
+    rows = saved(starts.join(states[-1].select("node", "least"), "node").join(size, "least").select("node", F.lit(0).cast("long").alias("position"), F.col("node").alias("member"), "around"))
+    for k in reversed(range(len(states))):
+        step = rows.join(states[k].select(F.col("node").alias("member"), "to"), "member").select("node", (F.col("position") + 2**k).alias("position"), F.col("to").alias("member"), "around")
+        rows = saved(rows.unionByName(step.where("position < around")))
+    return rows.select("node", "position", "member")
 
 
 def process_tree(events: DataFrame, depth: int | None = None) -> DataFrame:

@@ -77,6 +77,14 @@ def test_long_chain_takes_few_rounds(spark):
     assert {tuple(r) for r in out} == {(n - 1, n, n - 1, n * (n - 1)), (5, 6, 5, 30)} and saved < 50
 
 
+def test_cycles_take_no_more_rounds_than_the_longest_way(spark):
+    """50,000 pairs of nodes that name each other, under each a third node: the number of tables follows the ways of three, not the 150,000 nodes."""
+    k = F.col("id")
+    parents = spark.range(150_000).select(k.alias("node"), F.when(k % 3 == 0, k + 1).otherwise(F.when(k % 3 == 1, k + 1).otherwise(k - 1)).alias("parent"))
+    out, saved = rounds(spark, lambda: chains.walks(parents, parents.select("node")).groupBy((F.col("node") % 3).alias("kind")).agg(F.count(F.lit(1)), F.max("position"), F.sum(F.col("member") - F.col("node"))).collect())
+    assert {tuple(r) for r in out} == {(0, 150_000, 2, 150_000), (1, 100_000, 1, 50_000), (2, 100_000, 1, -50_000)} and saved < 20
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_chains_against_plain(spark, seed):
     """Forests with cycles, self-links, missing parents and null ones."""
