@@ -91,21 +91,47 @@ def neighbours(edges_: DataFrame, ids: DataFrame, direction: str = "both", edge_
     return out if direction == "out" else into if direction == "in" else out.unionByName(into)
 
 
+def components(links: DataFrame) -> DataFrame:
+    """(node, part): the nodes of links (a, b), whose direction doesn't count; nodes have equal parts if links connect them.
+
+    In each round a node goes over to the one of its neighbours, or itself, that is first in an order drawn anew, and links that then lie
+    within a node go; a constant share of the nodes goes with them, so there are about as many rounds as the logarithm of their number.
+    """
+    edge = saved(links.select("a", "b").where("a <> b").distinct())
+    part = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).where("node IS NOT NULL").distinct()
+    part, k = saved(part.select("node", F.col("node").alias("part"))), 0
+    while not edge.isEmpty():
+        first = lambda c: F.struct(F.xxhash64(F.lit(k), c).alias("at"), F.col(c).alias("to"))  # noqa: B023, E731
+        near = edge.select("a", F.least(first("a"), first("b")).alias("f")).unionByName(edge.select(F.col("b").alias("a"), F.least(first("a"), first("b")).alias("f")))
+        over = saved(near.groupBy("a").agg(F.min("f").alias("f")).select(F.col("a").alias("from"), "f.to"))
+        x, y = over.select(F.col("from").alias("a"), F.col("to").alias("a_to")), over.select(F.col("from").alias("b"), F.col("to").alias("b_to"))
+        edge = saved(edge.join(x, "a").join(y, "b").where("a_to <> b_to").select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).distinct())
+        part, k = saved(part.join(over, F.col("part") == F.col("from"), "left").select("node", F.coalesce("to", "part").alias("part"))), k + 1
+    return part
+
+
 def reach(links: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     """(src, node, depth): nodes within depth steps along links (a, b) of the start nodes (src), by the fewest steps.
 
-    Each round extends only the nodes found in the round before, and drops those already seen.
+    The start nodes search together, 64 as the bits of one number, so a link is followed once a round for all of a batch that come
+    to it. Each round extends only the nodes found in the round before, and drops the bits already seen; bits become rows at the end.
     """
-    seen = saved(start.select("src", F.col("src").alias("node"), F.lit(0).alias("depth")).distinct())
+    first = start.select("src").where("src IS NOT NULL").distinct()
+    at = F.monotonically_increasing_id()  # neighbours in the order of start nodes share a batch
+    first = saved(first.repartitionByRange("src").sortWithinPartitions("src").withColumn("at", at).select("src", F.floor(F.col("at") / 64).alias("batch"), (F.col("at") % 64).cast("int").alias("bit")))
     edge = saved(links.select(F.col("a").alias("node"), F.col("b").alias("next")).distinct())
-    front = seen
+    front = first.groupBy("batch", F.col("src").alias("node")).agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+    front = seen = saved(front.withColumn("depth", F.lit(0)))
     for k in range(1, depth + 1):
-        step = front.join(edge, "node").select("src", F.col("next").alias("node")).distinct().join(seen.select("src", "node"), ["src", "node"], "left_anti")
-        front = saved(step.select("src", "node", F.lit(k).alias("depth")))
+        step = front.join(edge, "node").groupBy("batch", F.col("next").alias("node")).agg(F.bit_or("bits").alias("bits"))
+        known = seen.groupBy("batch", "node").agg(F.bit_or("bits").alias("known"))
+        bits = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("known", F.lit(0).cast("long"))))
+        front = saved(step.join(known, ["batch", "node"], "left").select("batch", "node", bits.alias("bits"), F.lit(k).alias("depth")).where("bits <> 0"))
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
-    return seen
+    each = seen.select("batch", "node", "depth", F.explode(F.expr("filter(sequence(0, 63), k -> getbit(bits, k) = 1)")).alias("bit"))
+    return each.join(first, ["batch", "bit"]).select("src", "node", "depth")
 
 
 def subgraph(edges_: DataFrame, nodes: DataFrame, both: bool = True) -> DataFrame:

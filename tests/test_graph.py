@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from casegraph.operators import chains, intervals, judge, quantiles
+from casegraph.operators import chains, graph, intervals, judge, quantiles
 from casegraph.operators.path_dag import ShortestPaths
 from casegraph.plans import queries
 
@@ -141,6 +141,50 @@ def test_shortest_paths_against_plain(spark, depth):
     assert steps == sorted({(*k, i + 1, p[i], p[i + 1]) for k, v in want.items() for p in v for i in range(len(p) - 1)})
 
 
+def test_teams_stand_for_their_pairs(spark):
+    rnd = random.Random(9)
+    links = spark.createDataFrame([(rnd.randrange(16), rnd.randrange(16)) for _ in range(34)], "a int, b int")
+    teams = {k: k % 3 for k in range(18)}
+    pairs = [(a, b) for a, b in itertools.permutations(teams, 2) if teams[a] == teams[b]]
+    by_team = ShortestPaths(links, spark.createDataFrame(list(teams.items()), "node int, team int"))
+    by_pair = ShortestPaths(links, spark.createDataFrame(pairs, "src int, dst int"))
+    rows = lambda df: sorted(tuple(r) for r in df.select(sorted(df.columns)).collect())
+    assert rows(by_team.counts()) == rows(by_pair.counts()) != [] and rows(by_team.steps()) == rows(by_pair.steps())
+
+
+def test_pairs_without_links_are_not_searched_for(spark):
+    """Twenty copies of a graph in which all suppliers are two steps apart: once these are found, no level is added for pairs of different copies."""
+    links = [(f"{k}s{x}", f"{k}p{y}") for k in range(20) for x in range(5) for y in range(8)]
+    ends = spark.createDataFrame([(f"{k}s{x}",) for k in range(20) for x in range(5)], "node string")
+    links = spark.createDataFrame(links + [(b, a) for a, b in links], "a string, b string")
+    pairs = ends.select(F.col("node").alias("src")).crossJoin(ends.select(F.col("node").alias("dst")))
+    found = ShortestPaths(links, pairs)
+    assert found.counts().groupBy("steps", "n_paths").count().collect() == [(2, 8, 20 * 20)] and len(found.forth) == len(found.back) == 2
+
+
+def test_components_against_plain(spark):
+    rnd = random.Random(2)
+    links = [(rnd.randrange(90), rnd.randrange(90)) for _ in range(60)] + [(k, k + 1) for k in range(100, 160)]
+    part = {v: v for e in links for v in e}
+    for _ in part:
+        for a, b in links:
+            part[a] = part[b] = min(part[a], part[b])
+    got = {r["node"]: r["part"] for r in graph.components(spark.createDataFrame(links, "a int, b int")).collect()}
+    assert set(got) == set(part) and len({(part[k], got[k]) for k in part}) == len(set(part.values())) == len(set(got.values()))
+
+
+def test_reach_of_many_starts_shares_rows(spark):
+    """200 start nodes, each linked to the same 100: the tables have a row for each batch and node, not for each start and node."""
+    links = [(f"a{x}", f"b{y}") for x in range(200) for y in range(100)] + [(f"b{y}", f"c{y % 7}") for y in range(100)] + [("c0", "a5"), ("x", "y")]
+    start = spark.createDataFrame([(f"a{x}",) for x in range(200)], "src string")
+    base = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(base))
+    got = {tuple(r) for r in graph.reach(spark.createDataFrame(links, "a string, b string"), start, 3).collect()}
+    want = {(f"a{x}", n, k) for x in range(200) for k, n in [(0, f"a{x}"), *((1, f"b{y}") for y in range(100)), *((2, f"c{y}") for y in range(7)), *([(3, "a5")] if x != 5 else [])]}
+    written = sum(spark.read.parquet(f"{base}/{d}").count() for d in set(os.listdir(base)) - before)
+    assert got == want and written < len(links) + 200 + 2 * 200 + 8 * 120
+
+
 def test_hub_has_no_row_for_each_path(spark):
     """Six layers of twelve nodes, each linked with all of the next: three million paths between the ends, a few hundred rows."""
     layers = [[f"s{k}"] if k in (0, 7) else [f"n{k}.{x}" for x in range(12)] for k in range(8)]
