@@ -4,42 +4,78 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .graph import saved
+from .graph import components, saved
 
 
 class ShortestPaths:
     """The shortest paths of each pair (src, dst) along links (a, b), of at most depth steps.
 
+    pairs: (src, dst), or (node, team) with one row a node, which stands for all pairs of different nodes of a team, without a row for each.
+
     Two searches, from the sources along links and from the targets against them, each go half the way, one level a round. A level has
     one row for each source and node, with the number of shortest paths to it, however many those are. A pair is found at the first
-    level at which its two searches meet; a source takes part only while it has a pair that is not found. A pair of a node with itself has no path.
+    level at which its two searches meet; they meet by node and team, so only where a pair is asked for. A source takes part only while it has
+    a pair that is not found, and from the third level on no pair counts whose nodes no links connect. A pair of a node with itself has no path.
     """
 
     def __init__(self, links: DataFrame, pairs: DataFrame, depth: int = 5):
         self.out = saved(links.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct())
         self.into = self.out.select(F.col("b").alias("a"), F.col("a").alias("b"))
-        open_ = saved(pairs.select("src", "dst").where("src <> dst").distinct())
-        self.forth = [self._start(open_, "src")]
-        self.back = [self._start(open_, "dst")]
+        if "team" in pairs.columns:
+            one = saved(pairs.select("node", "team").where("node IS NOT NULL AND team IS NOT NULL").distinct())
+            self.sources, self.targets = one.withColumnRenamed("node", "src"), one.withColumnRenamed("node", "dst")
+        else:
+            pairs = saved(pairs.select("src", "dst").where("src <> dst").distinct())
+            self.sources, self.targets = pairs.select("src", F.col("src").alias("team")).distinct(), pairs.select("dst", F.col("src").alias("team"))
+        self.forth = [self._start(self.sources, "src")]
+        self.back = [self._start(self.targets, "dst")]
         seen = {"forth": self.forth[0], "back": self.back[0]}
-        found = None
+        self.found = None
         for step in range(1, depth + 1):
+            if step == 3:
+                self._connected()
+                if self._open("src").isEmpty():
+                    break
             levels, edge, side, end = (self.forth, self.out, "forth", "src") if step % 2 else (self.back, self.into, "back", "dst")
-            live = open_.select(F.col(end).alias("end")).distinct()
+            live = self._open(end)
             next_ = levels[-1].join(live, "end", "left_semi").join(edge, F.col("node") == F.col("a")).groupBy("end", F.col("b").alias("node")).agg(F.sum("n").alias("n"))
             levels.append(saved(next_.join(seen[side].select("end", "node"), ["end", "node"], "left_anti")))
             seen[side] = seen[side].unionByName(levels[-1])
-            x, y = self.forth[-1].select(F.col("end").alias("src"), "node", F.col("n").alias("n_src")), self.back[-1].select(F.col("end").alias("dst"), "node", F.col("n").alias("n_dst"))
-            met = saved(open_.join(x, "src").join(y, ["dst", "node"]).groupBy("src", "dst").agg(F.lit(step).alias("steps"), F.sum(F.col("n_src") * F.col("n_dst")).alias("n_paths")))
-            found = met if found is None else found.unionByName(met)
-            open_ = saved(open_.join(met.select("src", "dst"), ["src", "dst"], "left_anti"))
-            if open_.isEmpty():
+            met = self._met(self.forth[-1], self.back[-1]).groupBy("src", "dst").agg(F.lit(step).alias("steps"), F.sum(F.col("n_src") * F.col("n_dst")).alias("n_paths"))
+            if self.found is not None:
+                met = met.join(self.found.select("src", "dst"), ["src", "dst"], "left_anti")
+            met = saved(met)
+            self.found = met if self.found is None else self.found.unionByName(met)
+            if self._open("src").isEmpty():
                 break
-        self.found = saved(found) if found is not None else None
 
     @staticmethod
-    def _start(pairs: DataFrame, end: str) -> DataFrame:
-        return saved(pairs.select(F.col(end).alias("end"), F.col(end).alias("node"), F.lit(1).cast("long").alias("n")).distinct())
+    def _start(ends: DataFrame, end: str) -> DataFrame:
+        return saved(ends.select(F.col(end).alias("end"), F.col(end).alias("node"), F.lit(1).cast("long").alias("n")).distinct())
+
+    def _connected(self) -> None:
+        """Cuts teams to what links connect."""
+        part = saved(components(self.out))
+        self.sources = saved(self.sources.join(part.withColumnRenamed("node", "src"), "src").select("src", F.struct("team", "part").alias("team")))
+        self.targets = saved(self.targets.join(part.withColumnRenamed("node", "dst"), "dst").select("dst", F.struct("team", "part").alias("team")))
+
+    def _open(self, end: str) -> DataFrame:
+        """(end): the sources or targets with a pair that is not found."""
+        mine, other, far = (self.sources, self.targets, "dst") if end == "src" else (self.targets, self.sources, "src")
+        size = other.groupBy("team").agg(F.count(F.lit(1)).alias("size"))
+        own = other.select(F.col(far).alias(end), "team", F.lit(1).alias("own"))
+        want = mine.join(size, "team").join(own, [end, "team"], "left").groupBy(end).agg(F.sum(F.col("size") - F.coalesce("own", F.lit(0))).alias("want"))
+        if self.found is not None:
+            got = self.found.groupBy(end).agg(F.count(F.lit(1)).alias("got"))
+            want = want.join(got, end, "left")
+            return want.where("want > coalesce(got, 0)").select(F.col(end).alias("end"))
+        return want.where("want > 0").select(F.col(end).alias("end"))
+
+    def _met(self, forth: DataFrame, back: DataFrame) -> DataFrame:
+        """(src, dst, node, n_src, n_dst): where the searches of pairs of a team meet."""
+        x = forth.join(self.sources.withColumnRenamed("src", "end"), "end").select("team", "node", F.col("end").alias("src"), F.col("n").alias("n_src"))
+        y = back.join(self.targets.withColumnRenamed("dst", "end"), "end").select("team", "node", F.col("end").alias("dst"), F.col("n").alias("n_dst"))
+        return x.join(y, ["node", "team"]).where("src <> dst").select("src", "dst", "node", "n_src", "n_dst")
 
     def counts(self) -> DataFrame:
         """(src, dst, steps, n_paths) of the pairs that have a path."""
@@ -59,8 +95,9 @@ class ShortestPaths:
             level = saved(level.select(F.col("end").alias(end), "node", F.col("at").cast("long").alias("at")))
             front = self._middle(pairs).withColumn("at", half)
             for _ in range(1, len(levels)):
-                step = front.where("at > 0").join(edge, F.col("node") == F.col("a")).select("src", "dst", "steps", F.col("node").alias("near"), F.col("b").alias("node"), (F.col("at") - 1).alias("at")).join(level, [end, "node", "at"], "left_semi")
-                step = saved(step.distinct())
+                near = front.where("at = 1").select("src", "dst", "steps", F.col("node").alias("near"), F.col(end).alias("node"), F.lit(0).cast("long").alias("at"))  # the end itself
+                step = front.where("at > 1").join(edge, F.col("node") == F.col("a")).select("src", "dst", "steps", F.col("node").alias("near"), F.col("b").alias("node"), (F.col("at") - 1).alias("at")).join(level, [end, "node", "at"], "left_semi")
+                step = saved(step.distinct().unionByName(near))
                 forward = end == "src"
                 place = F.col("at") + 1 if forward else F.col("steps") - F.col("at")
                 parts.append(step.select("src", "dst", place.cast("int").alias("position"), F.col("node" if forward else "near").alias("a"), F.col("near" if forward else "node").alias("b")))
@@ -74,8 +111,7 @@ class ShortestPaths:
         """(src, dst, steps, node): the nodes half way of each pair's paths."""
         out = None
         for k in range(1, len(self.forth) + len(self.back) - 1):
-            x, y = self.forth[(k + 1) // 2].select(F.col("end").alias("src"), "node"), self.back[k // 2].select(F.col("end").alias("dst"), "node")
-            met = pairs.where(F.col("steps") == k).join(x, "src").join(y, ["dst", "node"]).select("src", "dst", "steps", "node")
+            met = self._met(self.forth[(k + 1) // 2], self.back[k // 2]).select("src", "dst", "node").join(pairs.where(F.col("steps") == k), ["src", "dst"]).select("src", "dst", "steps", "node")
             out = met if out is None else out.unionByName(met)
         return saved(out)
 

@@ -484,9 +484,8 @@ def service_changes(spark, d):
 def neighbours_of_nation(spark, d):
     """All pairs of suppliers of one nation, and the links between suppliers and parts, both ways."""
     e = part_edges(spark, d)
-    s = D.read(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("s"), "s_nationkey")
-    pairs = s.select(F.col("s").alias("src"), "s_nationkey").join(s.select(F.col("s").alias("dst"), "s_nationkey"), "s_nationkey").where("src <> dst").select("src", "dst")
-    return ShortestPaths(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))), pairs, 5)
+    teams = D.read(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("node"), F.col("s_nationkey").alias("team"))
+    return ShortestPaths(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))), teams, 5)
 
 
 _PAIRS = """e AS (SELECT DISTINCT 'p' || l_partkey AS p, 's' || l_suppkey AS s FROM lineitem), pr AS (SELECT 's' || a.s_suppkey AS src, 's' || b.s_suppkey AS dst FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey),
