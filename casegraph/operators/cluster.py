@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.exprs import cluster_score, cluster_tier, computed, short_hash
-from .graph import saved
+from .graph import saved, spread
 from .rules import BY_NAME, CHANNELS, EXTERNAL, FAMILIES, Family, prepared
 
 #: Columns of an event that rules about a cluster's first event, or about its members, read.
@@ -123,7 +123,8 @@ def with_signals(clusters: DataFrame, events: DataFrame, families: tuple[Family,
     mine = clusters.where(F.col("constructor").isin(names))
     windows = F.create_map(*[F.lit(x) for f in families for x in (f.name, f.window or 0)])
     outside = F.when(F.expr(EXTERNAL), F.col("ip"))
-    flags = rows.where("epoch IS NOT NULL").select("host_name", "epoch", _bits(rules).alias("signals"), _bits(CHANNELS).alias("channels"), outside.alias("low_ip"), outside.alias("high_ip"))
+    found = F.struct(_bits(rules).alias("signals"), _bits(CHANNELS).alias("channels"), outside.alias("low_ip"), outside.alias("high_ip"))
+    flags = computed(rows.where("epoch IS NOT NULL"), found=found).select("host_name", "epoch", "found.*")  # the filter would else go through all rules once more
     flags = flags.where("signals <> 0 OR channels <> 0 OR low_ip IS NOT NULL")
     near = over_context(mine.withColumn("reach", windows[F.col("constructor")]), flags, "reach", {"signals": (F.bit_or, F.bit_or), "channels": (F.bit_or, F.bit_or), "low_ip": (F.min, F.min), "high_ip": (F.max, F.max)})
     out = mine.select("*", "first.*", "any.*").join(near, "cluster_id", "left").na.fill(0, ["signals", "channels"])
@@ -190,7 +191,7 @@ def enriched(events: DataFrame, hash_list: DataFrame | None = None, least: int =
 def build_clusters(events: DataFrame, families: tuple[Family, ...] = FAMILIES, hash_list: DataFrame | None = None, lists: dict[str, DataFrame] | None = None) -> DataFrame:
     """Scored clusters of all families."""
     # each stage is a table: rules then read plain columns, and the plan of a stage stays small
-    rows = saved(enriched(events, hash_list))
+    rows = saved(enriched(spread(events), hash_list))
     return with_signals(saved(group_hits(trigger_hits(rows, families))), rows, families, lists)
 
 

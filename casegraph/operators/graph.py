@@ -31,6 +31,11 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt evenly over three tasks a core: rules and parsing take far longer than reading, and a file may have few row groups."""
+    return df.repartition(3 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def _id(kind: str, key: Column) -> Column:
     return short_hash(F.col("case_id"), F.lit(kind), key)
 

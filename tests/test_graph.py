@@ -237,3 +237,12 @@ def test_sketch_error_and_merge(spark):
     assert seen > 80
     one = spark.createDataFrame([("a", 0, 10.0), ("a", 86400, 11.0), ("a", 86401, 9.0), ("b", 0, 5.0)], "h string, epoch long, v double")
     assert [r["v"] for r in quantiles.above_earlier(one, "v", 0.5, ["h"]).collect()] == [11.0]
+
+
+def test_rules_are_spread_over_tasks(spark):
+    """The events of one file with one row group: the rows that rules read are written by three tasks a core, not by one."""
+    base = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(base))
+    assert queries.clusters(spark, DATA).count() == 1250
+    parts = [sum(f.endswith(".parquet") for f in os.listdir(f"{base}/{d}")) for d in set(os.listdir(base)) - before]
+    assert max(parts) == 3 * spark.sparkContext.defaultParallelism
