@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.exprs import content_hash
 from ..functions.paths import host_of_path
+from ..operators.graph import spread
 from ..operators.normalize import normalize
 from ..sources import driver as D, records as R
 
@@ -50,7 +51,7 @@ def ingest_event_xml(spark: SparkSession, d: str) -> DataFrame:
         '</Computer></System><EventData><Data Name="TargetUserName">old</Data><Data Name="TargetUserName">u', u, '</Data><Data Name="NewProcessId">0x', F.hex(e), '</Data><Data Name="NewProcessName">C:\\bin\\p', u % 7, '.exe</Data><Data Name="IpAddress">', F.when(e % 2 == 1, text("10.0.0.", u % 200)).otherwise("-"),
         '</Data><Data Name="LogonType">', F.when(code == "4624", "3").otherwise(""), "</Data></EventData></Event>",
     )
-    rows = D.read(spark, d, "events").select(F.when(e % 50 == 7, F.substring(xml, 1, 60)).otherwise(xml).alias("xml"))
+    rows = spread(D.read(spark, d, "events")).select(F.when(e % 50 == 7, F.substring(xml, 1, 60)).otherwise(xml).alias("xml"))
     return shown(normalize(R.event_xml(rows), "C1"), "host_name", "canonical_type", "ms", "user", "pid", "process_name", "process_path", "remote_ip", "data.record_id", "logon_type")
 
 

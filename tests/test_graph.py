@@ -246,3 +246,8 @@ def test_rules_are_spread_over_tasks(spark):
     assert queries.clusters(spark, DATA).count() == 1250
     parts = [sum(f.endswith(".parquet") for f in os.listdir(f"{base}/{d}")) for d in set(os.listdir(base)) - before]
     assert max(parts) == 3 * spark.sparkContext.defaultParallelism
+
+
+def test_records_are_parsed_in_more_tasks_than_row_groups(spark):
+    plan = queries.QUERIES["ingest_event_xml"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert f"RoundRobinPartitioning({3 * spark.sparkContext.defaultParallelism})" in plan
