@@ -98,7 +98,7 @@ def status_counts(spark, d):
 
 @query(over_clusters("SELECT verdict, count(*) AS n FROM (SELECT CASE WHEN 5 * counter > 60 THEN 'REFUTED' WHEN counter > 0 THEN 'CAVEATS' ELSE 'SUPPORTED' END AS verdict FROM cl WHERE score >= 40) GROUP BY ALL"))
 def challenge_batch(spark, d):
-    cl = C.build_clusters(D.events(spark, d)).where("score >= 40")
+    cl = G.saved(C.build_clusters(D.events(spark, d)).where("score >= 40"))  # read twice
     h = cl.select(F.col("cluster_id").alias("hypothesis_id"), F.lit("DRAFT").alias("status")).withColumns({"causal_break": F.lit(False), "contradictions": F.lit(0), "near_disturbance": F.lit(False), "n_sources": F.lit(1)})
     _, notes = L.challenge_drafts(h, cl.select(F.col("cluster_id").alias("hypothesis_id"), "cluster_id", "counter_evidence"), "CASE-1")
     return notes.groupBy(F.substring("note", 10, 20).alias("verdict")).agg(F.count(F.lit(1)).alias("n"))

@@ -366,7 +366,7 @@ def proximity_gate(spark, d):
 
 @query(over_clusters(f"SELECT cluster_id, CASE WHEN 5 * counter > 60 THEN 'REFUTED' WHEN counter > 0 THEN 'CAVEATS' ELSE 'SUPPORTED' END AS verdict FROM cl WHERE {_SEED}"))
 def challenge_verdicts(spark, d):
-    cl = clusters(spark, d)
+    cl = G.saved(clusters(spark, d))  # read twice
     h = R.seed(cl).withColumns({"causal_break": F.lit(False), "contradictions": F.lit(0), "near_disturbance": F.lit(False), "n_sources": F.lit(1)})
     proof = h.select("hypothesis_id", "cluster_id").join(cl.select("cluster_id", "counter_evidence"), "cluster_id")
     return J.challenge(h, proof).select("cluster_id", "verdict")
