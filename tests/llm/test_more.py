@@ -3,8 +3,10 @@
 import random
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 import corpus_pipeline
 from casegraph.llm import ngram_join, pii, quality, substring_dedup, toxicity, url_filter, warc
@@ -159,6 +161,30 @@ def test_quality(spark):
     assert quality.quality(docs, quality.train(docs, labels.limit(0))).where("score IS NULL OR isnan(score)").count() == 0
 
 
+def test_quality_fits_on_all_rows_and_pairs(spark):
+    """Rows beyond the 20,000 first by a hash of the id count, and so does each pair of a good and a bad row."""
+    ids = spark.range(40_000).where(~quality.held_out(F.col("id"))).withColumn("rank", F.row_number().over(Window.orderBy(F.xxhash64("id"), "id")))
+    docs = ids.select(F.col("id").alias("doc_id"), F.when((F.col("rank") > 20_000) & (F.col("id") % 3 == 0), "alra <> bone").otherwise("Alra bone.").alias("text")).repartition(4).cache()
+    model = quality.train(docs, docs.select("doc_id", F.when(F.col("text") == "alra <> bone", 0).otherwise(1).alias("quality")))
+    assert "<>" in model["known"].to_pylist()
+    got = {r["text"]: r["predicted"] for r in quality.quality(docs, model).join(docs, "doc_id").select("text", "predicted").distinct().collect()}
+    assert got == {"alra <> bone": 0, "Alra bone.": 1}
+
+    data = labelled(200, seed=5)
+    rnd = random.Random(2)
+    truth = {i: q if rnd.random() < 0.8 else 1 - q for i, _, q, _ in data}  # so that the two kinds overlap
+    docs = spark.createDataFrame([(i, t) for i, t, *_ in data], "doc_id long, text string").repartition(3)
+    model = quality.train(docs, spark.createDataFrame(list(truth.items()), "doc_id long, quality int"))
+    seen = [(t, truth[i]) for i, t, *_ in data if zlib.crc32(str(i).encode()) % 4 != 2]
+    x = quality.values(*quality.shapes_of(pa.array([t for t, _ in seen])), model["known"])
+    assert np.allclose(model["centre"], x.mean(0), atol=1e-6) and np.allclose(model["scale"], x.std(0), atol=1e-4)
+    x, good = np.clip((x - model["centre"]) / model["scale"], -4, 4), np.array([q for _, q in seen]) > 0
+    pairs = (x[good][:, None] - x[~good][None]).reshape(-1, x.shape[1])
+    slope = -pairs.T @ (1 / (1 + np.exp(pairs @ model["w"]))) / len(pairs) + 1e-3 * model["w"]
+    assert np.abs(model["w"]).max() > 0.1 and np.abs(slope).max() < 2e-3
+    assert abs(model["cut"] - np.quantile(x @ model["w"], (~good).mean())) < 1e-6 and abs(model["spread"] - (x @ model["w"]).std()) < 1e-3
+
+
 def test_urls(spark):
     urls = ["http://a.org/x", "HTTP://Example.ORG/es/a?b", "https://x.example.org/en/12#f", "https://example.com/fr/", "http://w.com/de/x", "http://wexample.org.net/", "no scheme", None, "", "a://b.net/track/x", "x://h.net/" + "a" * 9000 + ".exe", "http://org/", "://org"]
     df = spark.createDataFrame([(k % 11 or None, u, "r") for k, u in enumerate(urls)], "page_id long, url string, rule string")
