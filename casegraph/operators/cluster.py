@@ -9,13 +9,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.exprs import cluster_score, cluster_tier, computed, short_hash
 from .graph import saved, spread
-from .rules import BY_NAME, CHANNELS, EXTERNAL, FAMILIES, Family, prepared
+from .rules import BY_NAME, CHANNELS, EXTERNAL, FAMILIES, Family, low, prepared
 
 #: Columns of an event that rules about a cluster's first event, or about its members, read.
 FIRST = ["proc", "ppath", "usr", "tfile", "ip", "user_agent", "vol_path", "vol_base", "hour", "minute"]
 FLAGS = ["common_process", "known_hash"]
 #: Slots of 1, 8, 64, 512 and 4096 seconds, of which a span of time is put together.
 BASE, LEVELS = 8, 5
+#: How long the text of the rules is at most that one number of with_bits() holds.
+RULE_TEXT = 1_200
 
 
 def trigger_hits(events: DataFrame, families: tuple[Family, ...] = FAMILIES) -> DataFrame:
@@ -29,14 +31,12 @@ def trigger_hits(events: DataFrame, families: tuple[Family, ...] = FAMILIES) ->
     rows = rows.withColumns(member)
     keep = ["event_id", "case_id", "host_name", "timestamp", "epoch", "user", "remote_ip", "target_file", *(c for c in FIRST if c not in ("user", "remote_ip")), *FLAGS, *member]
 
-    rules, table = [], []
-    for f in families:
-        table += [(len(rules) + k, len(rules), f.name, t.name, t.base, f.window, f.by_user) for k, t in enumerate(f.triggers)]
-        rules += f.triggers
-    met = F.array_compact(F.array(*[F.when(F.expr(t.when), F.lit(k)) for k, t in enumerate(rules)]))
-    table = events.sparkSession.createDataFrame(table, "rule int, of_family int, constructor string, trigger string, base int, window int, by_user boolean")
-    hits = computed(rows, met=met).select(*keep, "met").where(F.size("met") > 0).select(*keep, "met", F.explode("met").alias("rule")).join(F.broadcast(table), "rule")  # the rules, not data
-    lead = ~F.exists("met", lambda k: (k >= F.col("of_family")) & (k < F.col("rule")))
+    rows, numbers = with_bits(rows, "met", [[t.when for t in f.triggers] for f in families])
+    table = [(n, 1 << k, f.name, t.name, t.base, f.window, f.by_user) for n, f in enumerate(families) for k, t in enumerate(f.triggers)]
+    table = events.sparkSession.createDataFrame(table, "family int, rule long, constructor string, trigger string, base int, window int, by_user boolean")
+    met = rows.select(*keep, F.posexplode(F.array(*numbers)).alias("family", "met")).where("met <> 0")
+    hits = met.join(F.broadcast(table), "family").where(F.col("met").bitwiseAND(F.col("rule")) != 0)  # the rules, not data
+    lead = F.col("met").bitwiseAND(F.col("rule") - 1) == 0
     at = F.when(F.col("window").isNull(), F.lit(0)).when(F.col("window") <= 0, F.col("epoch")).otherwise(F.col("epoch") - F.pmod(F.col("epoch"), F.greatest("window", F.lit(1))))
     who = F.when(F.col("by_user"), F.coalesce("user", F.lit("")))
     return hits.select(*keep, "constructor", "trigger", "base", at.cast("long").alias("bucket"), lead.cast("int").alias("lead"), who.alias("who"))
@@ -107,6 +107,29 @@ def _bits(rules: list[str]) -> Column:
     return reduce(lambda x, y: x.bitwiseOR(y), [F.when(F.expr(r), F.lit(1 << k)).otherwise(0).cast("long") for k, r in enumerate(rules)], F.lit(0).cast("long"))
 
 
+def with_bits(df: DataFrame, name: str, groups: list[list[str]]) -> tuple[DataFrame, list[Column]]:
+    """df with more columns, and for each group of rules a number of those that has a bit for each rule that holds.
+
+    A column holds some of the rules and is behind a generator: the code that Spark makes of it is then a method of its own, and short
+    enough for the JVM to compile it. One method of all rules is interpreted, byte by byte.
+    """
+    numbers, made = [], 0
+    for rules in groups:
+        parts, size = [[]], 0
+        for r in rules:
+            if parts[-1] and size + len(r) > RULE_TEXT:
+                parts, size = [*parts, []], 0
+            parts[-1].append(r)
+            size += len(r)
+        number, before = F.lit(0).cast("long"), 0
+        for part in parts:
+            df = computed(df, **{f"{name}_{made}": _bits(part)})
+            number = number.bitwiseOR(F.shiftleft(f"{name}_{made}", before))
+            made, before = made + 1, before + len(part)
+        numbers.append(number)
+    return df, numbers
+
+
 def _total(rules: list[tuple[Column, int]]) -> Column:
     return reduce(lambda x, y: x + y, [F.when(applies, points).otherwise(0) for applies, points in rules], F.lit(0))
 
@@ -123,8 +146,9 @@ def with_signals(clusters: DataFrame, events: DataFrame, families: tuple[Family,
     mine = clusters.where(F.col("constructor").isin(names))
     windows = F.create_map(*[F.lit(x) for f in families for x in (f.name, f.window or 0)])
     outside = F.when(F.expr(EXTERNAL), F.col("ip"))
-    found = F.struct(_bits(rules).alias("signals"), _bits(CHANNELS).alias("channels"), outside.alias("low_ip"), outside.alias("high_ip"))
-    flags = computed(rows.where("epoch IS NOT NULL"), found=found).select("host_name", "epoch", "found.*")  # the filter would else go through all rules once more
+    seen, (signals, channels) = with_bits(rows.where("epoch IS NOT NULL"), "met", [rules, CHANNELS])
+    found = F.struct(signals.alias("signals"), channels.alias("channels"), outside.alias("low_ip"), outside.alias("high_ip"))
+    flags = computed(seen, found=found).select("host_name", "epoch", "found.*")  # the filter would else go through all rules once more
     flags = flags.where("signals <> 0 OR channels <> 0 OR low_ip IS NOT NULL")
     near = over_context(mine.withColumn("reach", windows[F.col("constructor")]), flags, "reach", {"signals": (F.bit_or, F.bit_or), "channels": (F.bit_or, F.bit_or), "low_ip": (F.min, F.min), "high_ip": (F.max, F.max)})
     out = mine.select("*", "first.*", "any.*").join(near, "cluster_id", "left").na.fill(0, ["signals", "channels"])
@@ -175,8 +199,9 @@ def enriched(events: DataFrame, hash_list: DataFrame | None = None, least: int =
 
     hash_list: (md5) of known files. path_hashes: (path, md5), for processes without a hash of their own.
     """
-    rows = prepared(events)
-    rows = rows.join(common_processes(rows, least), ["host_name", "proc"], "left")
+    processes = events.select("host_name", F.coalesce("canonical_type", F.lit("")).alias("kind"), low("process_name").alias("proc"))
+    common = saved(common_processes(processes, least))  # a table, as Spark then knows whether it is small enough to be sent to all tasks
+    rows = prepared(spread(events)).join(common, ["host_name", "proc"], "left")
     if hash_list is None:
         return rows.withColumn("known_hash", F.lit(False)).na.fill(False, ["common_process"])
     rows = rows.withColumn("md5_low", F.lower(F.nullif(F.col("md5"), F.lit(""))))
@@ -191,7 +216,7 @@ def enriched(events: DataFrame, hash_list: DataFrame | None = None, least: int =
 def build_clusters(events: DataFrame, families: tuple[Family, ...] = FAMILIES, hash_list: DataFrame | None = None, lists: dict[str, DataFrame] | None = None) -> DataFrame:
     """Scored clusters of all families."""
     # each stage is a table: rules then read plain columns, and the plan of a stage stays small
-    rows = saved(enriched(spread(events), hash_list))
+    rows = saved(enriched(events, hash_list))
     return with_signals(saved(group_hits(trigger_hits(rows, families))), rows, families, lists)
 
 

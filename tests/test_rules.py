@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from casegraph.operators.cluster import build_clusters, trigger_hits
+from casegraph.operators.cluster import build_clusters, trigger_hits, with_bits
 from casegraph.operators.graph import saved
 from casegraph.operators.rules import BY_NAME, FAMILIES, prepared
+from casegraph.sources import driver
 
 COLUMNS = "event_id string, case_id string, host_name string, timestamp string, canonical_type string, user string, process_name string, process_path string, command_line string, target_file string, remote_ip string, remote_port int, registry_key string, alert_name string, logon_type string, parent_name string, user_agent string, md5 string, volatility map<string,string>, event_data map<string,string>"
 NAMES = [c.strip().split(" ")[0] for c in COLUMNS.split(", ")]
@@ -191,3 +192,21 @@ def test_shared_counters_and_first_access(spark):
     assert met["a", "2024-05-01"] == {"known_good_hash", "system_legitimate_path"} and met["b", "2024-05-01"] == set() and met["n", "2024-06-01"] == {"high_frequency_baseline"}
     new = {str(r["time_start"])[:10]: "target_not_previously_accessed" in r["supporting"] for r in out if r["host_name"] == "old"}
     assert new == {"2024-04-01": True, "2024-05-01": False}
+
+
+def test_rules_are_compiled(spark):
+    """Rules run in code that Spark compiles, in pieces of bounded size, and a number has the bits of the rules that hold, also of a group that takes several columns."""
+    rows = saved(prepared(driver.events(spark, "/root/testdata/sf0.001")))
+    groups = [[f"contains(cmd, '{'x' * 500}')", "kind = 'ALERT'", f"contains(proc, '{'y' * 900}')", "epoch % 2 = 0", "proc = 'cmd.exe'"], [], ["port > 1000"]]
+    out, numbers = with_bits(rows, "met", groups)
+    assert len([c for c in out.columns if c.startswith("met_")]) > len(groups)
+    for rules, number in zip(groups, numbers):
+        want = sum((F.when(F.expr(r), 1 << k).otherwise(0) for k, r in enumerate(rules)), F.lit(0))
+        assert out.where(number != want).isEmpty()
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = trigger_hits(rows)._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    with_rules = [line for line in plan if "Generate" in line and ("RLIKE(" in line or "Contains(" in line)]
+    assert len(with_rules) > 5 and all("*(" in line for line in with_rules)
