@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .graph import saved
 
+#: Members of a walk that are put together as one array; a longer one is rows.
+SHORT = 64
+
 
 def _rings(links: DataFrame) -> DataFrame | None:
     """The nodes (node) of links (node, to), one row a node, that lie on a cycle; None without any.
@@ -58,16 +63,60 @@ def depths(parents: DataFrame, labels: str | None = None) -> DataFrame:
     return state.select("node", "root", F.when(done, F.col("steps")).cast("int").alias("depth"), *([F.when(done, F.col("path")).alias("path")] if labels else []))
 
 
-def walks(parents: DataFrame, starts: DataFrame, most: int | None = None) -> DataFrame:
+def walks(parents: DataFrame, starts: DataFrame | None = None, most: int | None = None) -> DataFrame:
     """(node, position, member): from each start (node) up its parents, itself at position 0, until there is none or a member would repeat, or most steps.
 
-    parents: (node, parent) with one row a node. Rows, not arrays: a long chain is spread over tasks. The rows of a start double in each
-    round: those at positions that are multiples of 2**(k+1) give those 2**k further.
+    parents: (node, parent) with one row a node; without starts, each node is one. Walks of up to SHORT members are put together as
+    arrays, longer ones as rows, so that a long chain is spread over tasks.
+    """
+    short, long = chains(parents, starts, most)
+    rows = short.select("node", F.posexplode("chain").alias("position", "member")).withColumn("position", F.col("position").cast("long"))
+    return rows if long is None else rows.unionByName(long)
+
+
+def chains(parents: DataFrame, starts: DataFrame | None = None, most: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """What walks() gives: (node, chain), an array for each walk of up to SHORT members, and (node, position, member) of the longer ones, None without any.
+
+    The walks of all nodes double in each round, so one join a round is all there is to do, on cycles too: what a walk is continued by
+    ends where it comes to a member of its own. Walks that have ended are not joined or written again.
+    """
+    parent = F.when(F.col("parent") != F.col("node"), F.col("parent"))
+    last = one = saved(parents.where("node IS NOT NULL").select("node", F.array("node").alias("chain"), parent.alias("to")))
+    done, size = [last.where("to IS NULL")], 1
+    open_ = last.where("to IS NOT NULL")
+    while size < SHORT and (most is None or size <= most) and not open_.isEmpty():
+        x, y = open_.alias("x"), reduce(DataFrame.unionByName, done, open_).alias("y")
+        more, then = F.array_except("y.chain", "x.chain"), F.col("y.to")
+        goes_on = (F.size(more) == F.size("y.chain")) & ~F.array_contains("x.chain", then)  # null where there is no more
+        step = x.join(y, F.col("x.to") == F.col("y.node"), "left").select("x.node", F.concat("x.chain", F.coalesce(more, F.array("x.to"))).alias("chain"), F.when(goes_on, then).alias("to"))
+        last, size = saved(step), 2 * size
+        done, open_ = [*done, last.where("to IS NULL")], last.where("to IS NOT NULL")
+    ended = most is not None and size > most or open_.isEmpty()
+    short = reduce(DataFrame.unionByName, [*done, open_] if ended else done).select("node", "chain")
+    out = short if most is None else short.select("node", F.slice("chain", 1, most + 1).alias("chain"))
+    long = None if ended else open_.select("node")
+    if starts is not None:
+        starts = starts.select("node").distinct()
+        if long is not None:
+            long = long.join(starts, "node", "left_semi")
+            starts = starts.join(open_, "node", "left_anti")
+        out = starts.join(out, "node", "left").select("node", F.coalesce("chain", F.array("node")).alias("chain"))
+    if long is None or long.isEmpty():
+        return out, None
+    return out, _long_walks(one.where("to IS NOT NULL").select("node", "to"), short, open_.select("node", "to"), long, most)
+
+
+def _long_walks(one: DataFrame, short: DataFrame, far: DataFrame, starts: DataFrame, most: int | None) -> DataFrame:
+    """The walks of starts (node) as rows throughout. The rows of a start double in each round: those at positions that are multiples of 2**(k+1) give those 2**k further.
+
+    one: links (node, to) without those of a node to itself; short: (node, chain) of the walks that ended early; far: (node, to) as many steps up as the others have come.
     """
-    one = saved(parents.where("node IS NOT NULL AND parent IS NOT NULL").select("node", F.col("parent").alias("to")))
-    ring = _rings(one)
+    # the nodes of a short cycle are where their own walks would go on
+    ring, long_rings = short.select("node", F.element_at("chain", -1).alias("last")).join(one.withColumnRenamed("node", "last"), "last").where(F.col("to") == F.col("node")).select("node"), _rings(far)
+    ring = saved(ring if long_rings is None else ring.unionByName(long_rings))
+    ring = None if ring.isEmpty() else ring
     jumps = _jumps(one if ring is None else saved(one.join(ring, "node", "left_anti")), most)
-    rows = saved(starts.select("node").distinct().select("node", F.lit(0).cast("long").alias("position"), F.col("node").alias("member")))
+    rows = saved(starts.select("node", F.lit(0).cast("long").alias("position"), F.col("node").alias("member")))
     for k in reversed(range(len(jumps))):
         if most is not None and 2**k > most:
             continue

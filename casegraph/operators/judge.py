@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.exprs import claims_cause, confidence_tier, content_hash, is_technique, weakest
 from ..functions.lookups import CAUSAL_RANK, CAUSAL_WEIGHTS, GATE_PHRASES, PROVENANCE_WEIGHTS, STRENGTH_WEIGHTS, STRONG_CAUSES
 from ..functions.tables import look_up
-from .chains import walks
+from .chains import chains, walks
 from .graph import saved
 from .intervals import overlapping
 
@@ -105,23 +105,39 @@ def fold(decisions: DataFrame) -> DataFrame:
     return rows.groupBy("hypothesis_id").agg(last.alias("status"), F.max("decided_at").alias("decided_at"), F.array_compact(F.array_sort(F.collect_set("link"))).alias("links"))
 
 
-def strongest_incoming(links: DataFrame) -> DataFrame:
-    """(node, came_from, level): the strongest supported link into each node (source, target, level, at); ties go to the earliest."""
+def strongest_incoming(links: DataFrame, unsupported: bool = False) -> DataFrame:
+    """(node, came_from, level): the strongest supported link into each node (source, target, level, at); ties go to the earliest.
+
+    unsupported keeps nodes that no supported link leads into, with nulls.
+    """
     rank = look_up(CAUSAL_RANK, F.col("level"))
     order = Window.partitionBy("target").orderBy(F.desc("rank"), "at", "source")
-    return links.withColumn("rank", rank).where("rank > 0").withColumn("rn", F.row_number().over(order)).where("rn = 1").select(F.col("target").alias("node"), F.col("source").alias("came_from"), "level")
+    last = links.withColumn("rank", rank).withColumn("rn", F.row_number().over(order)).where("rn = 1")
+    if not unsupported:
+        return last.where("rank > 0").select(F.col("target").alias("node"), F.col("source").alias("came_from"), "level")
+    is_ = lambda c: F.when(F.col("rank") > 0, F.col(c))
+    return last.select(F.col("target").alias("node"), is_("source").alias("came_from"), is_("level").alias("level"))
+
 
+def _back(links: DataFrame, every: bool) -> DataFrame:
+    return strongest_incoming(links, every).select("node", F.col("came_from").alias("parent"))
 
-def root_chains(links: DataFrame, starts: DataFrame, depth: int | None = None) -> DataFrame:
-    """(node, position, member): from each start (node) back along strongest links, a row a step, until none is left or a node repeats, or depth links where that is given."""
-    back = strongest_incoming(links).select("node", F.col("came_from").alias("parent"))
-    return walks(back, starts, depth)
+
+def root_chains(links: DataFrame, starts: DataFrame | None = None, depth: int | None = None) -> DataFrame:
+    """(node, position, member): from each start (node) back along strongest links, a row a step, until none is left or a node repeats, or depth links where that is given.
+
+    Without starts, from each node that a link leads into.
+    """
+    return walks(_back(links, starts is None), starts, depth)
 
 
-def root_causes(links: DataFrame, starts: DataFrame, depth: int | None = None) -> DataFrame:
+def root_causes(links: DataFrame, starts: DataFrame | None = None, depth: int | None = None) -> DataFrame:
     """(node, chain): the chain of each start as an array, for chains short enough to read; root_chains() has them as rows."""
+    short, long = chains(_back(links, starts is None), starts, depth)
+    if long is None:
+        return short
     steps = F.array_sort(F.collect_list(F.struct("position", "member")))
-    return root_chains(links, starts, depth).groupBy("node").agg(steps.alias("steps")).select("node", F.transform("steps", lambda s: s["member"]).alias("chain"))
+    return short.unionByName(long.groupBy("node").agg(steps.alias("steps")).select("node", F.transform("steps", lambda s: s["member"]).alias("chain")))
 
 
 def mutual_links(links: DataFrame) -> DataFrame:

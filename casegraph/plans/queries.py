@@ -411,15 +411,13 @@ def orphan_links(spark, d):
 @query(f"WITH RECURSIVE {_ORDER_LINKS}, b AS (SELECT target, arg_max(source, row(rank, -epoch_us(moment), -source)) AS source FROM lk GROUP BY target), w AS (SELECT target AS node, [target] AS chain FROM (SELECT DISTINCT target FROM lk) UNION ALL SELECT node, list_append(chain, b.source) FROM w JOIN b ON b.target = chain[-1] WHERE NOT list_contains(chain, b.source)) SELECT node, array_to_string(arg_max(chain, len(chain)), '>') AS chain FROM w GROUP BY node")
 def kill_chain_whole(spark, d):
     """A chain for each order that has one before it; to any length."""
-    lk = order_links(spark, d)
-    return J.root_causes(lk, lk.select(F.col("target").alias("node")).distinct()).select("node", F.array_join("chain", ">").alias("chain"))
+    return J.root_causes(order_links(spark, d)).select("node", F.array_join("chain", ">").alias("chain"))
 
 
 @query(f"WITH RECURSIVE {_ORDER_LINKS}, b AS (SELECT target, arg_max(source, row(rank, -epoch_us(moment), -source)) AS source FROM lk GROUP BY target), w AS (SELECT target AS node, [target] AS chain FROM (SELECT DISTINCT target FROM lk) UNION ALL SELECT node, list_append(chain, b.source) FROM w JOIN b ON b.target = chain[-1] WHERE NOT list_contains(chain, b.source)) SELECT node, unnest(range(len(chain))) AS position, unnest(chain) AS member FROM (SELECT node, arg_max(chain, len(chain)) AS chain FROM w GROUP BY node)")
 def kill_chain(spark, d):
     """The same chains as rows, one for each step back from an order."""
-    lk = order_links(spark, d)
-    return J.root_chains(lk, lk.select(F.col("target").alias("node")).distinct())
+    return J.root_chains(order_links(spark, d))
 
 
 @query("SELECT o_orderstatus AS case_id, count_if(o_orderpriority = '1-URGENT') AS drafts, count_if(o_orderpriority <> '1-URGENT') AS approved, count_if(o_orderpriority <> '1-URGENT' AND o_orderkey % 3 = 0) AS without_technique, count_if(o_orderkey % 3 = 1) AS bad_technique, count_if(o_orderpriority <> '1-URGENT' AND o_orderkey % 2 = 0) AS unsigned FROM orders GROUP BY ALL")

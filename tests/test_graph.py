@@ -118,6 +118,36 @@ def test_chains_against_plain(spark, seed):
         assert found == {k: dict(enumerate(walk(k, most))) for k in [*up, 777]}
 
 
+def test_walks_take_a_table_a_round(spark):
+    """Cycles of five nodes and chains of five above a node that is none: the arrays double three times, and nothing else is saved."""
+    k = F.col("id")
+    parents = spark.range(1000).select(k.alias("node"), F.when(k >= 500, F.when(k % 5 == 4, k - 4).otherwise(k + 1)).otherwise(F.when(k % 5 == 4, -k).otherwise(k + 1)).alias("parent"))
+    out, saved = rounds(spark, lambda: chains.walks(parents).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("position", "member"))).alias("at")).collect())
+    assert {r["node"]: [tuple(x) for x in r["at"]] for r in out} == {
+        n: list(enumerate([*range(n, n // 5 * 5 + 5), *(range(n // 5 * 5, n) if n >= 500 else [-(n // 5 * 5 + 4)])])) for n in range(1000)
+    }
+    assert saved <= 4
+
+
+@pytest.mark.parametrize("short", [2, 8])
+def test_long_walks_are_rows(spark, monkeypatch, short):
+    """Walks beyond what one array holds, into cycles and not, together with short ones."""
+    monkeypatch.setattr(chains, "SHORT", short)
+    up = {k: k + 1 for k in range(30)} | {30: 17, 31: 5, 32: 33, 33: 32, 34: 34, 35: None, 36: 99, 37: 36}
+    df = spark.createDataFrame(list(up.items()), "node int, parent int")
+    for most in (None, 1, 8, 20):
+        for starts in (None, [*range(0, 38, 3), 777]):
+            rows = chains.walks(df, None if starts is None else spark.createDataFrame([(k,) for k in starts], "node int"), most).collect()
+            found, want = {}, {}
+            for k in up if starts is None else starts:
+                want[k] = [k]
+                while up.get(want[k][-1]) is not None and up[want[k][-1]] not in want[k] and (most is None or len(want[k]) <= most):
+                    want[k].append(up[want[k][-1]])
+            for r in rows:
+                found.setdefault(r["node"], {})[r["position"]] = r["member"]
+            assert found == {k: dict(enumerate(v)) for k, v in want.items()} and len(rows) == sum(map(len, want.values()))
+
+
 @pytest.mark.parametrize("depth", [1, 2, 3, 5])
 def test_shortest_paths_against_plain(spark, depth):
     rnd = random.Random(depth)
