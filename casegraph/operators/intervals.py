@@ -50,6 +50,37 @@ def overlapping(a: DataFrame, b: DataFrame, keys: list[str], span_a: tuple[str,
     return met(a, b, in_a, False).select(*cols).unionByName(met(b, a, in_b, True).select(*cols))
 
 
+def overlapping_pairs(rows: DataFrame, keys: list[str], span: tuple[str, str], order: list[str]) -> DataFrame:
+    """(keys, order with _1, order with _2): pairs of rows of one table with equal keys whose spans overlap, each pair once, the row that is first by order first.
+
+    Pairs meet as in overlapping(), but as both sides are one table, the coarser of two rows meets the finer, and of two rows of one level
+    the first meets the second. Rows whose key no other row has meet nothing; they are left out by a count before anything is
+    copied. Rows that are equal in order make no pair.
+    """
+    rows = rows.select(*keys, *order, F.col(span[0]).cast("long").alias("from_"), F.col(span[1]).cast("long").alias("to_")).where("from_ <= to_").withColumn("key_", F.xxhash64(*keys))
+    often = saved(rows.groupBy("key_").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key_"))  # a table, as Spark then knows whether it can be broadcast
+    rows = saved(rows.join(often, "key_", "left_semi").drop("key_").withColumn("level", _level(F.col("from_"), F.col("to_"))))
+    levels = sorted(r["level"] for r in rows.select("level").distinct().collect())  # at most LEVELS numbers
+    above = F.filter(F.array(*[F.lit(k) for k in levels]).cast("array<int>"), lambda k: k >= F.col("level"))
+
+    def side(levels: Column, name: str) -> DataFrame:
+        slots = _slots(rows, levels).select(*keys, "at_level", "slot", "level", "from_", "to_", *order)
+        return slots.withColumnsRenamed({c: f"{c}{name}" for c in ("level", "from_", "to_", *order)})
+
+    def earlier(x: str, y: str) -> Column:
+        out = F.lit(False)
+        for c in reversed(order):
+            out = (F.col(c + x) < F.col(c + y)) | ((F.col(c + x) == F.col(c + y)) & out)
+        return out
+
+    met = side(F.array("level"), "_own").join(side(above, "_up"), [*keys, "at_level", "slot"])
+    size = F.element_at(F.array(*[F.lit(BASE**k) for k in range(LEVELS)]), F.col("at_level") + 1)
+    met = met.where((F.col("slot") == F.floor(F.greatest("from__own", "from__up") / size)) & F.expr("from__own <= to__up AND from__up <= to__own"))
+    met = met.withColumn("own_first", earlier("_own", "_up")).where(F.col("own_first") | ((F.col("level_up") < F.col("level_own")) & earlier("_up", "_own")))
+    pick = lambda c, x, y: F.when(F.col("own_first"), F.col(c + x)).otherwise(F.col(c + y))
+    return met.select(*keys, *[pick(c, "_own", "_up").alias(f"{c}_1") for c in order], *[pick(c, "_up", "_own").alias(f"{c}_2") for c in order])
+
+
 def as_of(rows: DataFrame, states: DataFrame, keys: list[str], value: str, slot: int = 3600) -> DataFrame:
     """Adds to each row the value of the last state at or before it. rows: (keys, epoch, ...), states: (keys, epoch, value).
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..functions import exprs as X
 from ..functions.lookups import CAUSAL_RANK, KEEP, NOISE
 from ..operators import chains as H, cluster as C, coverage as K, detect as T, graph as G, judge as J, quantiles as Q, reduce as R, views as V
-from ..operators.intervals import as_of, overlapping
+from ..operators.intervals import as_of, overlapping_pairs
 from ..operators.graph import folder
 from ..operators.pages import Pages
 from ..operators.path_dag import ShortestPaths
@@ -320,10 +320,9 @@ def last_alert(spark, d):
 def overlapping_deliveries(spark, d):
     """Pairs of lines of one part and supplier whose delivery times, as many days as pieces, overlap."""
     at = F.unix_timestamp(F.col("l_shipdate").cast("timestamp"))
-    rows = D.read(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_orderkey", "l_linenumber", at.alias("from"), (at + 86400 * F.col("l_quantity").cast("long")).alias("to"))
-    side = lambda x: rows.select("l_partkey", "l_suppkey", F.col("l_orderkey").alias(x), F.col("l_linenumber").alias(f"l{x}"), F.col("from").alias(f"from_{x}"), F.col("to").alias(f"until_{x}"))
-    met = overlapping(side("a"), side("b"), ["l_partkey", "l_suppkey"], ("from_a", "until_a"), ("from_b", "until_b"))
-    return met.where("a < b OR a = b AND la < lb").select("l_partkey", "a", "la", "b", "lb")
+    rows = D.read(spark, d, "lineitem").select("l_partkey", "l_suppkey", F.col("l_orderkey").alias("order"), F.col("l_linenumber").alias("line"), at.alias("from"), (at + 86400 * F.col("l_quantity").cast("long")).alias("to"))
+    met = overlapping_pairs(rows, ["l_partkey", "l_suppkey"], ("from", "to"), ["order", "line"])
+    return met.select("l_partkey", F.col("order_1").alias("a"), F.col("line_1").alias("la"), F.col("order_2").alias("b"), F.col("line_2").alias("lb"))
 
 
 @query(over_events("SELECT event_id, remote_ip FROM ev WHERE remote_ip IN (SELECT '203.0.113.' || n_nationkey FROM nation)"))

@@ -281,3 +281,24 @@ def test_rules_are_spread_over_tasks(spark):
 def test_records_are_parsed_in_more_tasks_than_row_groups(spark):
     plan = queries.QUERIES["ingest_event_xml"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert f"RoundRobinPartitioning({3 * spark.sparkContext.defaultParallelism})" in plan
+
+
+def test_pairs_of_one_table(spark):
+    """Short and long spans, busy and single keys, equal ids, nulls, spans that end before they start."""
+    rnd = random.Random(4)
+    rows = [(rnd.choice([1, 1, 1, 2, None, 10 + k]), rnd.choice([*range(60), None]), rnd.choice([0, 1]), s, s + rnd.choice([0, 1, 7, 8, 70, 500, 9000, -3])) for k, s in enumerate(rnd.choices(range(-300, 20_000, 7), k=400))]
+    before = lambda x, y: x[1] is not None and y[1] is not None and (x[1], x[2]) < (y[1], y[2])
+    want = [(x[0], x[1], x[2], y[1], y[2]) for x in rows for y in rows if x[0] is not None and x[0] == y[0] and before(x, y) and x[3] <= x[4] and y[3] <= y[4] and x[3] <= y[4] and y[3] <= x[4]]
+    got = intervals.overlapping_pairs(spark.createDataFrame(rows, "k int, id int, line int, a long, b long"), ["k"], ("a", "b"), ["id", "line"])
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 500
+
+
+def test_pairs_of_one_table_leave_single_keys(spark):
+    """Lines whose part and supplier no other line has are not written or dealt to slots."""
+    base = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(base))
+    data = DATA.replace("0.001", "0.01")
+    rows, con = agree(spark, "overlapping_deliveries", data)
+    written = sum(spark.read.parquet(f"{base}/{f}").count() for f in set(os.listdir(base)) - before)
+    total, single = con.execute("SELECT sum(n), sum(n) FILTER (n = 1) FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_partkey, l_suppkey)").fetchall()[0]
+    assert rows and single > total / 2 and written <= 2 * (total - single)
