@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -14,6 +15,8 @@ from .rules import BY_NAME, CHANNELS, EXTERNAL, FAMILIES, Family, low, prepared
 #: Columns of an event that rules about a cluster's first event, or about its members, read.
 FIRST = ["proc", "ppath", "usr", "tfile", "ip", "user_agent", "vol_path", "vol_base", "hour", "minute"]
 FLAGS = ["common_process", "known_hash"]
+#: Columns of an event that clusters read besides those that rules name.
+OWN = ["event_id", "case_id", "host_name", "timestamp", "epoch", "user", "remote_ip", "target_file", "kind", "usr", *FIRST, *FLAGS]
 #: Slots of 1, 8, 64, 512 and 4096 seconds, of which a span of time is put together.
 BASE, LEVELS = 8, 5
 #: How long the text of the rules is at most that one number of with_bits() holds.
@@ -213,10 +216,17 @@ def enriched(events: DataFrame, hash_list: DataFrame | None = None, least: int =
     return rows.withColumn("known_hash", F.col("known_hash") & (F.col("kind") == "PROCESS_EXECUTION"))
 
 
+def read_by_rules(rows: DataFrame, families: tuple[Family, ...] = FAMILIES) -> DataFrame:
+    """rows with the columns alone that clusters of these families read; a column counts as read if a rule holds its name as a word."""
+    rules = [EXTERNAL, *CHANNELS, *(x.when for f in families for x in (*f.triggers, *f.signals, *f.counters))]
+    words = {w.lower() for rule in rules for w in re.findall(r"\w+", rule)}.union(OWN)
+    return rows.select(*[c for c in rows.columns if c.lower() in words])
+
+
 def build_clusters(events: DataFrame, families: tuple[Family, ...] = FAMILIES, hash_list: DataFrame | None = None, lists: dict[str, DataFrame] | None = None) -> DataFrame:
     """Scored clusters of all families."""
     # each stage is a table: rules then read plain columns, and the plan of a stage stays small
-    rows = saved(enriched(events, hash_list))
+    rows = saved(read_by_rules(enriched(events, hash_list), families))
     return with_signals(saved(group_hits(trigger_hits(rows, families))), rows, families, lists)
 
 

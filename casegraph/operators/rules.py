@@ -286,8 +286,8 @@ def prepared(events: DataFrame) -> DataFrame:
     dll = F.when(plugin.contains("dlllist"), slashed(F.lower(F.coalesce(F.nullif(vol("Path"), F.lit("")), vol("BaseName"))))).when(F.col("canonical_type") == FILE, tfile).otherwise("")
     parent = F.coalesce(F.nullif(F.col("parent_name"), F.lit("")), F.nullif(vol("ParentName"), F.lit("")), F.try_element_at("event_data", F.lit("ParentImage")), F.lit(""))
     columns = {
-        "kind": F.coalesce("canonical_type", F.lit("")), "alert": low("alert_name"), "cmd": low("command_line"), "proc": low("process_name"), "ppath": slashed(low("process_path")), "tfile": tfile, "fname": F.regexp_extract(tfile, "([^/]*)$", 1),
-        "rkey": slashed(low("registry_key")), "ip": F.coalesce("remote_ip", F.lit("")), "port": F.coalesce(F.col("remote_port"), F.lit(0)), "usr": low("user"), "logon": F.coalesce("logon_type", F.lit("")), "parent": F.regexp_extract(F.lower(slashed(parent)), "([^/]*)$", 1),
+        "kind": F.coalesce("canonical_type", F.lit("")), "alert": low("alert_name"), "cmd": low("command_line"), "proc": low("process_name"), "ppath": slashed(low("process_path")), "tfile": tfile, "fname": F.substring_index(tfile, "/", -1),
+        "rkey": slashed(low("registry_key")), "ip": F.coalesce("remote_ip", F.lit("")), "port": F.coalesce(F.col("remote_port"), F.lit(0)), "usr": low("user"), "logon": F.coalesce("logon_type", F.lit("")), "parent": F.substring_index(F.lower(slashed(parent)), "/", -1),
         "plugin": plugin, "vol_path": slashed(F.lower(vol("Path"))), "vol_base": F.lower(vol("BaseName")), "private_memory": F.coalesce(F.try_element_at("volatility", F.lit("PrivateMemory")), F.lit("1")), "vol_ppid": vol("PPID"), "vol_parent": vol("ParentName"), "dll": dll, "ticket_cipher": F.coalesce(F.try_element_at("event_data", F.lit("TicketEncryptionType")), F.lit("")),
         "hour": F.hour("timestamp"), "minute": F.minute("timestamp"), "epoch": F.unix_timestamp("timestamp"),
     }

@@ -1,10 +1,13 @@
+import os
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from casegraph.functions import exprs as X
 from casegraph.operators import detect, judge
-from casegraph.operators.cluster import group_hits, trigger_hits
-from casegraph.operators.rules import BY_NAME
-from casegraph.sources import records
+from casegraph.operators.cluster import build_clusters, group_hits, trigger_hits
+from casegraph.operators.rules import BY_NAME, FAMILIES, Trigger
+from casegraph.sources import driver, records
 
 EVENT = "event_id string, case_id string, host_name string, timestamp timestamp, canonical_type string, user string, process_name string, process_path string, command_line string, target_file string, remote_ip string, remote_port int, registry_key string, alert_name string, logon_type string, parent_name string"
 
@@ -61,3 +64,15 @@ def test_lineage_is_by_user(spark):
     got = group_hits(trigger_hits(e, (BY_NAME["SuspiciousLineage"], BY_NAME["RemoteExecution"]))).collect()
     assert sorted((r["constructor"], r["who"] or "", r["n_members"]) for r in got) == [("RemoteExecution", "", 4), ("SuspiciousLineage", "", 1), ("SuspiciousLineage", "ann", 2), ("SuspiciousLineage", "ben", 1)]
     assert len({r["cluster_id"] for r in got}) == 4
+
+
+def test_clusters_save_only_columns_that_rules_read(spark):
+    """A long column that no rule names is not written with the events; one that a family of the caller's names is."""
+    base = spark.conf.get("spark.checkpoint.dir")
+    events = driver.events(spark, "/root/testdata/sf0.001").withColumns({"raw": F.repeat(F.col("event_id"), 40), "zone": F.lit("dmz")})
+    own = replace(BY_NAME["LateralMovement"], triggers=(Trigger("in_zone", 10, "zone = 'dmz' AND kind = 'ALERT'"),))
+    for families, more in ((FAMILIES, set()), ((own,), {"zone"})):
+        before = set(os.listdir(base))
+        found = build_clusters(events, families).count()
+        saved = {c for f in set(os.listdir(base)) - before for c in spark.read.parquet(f"{base}/{f}").columns}
+        assert found and "event_id" in saved and saved & {"raw", "zone", "source_doc_id", "command_line"} == more
