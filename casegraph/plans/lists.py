@@ -161,9 +161,9 @@ def single_host(spark, d):
 @query("SELECT s1.s AS src, s2.s AS dst, count(DISTINCT p) AS paths FROM (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem) s1 JOIN (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem) s2 USING (p) WHERE s2.s = s1.s + 1 GROUP BY ALL")
 def shortest_paths(spark, d):
     """How many shortest paths lead from each supplier to the next one."""
-    e = D.read(spark, d, "lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("a"), F.concat(F.lit("s"), "l_suppkey").alias("b")).distinct()
+    e = D.read(spark, d, "lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("a"), F.concat(F.lit("s"), "l_suppkey").alias("b"))
     pairs = D.read(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("src"), F.concat(F.lit("s"), F.col("s_suppkey") + 1).alias("dst"))
-    found = ShortestPaths(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))), pairs, 2).counts()
+    found = ShortestPaths(e, pairs, 2, both=True).counts()
     return found.select(F.substring("src", 2, 20).cast("long").alias("src"), F.substring("dst", 2, 20).cast("long").alias("dst"), F.col("n_paths").alias("paths"))
 
 

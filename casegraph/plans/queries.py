@@ -480,9 +480,9 @@ def service_changes(spark, d):
 
 def neighbours_of_nation(spark, d):
     """All pairs of suppliers of one nation, and the links between suppliers and parts, both ways."""
-    e = part_edges(spark, d)
+    e = D.read(spark, d, "lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("a"), F.concat(F.lit("s"), "l_suppkey").alias("b"))
     teams = D.read(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("node"), F.col("s_nationkey").alias("team"))
-    return ShortestPaths(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))), teams, 5)
+    return ShortestPaths(e, teams, 5, both=True)
 
 
 _PAIRS = """e AS (SELECT DISTINCT 'p' || l_partkey AS p, 's' || l_suppkey AS s FROM lineitem), pr AS (SELECT 's' || a.s_suppkey AS src, 's' || b.s_suppkey AS dst FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey),
@@ -499,9 +499,7 @@ def paths_depth5(spark, d):
 @query(f"WITH {_PAIRS} SELECT src, dst, 1 AS position, count(DISTINCT e.p) AS n FROM n2 JOIN e ON e.s = src JOIN e f ON f.p = e.p AND f.s = dst GROUP BY ALL UNION ALL SELECT src, dst, 2, count(DISTINCT e.p) FROM n2 JOIN e ON e.s = src JOIN e f ON f.p = e.p AND f.s = dst GROUP BY ALL")
 def path_steps(spark, d):
     """How many different steps the shortest paths of two steps have at each place."""
-    found = neighbours_of_nation(spark, d)
-    short = found.counts().where("steps = 2").select("src", "dst")
-    return found.steps().join(short, ["src", "dst"]).groupBy("src", "dst", "position").agg(F.count(F.lit(1)).alias("n"))
+    return neighbours_of_nation(spark, d).step_counts(only=2)
 
 
 @query("WITH RECURSIVE lk AS (SELECT DISTINCT 'p' || l_partkey AS a, 's' || l_suppkey AS b FROM lineitem UNION SELECT DISTINCT 's' || l_suppkey, 'p' || l_partkey FROM lineitem), r(src, node, depth) AS (SELECT 's' || s_suppkey, 's' || s_suppkey, 0 FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_name = (SELECT min(n_name) FROM nation) UNION SELECT src, b, depth + 1 FROM r JOIN lk ON a = node WHERE depth < 5) SELECT src, node, min(depth) AS depth FROM r GROUP BY src, node")

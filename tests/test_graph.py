@@ -4,10 +4,12 @@ import os
 import random
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from casegraph.operators import chains, graph, intervals, judge, quantiles
+from casegraph.operators import chains, graph, intervals, judge, quantiles, tiles
 from casegraph.operators.path_dag import ShortestPaths
 from casegraph.plans import queries
 
@@ -192,6 +194,69 @@ def test_pairs_without_links_are_not_searched_for(spark):
     assert found.counts().groupBy("steps", "n_paths").count().collect() == [(2, 8, 20 * 20)] and len(found.forth) == len(found.back) == 2
 
 
+def supplied(rnd, suppliers, parts, each):
+    """Links of suppliers and parts, and how many paths of two and of four steps lead between suppliers that no shorter ones join."""
+    has = np.zeros((suppliers, parts), np.int64)
+    for k in range(suppliers):
+        has[k, rnd.sample(range(parts), each)] = 1
+    two = has @ has.T
+    np.fill_diagonal(two, 0)
+    four = np.where(two == 0, two @ two, 0)
+    np.fill_diagonal(four, 0)
+    return [(f"s{i}", f"p{j}") for i, j in zip(*map(list, np.nonzero(has)))], two, four
+
+
+def test_last_level_is_no_table(spark):
+    """Suppliers of one team, most of them four steps apart: what reaches other suppliers is summed without a row for each source and node."""
+    links, two, four = supplied(random.Random(6), 150, 600, 8)
+    teams = spark.createDataFrame([(f"s{k}", 0) for k in range(150)], "node string, team int")
+    base = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(base))
+    got = {(r["src"], r["dst"]): (r["steps"], r["n_paths"]) for r in ShortestPaths(spark.createDataFrame(links, "a string, b string"), teams, 4, both=True).counts().collect()}
+    want = {(f"s{i}", f"s{j}"): (k, int(n[i, j])) for k, n in ((2, two), (4, four)) for i, j in zip(*map(list, np.nonzero(n)))}
+    assert got == want and (four > 0).sum() > (two > 0).sum() > 0
+    levels = [spark.read.parquet(f"{base}/{d}") for d in set(os.listdir(base)) - before]
+    assert sum(x.count() for x in levels if x.columns == ["end", "node", "n"]) <= 150 + len(links)
+
+
+@pytest.mark.parametrize("block, chunk, both", [(4, 40, True), (2048, 1 << 22, False), (7, 1 << 22, False), (2048, 5, True)])
+def test_tiles_against_plain(spark, monkeypatch, block, chunk, both):
+    """Several blocks a team, nodes whose links go in parts, links both ways or named both ways."""
+    monkeypatch.setattr(tiles, "BLOCK", block)
+    links, two, four = supplied(random.Random(7), 40, 70, 3)
+    df = spark.createDataFrame(links if both else links + [(b, a) for a, b in links], "a string, b string")
+    teams = spark.createDataFrame([(f"s{k}", k % 3) for k in range(40)] + [("s99", 1)], "node string, team int")
+    got = {(r["src"], r["dst"]): (r["steps"], r["n_paths"]) for r in ShortestPaths(df, teams, 4, both=both).counts().collect()}
+    assert got == {(f"s{i}", f"s{j}"): (k, int(n[i, j])) for k, n in ((2, two), (4, four)) for i, j in zip(*map(list, np.nonzero(n))) if i % 3 == j % 3} and {k for k, _ in got.values()} == {2, 4}
+    # tasks hold the module's own values, so their parts are tried here
+    monkeypatch.setattr(tiles, "CHUNK", chunk)
+    rnd = random.Random(chunk)
+    rows = [([(rnd.randrange(3), rnd.randrange(5), 3, rnd.choice([1, 1, n])) for _ in range(rnd.randrange(9))], [rnd.randrange(2000) for _ in range(rnd.randrange(9))]) for n in (1, 1, 4, 2, 1)]
+    batch = pa.RecordBatch.from_pydict({k: [[e[i] for e in ends] for ends, _ in rows] for i, k in enumerate(("tile", "pos", "kind", "n"))} | {"next": [x for _, x in rows]})
+    found = [(t, s * tiles.SLAB + c // tiles.PLACES, c % tiles.PLACES, n) for out in tiles._dealt([batch]) for r in out.to_pylist() for t, s in [(r["tile"], r["slab"])] for c, n in zip(r["cells"], r["ns"] or [1] * len(r["cells"]))]
+    assert sorted(found) == sorted((t, x, p, n) for ends, links_ in rows for t, p, _, n in ends for x in links_)
+
+
+def test_sums_beyond_floats_are_exact():
+    """Counts whose products no double holds, dense and not."""
+    for many in (1, 40):
+        tile = tiles._Tile()
+        for side in (tiles.SOURCE, tiles.TARGET):
+            tile.take(-5, tiles.IDS + side, np.arange(2), np.array([10, 11]))
+            tile.take(0, side, np.arange(many) * tiles.PLACES + (side == tiles.TARGET), np.full(many, 2**28 + 1))
+        out = [r for b in tile.result() for r in b.to_pylist()]
+        assert out == [{"src": 10, "dst": 11, "n": many * (2**28 + 1) ** 2}]
+
+
+def test_two_steps_need_no_longer_search(spark):
+    """What is asked of pairs two steps apart is answered by two steps, though most pairs of the team are four apart."""
+    links, two, _ = supplied(random.Random(8), 60, 200, 6)
+    teams = spark.createDataFrame([(f"s{k}", 0) for k in range(60)], "node string, team int")
+    found = ShortestPaths(spark.createDataFrame(links, "a string, b string"), teams, 5, both=True)
+    got = {(r["src"], r["dst"], r["position"]): r["n"] for r in found.step_counts(only=2).collect()}
+    assert got == {(f"s{i}", f"s{j}", k): int(two[i, j]) for k in (1, 2) for i, j in zip(*map(list, np.nonzero(two)))} and found.step == len(found.forth) == 2
+
+
 def test_components_against_plain(spark):
     rnd = random.Random(2)
     links = [(rnd.randrange(90), rnd.randrange(90)) for _ in range(60)] + [(k, k + 1) for k in range(100, 160)]
