@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.exprs import is_internal, short_hash
+from . import bits
 
 
 def folder(spark: SparkSession) -> str:
@@ -115,28 +116,71 @@ def components(links: DataFrame) -> DataFrame:
     return part
 
 
-def reach(links: DataFrame, start: DataFrame, depth: int) -> DataFrame:
-    """(src, node, depth): nodes within depth steps along links (a, b) of the start nodes (src), by the fewest steps.
+def nodes(links: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """(name, id, n): the ends of links (a, b) and the names in more (name), numbered, with the rows that name them."""
+    ends = links.select(F.explode(F.array("a", "b")).alias("name"))
+    ends = (ends if more is None else ends.unionByName(more)).where("name IS NOT NULL").groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    return saved(ends.repartitionByRange("name").sortWithinPartitions("name").withColumn("id", F.monotonically_increasing_id()))  # nodes of a kind lie together
 
-    The start nodes search together, 64 as the bits of one number, so a link is followed once a round for all of a batch that come
-    to it. Each round extends only the nodes found in the round before, and drops the bits already seen; bits become rows at the end.
+
+def by_number(links: DataFrame, names: DataFrame) -> DataFrame:
+    """(a, b, a_n, b_n): links by the numbers of their ends, with the rows that name each end; links of a node with itself or null are left out."""
+    links = links.select("a", "b").where("a <> b")
+    for c in ("a", "b"):
+        links = links.join(names.select(F.col("name").alias(c), "id", F.col("n").alias(f"{c}_n")), c).drop(c).withColumnRenamed("id", c)
+    return links
+
+
+def numbered(links: DataFrame, both: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) by number, each once, and the names of their nodes (name, id). With both, links go both ways, and are named once."""
+    names = nodes(links.where("a <> b"))
+    links = by_number(links, names)
+    links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")) if both else links.select("a", "b")
+    return saved(links.distinct()), names.select("name", "id")
+
+
+def reach(links: DataFrame, start: DataFrame, depth: int, both: bool = False) -> DataFrame:
+    """(src, node, depth): nodes within depth steps along links (a, b) of the start nodes (src), by the fewest steps; with both, links go both ways.
+
+    The start nodes search together, as bits of rows of words. A link lies in the part of that of its ends with fewer links, so a row of
+    words goes to a part, or comes from it, once for all links there: a node with many links costs a row for each part, not for each
+    link. Each round extends only the bits found in the round before, and drops those already seen; bits become rows at the end.
     """
-    first = start.select("src").where("src IS NOT NULL").distinct()
-    at = F.monotonically_increasing_id()  # neighbours in the order of start nodes share a batch
-    first = saved(first.repartitionByRange("src").sortWithinPartitions("src").withColumn("at", at).select("src", F.floor(F.col("at") / 64).alias("batch"), (F.col("at") % 64).cast("int").alias("bit")))
-    edge = saved(links.select(F.col("a").alias("node"), F.col("b").alias("next")).distinct())
-    front = first.groupBy("batch", F.col("src").alias("node")).agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
-    front = seen = saved(front.withColumn("depth", F.lit(0)))
-    for k in range(1, depth + 1):
-        step = front.join(edge, "node").groupBy("batch", F.col("next").alias("node")).agg(F.bit_or("bits").alias("bits"))
-        known = seen.groupBy("batch", "node").agg(F.bit_or("bits").alias("known"))
-        bits = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("known", F.lit(0).cast("long"))))
-        front = saved(step.join(known, ["batch", "node"], "left").select("batch", "node", bits.alias("bits"), F.lit(k).alias("depth")).where("bits <> 0"))
+    first = start.select(F.col("src").alias("name")).where("name IS NOT NULL").distinct()
+    names = nodes(links, first)
+    many = first.count()
+    groups, wide = max(1, -(-many // (64 * bits.WORDS))), min(bits.WORDS, max(1, -(-many // 64)))
+    place = F.monotonically_increasing_id()  # neighbours in the order of start nodes share words
+    first = saved(names.join(first, "name", "left_semi").repartitionByRange(groups, "name").sortWithinPartitions("name").withColumn("place", place).select("name", "id", F.floor(F.col("place") / (64 * bits.WORDS)).alias("grp"), (F.col("place") % (64 * bits.WORDS)).cast("int").alias("bit")))
+    parts = max(3 * first.sparkSession.sparkContext.defaultParallelism, (names.agg(F.sum("n")).first()[0] or 0) // 2_000_000)
+    edge = by_number(links, names).withColumn("home", F.pmod(F.xxhash64(F.when(F.col("a_n") <= F.col("b_n"), F.col("a")).otherwise(F.col("b"))), F.lit(parts)))
+    if both:
+        edge = edge.unionByName(edge.select(F.col("b").alias("a"), F.col("a").alias("b"), "a_n", "b_n", "home"))
+    near = saved(edge.select("a", "home", "b").repartition(parts, "a").mapInArrow(bits.packed, "a long, home long, next array<long>"))
+    bit = F.expr(f"transform(sequence(0, {wide - 1}), k -> CASE WHEN k = bit div 64 THEN shiftleft(1L, bit % 64) ELSE 0L END)")
+    front = saved(first.select("grp", F.col("id").alias("node"), bit.alias("words")))
+    levels = [front]
+    for _ in range(depth):
+        step = front.join(near, F.col("node") == F.col("a")).select("home", "grp", "words", "next").repartition(parts, "home").select("grp", "words", "next").mapInArrow(bits.pushed, bits.ROWS)
+        rows = step.withColumn("seen", F.lit(False))
+        for x in levels:
+            rows = rows.unionByName(x.withColumn("seen", F.lit(True)))
+        front = saved(rows.repartition(parts, "node").sortWithinPartitions("grp", "node").mapInArrow(bits.merged, bits.ROWS))
         if front.isEmpty():
             break
-        seen = seen.unionByName(front)
-    each = seen.select("batch", "node", "depth", F.explode(F.expr("filter(sequence(0, 63), k -> getbit(bits, k) = 1)")).alias("bit"))
-    return each.join(first, ["batch", "bit"]).select("src", "node", "depth")
+        levels.append(front)
+    found = levels[0].withColumn("depth", F.lit(0))
+    for k, x in enumerate(levels[1:], 1):
+        found = found.unionByName(x.withColumn("depth", F.lit(k)))
+    named = found.join(names, F.col("node") == F.col("id")).select("grp", "name", "depth", "words")
+    kind = named.schema["name"].dataType.simpleString()
+    each = named.mapInArrow(bits.numbers, f"grp long, name {kind}, depth int, bits array<int>").select("grp", F.col("name").alias("node"), "depth", F.explode("bits").alias("bit"))
+    each = each.join(first.select("grp", "bit", F.col("name").alias("src")), ["grp", "bit"]).select("src", "node", "depth")
+    loose = links.where((F.col("a").isNull() | F.col("b").isNull()) if both else F.col("b").isNull())  # a null is reached too, and leads nowhere
+    loose = saved(loose.select(F.coalesce("a", "b").alias("node")).where("node IS NOT NULL").distinct())
+    if loose.isEmpty():
+        return each
+    return each.unionByName(each.where(F.col("depth") < depth).join(loose, "node", "left_semi").groupBy("src").agg((F.min("depth") + 1).alias("depth")).select("src", F.lit(None).cast(kind).alias("node"), "depth"))
 
 
 def subgraph(edges_: DataFrame, nodes: DataFrame, both: bool = True) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .graph import components, saved
+from .graph import components, numbered, saved
 from .tiles import SOURCE, TARGET, cells, members, product
 
 
@@ -22,11 +22,7 @@ class ShortestPaths:
     """
 
     def __init__(self, links: DataFrame, pairs: DataFrame, depth: int = 5, both: bool = False):
-        links = links.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
-        links = saved((links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")) if both else links).distinct())
-        ends = links.select(F.col("a").alias("name")).unionByName(links.select(F.col("b").alias("name"))).distinct()
-        self.names = saved(ends.repartitionByRange("name").sortWithinPartitions("name").withColumn("id", F.monotonically_increasing_id()))  # nodes of a kind lie together
-        self.links = saved(self._numbered(self._numbered(links, "a"), "b"))
+        self.links, self.names = numbered(links, both)
         self.out, self.into = self.links, self.links.select(F.col("b").alias("a"), F.col("a").alias("b"))
         self.depth, self.step, self.same = depth, 0, both and "team" in pairs.columns
         if both:

@@ -505,12 +505,11 @@ def path_steps(spark, d):
 @query("WITH RECURSIVE lk AS (SELECT DISTINCT 'p' || l_partkey AS a, 's' || l_suppkey AS b FROM lineitem UNION SELECT DISTINCT 's' || l_suppkey, 'p' || l_partkey FROM lineitem), r(src, node, depth) AS (SELECT 's' || s_suppkey, 's' || s_suppkey, 0 FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_name = (SELECT min(n_name) FROM nation) UNION SELECT src, b, depth + 1 FROM r JOIN lk ON a = node WHERE depth < 5) SELECT src, node, min(depth) AS depth FROM r GROUP BY src, node")
 def paths_from_nation(spark, d):
     """Paths from all suppliers of the first nation by name, so the starts grow with the table."""
-    e = part_edges(spark, d)
-    both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    e = D.read(spark, d, "lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("a"), F.concat(F.lit("s"), "l_suppkey").alias("b"))
     nation = D.read(spark, d, "nation")
     first = nation.join(nation.agg(F.min("n_name").alias("n_name")), "n_name").select("n_nationkey")
     start = D.read(spark, d, "supplier").join(first, F.col("s_nationkey") == F.col("n_nationkey"), "left_semi").select(F.concat(F.lit("s"), "s_suppkey").alias("src"))
-    return G.reach(both, start, 5)
+    return G.reach(e, start, 5, both=True)
 
 
 @query("WITH RECURSIVE " + over_events("")[5:].rstrip() + """, p AS (SELECT host_name, substr(event_id, 4)::BIGINT AS pid, nullif(substr(event_id, 4)::BIGINT // 7, substr(event_id, 4)::BIGINT) AS ppid FROM ev WHERE canonical_type = 'PROCESS_EXECUTION'),

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from casegraph.operators import chains, graph, intervals, judge, quantiles, tiles
+from casegraph.operators import bits, chains, graph, intervals, judge, quantiles, tiles
 from casegraph.operators.path_dag import ShortestPaths
 from casegraph.plans import queries
 
@@ -367,3 +367,51 @@ def test_pairs_of_one_table_leave_single_keys(spark):
     written = sum(spark.read.parquet(f"{base}/{f}").count() for f in set(os.listdir(base)) - before)
     total, single = con.execute("SELECT sum(n), sum(n) FILTER (n = 1) FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_partkey, l_suppkey)").fetchall()[0]
     assert rows and single > total / 2 and written <= 2 * (total - single)
+
+
+@pytest.mark.parametrize("held", [1 << 24, 40])
+def test_words_go_along_links(monkeypatch, held):
+    """Parts of a node's words, nodes that are seen, nodes that lie in two batches."""
+    monkeypatch.setattr(bits, "HELD", held)
+    monkeypatch.setattr(bits, "AT_ONCE", 6)
+    rnd = random.Random(held)
+    rows = [(rnd.randrange(2), [rnd.getrandbits(63), rnd.getrandbits(63)], [rnd.randrange(9) for _ in range(rnd.randrange(5))]) for _ in range(40)]
+    table = lambda names, some: [pa.RecordBatch.from_pylist([dict(zip(names, x)) for x in some[k : k + 7]]) for k in range(0, len(some), 7)]
+    out = [(r["grp"], r["node"], r["words"]) for b in bits.pushed(table(("grp", "words", "next"), rows)) for r in b.to_pylist()]
+    seen = [(rnd.randrange(2), rnd.randrange(9), [rnd.getrandbits(63), 0]) for _ in range(12)]
+    want, old = {}, {}
+    for g, w, some in rows:
+        for v in some:
+            want[g, v] = [x | y for x, y in zip(w, want.get((g, v), [0, 0]))]
+    for g, v, w in seen:
+        old[g, v] = [x | y for x, y in zip(w, old.get((g, v), [0, 0]))]
+    want = {k: [x & ~y for x, y in zip(w, old.get(k, [0, 0]))] for k, w in want.items()}
+    mixed = sorted([(*x, False) for x in out] + [(*x, True) for x in seen], key=lambda x: x[:2])
+    got = [((r["grp"], r["node"]), r["words"]) for b in bits.merged(table(("grp", "node", "words", "seen"), mixed)) for r in b.to_pylist()]
+    assert dict(got) == {k: w for k, w in want.items() if any(w)} and len(got) == len(dict(got)) > 10
+
+
+def test_reach_by_words(spark):
+    """300 starts of one graph: a table has one row a node, of words, not one for each 64 starts; nulls are reached and lead nowhere, starts without links stay."""
+    rnd = random.Random(3)
+    links = [(rnd.randrange(300), rnd.randrange(300, 400)) for _ in range(700)] + [(7, None), (None, 8), (399, 399)]
+    start = spark.createDataFrame([(k,) for k in [*range(300), 999, None]], "src int")
+    to = {}
+    for a, b in links:
+        for x, y in ((a, b), (b, a)):
+            if x is not None:
+                to.setdefault(x, set()).add(y)
+    want = set()
+    for s in [*range(300), 999]:
+        seen = {s: 0}
+        for k in range(1, 4):
+            for x in [x for x, d in seen.items() if d == k - 1]:
+                for y in to.get(x, ()):
+                    seen.setdefault(y, k)
+        want |= {(s, x, d) for x, d in seen.items()}
+    base = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(base))
+    got = [tuple(r) for r in graph.reach(spark.createDataFrame(links, "a int, b int"), start, 3, both=True).collect()]
+    tables = [spark.read.parquet(f"{base}/{d}") for d in set(os.listdir(base)) - before]
+    rows = sum(x.count() for x in tables if "words" in x.columns or "bits" in x.columns)
+    assert set(got) == want and len(got) == len(want) and rows <= 4 * 401
